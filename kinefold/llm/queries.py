@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefold.llm.common import scratch_path
+from kinefold.llm import quality, toxicity
+from kinefold.llm.common import crc_fold, scratch_path
 from kinefold.llm.decontaminate import contamination
 from kinefold.llm.packing import pack
 from kinefold.llm.simhash import near_duplicates
@@ -31,15 +32,33 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def _scored(scored: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _scored(quality.score_quality(docs, model), 4, 2, quality.THRESHOLD)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _scored(toxicity.score_toxicity(docs, model), 3, 1, toxicity.THRESHOLD)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_output": op2_token_output,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
