@@ -54,7 +54,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            tables = []
+            n, tables = 1 << n.bit_length(), []
             for base in (_BASE, pow(_BASE, -1, 2**64)):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1

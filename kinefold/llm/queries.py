@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from kinefold.llm import quality, toxicity
 from kinefold.llm.common import crc_fold, scratch_path
 from kinefold.llm.decontaminate import contamination
+from kinefold.llm.html_text import extract_text
+from kinefold.llm.lempel_ziv import compare_edited
 from kinefold.llm.packing import pack
+from kinefold.llm.pii import find_pii
 from kinefold.llm.simhash import near_duplicates
 from kinefold.llm.tokens import token_digests, write_tokens
 
@@ -42,11 +45,24 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs, model), 4, 2, quality.THRESHOLD)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,7 +74,10 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_lempel_ziv_fingerprint": op7_lempel_ziv_fingerprint,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
