@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefold.llm import quality, toxicity
+from kinefold.llm import language, quality, toxicity
 from kinefold.llm.common import crc_fold, scratch_path
 from kinefold.llm.decontaminate import contamination
 from kinefold.llm.html_text import extract_text
@@ -45,6 +45,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score_quality(docs, model), 4, 2, quality.THRESHOLD)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "language.*")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op6_html_extraction": op6_html_extraction,
     "op7_lempel_ziv_fingerprint": op7_lempel_ziv_fingerprint,
     "op8_simhash": op8_simhash,
