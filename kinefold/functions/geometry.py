@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-7
@@ -201,17 +201,21 @@ def to_camera(x: Column, y: Column, z: Column, cam: Camera) -> tuple[Column, Col
     return r[0] * x + r[1] * y + r[2] * z + t[0], r[3] * x + r[4] * y + r[5] * z + t[1], r[6] * x + r[7] * y + r[8] * z + t[2]
 
 
-def project(x: Column, y: Column, z: Column, cam: Camera) -> tuple[Column, Column]:
-    """Pixels in the camera's stored image; a point behind the camera has none."""
-    px, py, pz = to_camera(x, y, z, cam)
-    front = pz > 0
-    u, v = px / F.when(front, pz), py / F.when(front, pz)
+def project(df: DataFrame, cam: Camera, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """df with u, v: pixels in the camera's stored image; a point behind the camera has none.
+
+    Each step is a column of its own, so that the next one does not repeat its expression.
+    """
+    px, py, pz = to_camera(F.col(x), F.col(y), F.col(z), cam)
     k1, k2, p1, p2, k3 = cam.k
-    r2 = u * u + v * v
-    radial = F.lit(1.0) + r2 * (k1 + r2 * (k2 + r2 * k3))
-    ud = u * radial + F.lit(2.0) * p1 * u * v + p2 * (r2 + F.lit(2.0) * u * u)
-    vd = v * radial + p1 * (r2 + F.lit(2.0) * v * v) + F.lit(2.0) * p2 * u * v
-    return cam.fx * ud + cam.cx - cam.offset_x, cam.fy * vd + cam.cy - cam.offset_y
+    own = df.withColumns({"_px": px, "_py": py, "_pz": F.when(pz > 0, pz)})
+    own = own.withColumns({"_a": F.col("_px") / F.col("_pz"), "_b": F.col("_py") / F.col("_pz")})
+    a, b, r2 = F.col("_a"), F.col("_b"), F.col("_r2")
+    own = own.withColumn("_r2", a * a + b * b)
+    own = own.withColumn("_radial", F.lit(1.0) + r2 * (k1 + r2 * (k2 + r2 * k3)))
+    ud = a * F.col("_radial") + F.lit(2.0) * p1 * a * b + p2 * (r2 + F.lit(2.0) * a * a)
+    vd = b * F.col("_radial") + p1 * (r2 + F.lit(2.0) * b * b) + F.lit(2.0) * p2 * a * b
+    return own.withColumns({"u": cam.fx * ud + cam.cx - cam.offset_x, "v": cam.fy * vd + cam.cy - cam.offset_y}).drop("_px", "_py", "_pz", "_a", "_b", "_r2", "_radial")
 
 
 def crop_camera(offset_x: Column, offset_y: Column, b: Box) -> tuple[Column, Column, Column, Column]:

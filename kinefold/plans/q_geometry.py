@@ -153,20 +153,19 @@ def points3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cameras(spark: SparkSession) -> DataFrame:
-    """The rig as a table of three rows."""
-    rows = [(n, ry, tz) for n, ry, tz in RIG]
-    return spark.createDataFrame(rows, "camera string, ry double, tz double")
+    """The rig as a table of three rows, with the entries of the rotations."""
+    rows = spark.createDataFrame([(n, ry, tz) for n, ry, tz in RIG], "camera string, ry double, tz double")
+    return rows.select("camera", "ry", "tz", *(c.alias(f"r{k}") for k, c in enumerate(g.rodrigues(F.lit(0.0), F.col("ry"), F.lit(0.0)))))
 
 
 def camera_columns() -> g.Camera:
     lit = F.lit
-    return g.Camera(lit(300.0), lit(310.0), lit(128.0), lit(96.0), g.rodrigues(lit(0.0), F.col("ry"), lit(0.0)), (lit(0.1), lit(-0.2), F.col("tz")), tuple(lit(k) for k in _DISTORTION), lit(4.0), lit(2.0))
+    return g.Camera(lit(300.0), lit(310.0), lit(128.0), lit(96.0), tuple(F.col(f"r{k}") for k in range(9)), (lit(0.1), lit(-0.2), F.col("tz")), tuple(lit(k) for k in _DISTORTION), lit(4.0), lit(2.0))
 
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of every point in every camera: u, v (null behind it)."""
-    u, v = g.project(F.col("x"), F.col("y"), F.col("z"), camera_columns())
-    return points3d(spark, sf_dir).crossJoin(F.broadcast(cameras(spark))).withColumns({"u": u, "v": v})
+    return g.project(points3d(spark, sf_dir).crossJoin(F.broadcast(cameras(spark))), camera_columns())
 
 
 POINTS_SQL = "points AS (SELECT 'e' || CAST(label AS VARCHAR) AS group_id, CAST(vec_id AS INTEGER) AS frame, CAST(k AS INTEGER) AS point, CAST(embedding[3 * k + 1] AS DOUBLE) AS x, CAST(embedding[3 * k + 2] AS DOUBLE) AS y, CAST(embedding[3 * k + 3] AS DOUBLE) AS z FROM embeddings, (SELECT unnest(range(21)) AS k))"
