@@ -16,8 +16,6 @@ from itertools import chain
 
 import numpy as np
 
-#: Where a cut before a space, comma or full stop may fall inside a pre-token: texts that have it take the slower cut.
-_ODD = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][,.]|\s\s|[\x00\x01]")
 _CUT = re.compile(r"(?= \S)")
 #: A word of common letters, with a space before it or not: one pre-token.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
@@ -35,10 +33,14 @@ class _Known(dict):
 
     def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
         self.ids_of, self.flat, self.begin = ids_of, array("i"), array("q", [0])
+        self.open, self.mark = array("b"), array("b")
 
     def __missing__(self, piece: str) -> int:
         self.flat.extend(self.ids_of(piece))
         self.begin.append(len(self.flat))
+        # A mark is a pre-token of its own only behind a letter or digit; a cut before blanks may fall inside one.
+        self.open.append(2 if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()) else 0 if piece[-1:].isalnum() else 1)
+        self.mark.append(piece[:1] in (",", "."))
         number = self[piece] = len(self)
         return number
 
@@ -71,21 +73,30 @@ class WordEncoder:
             return [x.id for x in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
         return [x.id for letters, _ in self.split(piece) for x in self.merge(letters)]
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _ODD.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").split("\1")
+    def _numbers(self, pieces: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.known) > self.most:
             self.known = _Known(self._ids)
-        pieces = [self._pieces(x) if x else [] for x in texts]
-        counts = [len(x) for x in pieces]
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int32, sum(counts))
+        pieces = [x.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").split("\1") if x else [] for x in texts]
+        at = self._numbers(pieces)
+        edges = np.cumsum([0, *map(len, pieces)])
+        open_ = np.array(self.known.open, np.int8)[at]
+        odd = open_ == 2
+        odd[1:] |= (open_[:-1] > 0) & (np.array(self.known.mark, np.int8)[at[1:]] > 0)
+        again = [k for k in np.unique(np.searchsorted(edges, np.flatnonzero(odd), "right") - 1).tolist()]
+        again += [k for k, x in enumerate(texts) if x and "\1" in x]
+        if again:  # texts that those cuts do not suit are cut before single blanks alone
+            for k in again:
+                pieces[k] = _CUT.split(texts[k])
+            at = self._numbers(pieces)
+            edges = np.cumsum([0, *map(len, pieces)])
         begin = np.array(self.known.begin, np.int64)
         first = begin[at]
         n = begin[at + 1] - first
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = np.array(self.known.flat, np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)]
-        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if counts else []
+        return np.split(ids, ends[edges[1:-1]])

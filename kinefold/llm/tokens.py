@@ -25,6 +25,9 @@ END_ID = 2
 #: Texts that the encoder takes at once; bounds the arrays in memory.
 TEXTS_AT_ONCE = 64
 
+#: Parts whose starts may be broadcast.
+BROADCAST_PARTS = 200_000
+
 _ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("local_start", T.LongType())])
 
 
@@ -102,5 +105,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
         return work
 
-    rows = read_tokens(spark, path).join(stream_starts(spark, path), "part")
+    starts = stream_starts(spark, path)
+    if starts.count() <= BROADCAST_PARTS:
+        starts = F.broadcast(starts)
+    rows = read_tokens(spark, path).join(starts, "part")
     return rows.select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), per_batch(make, T.LongType())(F.col("ids")).alias("ids_crc32"))
