@@ -10,7 +10,10 @@ from kinefold.functions.random import draw_sql
 from kinefold.operators.filters import FRAME
 from kinefold.operators.joins import distance
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
+
+
 GROUP = "CAST(substr(group_id, 2) AS BIGINT)"
 
 
@@ -40,7 +43,7 @@ def pool_weights(index: DataFrame, annot_frac: float | None, mode_3d_frac: float
 
 def mix(weighted: DataFrame, *keys: str) -> DataFrame:
     """Realised share of each cell."""
-    return weighted.groupBy(*keys).agg(F.sum("w").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(_ALL)).drop("w")
+    return weighted.groupBy(*keys).agg(F.sum("w").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(_all())).drop("w")
 
 
 def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], buckets: int = 64) -> DataFrame:
@@ -48,7 +51,7 @@ def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], buck
     shard = F.pmod(F.xxhash64(*order), F.lit(buckets))
     own = weighted.withColumn("shard", shard)
     totals = own.groupBy("shard").agg(F.sum("w").alias("total"))
-    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("whole", F.sum("total").over(_ALL))
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("whole", F.sum("total").over(_all()))
     own = own.join(F.broadcast(before.select("shard", "before", "whole")), "shard")
     w = Window.partitionBy("shard").orderBy(*order)
     upto = F.col("before") + F.sum("w").over(w)
@@ -63,14 +66,14 @@ def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], buck
 def balance_datasets(index: DataFrame, dataset: str) -> DataFrame:
     """Uniform over datasets, then within each."""
     n = F.count(F.lit(1)).over(Window.partitionBy(dataset))
-    k = F.size(F.collect_set(dataset).over(_ALL))
+    k = F.size(F.collect_set(dataset).over(_all()))
     return index.withColumn("w", F.lit(1.0) / (n * k))
 
 
 def cohort_weights(index: DataFrame, annot_frac: float) -> DataFrame:
     """Weights that give annotated entries a total; null with one cohort."""
     n = F.count(F.lit(1)).over(Window.partitionBy("label_source"))
-    two = F.size(F.collect_set("label_source").over(_ALL)) > 1
+    two = F.size(F.collect_set("label_source").over(_all())) > 1
     share = F.when(F.col("label_source") == "annotated", annot_frac).otherwise(1 - annot_frac)
     return index.withColumn("w", F.when(two, share / n))
 
@@ -89,7 +92,7 @@ def negative_weights(index: DataFrame, frac: float, negative: str = "negative")
 def combine_weights(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Products of two weights of the same entries, summing to 1."""
     joined = a.select(*keys, F.col("w").alias("wa")).join(b.select(*keys, F.col("w").alias("wb")), keys)
-    return joined.select(*keys, (F.col("wa") * F.col("wb") / F.sum(F.col("wa") * F.col("wb")).over(_ALL)).alias("w"))
+    return joined.select(*keys, (F.col("wa") * F.col("wb") / F.sum(F.col("wa") * F.col("wb")).over(_all())).alias("w"))
 
 
 def absent_negatives(instances: DataFrame) -> DataFrame:

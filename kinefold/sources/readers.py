@@ -22,7 +22,7 @@ def _placed(df: DataFrame, path: Column) -> DataFrame:
 
 def _manifests(spark: SparkSession, path: str, name: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
-    return _placed(files.select(F.col("path").alias("file"), F.decode("content", F.lit("utf-8")).alias("body")), F.col("file"))
+    return _placed(files.select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("body")), F.col("file"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +36,13 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Manifests as rows; one that breaks a rule has its text in violation and nulls for the rest."""
 
+    columns = ["root", "split", "session_id", "violation", "mode", "units", "labels", "names", "skeleton", "flip_pairs", "provenance", "assoc_res_max_px"]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                out = {"root": r.root, "split": r.split, "session_id": r.session_id, "violation": None}
+                out = dict.fromkeys(columns) | {"root": r.root, "split": r.split, "session_id": r.session_id}
                 try:
                     doc = tomllib.loads(r.body)
                     lacks = [k for k in ("mode", "units", "labels", "names") if k not in doc]
@@ -53,8 +55,7 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
                 except (ValueError, TypeError) as e:
                     out["violation"] = str(e)
                 rows.append(out)
-            columns = [c.split(" ")[0] for c in f"{PREFIX}, violation string, {SESSION.replace('map<string,string>', 'map')}".split(", ")]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return _manifests(spark, path, "session.toml").mapInPandas(parse, f"{PREFIX}, violation string, {SESSION}")
 
