@@ -87,4 +87,21 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL of the operators that it can express: no tokenizer, no XXH64, no classifier.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT item, least(13, len(w)) AS n, w, unnest(range(len(w) - least(13, len(w)) + 1)) AS j FROM b WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item, n, array_to_string(w[j + 1 : j + n], ' ') AS k FROM windows),
+places AS (SELECT doc_id, n, w, unnest(range(len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n),
+hits AS (SELECT doc_id, item, p, n FROM (SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS k FROM places) JOIN wanted USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+}
