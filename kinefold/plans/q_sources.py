@@ -228,3 +228,57 @@ def v16_prediction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.check_v16(count(fixture(spark, sf_dir, "pred"), "pred"), count(fixture(spark, sf_dir, "truth"), "animal"))
 
 
+
+
+@query(ctes("inst") + "SELECT group_id AS trial, frame, CASE WHEN animal > 4 THEN 'v' || CAST(animal AS VARCHAR) END AS variant, CAST(count(*) AS BIGINT) AS n FROM inst GROUP BY 1, 2, 3")
+def src9_read_variant_framesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Framesets keyed <trial>/Frame_<N>[__<variant>], read back from JSON documents of a hundred frames."""
+    path = scratch(spark)
+    own = fixture(spark, sf_dir, "inst")
+    key = F.concat(F.col("group_id"), F.lit("/Frame_"), F.format_string("%05d", "frame"), F.when(F.col("animal") > 4, F.concat(F.lit("__v"), F.col("animal"))).otherwise(F.lit("")))
+    sets = own.groupBy("group_id", key.alias("key"), F.floor(F.col("frame") / 100).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    sets.groupBy("group_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("framesets")).select("framesets").write.json(path)
+    return rd.read_framesets(spark.read.schema("framesets map<string, bigint>").json(path))
+
+
+@query(ctes("track") + "SELECT group_id, frame, animal, bodypart, x AS x, y AS y, (x - 4) AS x0, (y + 6) AS y1 FROM track, (VALUES ('centre')) AS p(bodypart)")
+def src12_read_sequence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks as nested arrays with normalised boxes, and back; absent animals are NaN."""
+    own = fixture(spark, sf_dir, "track")
+    nan = F.lit(float("nan"))
+    mouse = F.struct(F.array(F.array(F.coalesce("x", nan)), F.array(F.coalesce("y", nan))).alias("k"), F.array((F.col("x") - 4) / 256, (F.col("y") - 6) / 128, (F.col("x") + 4) / 256, (F.col("y") + 6) / 128).alias("b"))
+    grid = own.groupBy("group_id").agg(F.max("frame").alias("last")).select("group_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("frame"), F.sequence(F.lit(0), F.lit(5)).alias("a")).select("group_id", "frame", F.explode("a").alias("animal"))
+    mice = grid.join(own, ["group_id", "frame", "animal"], "left").groupBy("group_id", "frame").agg(F.array_sort(F.collect_list(F.struct("animal", mouse.alias("m")))).alias("m"))
+    clips = mice.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("frame", "m"))).alias("f"))
+    seq = clips.select("group_id", F.transform("f", lambda f: F.transform(f["m"], lambda m: m["m"]["k"])).alias("keypoints"), F.transform("f", lambda f: F.transform(f["m"], lambda m: m["m"]["b"])).alias("boxes"))
+    rows = rd.read_sequence(seq, ["centre"], 256.0, 128.0).where(~F.isnan("x"))
+    return rounded(rows.select("group_id", "frame", "animal", "bodypart", "x", "y", "x0", "y1"))
+
+
+_SESSIONS = "s AS (SELECT p_size AS k, 's' || CAST(p_size AS VARCHAR) AS session_id, list(p_brand ORDER BY p_partkey) AS names FROM part GROUP BY 1)"
+
+
+def _part_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a size as a session: their brands are its names."""
+    own = table(spark, sf_dir, "part").groupBy("p_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand"))), lambda p: p["p_brand"]).alias("names"))
+    pairs = F.array(F.array(F.element_at("names", 1), F.lit("Brand#0")))
+    return own.select(F.concat(F.lit("s"), F.col("p_size")).alias("session_id"), "names", pairs.alias("flip_pairs"))
+
+
+@query(f"WITH {_SESSIONS} SELECT 'V-2' AS rule, 'error' AS severity, session_id, 'duplicate name' AS message, CAST(1 AS BIGINT) AS n FROM s WHERE len(list_distinct(names)) <> len(names) UNION ALL SELECT 'V-2', 'error', session_id, 'unknown name', CAST(1 AS BIGINT) FROM s WHERE NOT list_contains(names, 'Brand#0')")
+def v2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.check_v2(_part_sessions(spark, sf_dir))
+
+
+@query(f"WITH {_SESSIONS}, a AS (SELECT session_id, names, list_filter(['Brand#1', 'Brand#2', 'Brand#3'], lambda x: NOT list_contains(names, x)) AS missing FROM s) SELECT 'V-3' AS rule, 'warning' AS severity, session_id, CASE WHEN len(missing) = 0 THEN 'reordered' ELSE 'subset' END AS message, CAST(1 AS BIGINT) AS n FROM a WHERE len(missing) > 0 OR names <> ['Brand#1', 'Brand#2', 'Brand#3']")
+def v3_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.check_v3(_part_sessions(spark, sf_dir), ["Brand#1", "Brand#2", "Brand#3"])
+
+
+@query("WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS session_id, CASE WHEN c_nationkey % 2 = 0 THEN '3d' ELSE '2d' END AS mode, c_acctbal > 9000 AS calibrated, c_acctbal < -900 AS bare FROM customer), n AS (SELECT session_id, any_value(mode) AS mode, count(*) AS n, count(*) FILTER (WHERE calibrated) AS k FROM c GROUP BY 1) SELECT 'V-4' AS rule, 'error' AS severity, session_id, 'camera without name or size' AS message, CAST(count(*) AS BIGINT) AS n FROM c WHERE bare GROUP BY 3 UNION ALL SELECT 'V-5', 'error', session_id, 'cameras of a ' || mode || ' session', CAST(1 AS BIGINT) FROM n WHERE (mode = '3d' AND k < 2) OR (mode = '2d' AND n <> 1)")
+def v4_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as the cameras of a session."""
+    c = table(spark, sf_dir, "customer").withColumn("session_id", F.col("c_nationkey").cast("string"))
+    cameras = c.select("session_id", F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= -900, 64).alias("width"), F.lit(48).alias("height"), (F.col("c_acctbal") > 9000).alias("calibrated"))
+    sessions = c.select("session_id", F.when(F.col("c_nationkey") % 2 == 0, "3d").otherwise("2d").alias("mode")).distinct()
+    return v.check_v4(sessions, cameras)

@@ -119,6 +119,13 @@ def read_coco_json(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
     return rows, boxes, several
 
 
+def read_framesets(df: DataFrame) -> DataFrame:
+    """framesets {<trial>/Frame_<N>[__<variant>]: n} as rows trial, frame, variant, n."""
+    from kinefold.operators.sets import frame_key
+
+    return df.select(F.explode("framesets").alias("key", "n")).select(frame_key(F.col("key")).alias("k"), "n").select("k.*", "n")
+
+
 def explode_pose_array(df: DataFrame, names: list[str]) -> DataFrame:
     """pose[t][k] = [x, y] of each (group_id, animal): finite points are visible, others have no row, and so have animals without any."""
     frames = df.select("group_id", "animal", F.posexplode("pose").alias("frame", "row"))
