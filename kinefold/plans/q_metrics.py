@@ -129,14 +129,22 @@ def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _VIEW = ["group_id", "frame", "camera"]
+_GREEDY = (
+    ctes("det")
+    + ", pr AS (SELECT group_id, frame, camera, det AS p, x0 + round((score - 0.5) * 64) AS x0, y0, x1 + round((score - 0.5) * 64) AS x1, y1 FROM det WHERE score > 0.5), both_ AS (SELECT d.group_id, d.frame, d.camera, d.det AS g, pr.p, greatest(least(d.x1, pr.x1) - greatest(d.x0, pr.x0), 0) * greatest(least(d.y1, pr.y1) - greatest(d.y0, pr.y0), 0) AS inter, (d.x1 - d.x0) * (d.y1 - d.y0) + (pr.x1 - pr.x0) * (pr.y1 - pr.y0) AS areas FROM det d JOIN pr ON d.group_id = pr.group_id AND d.frame = pr.frame AND d.camera = pr.camera), "
+    "pairs AS (SELECT *, inter / (areas - inter + 1e-7) AS iou FROM both_ WHERE inter > 0), f AS (SELECT group_id, frame, camera, list({'r': {'n': iou, 'g': g, 'p': p}, 'a': []::STRUCT(n DOUBLE, g INTEGER, p INTEGER)[]} ORDER BY iou DESC, g, p) AS rows FROM pairs GROUP BY 1, 2, 3), "
+    "m AS (SELECT group_id, frame, camera, unnest(list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc.a, lambda y: y.g = x.r.g OR y.p = x.r.p)) > 0 THEN acc ELSE {'r': acc.r, 'a': list_append(acc.a, x.r)} END, {'r': {'n': 0::DOUBLE, 'g': 0, 'p': 0}, 'a': []::STRUCT(n DOUBLE, g INTEGER, p INTEGER)[]}).a) AS m FROM f), "
+    "np AS (SELECT group_id, frame, camera, count(*) AS n FROM pr GROUP BY 1, 2, 3), nh AS (SELECT group_id, frame, camera, count(*) AS n FROM m GROUP BY 1, 2, 3), "
+    "greedy AS (SELECT d.group_id, d.frame, d.camera, d.det AS g, coalesce(m.m.n, 0) AS iou, CAST(coalesce(np.n, 0) - coalesce(nh.n, 0) AS BIGINT) AS unmatched_pred FROM det d LEFT JOIN m ON m.group_id = d.group_id AND m.frame = d.frame AND m.camera = d.camera AND m.m.g = d.det LEFT JOIN np ON np.group_id = d.group_id AND np.frame = d.frame AND np.camera = d.camera LEFT JOIN nh ON nh.group_id = d.group_id AND nh.frame = d.frame AND nh.camera = d.camera) "
+)
 
 
-@query()
+@query(_GREEDY + "SELECT group_id, frame, camera, g, round(iou, 6) AS iou, unmatched_pred FROM greedy")
 def tk2_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(k.greedy_match(*_moved(spark, sf_dir), _VIEW))
 
 
-@query()
+@query(_GREEDY + ", fp AS (SELECT group_id, sum(n) AS n FROM (SELECT group_id, max(unmatched_pred) AS n FROM greedy GROUP BY group_id, frame, camera) GROUP BY 1) SELECT group_id, CAST(count(*) AS BIGINT) AS n_gt, round(avg((iou >= 0.5)::INT::DOUBLE), 6) AS r50, round(avg((iou >= 0.75)::INT::DOUBLE), 6) AS r75, round(avg(iou), 6) AS iou, round(any_value(fp.n)::DOUBLE / count(*), 6) AS fp_per_gt FROM greedy JOIN fp USING (group_id) GROUP BY 1")
 def ag14_detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = k.greedy_match(*_moved(spark, sf_dir), _VIEW)
     fp = matched.groupBy(*_VIEW).agg(F.max("unmatched_pred").alias("n")).groupBy("group_id").agg(F.sum("n").alias("n_fp"))
