@@ -118,14 +118,6 @@ def crc32_of(values: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(values, dtype="<u4").tobytes())
 
 
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """All rows on the driver, if they are at most limit: an error, not a cut, beyond it."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows")
-    return rows
-
-
 def hash_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
     """At most limit rows, those of the smallest hash of key: the same on every run. For fitting models only."""
     h = free_name(df, "_order")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 from collections.abc import Callable
 from itertools import chain
@@ -79,7 +80,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.known.flat) > 8 * self.most:
             self.known = _Known(self._ids)
         pieces = [x.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").split("\1") if x else [] for x in texts]
         at = self._numbers(pieces)
@@ -100,3 +101,11 @@ class WordEncoder:
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = np.array(self.known.flat, np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)]
         return np.split(ids, ends[edges[1:-1]])
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
+    kept = vars(sys).setdefault("_kinefold_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]

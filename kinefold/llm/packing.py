@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinefold.llm.common import bound_batches, crc32_of, materialize, per_batch
-from kinefold.llm.encoding import WordEncoder, vocabulary_path
+from kinefold.llm.encoding import shared_encoder, vocabulary_path
 from kinefold.llm.tokens import END_ID, TEXTS_AT_ONCE
 
 CAPACITY = 1024
@@ -86,7 +86,7 @@ def pieces_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
     path = tokenizer or vocabulary_path()
 
     def make():
-        encoder = WordEncoder(path)
+        encoder = shared_encoder(path)
 
         def work(texts: pa.Array) -> pa.Array:
             own, rows = texts.to_pylist(), []

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinefold.llm.common import bound_batches, crc32_of, per_batch
-from kinefold.llm.encoding import WordEncoder, vocabulary_path
+from kinefold.llm.encoding import shared_encoder, vocabulary_path
 
 END_ID = 2
 #: Texts that the encoder takes at once; bounds the arrays in memory.
@@ -35,7 +35,7 @@ def encode_documents(docs: DataFrame, *, text: str, tokenizer: str, end_id: int
     """A column of each text's ids with the end id, and the ids before it in the same partition."""
 
     def make():
-        encoder, before = WordEncoder(tokenizer), 0
+        encoder, before = shared_encoder(tokenizer), 0
 
         def work(texts: pa.Array) -> pa.Array:
             nonlocal before
