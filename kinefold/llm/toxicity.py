@@ -8,7 +8,7 @@ document's gains, fitted on training rows that gave no fragments, makes the scor
 its best threshold is 0.7.
 
 Both dictionaries are chosen by document frequencies that Spark counts over a bounded sample of
-labelled rows (SAMPLE_ROWS of each class): zstandard's own trainer keeps what is common, and what
+labelled rows (SAMPLE_ROWS toxic ones, twice as many others): zstandard's own trainer keeps what is common, and what
 is common in toxic text is common in ordinary text too.
 
 Defined cases: a null, empty or wordless text has no gain and gets the score of that; equal texts
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from kinefold.llm.common import bound_batches, crc_fold, hash_sample, materialize, per_batch, ship
 
 SAMPLE_ROWS = 3000
+#: Characters by which copies are known.
+HEAD = 48
 WINDOW_WORDS = 6
 FRAGMENTS, FREQUENT, ALIKE = 400, 1500, 3000
 THRESHOLD = 0.7
@@ -123,11 +125,14 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel | None:
-    """Learn from labelled rows whose fold is not the held one: at most sample_rows of each class."""
+    """Learn from labelled rows whose fold is not the held one: at most sample_rows toxic rows and twice as many others."""
     spark = docs.sparkSession
     truth = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (crc_fold(F.col(doc_id), folds) != held)).groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    chosen = hash_sample(truth.where("y = 1"), "id", sample_rows).union(hash_sample(truth.where("y = 0"), "id", sample_rows))
-    rows = materialize(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).withColumn("half", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2))), "toxicity_sample")
+    chosen = hash_sample(truth.where("y = 1"), "id", sample_rows).union(hash_sample(truth.where("y = 0"), "id", 2 * sample_rows))
+    # Copies would lend their words a weight that many documents should have: rows of one beginning count once.
+    sampled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").withColumn("head", F.substring(F.coalesce("text", F.lit("")), 1, HEAD))
+    first = sampled.groupBy("head").agg(F.min("id").alias("id"))
+    rows = materialize(sampled.join(first, ["head", "id"], "left_semi").drop("head").dropDuplicates(["id"]).withColumn("half", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2))), "toxicity_sample")
     n = {r.y: r.n for r in rows.where("half = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if rows.where("half = 1").select("y").distinct().count() < 2 or len(n) < 2:
         return None
@@ -141,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     seen = rows.where("half = 0").select("y", F.explode(per_batch(make_words, T.ArrayType(T.StringType()))(F.col("text"))).alias("word"))
     counts = materialize(seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "word_counts")
     ratio = (F.col("a") / n[1]) / ((F.col("b") + 0.5) / n[0])
-    fragments = [r.word for r in counts.where((F.col("a") >= 4) & (ratio > 8) & (F.length("word") >= 4)).orderBy((F.col("a") * F.log(ratio)).desc(), "word").limit(FRAGMENTS).collect()]
+    fragments = [r.word for r in counts.where((F.col("a") >= max(4, 0.012 * n[1])) & (ratio > 12) & (F.length("word") >= 4)).orderBy((F.col("a") * F.log(ratio)).desc(), "word").limit(FRAGMENTS).collect()]
     ordinary = counts.where(F.col("b") > 0).join(F.broadcast(spark.createDataFrame([(x,) for x in fragments], "word string")), "word", "left_anti")
 
     def parts(word: str) -> set[str]:
