@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from kinefold.plans.queries import ORACLE_SQL, QUERIES
@@ -21,7 +22,7 @@ def duck():
 def plain(value):
     if hasattr(value, "item"):
         value = value.item()
-    return None if value != value else value
+    return None if pd.api.types.is_scalar(value) and pd.isna(value) else value
 
 
 def rows(frame):
