@@ -49,7 +49,7 @@ class _Known(dict):
 class WordEncoder:
     """Ids of whole texts as numpy arrays; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, pieces: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
