@@ -9,7 +9,8 @@ its best threshold is 0.7.
 
 Both dictionaries are chosen by document frequencies that Spark counts over a bounded sample of
 labelled rows (SAMPLE_ROWS toxic ones, twice as many others): zstandard's own trainer keeps what is common, and what
-is common in toxic text is common in ordinary text too.
+is common in toxic text is common in ordinary text too. A text with one label is one row, and a word
+counts once for each group of near copies (op8's components of the sample) and label.
 
 Defined cases: a null, empty or wordless text has no gain and gets the score of that; equal texts
 get equal scores; labels of the same document are averaged and ties are toxic; without training
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinefold.llm.common import bound_batches, crc_fold, hash_sample, materialize, per_batch, ship
+from kinefold.llm.simhash import near_duplicates
 
 SAMPLE_ROWS = 3000
-#: Characters by which copies are known.
-HEAD = 48
 WINDOW_WORDS = 6
 FRAGMENTS, FREQUENT, ALIKE = 400, 1500, 3000
 THRESHOLD = 0.7
@@ -129,11 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     truth = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (crc_fold(F.col(doc_id), folds) != held)).groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = hash_sample(truth.where("y = 1"), "id", sample_rows).union(hash_sample(truth.where("y = 0"), "id", 2 * sample_rows))
-    # Copies would lend their words a weight that many documents should have: rows of one beginning count once.
-    sampled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").withColumn("head", F.substring(F.coalesce("text", F.lit("")), 1, HEAD))
-    first = sampled.groupBy("head").agg(F.min("id").alias("id"))
-    rows = materialize(sampled.join(first, ["head", "id"], "left_semi").drop("head").dropDuplicates(["id"]).withColumn("half", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2))), "toxicity_sample")
-    n = {r.y: r.n for r in rows.where("half = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Copies would lend their words a weight that many documents should have: words are counted by groups of near copies, and no text is left out.
+    sampled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = sampled.groupBy("key", "y").agg(F.min("id").alias("id"))
+    texts = materialize(sampled.join(first, ["key", "y", "id"], "left_semi").dropDuplicates(["key", "y"]), "toxicity_texts")
+    groups = near_duplicates(texts.dropDuplicates(["key"]), doc_id="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    rows = materialize(texts.join(groups, "key").withColumn("half", F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(2))), "toxicity_sample")
+    n = {r.y: r.n for r in rows.where("half = 0").groupBy("y").agg(F.countDistinct("group").alias("n")).collect()}
     if rows.where("half = 1").select("y").distinct().count() < 2 or len(n) < 2:
         return None
 
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
         return work
 
-    seen = rows.where("half = 0").select("y", F.explode(per_batch(make_words, T.ArrayType(T.StringType()))(F.col("text"))).alias("word"))
+    seen = rows.where("half = 0").select("y", "group", F.explode(per_batch(make_words, T.ArrayType(T.StringType()))(F.col("text"))).alias("word")).distinct()
     counts = materialize(seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "word_counts")
     ratio = (F.col("a") / n[1]) / ((F.col("b") + 0.5) / n[0])
     fragments = [r.word for r in counts.where((F.col("a") >= max(4, 0.012 * n[1])) & (ratio > 12) & (F.length("word") >= 4)).orderBy((F.col("a") * F.log(ratio)).desc(), "word").limit(FRAGMENTS).collect()]
@@ -174,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
         return work
 
-    fitted = rows.where("half = 1").select("id", "y", per_batch(make_features, T.ArrayType(T.DoubleType()))(F.col("text")).alias("x")).collect()
-    fitted.sort(key=lambda r: r.id)
+    fitted = rows.where("half = 1").select("key", "y", per_batch(make_features, T.ArrayType(T.DoubleType()))(F.col("text")).alias("x")).collect()
+    fitted.sort(key=lambda r: (r.key, r.y))
     return ToxicityModel(compressors, np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float))
 
 

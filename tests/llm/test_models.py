@@ -36,6 +36,22 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.train(nothing, labels) is None
 
 
+def test_toxic_words_behind_a_shared_header(spark):
+    """Texts that begin alike all count; whole copies lend no weight."""
+    header = "Licensed under the terms of the public example licence, all rights kept. "
+    rows = []
+    for k in range(400):
+        body = " ".join(f"w{(k * 7919 + j * 104729) % 5003}q" for j in range(40))
+        rows.append((k, f"{header}{body}" + (" grumblefoul snarkrot" if k % 2 else ""), k % 2))
+    copy = "one toxic text of its own that was copied to many pages with onlyincopies inside " + " ".join(f"c{j}z" for j in range(40))
+    rows += [(1000 + k, copy, 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model is not None
+    assert {"grumblefoul", "snarkrot"} <= set(model.compressors.raw[1].split()) and "onlyincopies" not in model.compressors.raw[1]
+    assert model.score(f"{header}grumblefoul snarkrot") >= 0.7 > model.score(f"{header}plain words")
+
+
 def test_language(spark, odd, nothing):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = q.op5_language_id(spark, DATA).where("held_out").join(docs, "doc_id").collect()
