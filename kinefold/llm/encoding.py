@@ -3,7 +3,8 @@
 The library splits a text into pre-tokens and merges bytes inside each, so a text's ids are the ids
 of its pre-tokens in order. A space that stands before a non-space always begins a pre-token;
 texts are cut there and each piece's ids are kept in a bounded table. Only unseen pieces reach
-the library's pre-tokenizer, and only unseen pre-tokens its model.
+the library's pre-tokenizer, and only unseen pre-tokens its model. The library matches the tokenizer's
+added tokens (<|endoftext|>) before all that, so texts that hold one go to it whole.
 """
 
 from __future__ import annotations
@@ -47,14 +48,17 @@ class _Known(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts as numpy arrays; special tokens' strings are ordinary text."""
+    """Ids of whole texts as numpy arrays, without special tokens around. Strings of added tokens get their ids as in the library where added is set, and are ordinary text otherwise."""
 
-    def __init__(self, path: str, pieces: int = 600_000) -> None:
+    def __init__(self, path: str, pieces: int = 600_000, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.split, self.merge = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.whole = tokenizer
+        names = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(names)) if names else None
         self.most = pieces
         self.letters = self._byte_letters()
         self.known = _Known(self._ids)
@@ -78,6 +82,18 @@ class WordEncoder:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        held = [k for k, x in enumerate(texts) if x and self.added and self.added.search(x)]
+        if not held:
+            return self._encode(texts)
+        rest = list(texts)
+        for k in held:
+            rest[k] = None
+        out = self._encode(rest)
+        for k in held:
+            out[k] = np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, np.int32)
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
             return []
         if len(self.known) > self.most or len(self.known.flat) > 8 * self.most:
@@ -104,8 +120,8 @@ class WordEncoder:
 
 
 def shared_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
+    """The encoder of this worker process, added tokens matched: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
     kept = vars(sys).setdefault("_kinefold_encoders", {})
     if path not in kept:
-        kept[path] = WordEncoder(path)
+        kept[path] = WordEncoder(path, added=True)
     return kept[path]

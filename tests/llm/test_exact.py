@@ -14,7 +14,7 @@ from kinefold.llm import lempel_ziv as lz
 from kinefold.llm import packing, pii, simhash, tokens
 from kinefold.llm.common import scratch_path
 from kinefold.llm.decontaminate import contamination, decontaminate
-from kinefold.llm.encoding import WordEncoder, vocabulary_path
+from kinefold.llm.encoding import WordEncoder, shared_encoder, vocabulary_path
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -86,6 +86,23 @@ def test_encoder_on_odd_texts(encoder, library):
         assert ids.tolist() == library(x), x
 
 
+def test_added_tokens_are_matched_as_in_the_library(spark):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(vocabulary_path())
+    texts = ["a <|endoftext|> hi", "<|endoftext|>", "x<|endoftext|><|endoftext|>, y", "<|endoftext", None, "", "plain words, more."]
+    want = [default.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[0]
+    assert [x.tolist() for x in shared_encoder(vocabulary_path()).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = scratch_path(spark, "t")
+    tokens.write_tokens(docs, path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.token_digests(spark, path).collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for k, x in enumerate(want)}
+    packed = packing.pack(docs).groupBy("doc_id").count().count()
+    assert packed == len(texts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="ab é,.\n\t'1!?日 ", max_size=12), max_size=4))
 def test_encoder_equals_the_library(encoder, library, texts):
