@@ -3,8 +3,8 @@
 Text is folded to byte classes and cut into fixed windows that overlap by the widest filter less one,
 so that no n-gram is lost. Filters of several widths slide over each window, their largest responses feed a softmax,
 and a document's answer is the windows' mean, weighted by their letters. The network is trained with
-numpy on the driver, on windows of a bounded sample (SAMPLE_DOCS of each language, WINDOWS_A_DOC of each document, at
-most LANGUAGES languages).
+numpy on the driver, on windows of a bounded sample: SAMPLE_DOCS of each language, WINDOWS_A_DOC of each document. Every
+language is learned; beyond SAMPLE_LANGUAGES of them each gives fewer documents, LEAST_DOCS at least.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; equal texts get equal
 answers; without training rows every answer is `und`.
@@ -27,7 +27,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_DOCS = 400
 WINDOWS_A_DOC = 4
-LANGUAGES = 64
+#: Languages that give SAMPLE_DOCS each; more of them share as many documents in all.
+SAMPLE_LANGUAGES = 64
+#: Few enough for many languages, and too many for a draw to miss a language.
+LEAST_DOCS = 40
 #: Windows that go through the filters at once.
 BLOCK = 512
 UNKNOWN = "und"
@@ -167,10 +170,11 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.coalesce(crc_fold(F.col("id"), folds), F.lit(0)) != held))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
-    keep = spark.createDataFrame([(r.lang, min(1.0, SAMPLE_DOCS / r["count"])) for r in counts], "lang string, share double")
+    docs_each = min(SAMPLE_DOCS, max(LEAST_DOCS, SAMPLE_DOCS * SAMPLE_LANGUAGES // len(counts)))
+    keep = spark.createDataFrame([(r.lang, min(1.0, docs_each / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(11), "id", F.length("text")), F.lit(1_000_003)) / 1_000_003
     chosen = rows.join(F.broadcast(keep), "lang").where(draw < F.col("share"))
 

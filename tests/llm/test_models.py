@@ -63,6 +63,19 @@ def test_language(spark, odd, nothing):
     assert language.train(nothing) is None
 
 
+def test_every_language_is_learned(spark):
+    rows = []
+    for k in range(72):
+        a, b, c = (chr(97 + k % 24), chr(98 + k // 24), chr(97 + (k * 5) % 24))
+        word = f"{a}{b}{c}{b}{a}"
+        rows += [(f"{k}-{j}", " ".join([word] * 8 + [word + a] * (j % 3 + 1)), f"x{k:02d}") for j in range(24 if k < 64 else 20)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language.train(df)
+    assert model.languages == [f"x{k:02d}" for k in range(72)]
+    rare = language.identify(df.where("lang >= 'x64'"), model).select("lang", "language.lang_pred").collect()
+    assert len(rare) == 160 and sum(r.lang == r.lang_pred for r in rare) > 140
+
+
 def test_html_on_all_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in q.op6_html_extraction(spark, DATA).collect():
