@@ -85,14 +85,16 @@ def alpha_weights(index: DataFrame, alpha: float, group: str = "group_id") -> Da
 
 def negative_weights(index: DataFrame, frac: float, negative: str = "negative") -> DataFrame:
     """Weights that give negatives a total of frac."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(negative))
-    return index.withColumn("w", F.when(F.col(negative), frac).otherwise(1 - frac) / n)
+    counts = index.groupBy(F.col(negative).alias("_negative")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = index.join(F.broadcast(counts), F.col(negative).eqNullSafe(F.col("_negative")))
+    return counted.withColumn("w", F.when(F.col(negative), frac).otherwise(1 - frac) / F.col("_n")).drop("_negative", "_n")
 
 
 def combine_weights(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Products of two weights of the same entries, summing to 1."""
     joined = a.select(*keys, F.col("w").alias("wa")).join(b.select(*keys, F.col("w").alias("wb")), keys)
-    return joined.select(*keys, (F.col("wa") * F.col("wb") / F.sum(F.col("wa") * F.col("wb")).over(_all())).alias("w"))
+    total = F.broadcast(joined.agg(F.sum(F.col("wa") * F.col("wb")).alias("_total")))
+    return joined.crossJoin(total).select(*keys, (F.col("wa") * F.col("wb") / F.col("_total")).alias("w"))
 
 
 def absent_negatives(instances: DataFrame) -> DataFrame:
