@@ -20,10 +20,10 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, nbytes: int = BATCH_BYTES) -> None:
-    """Keep Arrow batches small, so that a worker's memory does not follow the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a worker's memory does not follow the length of the texts. All operators set the same values; those that need fewer rows at once slice a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most so many rows."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

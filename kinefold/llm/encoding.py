@@ -30,27 +30,60 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: What the cuts of a text have to know of a piece: it ends in a mark, suits no cut at all, begins with a mark, is empty, is a line end, begins with a blank or nothing.
+_OPEN, _ODD, _MARK, _EMPTY, _LINE, _BLANK = 1, 2, 4, 8, 16, 32
+
+
+def _flags(piece: str) -> int:
+    if not piece:
+        return _EMPTY | _BLANK
+    if piece == "\n":
+        return _OPEN | _LINE | _BLANK
+    out = 0 if piece[-1].isalnum() else _OPEN
+    if piece[0].isspace():
+        out |= _BLANK
+    if piece[-1].isspace() or out & _BLANK and piece[1].isspace():
+        out |= _ODD
+    return out | _MARK if piece[0] in ",." else out
+
+
 class _Known(dict):
     """Numbers of pieces; an unseen one is learned when it is asked for."""
 
-    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
-        self.ids_of, self.flat, self.begin = ids_of, array("i"), array("q", [0])
-        self.open, self.mark = array("b"), array("b")
+    def __init__(self, learn: Callable[[str], tuple[list[int], int]]) -> None:
+        self.learn, self.flat, self.begin, self.flags = learn, array("i"), array("q", [0]), array("b")
+        self.chars = 0
 
     def __missing__(self, piece: str) -> int:
-        self.flat.extend(self.ids_of(piece))
+        ids, flags = self.learn(piece)
+        self.flat.fromlist(ids)
         self.begin.append(len(self.flat))
-        # A mark is a pre-token of its own only behind a letter or digit; a cut before blanks may fall inside one.
-        self.open.append(2 if piece[:1] == " " and (len(piece) == 1 or piece[1].isspace()) else 0 if piece[-1:].isalnum() else 1)
-        self.mark.append(piece[:1] in (",", "."))
+        self.flags.append(flags)
+        self.chars += len(piece)
         number = self[piece] = len(self)
         return number
 
+    def odd(self, at: np.ndarray) -> np.ndarray:
+        """Which of the pieces, side by side, the cuts do not suit: a mark is a pre-token of its own behind a letter or digit only, and of several blanks the last one alone is cut off."""
+        f = np.frombuffer(self.flags, np.int8)[at]
+        out = f & _ODD > 0
+        out[1:] |= (f[:-1] & _OPEN > 0) & (f[1:] & _MARK > 0)
+        out[1:-1] |= (f[:-2] & _EMPTY > 0) & (f[1:-1] & _LINE > 0) & (f[2:] & _BLANK > 0)
+        return np.flatnonzero(out)
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces side by side, and where each piece's end."""
+        begin = np.frombuffer(self.begin, np.int64)
+        first = begin[at]
+        n = begin[at + 1] - first
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)] if ends[-1] else np.zeros(0, np.int32), ends
+
 
 class WordEncoder:
     """Ids of whole texts as numpy arrays, without special tokens around. Strings of added tokens get their ids as in the library where added is set, and are ordinary text otherwise."""
 
-    def __init__(self, path: str, pieces: int = 600_000, added: bool = False) -> None:
+    def __init__(self, path: str, pieces: int = 500_000, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,7 +94,8 @@ class WordEncoder:
         self.added = re.compile("|".join(names)) if names else None
         self.most = pieces
         self.letters = self._byte_letters()
-        self.known = _Known(self._ids)
+        self.blank = self.letters[ord(" ")]
+        self.known = _Known(self._learn)
 
     def _byte_letters(self) -> dict[int, str]:
         """The letter that stands for each byte, read off the pre-tokenizer itself."""
@@ -73,10 +107,13 @@ class WordEncoder:
                 table.update(zip(raw, shown, strict=True))
         return table
 
-    def _ids(self, piece: str) -> list[int]:
+    def _learn(self, piece: str) -> tuple[list[int], int]:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isascii() and word.isalpha():
+            return [x.id for x in self.merge(piece if word is piece else self.blank + word)], 0
         if _PLAIN.fullmatch(piece):
-            return [x.id for x in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
-        return [x.id for letters, _ in self.split(piece) for x in self.merge(letters)]
+            return [x.id for x in self.merge(piece.encode().decode("latin-1").translate(self.letters))], 0
+        return [x.id for letters, _ in self.split(piece) for x in self.merge(letters)], _flags(piece)
 
     def _numbers(self, pieces: list[list[str]]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
@@ -96,26 +133,19 @@ class WordEncoder:
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
             return []
-        if len(self.known) > self.most or len(self.known.flat) > 8 * self.most:
-            self.known = _Known(self._ids)
-        pieces = [x.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").split("\1") if x else [] for x in texts]
+        if len(self.known) > self.most or len(self.known.flat) > 8 * self.most or self.known.chars > 16 * self.most:
+            self.known = _Known(self._learn)
+        pieces = [x.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").replace("\n", "\1\n\1").split("\1") if x else [] for x in texts]
         at = self._numbers(pieces)
         edges = np.cumsum([0, *map(len, pieces)])
-        open_ = np.array(self.known.open, np.int8)[at]
-        odd = open_ == 2
-        odd[1:] |= (open_[:-1] > 0) & (np.array(self.known.mark, np.int8)[at[1:]] > 0)
-        again = [k for k in np.unique(np.searchsorted(edges, np.flatnonzero(odd), "right") - 1).tolist()]
+        again = np.unique(np.searchsorted(edges, self.known.odd(at), "right") - 1).tolist()
         again += [k for k, x in enumerate(texts) if x and "\1" in x]
         if again:  # texts that those cuts do not suit are cut before single blanks alone
             for k in again:
                 pieces[k] = _CUT.split(texts[k])
             at = self._numbers(pieces)
             edges = np.cumsum([0, *map(len, pieces)])
-        begin = np.array(self.known.begin, np.int64)
-        first = begin[at]
-        n = begin[at + 1] - first
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.array(self.known.flat, np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)]
+        ids, ends = self.known.ids(at)
         return np.split(ids, ends[edges[1:-1]])
 
 

@@ -64,12 +64,12 @@ def test_longest_matches():
     assert found[0][2] == [("q", 5, 1, 90)]
 
 
-ODD_TEXTS = ["", " ", "  ", "a  b", "a   b", "a \n b", "\n\n a", "it's we'll  x", "<|endoftext|> hi", "日本語 テスト  です", "a,b.c", "a ,b", "x .y", "..a", "a.,b", ".\nB", "\n,a", "a\x01b,c", "é é", "½ ² ٣,٤", "x\x85 y", "tab\t\t x \t"]
+ODD_TEXTS = ["", " ", "  ", "a  b", "a   b", "a \n b", "\n\n a", "it's we'll  x", "<|endoftext|> hi", "日本語 テスト  です", "a,b.c", "a ,b", "x .y", "..a", "a.,b", ".\nB", "\n,a", "a\x01b,c", "é é", "½ ² ٣,٤", "x\x85 y", "tab\t\t x \t", "a\n\nb", "a\n\n", "a\n", "\n", "\n\n\nb", "a\r\nb", "a\n b\n,c\n\n.d", "a\t\n\nb", "\n\tb\n\n\tc"]
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return WordEncoder(vocabulary_path(), pieces=50)
+    return WordEncoder(vocabulary_path(), pieces=50, added=True)
 
 
 @pytest.fixture(scope="module")
@@ -77,7 +77,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
