@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import permutations
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,33 +87,73 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
 
 
-def solve_frame(i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> list[tuple[int, int, float]]:
-    """Pairs (i, j, cost) of one frame: pairs without a cost are dearer than any with one, and are left out after."""
-    rows, ri = np.unique(i, return_inverse=True)
-    columns, cj = np.unique(j, return_inverse=True)
-    full = np.full((len(rows), len(columns)), np.nan)
-    full[ri, cj] = cost
-    solved = assignment(np.where(np.isnan(full), np.nanmax(full) + 1, full))
-    return [(int(rows[a]), int(columns[b]), float(full[a, b])) for a, b in solved if not np.isnan(full[a, b])]
+@cache
+def _choices(n: int, m: int) -> np.ndarray:
+    """All ways to give n rows different ones of m columns, in lexical order."""
+    return np.array(list(permutations(range(m), n)), np.int64).reshape(-1, n)
+
+
+def solve_stack(cost: np.ndarray) -> np.ndarray:
+    """Of a stack of matrices (k, n, m), n <= m, the column of each row in an assignment of least cost: all choices are summed up at once where they are few, and larger matrices are solved one by one."""
+    k, n, m = cost.shape
+    if n <= 4 and m <= 6:
+        choices = _choices(n, m)
+        totals = sum(cost[:, r][:, choices[:, r]] for r in range(n))
+        return choices[totals.argmin(axis=1)]
+    out = np.empty((k, n), np.int64)
+    for i, own in enumerate(cost):
+        out[i] = [c for _, c in assignment(own)]
+    return out
+
+
+def solve_frames(frame: np.ndarray, i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the pairs (frame, i, j, cost), sorted by frame, are matched: pairs that are not there are dearer than any of their frame, and never matched."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(frame)) + 1, [len(frame)]])
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each value's place among its frame's distinct ones, and how many those are."""
+        order = np.lexsort((x, owner))
+        new = np.ones(len(x), bool)
+        new[1:] = (x[order][1:] != x[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        rank = np.cumsum(new) - 1
+        first = rank[np.searchsorted(owner[order], np.arange(len(edges) - 1))]
+        out = np.empty(len(x), np.int64)
+        out[order] = rank - first[owner[order]]
+        return out, np.diff(np.concatenate([first, [rank[-1] + 1]]))
+
+    ri, n = places(i)
+    cj, m = places(j)
+    turned = n > m
+    ri, cj, n, m = np.where(turned[owner], cj, ri), np.where(turned[owner], ri, cj), np.minimum(n, m), np.maximum(n, m)
+    dearest = np.maximum.reduceat(cost, edges[:-1]) + 1
+    chosen = np.zeros(len(frame), bool)
+    for rows, columns in np.unique(np.stack([n, m], axis=1), axis=0).tolist():
+        frames = np.flatnonzero((n == rows) & (m == columns))
+        number = np.full(len(n), -1)
+        number[frames] = np.arange(len(frames))
+        own = np.flatnonzero(number[owner] >= 0)
+        full = np.repeat(dearest[frames], rows * columns).reshape(len(frames), rows, columns)
+        at = number[owner[own]]
+        full[at, ri[own], cj[own]] = cost[own]
+        chosen[own] = solve_stack(full)[at, ri[own]] == cj[own]
+    return chosen
 
 
 def hungarian_match(pairs: DataFrame, max_dist: float | None = None) -> DataFrame:
     """One-to-one matches (group_id, frame, i, j, cost) of least total cost in each frame, then those within max_dist.
 
-    Frames with one prediction or one label are settled by a minimum; the others go to the solver, many frames a call.
+    A frame's pairs meet by one shuffle on (group_id, bucket of frames); the solver takes all of a bucket's frames of one shape at once.
     """
-    sized = pairs.groupBy(*FRAME).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).withColumn("single", (F.col("i0") == F.col("i1")) | (F.col("j0") == F.col("j1"))).select(*FRAME, "single")
-    marked = pairs.join(sized, FRAME)
-    single = marked.where("single").groupBy(*FRAME).agg(F.min_by(F.struct("i", "j", "cost"), F.struct("cost", "i", "j")).alias("m")).select(*FRAME, "m.*")
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(g, f, *m) for (g, f), own in rows.groupby(["group_id", "frame"], sort=False) for m in solve_frame(own.i.to_numpy(), own.j.to_numpy(), own.cost.to_numpy())]
-        return pd.DataFrame(out, columns=["group_id", "frame", "i", "j", "cost"])
-
-    several = marked.where("not single").select(*FRAME, F.col("i").cast("int"), F.col("j").cast("int"), "cost", F.floor(F.col("frame") / BUCKET_FRAMES).alias("bucket"))
-    solved = several.groupBy("group_id", "bucket").applyInPandas(solve, "group_id string, frame int, i int, j int, cost double")
-    both = single.select(*FRAME, F.col("i").cast("int"), F.col("j").cast("int"), "cost").unionByName(solved)
-    return both if max_dist is None else both.where(F.col("cost") <= max_dist)
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("frame", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        return table.filter(pa.array(solve_frames(*(table[c].to_numpy() for c in ("frame", "i", "j", "cost"))))).select(["group_id", "frame", "i", "j", "cost"])
+
+    own = pairs.where("cost is not null and not isnan(cost)").select(*FRAME, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("cost").cast("double").alias("cost"), F.floor(F.col("frame") / BUCKET_FRAMES).alias("bucket"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    solved = own.groupBy("group_id", "bucket").applyInArrow(solve, f"group_id {kinds['group_id']}, frame {kinds['frame']}, i int, j int, cost double")
+    return solved if max_dist is None else solved.where(F.col("cost") <= max_dist)
 
 
 def rank_detections(dets: DataFrame, k: int) -> DataFrame:

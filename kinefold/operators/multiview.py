@@ -35,6 +35,14 @@ class Rig(NamedTuple):
         a = lambda f: np.array([f(r) for r in rows], float)
         return cls([r.camera for r in rows], a(lambda r: [r.fx, r.fy]), a(lambda r: [r.cx, r.cy]), a(lambda r: r.rotation).reshape(-1, 3, 3), a(lambda r: r.translation), a(lambda r: r.distortion), a(lambda r: [r.offset_x, r.offset_y]))
 
+    def moved(self, cams: np.ndarray, rotations: list, translations: list) -> Rig:
+        """The rig with some cameras in other places: of each camera number its rotation (9 numbers) and translation, or None where it stays."""
+        rotation, translation = self.rotation.copy(), self.translation.copy()
+        for c, r, t in zip(cams, rotations, translations, strict=True):
+            if r is not None and t is not None:
+                rotation[c], translation[c] = np.asarray(r, float).reshape(3, 3), np.asarray(t, float)
+        return self._replace(rotation=rotation, translation=translation)
+
     def project(self, points: np.ndarray, cams: np.ndarray) -> np.ndarray:
         """Pixels of points (n, 3) in cameras (n); NaN behind them."""
         p = np.einsum("nij,nj->ni", self.rotation[cams], points) + self.translation[cams]
@@ -161,15 +169,15 @@ class View(NamedTuple):
     centres: np.ndarray
 
 
-def associate(rig: Rig, view: View, max_res: float, min_views: int = 2, max_n: int = 0, free: np.ndarray | None = None) -> list[tuple[np.ndarray, float, list[int]]]:
+def associate(rig: Rig, view: View, max_res: float, min_views: int = 2, max_n: int = 0, free: np.ndarray | None = None, corroborate: bool = True) -> list[tuple[np.ndarray, float, list[int]]]:
     """Detections of one frame as instances (point, residual, members).
 
     Every pair of detections in two cameras is a candidate, solved at once. Candidates that more of the other
-    cameras support come first, then those of a smaller residual; each takes the nearest free detection of every other camera
-    and stays if its refitted residual is within the gate. With min_views 1 what is left over becomes an instance without a point.
+    cameras support come first (unless corroborate is off), then those of a smaller residual; each takes the nearest free detection of every other camera
+    and stays if its refitted residual is within the gate. With min_views 1 what is left over becomes an instance without a point. Detections without a centre are never used.
     """
     n = len(view.cams)
-    free = np.ones(n, bool) if free is None else free.copy()
+    free = (np.ones(n, bool) if free is None else free) & np.isfinite(view.centres).all(axis=1)
     here = np.flatnonzero(free)
     a, b = (x.ravel() for x in np.meshgrid(here, here, indexing="ij"))
     pair = view.cams[a] < view.cams[b]
@@ -191,7 +199,7 @@ def associate(rig: Rig, view: View, max_res: float, min_views: int = 2, max_n: i
         near = (far < max_res) & free[None]
         near &= (view.cams[None] != view.cams[two[:, :1]]) & (view.cams[None] != view.cams[two[:, 1:]])
         support = np.array([len(np.unique(view.cams[row])) for row in near], int) if len(two) else np.zeros(0, int)
-        for k in np.lexsort((np.arange(len(two)), res, -support)):
+        for k in np.lexsort((np.arange(len(two)), res, -support if corroborate else np.zeros(len(two)))):
             if not free[two[k]].all():
                 continue
             members = {int(view.cams[d]): int(d) for d in two[k]}
@@ -217,19 +225,25 @@ def associate(rig: Rig, view: View, max_res: float, min_views: int = 2, max_n: i
     return out
 
 
-def associate_frames(dets: DataFrame, rig: Rig, max_res: float, min_views: int = 2, bucket: int = 512) -> DataFrame:
-    """Detections (group_id, frame, camera, det, cx, cy) as rows (group_id, frame, instance, x, y, z, residual, camera, det)."""
+def associate_frames(dets: DataFrame, rig: Rig, max_res: float, min_views: int = 2, bucket: int = 512, *, max_n: int = 0, corroborate: bool = True, poses: DataFrame | None = None) -> DataFrame:
+    """Detections (group_id, frame, camera, det, cx, cy) as rows (group_id, frame, instance, x, y, z, residual, camera, det).
+
+    poses (group_id, frame, camera, rotation[9], translation[3]) moves the rig: in frames that it names a camera
+    stands there, in others where the rig has it. At most max_n instances a frame, if that is not 0.
+    """
     number = {c: k for k, c in enumerate(rig.names)}
+    moving = poses is not None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (g, f), own in rows.sort_values(["camera", "det"]).groupby(["group_id", "frame"], sort=True):
-            view = View(own.camera.map(number).to_numpy(), own[["cx", "cy"]].to_numpy(float))
-            for k, (p, res, members) in enumerate(associate(rig, view, max_res, min_views)):
+            cams = own.camera.map(number).to_numpy()
+            here = rig.moved(cams, own.rotation.tolist(), own.translation.tolist()) if moving else rig
+            for k, (p, res, members) in enumerate(associate(here, View(cams, own[["cx", "cy"]].to_numpy(float)), max_res, min_views, max_n, corroborate=corroborate)):
                 out += [(g, f, k, *p, res, own.camera.iloc[d], own.det.iloc[d]) for d in members]
         return pd.DataFrame(out, columns=["group_id", "frame", "instance", "x", "y", "z", "residual", "camera", "det"])
 
     own = dets.select("group_id", "frame", "camera", F.col("det").cast("int").alias("det"), "cx", "cy", F.floor(F.col("frame") / bucket).alias("bucket"))
+    if moving:
+        own = own.join(poses.select("group_id", "frame", "camera", "rotation", "translation"), ["group_id", "frame", "camera"], "left")
     return own.groupBy("group_id", "bucket").applyInPandas(solve, "group_id string, frame int, instance int, x double, y double, z double, residual double, camera string, det int")
-
-

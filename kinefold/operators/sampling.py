@@ -9,9 +9,23 @@ from kinefold.functions.geometry import Box, Letterbox, overlaps
 from kinefold.functions.random import draw_sql
 from kinefold.operators.filters import FRAME
 from kinefold.operators.joins import distance
+from kinefold.sources.tables import materialize
 
-def _all():
-    return Window.partitionBy()
+#: Frames of a clip in one row of the dense arrays.
+BLOCK_FRAMES = 512
+
+
+def with_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
+    """rows with aggregates over the rows of the same keys (over all rows without any). The groups, which are few, are totalled by a partial aggregation and broadcast: no window moves the rows."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(rows.agg(*(c.alias(n) for n, c in totals.items()))))
+    mine = [f"_{k}" for k in keys]
+    sums = rows.groupBy(*(F.col(k).alias(m) for k, m in zip(keys, mine, strict=True))).agg(*(c.alias(n) for n, c in totals.items()))
+    same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine, strict=True)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return rows.join(F.broadcast(sums), on).drop(*mine)
 
 
 GROUP = "CAST(substr(group_id, 2) AS BIGINT)"
@@ -27,9 +41,10 @@ def pool_weights(index: DataFrame, annot_frac: float | None, mode_3d_frac: float
     for v in (annot_frac, mode_3d_frac):
         if v is not None and not 0 <= v <= 1:
             raise ValueError(f"share {v}")
-    n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    kinds = lambda column, *keys: F.size(F.collect_set(column).over(Window.partitionBy(*keys)))
-    own = index.withColumns({"n_all": n(), "n_source": n("label_source"), "n_cell": n("label_source", "mode"), "sources": kinds("label_source"), "modes": kinds("mode", "label_source")})
+    n = F.count(F.lit(1))
+    own = with_totals(index, [], n_all=n, sources=F.count_distinct("label_source"))
+    own = with_totals(own, ["label_source"], n_source=n, modes=F.count_distinct("mode"))
+    own = with_totals(own, ["label_source", "mode"], n_cell=n)
     source = F.col("n_source") / F.col("n_all")
     if annot_frac is not None:
         wanted = F.when(F.col("label_source") == "annotated", annot_frac).otherwise(1 - annot_frac)
@@ -43,21 +58,25 @@ def pool_weights(index: DataFrame, annot_frac: float | None, mode_3d_frac: float
 
 def mix(weighted: DataFrame, *keys: str) -> DataFrame:
     """Realised share of each cell."""
-    return weighted.groupBy(*keys).agg(F.sum("w").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(_all())).drop("w")
+    return with_totals(weighted.groupBy(*keys).agg(F.sum("w").alias("w")), [], _whole=F.sum("w")).withColumn("share", F.col("w") / F.col("_whole")).drop("w", "_whole")
+
 
+def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], shard_rows: int = 4096) -> DataFrame:
+    """n draws with replacement. Entries are dealt by a hash into shards of about so many, whose totals lay out the line from 0 to 1; a draw falls into a shard by the shards' bounds, and to its entry by an equality of finer buckets inside the shard.
 
-def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], buckets: int = 64) -> DataFrame:
-    """n draws with replacement. The cumulative weights are cut into buckets, so that a draw meets its entry by an equality of buckets; entry totals are summed per shard first, then within it."""
-    shard = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    own = weighted.withColumn("shard", shard)
+    Only shard totals (one in shard_rows entries) are ordered together and broadcast.
+    """
+    shards = max(1, -(-weighted.count() // shard_rows))
+    own = weighted.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)))
     totals = own.groupBy("shard").agg(F.sum("w").alias("total"))
-    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("whole", F.sum("total").over(_all()))
-    own = own.join(F.broadcast(before.select("shard", "before", "whole")), "shard")
-    w = Window.partitionBy("shard").orderBy(*order)
-    upto = F.col("before") + F.sum("w").over(w)
+    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    bounds = with_totals(before, [], whole=F.sum("total"))
+    own = own.join(F.broadcast(bounds.select("shard", "before", "whole")), "shard")
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy("shard").orderBy(*order))
     own = own.withColumn("hi", upto / F.col("whole")).withColumn("lo", (upto - F.col("w")) / F.col("whole"))
-    spread = F.sequence(F.floor(F.col("lo") * buckets), F.floor(F.col("hi") * buckets))
-    spans = own.select(*order, "lo", "hi", F.explode(spread).alias("bucket"))
+    # As many buckets as there may be entries: an entry and a draw meet in one of them.
+    buckets = shards * shard_rows
+    spans = own.select(*order, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.floor(F.col("hi") * buckets))).alias("bucket"))
     u = F.expr(draw_sql(seed, "draw"))
     draws = weighted.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("u", u).withColumn("bucket", F.floor(F.col("u") * buckets))
     return draws.join(spans, "bucket").where("u >= lo and u < hi").select("draw", *order)
@@ -65,17 +84,15 @@ def weighted_draw(weighted: DataFrame, n: int, seed: int, order: list[str], buck
 
 def balance_datasets(index: DataFrame, dataset: str) -> DataFrame:
     """Uniform over datasets, then within each."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(dataset))
-    k = F.size(F.collect_set(dataset).over(_all()))
-    return index.withColumn("w", F.lit(1.0) / (n * k))
+    own = with_totals(with_totals(index, [dataset], _n=F.count(F.lit(1))), [], _k=F.count_distinct(dataset))
+    return own.withColumn("w", F.lit(1.0) / (F.col("_n") * F.col("_k"))).drop("_n", "_k")
 
 
 def cohort_weights(index: DataFrame, annot_frac: float) -> DataFrame:
     """Weights that give annotated entries a total; null with one cohort."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("label_source"))
-    two = F.size(F.collect_set("label_source").over(_all())) > 1
+    own = with_totals(with_totals(index, ["label_source"], _n=F.count(F.lit(1))), [], _kinds=F.count_distinct("label_source"))
     share = F.when(F.col("label_source") == "annotated", annot_frac).otherwise(1 - annot_frac)
-    return index.withColumn("w", F.when(two, share / n))
+    return own.withColumn("w", F.when(F.col("_kinds") > 1, share / F.col("_n"))).drop("_n", "_kinds")
 
 
 def alpha_weights(index: DataFrame, alpha: float, group: str = "group_id") -> DataFrame:
@@ -85,23 +102,21 @@ def alpha_weights(index: DataFrame, alpha: float, group: str = "group_id") -> Da
 
 def negative_weights(index: DataFrame, frac: float, negative: str = "negative") -> DataFrame:
     """Weights that give negatives a total of frac."""
-    counts = index.groupBy(F.col(negative).alias("_negative")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = index.join(F.broadcast(counts), F.col(negative).eqNullSafe(F.col("_negative")))
-    return counted.withColumn("w", F.when(F.col(negative), frac).otherwise(1 - frac) / F.col("_n")).drop("_negative", "_n")
+    own = with_totals(index, [negative], _n=F.count(F.lit(1)))
+    return own.withColumn("w", F.when(F.col(negative), frac).otherwise(1 - frac) / F.col("_n")).drop("_n")
 
 
 def combine_weights(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Products of two weights of the same entries, summing to 1."""
     joined = a.select(*keys, F.col("w").alias("wa")).join(b.select(*keys, F.col("w").alias("wb")), keys)
-    total = F.broadcast(joined.agg(F.sum(F.col("wa") * F.col("wb")).alias("_total")))
-    return joined.crossJoin(total).select(*keys, (F.col("wa") * F.col("wb") / F.col("_total")).alias("w"))
+    return with_totals(joined, [], _total=F.sum(F.col("wa") * F.col("wb"))).select(*keys, (F.col("wa") * F.col("wb") / F.col("_total")).alias("w"))
 
 
 def absent_negatives(instances: DataFrame) -> DataFrame:
     """Views in which every animal of the clip is absent."""
     animals = instances.groupBy("group_id").agg(F.countDistinct("animal").alias("n_animals"))
     views = instances.groupBy(*FRAME, "camera").agg(F.bool_and(F.col("status") == "absent").alias("all_absent"), F.countDistinct("animal").alias("n"))
-    return views.where("all_absent").join(F.broadcast(animals), "group_id").where("n = n_animals").select(*FRAME, "camera")
+    return views.where("all_absent").join(animals, "group_id").where("n = n_animals").select(*FRAME, "camera")
 
 
 def crop_negatives(views: DataFrame, known: DataFrame, certified: DataFrame, side: float, seed: int, tries: int = 12, margin: float = 2.5) -> DataFrame:
@@ -203,12 +218,21 @@ def corrupt_noise(points: DataFrame, sigma: float, seed: int, *, per_item: bool
     return points.withColumns({c: F.col(c) + _normal(seed + 10 * k, *more) * sigma for k, c in enumerate(("x", "y"))})
 
 
+def numbered(rows: DataFrame, order: list[str | Column], out: str, start: int = 0) -> DataFrame:
+    """rows with their place in an order, from start: ranges of the order are sorted each on its own, and only the ranges' sizes are added up together."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    own = materialize(own, "numbered")
+    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return own.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at") + start).drop("_part", "_at", "_before")
+
+
 def block_shuffle(index: DataFrame, order: list[str], chunk: int, pool: int, seed: int) -> DataFrame:
     """An order that keeps neighbours near: chunks are shuffled, then entries inside pools of chunks. position is the place in it."""
-    numbered = index.withColumn("row", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("chunk", F.floor(F.col("row") / chunk))
-    ranked = numbered.withColumn("chunk_rank", F.dense_rank().over(Window.orderBy(F.expr(draw_sql(seed, "chunk")), "chunk")) - 1)
-    pooled = ranked.withColumn("pool", F.floor(F.col("chunk_rank") / pool))
-    return pooled.withColumn("position", F.row_number().over(Window.orderBy("pool", F.expr(draw_sql(seed + 1, "row")), "row")) - 1).select(*order, "position")
+    rows = numbered(index.select(*order), order, "row").withColumn("chunk", F.floor(F.col("row") / chunk))
+    ranks = numbered(rows.select("chunk").distinct(), [F.expr(draw_sql(seed, "chunk")), "chunk"], "chunk_rank")
+    pooled = rows.join(ranks, "chunk").withColumn("pool", F.floor(F.col("chunk_rank") / pool))
+    return numbered(pooled, ["pool", F.expr(draw_sql(seed + 1, "row")), "row"], "position").select(*order, F.col("position").cast("int").alias("position"))
 
 
 def refined_box_or_fallback(views: DataFrame) -> DataFrame:
@@ -226,13 +250,24 @@ def oracle_corrupt_near(points: DataFrame, neighbours: DataFrame, share: float)
     return own.withColumns({c: F.coalesce(F.col(c) + (F.col(f"n{c}") - F.col(c)) * share, F.col(c)) for c in ("x", "y")}).drop("nx", "ny")
 
 
-def densify(points: DataFrame, bodyparts: list[str], keys: tuple[str, ...] = ("group_id", "animal")) -> DataFrame:
-    """Nested arrays by frame and bodypart, with nulls where nothing is: pose[t][k] = (x, y). Frames run to the clip's last; one row is one animal's clip."""
+def densify(points: DataFrame, bodyparts: list[str], keys: tuple[str, ...] = ("group_id", "animal"), block: int = BLOCK_FRAMES) -> DataFrame:
+    """Nested arrays by frame and bodypart, a row for each animal and block of frames: pose[t][k] = (x, y), nulls where nothing is. Frames run from 0 to the clip's last; a block begins at frame t0, and one without any point is there too.
+
+    An animal's frames that are there are sorted inside their block, and the gaps before each and behind the last are filled with repeated nulls: one pass, no look-up.
+    """
+    none = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
     pose = points.groupBy(*keys, "frame").agg(*(F.max(F.when(F.col("bodypart") == b, F.struct("x", "y"))).alias(f"b{k}") for k, b in enumerate(bodyparts)))
-    framed = pose.select(*keys, "frame", F.array(*(F.coalesce(F.col(f"b{k}"), F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))) for k in range(len(bodyparts)))).alias("row"))
-    last = framed.groupBy(keys[0]).agg(F.max("frame").alias("last"))
-    folded = framed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("frame", "row"))).alias("rows")).join(last, keys[0])
-    return folded.select(*keys, F.transform(F.sequence(F.lit(0), F.col("last")), lambda t: F.try_element_at("rows", t)).alias("pose"))
+    t0 = (F.floor(F.col("frame") / block) * block).cast("int")
+    framed = pose.select(*keys, t0.alias("t0"), F.struct((F.col("frame") - t0).alias("t"), F.array(*(F.coalesce(F.col(f"b{k}"), none) for k in range(len(bodyparts)))).alias("row")).alias("r"))
+    own = framed.groupBy(*keys, "t0").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    last = points.groupBy(keys[0]).agg(F.max("frame").alias("last"))
+    blocks = points.select(*keys).distinct().join(last, keys[0]).select(*keys, "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block))).alias("t0"))
+    whole = blocks.join(own, [*keys, "t0"], "left").withColumn("size", F.least(F.lit(block), F.col("last") + 1 - F.col("t0")).cast("int"))
+    rows = F.coalesce("rows", F.array())
+    before = F.concat(F.array(F.lit(-1)), F.transform(rows, lambda r: r["t"]))
+    nothing = F.lit(None).cast("array<struct<x:double,y:double>>")
+    filled = F.flatten(F.zip_with(rows, F.slice(before, F.lit(1), F.size(rows)), lambda r, p: F.concat(F.array_repeat(nothing, r["t"] - p - 1), F.array(r["row"]))))
+    return whole.select(*keys, "t0", F.concat(filled, F.array_repeat(nothing, F.col("size") - 1 - F.element_at(before, -1))).alias("pose"))
 
 
 def stale_distance(points: DataFrame) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinefold.operators.sampling import numbered
+
 
 def union_axis(sessions: DataFrame) -> DataFrame:
     """All names in first-seen order: sessions (session_order, names array)."""
@@ -111,11 +113,9 @@ def left_right_pairs(names: Column) -> Column:
 
 def registry_build(names: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Append-only ids of (dataset, name): names of the base keep theirs, others follow in order; with several datasets names carry the dataset before them."""
-    several = F.size(F.collect_set("dataset").over(Window.partitionBy())) > 1
-    full = names.select("dataset", "name").distinct().withColumn("name", F.when(several, F.concat_ws("-", "dataset", "name")).otherwise(F.col("name")))
     spark = names.sparkSession
     base = base if base is not None else spark.createDataFrame([], "dataset string, name string, kpt_id int")
-    top = base.agg(F.coalesce(F.max("kpt_id"), F.lit(-1)).alias("top"))
-    new = full.join(base, ["dataset", "name"], "left_anti").crossJoin(F.broadcast(top))
-    numbered = new.withColumn("kpt_id", (F.col("top") + F.row_number().over(Window.orderBy("dataset", "name"))).cast("int"))
-    return base.select("dataset", "name", "kpt_id").unionByName(numbered.select("dataset", "name", "kpt_id"))
+    facts = names.agg((F.count_distinct("dataset") > 1).alias("several")).crossJoin(base.agg(F.coalesce(F.max("kpt_id"), F.lit(-1)).alias("top")))
+    full = names.select("dataset", "name").distinct().crossJoin(F.broadcast(facts)).withColumn("name", F.when(F.col("several"), F.concat_ws("-", "dataset", "name")).otherwise(F.col("name")))
+    new = numbered(full.join(base, ["dataset", "name"], "left_anti"), ["dataset", "name"], "place", 1)
+    return base.select("dataset", "name", "kpt_id").unionByName(new.select("dataset", "name", (F.col("top") + F.col("place")).cast("int").alias("kpt_id")))

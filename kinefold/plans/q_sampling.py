@@ -319,5 +319,6 @@ def tr24_refined_box_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dn1_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed up again from the nested arrays."""
     dense = t.densify(fixture(spark, sf_dir, "truth"), ["nose", "ear_l", "ear_r", "tail"])
-    each = dense.select("group_id", "animal", F.size("pose").alias("n_frames"), F.explode(F.flatten(F.filter("pose", lambda r: r.isNotNull()))).alias("p"))
-    return rounded(each.groupBy("group_id", "animal").agg(F.first("n_frames").alias("n_frames"), F.sum("p.x").alias("sum_x"), F.count("p.x").alias("n")))
+    here = F.flatten(F.filter("pose", lambda r: r.isNotNull()))
+    each = dense.select("group_id", "animal", F.size("pose").alias("n_frames"), F.aggregate(here, F.lit(0.0), lambda s, p: s + F.coalesce(p["x"], F.lit(0.0))).alias("sum_x"), F.size(F.filter(here, lambda p: p["x"].isNotNull())).alias("n"))
+    return rounded(each.groupBy("group_id", "animal").agg(F.sum("n_frames").cast("int").alias("n_frames"), F.sum("sum_x").alias("sum_x"), F.sum("n").alias("n")))

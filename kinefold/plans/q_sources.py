@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from kinefold.plans.fixtures import ctes, fixture, table
 from kinefold.plans.q_joins import predictions
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.registry import query
+from kinefold.sources.tables import shared_path
 from kinefold.sources import readers as rd
 from kinefold.sources import writers as wr
 
@@ -21,11 +21,7 @@ NAMES = ["nose", "ear_l", "ear_r", "tail"]
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one."""
-    import uuid
-
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    return f"{(shared or tempfile.mkdtemp(prefix='kinefold-')).rstrip('/')}/kinefold-{uuid.uuid4().hex}"
+    return shared_path(spark)
 
 
 def _split(df: DataFrame) -> DataFrame:
