@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 import zlib
@@ -27,10 +28,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset and everything runs in one process (tests)."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kinefold-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -44,7 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it is computed once, its lineage ends, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -61,6 +73,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def add_column(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with one more column under a name that is free: nothing that is there is overwritten."""
+    return df.withColumn(free_name(df, name), column)
+
+
 def per_batch(make: Callable[[], Callable[..., pa.Array]], returns: T.DataType) -> Callable[..., Column]:
     """A column function from make(), which builds in each task a function from Arrow arrays to one Arrow array of as many values."""
     from pyspark.sql.functions import arrow_udf
@@ -115,6 +132,26 @@ def chunks(offsets: np.ndarray, nbytes: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+#: Rows of one key beyond which its row of the other side is broadcast: one in so many rows of the left side at most.
+SPREAD_ROWS = 50_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: str, spread: str) -> DataFrame:
+    """Inner join of left with right, which has one row per key and in column rows how many of left have that key.
+
+    Keys of more than SPREAD_ROWS rows are broadcast (there is at most one in SPREAD_ROWS rows of left), and
+    their rows are dealt by a hash of the column spread instead of the key, so that no task gets a whole hot key.
+    """
+    others = [c for c in right.columns if c not in (key, rows)]
+    hot = right.where(F.col(rows) > SPREAD_ROWS).select(F.col(key).alias("_hot"), F.struct(*others).alias("_given"))
+    deal = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0)
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_deal", deal)
+    rest = right.where(F.col(rows) <= SPREAD_ROWS).select(F.col(key).alias("_key"), F.struct(*others).alias("_found"), F.lit(0).cast("long").alias("_zero"))
+    joined = dealt.join(rest, (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_zero")), "left")
+    whole = joined.withColumn("_all", F.coalesce("_given", "_found")).where("_all is not null")
+    return whole.select(*left.columns, *(F.col(f"_all.{c}").alias(c) for c in others))
+
+
 def crc_fold(column: Column, folds: int) -> Column:
     """crc32 of the id's text, modulo folds: which rows a classifier may learn from."""
     return F.crc32(column.cast("string")) % folds
@@ -125,6 +162,17 @@ def crc32_of(values: np.ndarray) -> int:
 
 
 def hash_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
-    """At most limit rows, those of the smallest hash of key: the same on every run. For fitting models only."""
+    """At most limit rows, those of the smallest hash of key: the same on every run. For fitting models only.
+
+    Rows whose hash lies beyond what about 1.3 limit rows have are left out before the sort, so that what reaches
+    the driver or the last task follows the limit and not the number of partitions; all rows are sorted
+    in the rare case that too few were left.
+    """
     h = free_name(df, "_order")
-    return df.withColumn(h, F.xxhash64(F.lit(seed), F.col(key))).orderBy(h, key).limit(limit).drop(h)
+    hashed = df.withColumn(h, F.xxhash64(F.lit(seed), F.col(key)))
+    n = df.count()
+    if n > 2 * limit:
+        share = (1.3 * limit + 50) / n
+        below = hashed.where(F.col(h) < F.lit(int(-(2**63) + share * 2**64)))
+        hashed = below if below.count() >= limit else hashed
+    return hashed.orderBy(h, key).limit(limit).drop(h)

@@ -1,13 +1,16 @@
 """Main text of web pages by consensus paths of a host.
 
 Each page's containers are scored by the running text that they hold. A container's path, its tags
-and classes from the root with numbers generalised, is the page's vote; Spark adds up the votes for each host,
-and every page is extracted again from the containers that have the host's winning path. A page that has
-none of them keeps its own best container.
+and classes from the root with numbers generalised, is the page's vote for as much as its containers
+scored; Spark adds up all votes of each host, and every page is extracted again from the containers that
+have the host's winning path. A page that has none of them keeps its own best container. A path is
+kept as a 64-bit hash of its parent's and its own label, so that time and memory follow the length of
+a page and not the depth of its elements.
 
 Defined cases: a null or empty page gives an empty text; a url without a host votes with all
 others like it; broken markup is read as browsers would, roughly: unknown ends are ignored and open
-elements closed by their parents; ties go to the longer, then the first path.
+elements closed by their parents; ties go to the longer path, then to the greater hash; equal rows get equal
+texts; the output is named text, with underscores behind it where pages has such a column.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, per_batch, per_batches
+from kinefold.llm.common import bound_batches, free_name, materialize, per_batch, per_batches
 
 #: Hosts whose winning paths may be broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
-VOTES = 3
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Names of elements by what they do to the text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
@@ -39,38 +41,62 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "
 _KEPT = frozenset("html body article main".split())
 # Parts of class names and ids of what is not the article.
 _SIDE = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert promo promoted sponsor sponsored comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar skip".split())
+# Parts that say nothing of what an element is; a name made of these and the former alone is not the article's.
+_PLAIN = frozenset("area bar block body box col column container content div group holder inner item items left line links list main outer panel right row section text title top bottom unit wrap wrapper".split())
+# Elements of running text, which inside an article are kept whatever their names say.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th b i em strong span a code q cite figure figcaption".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NUMBERS = re.compile(r"[0-9]+")
 
 
 class _Node:
-    __slots__ = ("name", "path", "score", "dropped", "parent", "links", "chars")
+    __slots__ = ("name", "path", "depth", "score", "dropped", "parent", "box", "links", "inside", "article", "p", "at")
 
-    def __init__(self, name: str, path: str, dropped: bool, parent: _Node | None) -> None:
-        self.name, self.path, self.dropped, self.parent = name, path, dropped, parent
-        self.score, self.links, self.chars = 0.0, 0, 0
+    def __init__(self, name: str, path: int, dropped: bool, parent: _Node | None, at: int) -> None:
+        self.name, self.path, self.dropped, self.parent, self.at = name, path, dropped, parent, at
+        self.score, self.links = 0.0, 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = False
+        self.article = name in ("article", "main") or parent is not None and parent.article
+        #: The container around the text of this element, and where an open paragraph stands in the stack.
+        self.box = self if name in _CONTAINER else parent.box if parent else None
+        self.p = at if name == "p" else -1 if parent is None or name in _CONTAINER or name in ("td", "th") else parent.p
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _is_side(name: str, attributes: dict[str, str], raw: str) -> bool:
+def _is_side(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     if name in _KEPT:
         return False
     if name in _DROPPED or attributes.get("aria-hidden") == "true" or attributes.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert"):
         return True
-    if re.search(r"(?<![\w-])hidden(?![\w-])", raw) and "=" not in raw or "display:none" in attributes.get("style", "").replace(" ", ""):
+    if "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    return any(p.lower() in _SIDE for key in ("class", "id") for p in _PARTS.findall(attributes.get(key, "")))
+    if in_article and name in _TEXT:
+        return False
+    for key in ("class", "id"):
+        for token in attributes.get(key, "").split():
+            parts = {x.lower() for x in _PARTS.findall(token)}
+            if parts & _SIDE and parts <= _SIDE | _PLAIN:
+                return True
+    return False
+
+
+def _path(above: int, label: str) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), seed=above)
 
-def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
-    """The blocks of kept text with the element each is in, in page order, and all containers."""
+
+def read_page(html: str, wanted: int | None = None) -> tuple[list[tuple[str, _Node]], list[_Node]]:
+    """The blocks of kept text with the element each is in, in page order, and all containers; elements in a container of the wanted path are marked."""
     blocks: list[tuple[str, _Node]] = []
     containers: list[_Node] = []
-    root = _Node("", "", False, None)
+    root = _Node("", 0, False, None, 0)
     stack = [root]
+    opened: dict[str, int] = {}
     buffer: list[str] = []
     in_link = 0
 
@@ -85,6 +111,7 @@ def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
         nonlocal in_link
         for node in stack[k:]:
             in_link -= node.name == "a"
+            opened[node.name] -= 1
         if any(node.name in _BLOCK for node in stack[k:]):
             flush()
         del stack[k:]
@@ -122,7 +149,7 @@ def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
         at = tag.end()
         close, name, raw = tag[1], tag[2].lower(), tag[3]
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                 if stack[k].name == name:
                     pop_to(k)
                     break
@@ -138,19 +165,15 @@ def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
             if name not in ("svg", "math", "object", "select", "iframe") or end:
                 at = end.end() if end else n
             continue
-        if name in _CLOSES_P:
+        if name in _CLOSES_P and stack[-1].p >= 0:
+            pop_to(stack[-1].p)
+        if any(opened.get(x) for x in _SAME.get(name, ())):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
+                if stack[k].name in _SAME[name]:
                     pop_to(k)
                     break
-                if stack[k].name in _CONTAINER or stack[k].name in ("td", "th"):
+                if stack[k].name in ("ul", "ol", "dl", "table", "select"):
                     break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in _SAME.get(name, ()):
-                pop_to(k)
-                break
-            if stack[k].name in ("ul", "ol", "dl", "table", "select") or name not in _SAME:
-                break
         if name in _BLOCK:
             flush()
         attributes = _attributes(raw)
@@ -158,9 +181,11 @@ def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
         label = name
         if attributes.get("class"):
             label += "." + ".".join(sorted(_NUMBERS.sub("#", c) for c in set(attributes["class"].split())))
-        node = _Node(name, f"{above.path}>{label}" if above.path else label, above.dropped or _is_side(name, attributes, raw), above)
+        node = _Node(name, _path(above.path, label), above.dropped or _is_side(name, attributes, above.article), above, len(stack))
+        node.inside = above.inside or wanted is not None and node.path == wanted and name in _CONTAINER and not node.dropped
         if not raw.rstrip().endswith("/") or name in _BLOCK:
             stack.append(node)
+            opened[name] = opened.get(name, 0) + 1
             in_link += name == "a"
         if name in _CONTAINER and not node.dropped:
             containers.append(node)
@@ -169,59 +194,56 @@ def read_page(html: str) -> tuple[list[tuple[str, _Node]], list[_Node]]:
 
 
 def _score(blocks: list[tuple[str, _Node]]) -> None:
-    """A block of running text counts for the container around it, and half for the next one out."""
+    """A block of running text counts for the container around it, half for the next one out, and a quarter for the one after."""
     for text, node in blocks:
-        own: _Node | None = node
-        while own is not None and own.name not in _CONTAINER:
-            own = own.parent
         worth = 1 + text.count(",") * 0.2 + min(len(text) / 100, 3) if len(text) >= 20 else 0.1
         worth *= max(0.0, 1 - node.links / (len(text) + 1))
+        own = node.box
         for share in (1.0, 0.5, 0.25):
             if own is None:
                 break
             own.score += worth * share
-            own.chars += len(text)
-            own = own.parent
-            while own is not None and own.name not in _CONTAINER:
-                own = own.parent
+            own = own.parent.box if own.parent else None
 
 
 def votes_of(html: str | None) -> list[dict]:
-    """The best containers' paths with their shares of the page's scores."""
+    """The containers' paths with their shares of the page's scores."""
     blocks, containers = read_page(html or "")
     _score(blocks)
-    by_path: dict[str, float] = {}
+    by_path: dict[int, list] = {}
     for c in containers:
         if c.score > 0:
-            by_path[c.path] = by_path.get(c.path, 0.0) + c.score
-    total = sum(by_path.values())
-    best = sorted(by_path, key=lambda p: (-by_path[p], -len(p), p))[:VOTES]
-    return [{"path": p, "score": by_path[p] / total} for p in best]
+            by_path.setdefault(c.path, [0.0, c.depth])[0] += c.score
+    total = sum(score for score, _ in by_path.values())
+    return [{"path": p - 2**63, "depth": depth, "score": score / total} for p, (score, depth) in by_path.items()]
 
 
-def text_at(html: str | None, path: str | None) -> str:
+def text_at(html: str | None, path: int | None) -> str:
     """The text of the containers at a path, or of the page's best one where there are none."""
-    blocks, containers = read_page(html or "")
-    chosen = {id(c) for c in containers if c.path == path}
-
-    def inside(node: _Node | None) -> bool:
-        while node is not None:
-            if id(node) in chosen:
-                return True
-            node = node.parent
-        return False
-
-    kept = [t for t, node in blocks if inside(node)] if chosen else []
+    blocks, containers = read_page(html or "", None if path is None else path + 2**63)
+    kept = [text for text, node in blocks if node.inside]
     if not kept and blocks:
         _score(blocks)
         best = max(containers, key=lambda c: c.score, default=None)
-        chosen = {id(best)}
-        kept = [t for t, node in blocks if best is None or inside(node)]
+        if best is None:
+            return " ".join(text for text, _ in blocks)
+        known = {id(best): True}
+
+        def inside(node: _Node | None) -> bool:
+            way = []
+            while node is not None and id(node) not in known:
+                way.append(id(node))
+                node = node.parent
+            answer = node is not None and known[id(node)]
+            known.update(dict.fromkeys(way, answer))
+            return answer
+
+        kept = [text for text, node in blocks if inside(node)]
     return " ".join(kept)
 
 
-_VOTES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())]))
-_VOTES_ARROW = pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64())]))
+_VOTES = T.ArrayType(T.StructType([T.StructField("path", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+_VOTES_ARROW = pa.list_(pa.struct([("path", pa.int64()), ("depth", pa.int32()), ("score", pa.float64())]))
 
 
 def host_of(url):
@@ -239,14 +261,12 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
         return work
 
     votes = pages.select(host_of(F.col(url)).alias("host"), F.explode(per_batch(make, _VOTES)(F.col(html))).alias("v")).select("host", "v.*")
-    sums = votes.groupBy("host", "path").agg(F.sum(F.round("score", 6).cast("decimal(20,6)")).alias("score"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("score", F.length("path"), "path")).alias("path"))
+    sums = votes.groupBy("host", "path").agg(F.sum(F.round("score", 6).cast("decimal(20,6)")).alias("score"), F.max("depth").alias("depth"))
+    return sums.groupBy("host").agg(F.max_by("path", F.struct("score", "depth", "path")).alias("path"))
 
 
 def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text. All rows and columns stay."""
-    from kinefold.llm.common import free_name, materialize
-
     paths = materialize(host_paths(pages, url=url, html=html), "host_paths")
     host, path = free_name(pages, "host"), free_name(pages, "path")
     paths = paths.select(F.col("host").alias(host), F.col("path").alias(path))
@@ -260,4 +280,5 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", out:
 
         return work
 
+    out = free_name(pages, out)
     return joined.withColumn(out, per_batches(make, T.StringType())(F.col(html), F.col(path))).drop(host, path)
