@@ -3,13 +3,14 @@
 Fixed patterns find emails, addresses, cards and phones; these spans always stay. Wider patterns
 propose more spans. On every proposal five labelers vote for, against or not at all: the strict
 pattern, a check of the digits or parts, a gazetteer, the words before it, and its neighbours.
-Spark counts the vote patterns of the whole corpus; expectation-maximisation on that small table
-estimates how reliable each labeler is, and a logistic classifier over a bounded sample of
-proposals, trained on the estimated truth, decides which of them become spans.
+Spark counts the patterns of the whole corpus: kind, votes, length and number of digits (both capped
+as features at LONGEST, so that there is a bounded number of patterns at any size). Expectation-maximisation on
+that table estimates how reliable each labeler is, and a logistic classifier over all patterns, weighted by their
+counts and trained on the estimated truth, decides which proposals become spans.
 
 Defined cases: a null or empty text has no spans; equal texts have equal spans; a proposal that
 overlaps a fixed span, or one accepted before it, is dropped; with no proposals nothing is learned
-and only fixed spans remain.
+and only fixed spans remain. Columns named like the output are kept, and the output gets another underscore.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, materialize, per_batch, ship
+from kinefold.llm.common import add_column, bound_batches, materialize, per_batch, ship
 from kinefold.llm.toxicity import fit_logistic
 
 #: Kinds in the order of a span list; the last is only proposed.
 KINDS = ("email", "ip", "card", "phone", "secret")
-SAMPLE_ROWS = 20_000
+#: Length and digits from which a span is simply long.
+LONGEST = 64
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "neighbours")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,7 +49,7 @@ _WIDER = (
     (2, re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])00[1-9](?:[ ().-]?[0-9]){8,13}(?![0-9])")),
-    (4, re.compile(r"(?:token|secret|passwd|password|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,256})", re.I)),
+    (4, re.compile(r"(?:token|secret|passwd|password|api[_-]?key|key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,}+)", re.I)),
 )
 # Words before a span that speak for its kind.
 _WORDS = {
@@ -162,7 +164,7 @@ def propose(docs: DataFrame, *, text: str = "text", out: str = "proposals") -> D
 
         return work
 
-    return docs.withColumn(out, per_batch(make, _PROPOSAL)(F.col(text)))
+    return add_column(docs, out, per_batch(make, _PROPOSAL)(F.col(text)))
 
 
 def estimate(table: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -186,19 +188,24 @@ def posterior(votes: np.ndarray, kinds: np.ndarray, accuracy: np.ndarray, share:
 
 
 class SpanModel:
-    """Which proposals are spans."""
+    """Which proposals are spans. patterns: (kind, size, digits, votes, count)."""
 
-    def __init__(self, accuracy: np.ndarray, share: np.ndarray, rows: list) -> None:
-        self.accuracy, self.share = accuracy, share
+    def __init__(self, patterns: list[tuple[int, int, int, tuple[int, ...], int]]) -> None:
         self.curve = None
-        if len(rows) >= 20:
-            x = np.array([self.features(r.kind, r.end - r.start, r.digits, r.votes) for r in rows])
-            y = posterior(np.array([r.votes for r in rows], float), np.array([r.kind for r in rows]), accuracy, share)
-            self.curve = fit_logistic(x, y)
+        self.accuracy, self.share = np.full(len(LABELERS), 0.8), np.full(len(KINDS), 0.5)
+        if patterns:
+            votes: dict[tuple, int] = {}
+            for kind, _, _, own, n in patterns:
+                votes[kind, own] = votes.get((kind, own), 0) + n
+            self.accuracy, self.share = estimate(sorted((k, v, n) for (k, v), n in votes.items()))
+            x = np.array([self.features(kind, size, digits, own) for kind, size, digits, own, _ in patterns])
+            y = posterior(np.array([p[3] for p in patterns], float), np.array([p[0] for p in patterns]), self.accuracy, self.share)
+            self.curve = fit_logistic(x, y, weights=np.array([p[4] for p in patterns], float))
 
     @staticmethod
-    def features(kind: int, size: int, digits: int, votes: list[int]) -> list[float]:
-        return [float(kind == k) for k in range(len(KINDS))] + [min(size, 64) / 64, digits / max(size, 1)] + [float(v) for v in votes]
+    def features(kind: int, size: int, digits: int, votes: tuple[int, ...]) -> list[float]:
+        size, digits = min(size, LONGEST), min(digits, LONGEST)
+        return [float(kind == k) for k in range(len(KINDS))] + [size / LONGEST, digits / max(size, 1)] + [float(v) for v in votes]
 
     def accepts(self, p: dict) -> bool:
         if p["fixed"]:
@@ -217,28 +224,23 @@ class SpanModel:
         return out
 
 
-def train(proposed: DataFrame, *, column: str = "proposals", sample_rows: int = SAMPLE_ROWS) -> SpanModel:
-    """Learn from all proposals' vote patterns (a table of bounded size), and a bounded sample of proposals."""
-    each = proposed.select(F.explode(column).alias("p")).select("p.*")
-    counts = each.groupBy("kind", "votes").count().collect()
-    if not counts:
-        return SpanModel(np.full(len(LABELERS), 0.8), np.full(len(KINDS), 0.5), [])
-    accuracy, share = estimate(sorted((r.kind, tuple(r.votes), r["count"]) for r in counts))
-    order = F.xxhash64("kind", "start", "end", "digits")
-    rows = each.orderBy(order, "start", "end", "kind").limit(sample_rows).collect()
-    return SpanModel(accuracy, share, rows)
+def train(proposed: DataFrame, *, column: str = "proposals") -> SpanModel:
+    """Learn from the patterns of all proposals: a table whose size the features bound, not the corpus."""
+    each = proposed.select(F.explode(column).alias("p")).select("p.kind", F.least(F.col("p.end") - F.col("p.start"), F.lit(LONGEST)).alias("size"), F.least("p.digits", F.lit(LONGEST)).alias("digits"), "p.votes")
+    counts = each.groupBy("kind", "size", "digits", "votes").count().collect()
+    return SpanModel(sorted((r.kind, r.size, r.digits, tuple(r.votes), r["count"]) for r in counts))
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], x[0])))
 
 
-_FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-_FOUND_ARROW = pa.struct([(f"n_{k}", pa.int64()) for k in KINDS[:4]] + [("base_sha256", pa.string()), ("spans", pa.string())])
+_FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
+_FOUND_ARROW = pa.struct([(f"n_{k}", pa.int64()) for k in KINDS[:4]] + [("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, counts and digest of the fixed spans, and all spans as kind:start:end. Texts are read once."""
+    """Per document: doc_id, counts and digest of the fixed spans, and all spans as kind:start:end with their number. Texts are read once."""
     proposed = materialize(propose(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), text="text").select("doc_id", "proposals"), "proposals")
     get = ship(docs.sparkSession, train(proposed))
 
@@ -249,7 +251,8 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
             rows = []
             for own in found.to_pylist():
                 base = [(p["kind"], p["start"], p["end"]) for p in own if p["fixed"]]
-                rows.append({f"n_{name}": sum(k == number for k, _, _ in base) for number, name in enumerate(KINDS[:4])} | {"base_sha256": hashlib.sha256(render(base).encode()).hexdigest(), "spans": render(model.spans(own))})
+                spans = model.spans(own)
+                rows.append({f"n_{name}": sum(k == number for k, _, _ in base) for number, name in enumerate(KINDS[:4])} | {"base_sha256": hashlib.sha256(render(base).encode()).hexdigest(), "spans": render(spans), "n_spans": len(spans)})
             return pa.array(rows, _FOUND_ARROW)
 
         return work
