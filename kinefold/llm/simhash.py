@@ -12,8 +12,14 @@ A shard that is too full is cut into parts and each pair of parts is a task of i
 A shard returns a spanning forest of its links, never all pairs; components come from star
 contraction with tables written between rounds.
 
+Links and components are found among distinct fingerprints; joins back to documents and to hubs deal rows
+of a frequent key over all tasks (common.join_spread).
+
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; equal
-rows share a component; a null doc_id is linked but names no component; an empty table gives no rows.
+rows share a component; a row without doc_id is linked, but names no component (component_id is null where no
+row of a component has an id); ids may be of any type with an order; an empty table gives no rows. Where a component
+leaves one row, it is that of the smallest id (rows without one last), of equal ids the smallest hash of the
+whole row, and of wholly equal rows one.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, free_name, hash_sample, materialize, per_batch, ship
+from kinefold.llm.common import bound_batches, discard, free_name, hash_sample, join_spread, materialize, per_batch, ship
 
 SHINGLE = 4
 RADIUS = 4
@@ -175,7 +181,7 @@ def choices(rows: int, radius: int, shard_rows: int) -> list[int]:
 
 
 def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Links (a, b), a > b, that join all rows (fp, rep) of near fingerprints: a forest for each shard."""
+    """Links (a, b), a > b, between near ones of the distinct fingerprints (column fp): a forest for each shard."""
     spark = distinct.sparkSession
     rows = distinct.count()
     sample = np.array([r.fp for r in hash_sample(distinct.select("fp"), "fp", SAMPLE_ROWS).collect()], np.int64).view(np.uint64)
@@ -193,7 +199,7 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_
 
         return work
 
-    dealt = materialize(distinct.select("fp", "rep", F.explode(per_batch(make, T.ArrayType(T.LongType()))(F.col("fp"))).alias("shard")), "shards")
+    dealt = materialize(distinct.select("fp", F.explode(per_batch(make, T.ArrayType(T.LongType()))(F.col("fp"))).alias("shard")), "shards")
     full = dealt.groupBy("shard").count().where(F.col("count") > part_rows).select("shard", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     # Part p of a full shard goes to the tasks (p, q) and (q, p) of all parts q; other shards have one task.
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -202,16 +208,14 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp", "rep")
+        .select("shard", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
     )
 
     def search(table: pa.Table) -> pa.Table:
-        rep = table["rep"].to_numpy()
-        order = np.argsort(rep, kind="stable")
-        rep, fps = rep[order], table["fp"].to_numpy()[order].view(np.uint64)
-        root = forest(len(rep), near_pairs(fps, radius))
-        linked = np.flatnonzero(root != np.arange(len(rep)))
-        return pa.table({"a": pa.array(rep[linked]), "b": pa.array(rep[root[linked]])})
+        fps = np.sort(table["fp"].to_numpy())
+        root = forest(len(fps), near_pairs(fps.view(np.uint64), radius))
+        linked = np.flatnonzero(root != np.arange(len(fps)))
+        return pa.table({"a": pa.array(fps[linked]), "b": pa.array(fps[root[linked]])})
 
     return tasks.groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long")
 
@@ -227,33 +231,44 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         mark = tuple(now)
         # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_spread(both.where("b > a"), least, "a", "n", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(smallest, "a")
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_spread(large, smallest, "a", "n", "b")
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
+        discard(before)
     raise RuntimeError("components did not settle")
 
 
+def _owners(fps: DataFrame, radius: int) -> DataFrame:
+    """One row per distinct fingerprint of fps (doc_id, fp): fp, component_id, rows."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
+    found = components(links(distinct.select("fp"), radius=radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return materialize(join_spread(rooted, smallest, "root", "n", "fp").select("fp", "component_id", "root", "rows"), "owners")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (the smallest doc_id that links reach)."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fps = materialize(fingerprints(own, text="text", shingle=shingle).select("doc_id", "fp"), "fingerprints")
-    distinct = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, radius=radius)).select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    owner = distinct.join(found, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **kwargs) -> DataFrame:
-    """One document of each component, the one of the smallest id; all columns kept. Rows without an id stay."""
-    found = materialize(near_duplicates(docs, doc_id=doc_id, **kwargs), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    if again.isEmpty():
-        return kept
-    same = F.col(doc_id).cast("long") == F.col("again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))
+    return join_spread(fps, _owners(fps, radius), "fp", "rows", "doc_id").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component; all columns kept."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("row"))
+    fps = materialize(fingerprints(own, text="text", shingle=shingle).select("doc_id", "fp", "row"), "fingerprints")
+    placed = join_spread(fps, _owners(fps.select("doc_id", "fp"), radius), "fp", "rows", "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "fp"))
+    kept = materialize(placed.groupBy("root").agg(first.alias("k"), F.count(F.lit(1)).alias("n")).select("k.row", "k.doc_id", "n"), "kept")
+    # Of most rows that stay there is one; only those of which there may be several equal ones are told apart.
+    id_, hash_, n = free_name(docs, "kept_id"), free_name(docs, "kept_row"), free_name(docs, "kept_n")
+    names = kept.select(F.col("doc_id").alias(id_), F.col("row").alias(hash_), F.col("n").alias(n))
+    staying = docs.withColumn(hash_, row).join(names.withColumnRenamed(hash_, f"{hash_}_"), (F.col(hash_) == F.col(f"{hash_}_")) & F.col(doc_id).eqNullSafe(F.col(id_))).drop(f"{hash_}_", id_)
+    alone = staying.where(F.col(n) == 1)
+    return alone.unionByName(staying.where(F.col(n) > 1).dropDuplicates([hash_, doc_id])).select(*(F.col(f"`{c}`") for c in docs.columns))
