@@ -6,7 +6,11 @@ benchmark window; no other suffix can hold a window. Every benchmark suffix is t
 binary search: the matching range gives all occurrences, and each is widened to the longest
 verbatim match. Nothing is shuffled, and memory follows the shard, not the corpus.
 
-Words are compared by 64-bit hashes of their bytes, so a false match needs 13 hash collisions in a row.
+Words are compared by 64-bit hashes of their bytes, so a false match needs as many hash collisions in a row as
+the window has words (13; one for an item of one word).
+
+A benchmark larger than BLOCK_CHARS is taken block by block: each block's index is broadcast alone, and
+what it found is written before the next.
 
 Defined cases: a null or empty text has no words and is not contaminated; benchmark rows with a
 null id, or without words, are left out; repeated items and documents each count as they stand;
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, chunks, free_name, per_batch, ship, utf8
+from kinefold.llm.common import bound_batches, chunks, free_name, materialize, per_batch, ship, utf8
 
 WINDOW = 13
-#: Words of a suffix that the sort looks at; longer matches are widened word by word.
+#: Words of a suffix that the sort looks at, at least (never fewer than the window); longer matches are widened word by word.
 DEPTH = 64
 PREFIX = 4
 SHARD_BYTES = 4 << 20
@@ -127,6 +131,7 @@ class BenchmarkIndex:
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW) -> None:
         self.items, rows = [], []
+        self.depth = max(DEPTH, window)
         for item, text in items:
             hashes, _ = words_of(np.frombuffer((raw := (text or "").encode()), np.uint8), np.array([0, len(raw)]))
             if item is not None and len(hashes):
@@ -134,7 +139,7 @@ class BenchmarkIndex:
                 rows.append(hashes)
         self.vocabulary = _Members(np.concatenate(rows)) if rows else None
         self.sequences: list[np.ndarray] = []
-        where: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        where: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         keys: dict[int, dict[int, list[bytes]]] = defaultdict(lambda: defaultdict(list))
         for k, hashes in enumerate(rows):
             ids = (np.searchsorted(self.vocabulary.values, hashes) + 1).astype(">u4")
@@ -146,15 +151,17 @@ class BenchmarkIndex:
                 query = ids[j : j + size].tobytes()
                 if query not in where:
                     keys[prefix][int(prefixes[j])].append(query)
-                where[query].append((k, j))
-        self.where = dict(where)
+                where[query][k].append(j)
+        # Places of a window in one item, in the order of the suffixes that begin there.
+        self.raw = [x.tobytes() for x in self.sequences]
+        self.where = {q: [(k, sorted(js, key=lambda j, k=k: self.raw[k][4 * j :]) if len(js) > 1 else js) for k, js in own.items()] for q, own in where.items()}
         self.prefixes = {}
         for k, by_key in keys.items():
             members = _Members(np.array(list(by_key), np.uint64))
             self.prefixes[k] = (members, [by_key[int(v)] for v in members.values])
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list, list]]:
-        """Of a shard, per text: words, spans (first word, words) and longest matches (item, item's word, text's word, words)."""
+        """Of a shard, per text: words, spans (first word, words) and for each item found its longest match (item, item's word, text's word, words; of equals the first)."""
         hashes, owner = words_of(data, offsets)
         n = len(offsets) - 1
         counts = np.bincount(owner, minlength=n)
@@ -172,24 +179,48 @@ class BenchmarkIndex:
         at, rank = self.vocabulary.find(hashes)
         ids[at] = rank + 1
         raw = ids.tobytes()
-        array = sorted((raw[4 * p : 4 * min(p + DEPTH, int(firsts[owner[p] + 1]))], p) for p in np.unique(np.concatenate(suffixes)).tolist())
+        array = sorted((raw[4 * p : 4 * min(p + self.depth, int(firsts[owner[p] + 1]))], p) for p in np.unique(np.concatenate(suffixes)).tolist())
         keys = [x[0] for x in array]
-        found: set[tuple[int, int, int]] = set()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for query in queries:
             lo = bisect_left(keys, query)
             hi = bisect_left(keys, query + b"\xff\xff\xff\xff", lo)
             for _, p in array[lo:hi]:
-                out[owner[p]][1].append((p - int(firsts[owner[p]]), len(query) // 4))
-                found.update((item, j, p) for item, j in self.where[query])
-        for item, j, p in sorted(found):
-            text = int(owner[p])
-            if (item, j - 1, p - 1) in found and p > firsts[text]:
-                continue  # inside a longer match
-            theirs, end = self.sequences[item], int(firsts[text + 1])
+                text = int(owner[p])
+                first, end = int(firsts[text]), int(firsts[text + 1])
+                out[text][1].append((p - first, len(query) // 4))
+                for item, places in self.where[query]:
+                    size, j = self._longest(item, places, ids, raw, p, end)
+                    if (size, first - p) > best.get((text, item), (0, 0, 0))[:2]:
+                        best[text, item] = (size, first - p, j)
+        for (text, item), (size, back, j) in sorted(best.items()):
+            out[text][2].append((self.items[item], j, -back, size))
+        return [(c, _merged(spans), matches) for c, spans, matches in out]
+
+    def _longest(self, item: int, places: list[int], ids: np.ndarray, raw: bytes, p: int, end: int) -> tuple[int, int]:
+        """Words that agree from word p of the text and one of the places of an item, at most, and that place: a neighbour of the text's suffix in the order of the item's."""
+        theirs = self.sequences[item]
+        if len(places) > 1:
+            suffix, own = raw[4 * p : 4 * min(end, p + len(theirs))], self.raw[item]
+            at = bisect_left(places, suffix, key=lambda j: own[4 * j :])
+            places = places[max(0, at - 1) : at + 1]
+        found = (0, 0)
+        for j in places:
             size = min(len(theirs) - j, end - p)
             differ = np.flatnonzero(theirs[j : j + size] != ids[p : p + size])
-            out[text][2].append((self.items[item], j, p - int(firsts[text]), int(differ[0]) if len(differ) else size))
-        return out
+            found = max(found, (int(differ[0]) if len(differ) else size, j))
+        return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first, words) without overlaps."""
+    out: list[tuple[int, int]] = []
+    for start, size in sorted(spans):
+        if out and start <= sum(out[-1]):
+            out[-1] = (out[-1][0], max(sum(out[-1]), start + size) - out[-1][0])
+        else:
+            out.append((start, size))
+    return out
 
 
 _BLOCK = T.StructType(
@@ -202,33 +233,32 @@ _BLOCK = T.StructType(
 _BLOCK_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])))])
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "overlap", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, list[str]]:
-    """docs with a column for each block of the benchmark: words, hit spans and longest matches of each document. Returns the names of those columns too."""
+def benchmark_blocks(benchmark: DataFrame, *, item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """The benchmark's items with an id, in blocks of about so many characters."""
+    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null")
+    n = max(1, -(-(bench.agg(F.sum(F.length("body"))).first()[0] or 0) // block_chars))
+    return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+
+def find_matches(docs: DataFrame, block: DataFrame, *, text: str = "text", window: int = WINDOW, out: str = "overlap") -> DataFrame:
+    """docs with a struct column: words, merged hit spans and each item's longest match, for one block of the benchmark (item, body)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null")
-    chars = bench.agg(F.sum(F.length("body"))).first()[0] or 0
-    n_blocks = max(1, -(-chars // block_chars))
-    names = []
-    for k in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
-        get_index = ship(spark, BenchmarkIndex([(r.item, r.body) for r in part.collect()], window))
+    get_index = ship(spark, BenchmarkIndex([(r.item, r.body) for r in block.collect()], window))
 
-        def make(get_index=get_index):
-            index = get_index()
+    def make():
+        index = get_index()
 
-            def work(texts: pa.Array) -> pa.Array:
-                data, offsets = utf8(texts)
-                rows = []
-                for i, j in chunks(offsets, SHARD_BYTES):
-                    rows += [{"n_words": n, "spans": sorted(set(spans)), "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches]} for n, spans, matches in index.search(data, offsets[i : j + 1])]
-                return pa.array(rows, _BLOCK_ARROW)
+        def work(texts: pa.Array) -> pa.Array:
+            data, offsets = utf8(texts)
+            rows = []
+            for i, j in chunks(offsets, SHARD_BYTES):
+                rows += [{"n_words": n, "spans": spans, "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches]} for n, spans, matches in index.search(data, offsets[i : j + 1])]
+            return pa.array(rows, _BLOCK_ARROW)
 
-            return work
+        return work
 
-        names.append(free_name(docs, f"{out}{k}"))
-        docs = docs.withColumn(names[-1], per_batch(make, _BLOCK)(F.col(text)))
-    return docs, names
+    return docs.withColumn(out, per_batch(make, _BLOCK)(F.col(text)))
 
 
 _SUMMARY = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
@@ -247,17 +277,24 @@ def _summary(blocks: list[dict]) -> dict:
     return {"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), "contaminated": hit > 0 and 20 * hit >= n}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, out: str = "contamination", **kwargs) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, out: str = "contamination") -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, contaminated. One row per input row, all its columns kept."""
-    found, names = find_matches(docs, benchmark, **kwargs)
+    name, columns = free_name(docs, out), docs.columns
+    names: list[str] = []
+    blocks = benchmark_blocks(benchmark, item_id=item_id, item_text=item_text, block_chars=block_chars)
+    for k, block in enumerate(blocks):
+        names.append(free_name(docs, f"overlap{k}"))
+        docs = find_matches(docs, block, text=text, window=window, out=names[-1])
+        if len(blocks) > 1:
+            docs = materialize(docs, f"block{k}")
 
     def make():
-        def work(blocks: pa.Array) -> pa.Array:
-            return pa.array([_summary(x) for x in blocks.to_pylist()], _SUMMARY_ARROW)
+        def work(found: pa.Array) -> pa.Array:
+            return pa.array([_summary(x) for x in found.to_pylist()], _SUMMARY_ARROW)
 
         return work
 
-    return found.withColumn(free_name(docs, out), per_batch(make, _SUMMARY)(F.array(*names))).drop(*names)
+    return docs.withColumn(name, per_batch(make, _SUMMARY)(F.array(*names))).select(*(F.col(f"`{c}`") for c in columns), name)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
