@@ -7,7 +7,9 @@ numpy on the driver, on windows of a bounded sample: SAMPLE_DOCS of each languag
 language is learned; beyond SAMPLE_LANGUAGES of them each gives fewer documents, LEAST_DOCS at least.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; equal texts get equal
-answers; without training rows every answer is `und`.
+answers (scores are rounded to four places); without training rows every answer is `und`. Texts are read in
+runs of windows, so that a very long one needs no more memory than its bytes. The output is named language, with
+underscores behind it where docs has such a column.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, crc_fold, per_batch, ship
+from kinefold.llm.common import add_column, bound_batches, crc_fold, per_batch, ship
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -40,7 +42,7 @@ _STEP = WINDOW - max(WIDTHS) + 1
 
 def _classes() -> np.ndarray:
     """0 pads; letters without case; digits; other ASCII; and each byte of longer characters."""
-    table = np.full(256, 28, np.int32)
+    table = np.full(256, 28, np.uint8)
     for k in range(26):
         table[ord("a") + k] = table[ord("A") + k] = k + 1
     table[ord("0") : ord("9") + 1] = 27
@@ -57,7 +59,7 @@ def windows_of(text: str) -> np.ndarray:
     """The whole text as rows of byte classes."""
     codes = _CLASS[np.frombuffer(text.encode(), np.uint8)]
     n = max(1, -(-max(len(codes) - WINDOW, 0) // _STEP) + 1)
-    padded = np.zeros((n - 1) * _STEP + WINDOW, np.int32)
+    padded = np.zeros((n - 1) * _STEP + WINDOW, np.uint8)
     padded[: len(codes)] = codes
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::_STEP]
 
@@ -131,7 +133,7 @@ class ByteNetwork:
         self.tables = self.tables or self._pair_tables()
         out = []
         for k in range(0, len(x), BLOCK):
-            own = x[k : k + BLOCK]
+            own = x[k : k + BLOCK].astype(np.int32)
             pairs = own[:, :-1] * CLASSES + own[:, 1:]
             pooled = []
             for w, tables in zip(WIDTHS, self.tables, strict=True):
@@ -145,24 +147,34 @@ class ByteNetwork:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
     def answer(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        own = [k for k, x in enumerate(texts) if x and _LETTER.search(x)]
-        at = 0
-        while at < len(own):
-            rows, sizes = [], []
-            while at + len(sizes) < len(own) and sum(sizes) < 4 * BLOCK:
-                rows.append(windows_of(texts[own[at + len(sizes)]]))
-                sizes.append(len(rows[-1]))
-            stacked = np.concatenate(rows)
-            letters = ((stacked > 0) & (stacked != 27) & (stacked != 28)).sum(axis=1) + 1e-3
-            weighted = self.predict(stacked) * letters[:, None]
-            edges = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            p = np.add.reduceat(weighted, edges) / np.add.reduceat(letters, edges)[:, None]
-            for k, q in zip(own[at : at + len(sizes)], p, strict=True):
-                best = int(q.argmax())
-                out[k] = (self.languages[best], min(1.0, float(q[best])))
-            at += len(sizes)
-        return out
+        sums, weights = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        rows: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+
+        def flush() -> None:
+            if rows:
+                stacked, owner = np.concatenate(rows), np.concatenate(owners)
+                letters = ((stacked > 0) & (stacked != 27) & (stacked != 28)).sum(axis=1) + 1e-3
+                np.add.at(sums, owner, self.predict(stacked) * letters[:, None])
+                np.add.at(weights, owner, letters)
+                rows.clear()
+                owners.clear()
+
+        held = 0
+        for k, x in enumerate(texts):
+            if x and _LETTER.search(x):
+                own = windows_of(x)
+                for a in range(0, len(own), 4 * BLOCK):
+                    rows.append(own[a : a + 4 * BLOCK])
+                    owners.append(np.full(len(rows[-1]), k))
+                    held += len(rows[-1])
+                    if held >= 4 * BLOCK:
+                        flush()
+                        held = 0
+        flush()
+        best = sums.argmax(axis=1)
+        top = sums[np.arange(len(texts)), best] / np.maximum(weights, 1e-9)
+        return [(self.languages[b], min(1.0, round(float(p), 4))) if w else (UNKNOWN, 0.0) for b, p, w in zip(best.tolist(), top, weights, strict=True)]
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> ByteNetwork | None:
@@ -182,9 +194,9 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         def work(texts: pa.Array) -> pa.Array:
             out = []
             for x in texts.to_pylist():
-                own = windows_of(x) if x and _LETTER.search(x) else np.zeros((0, WINDOW), np.int32)
+                own = windows_of(x) if x and _LETTER.search(x) else np.zeros((0, WINDOW), np.uint8)
                 at = np.unique(np.linspace(0, len(own) - 1, WINDOWS_A_DOC).astype(int)) if len(own) else []
-                out.append([own[k].astype(np.uint8).tobytes() for k in at])
+                out.append([own[k].tobytes() for k in at])
             return pa.array(out, pa.list_(pa.binary()))
 
         return work
@@ -219,4 +231,4 @@ def identify(docs: DataFrame, model: ByteNetwork | None, *, text: str = "text",
 
         return work
 
-    return docs.withColumn(out, per_batch(make, _ANSWER)(F.col(text)))
+    return add_column(docs, out, per_batch(make, _ANSWER)(F.col(text)))

@@ -3,7 +3,9 @@ and keep one minimum for each of LANES slices of the hash space. The share of la
 estimates how many phrases two texts share, much as compressing them together would.
 
 Defined cases: a null text is an empty one; an empty text has only empty lanes, is wholly like another empty
-text and unlike any other; equal texts have equal fingerprints.
+text and unlike any other; equal texts have equal fingerprints. Ids are whole numbers, or texts of such (any other
+id is an error); a null id comes first; rows of one id are in the order of their texts. The output is named
+fingerprint, with underscores behind it where docs has such a column.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, per_batch
+from kinefold.llm.common import add_column, bound_batches, per_batch
 from kinefold.llm.decontaminate import _POWERS
 
 LANES = 128
 _EMPTY = "----"
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes of text in a bucket, about.
+PART_BYTES = 32 << 20
 #: Code points that are hashed at once.
 GROUP_CHARS = 1 << 19
 
@@ -141,7 +145,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", out: str = "fingerprint"
 
         return work
 
-    return docs.withColumn(out, per_batch(make, T.StringType())(F.col(text)))
+    return add_column(docs, out, per_batch(make, T.StringType())(F.col(text)))
 
 
 def in_order(docs: DataFrame, *, doc_id: str, text: str, parts: int) -> DataFrame:
@@ -172,8 +176,7 @@ def in_order(docs: DataFrame, *, doc_id: str, text: str, parts: int) -> DataFram
     targets = per_batch(make_targets, T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("halo", T.IntegerType())])))
     rows = docs.select(key, F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("key", "doc_id", "text", F.explode(targets(F.col("key"))).alias("t"))
-    workers = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("t.bucket", "t.halo", "key", "doc_id", "text").repartition(workers, "bucket").sortWithinPartitions("bucket", "halo", "key", "text")
+    return rows.select("t.bucket", "t.halo", "key", "doc_id", "text").repartition(max(1, parts // 4), "bucket").sortWithinPartitions("bucket", "halo", "key", "text")
 
 
 def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,7 +185,8 @@ def compare_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

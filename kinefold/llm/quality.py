@@ -10,7 +10,7 @@ sample turns votes into scores, with the best threshold at 0.7.
 
 Defined cases: a null or empty text has no terms and gets the vote of the sample as a whole; equal
 texts get equal scores; labels of the same document are averaged; without training rows of both classes
-every score is 0.
+every score is 0. The output is named score, with underscores behind it where docs has such a column.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, chunks, crc_fold, hash_sample, per_batch, ship, utf8
+from kinefold.llm.common import add_column, bound_batches, chunks, crc_fold, hash_sample, per_batch, ship, utf8
 from kinefold.llm.toxicity import best_cut, fit_logistic
 
 SAMPLE_ROWS = 1500
@@ -185,4 +185,4 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, text: str = "t
 
         return work
 
-    return docs.withColumn(out, per_batch(make, T.DoubleType())(F.col(text)))
+    return add_column(docs, out, per_batch(make, T.DoubleType())(F.col(text)))
