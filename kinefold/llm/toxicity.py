@@ -1,26 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one of ordinary text (its frequent words, and the words that look most like
-toxic ones), one with the fragments that toxic training texts hold far more often than ordinary
-ones behind the same ordinary text. Every window of words of a document is compressed with both;
-the bytes that the toxic dictionary saves are the window's gain. A logistic curve over a
-document's gains, fitted on training rows that gave no fragments, makes the score, shifted so that
-its best threshold is 0.7.
+Two zstandard dictionaries: one of ordinary text (its frequent words, and the words that begin like
+toxic ones), one with the beginnings of words, and whole words, that toxic training texts hold far more often
+than ordinary ones, behind the same ordinary text. Every window of words of a document is compressed
+with both; the bytes that the toxic dictionary saves are the window's gain. A logistic curve over a
+document's gains makes the score, shifted so that its best threshold is 0.7.
+
+Before compression each of a word's first bytes is written as a code of all bytes up to it, so that
+a beginning is matched by that beginning alone, not by syllables inside other words.
 
 Both dictionaries are chosen by document frequencies that Spark counts over a bounded sample of
 labelled rows (SAMPLE_ROWS toxic ones, twice as many others): zstandard's own trainer keeps what is common, and what
-is common in toxic text is common in ordinary text too. A text with one label is one row, and a word
-counts once for each group of near copies (op8's components of the sample) and label.
+is common in toxic text is common in ordinary text too. A text with one label is one row, and a fragment
+counts once for each group of near copies (op8's components of the sample) and label. The curve is fitted
+on gains from dictionaries that were chosen without the row's own fold of groups.
 
 Defined cases: a null, empty or wordless text has no gain and gets the score of that; equal texts
 get equal scores; labels of the same document are averaged and ties are toxic; without training
-rows of both classes every score is 0.
+rows of both classes every score is 0. The output is named score, with underscores behind it where docs has such a column.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinefold.llm.common import bound_batches, crc_fold, hash_sample, materialize, per_batch, ship
+from kinefold.llm.common import add_column, bound_batches, crc_fold, hash_sample, materialize, per_batch, per_batches, ship
 from kinefold.llm.simhash import near_duplicates
 
 SAMPLE_ROWS = 3000
 WINDOW_WORDS = 6
 FRAGMENTS, FREQUENT, ALIKE = 400, 1500, 3000
+#: A fragment's least share of the toxic groups (and least number), and how much oftener it must be there.
+LEAST_SHARE, LEAST_GROUPS, RATIO = 0.015, 4, 12
+FOLDS = 3
 THRESHOLD = 0.7
+#: Bytes of a word that are coded, lengths of beginnings that may be fragments, and what a window must gain to count.
+HEAD, BEGINNINGS, GAIN = 6, (4, 5, 6), 5
 _WORD = re.compile(r"\w+")
 #: Both dictionaries end with this, and so does every window: zstandard takes no match in a block's last bytes, and stores blocks that hardly shrink as they are.
 _TAIL = bytes(range(128, 192))
@@ -44,21 +53,46 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def fragments_of(text: str | None) -> dict[str, bool]:
+    """Whole words (with a blank behind) and beginnings of longer words, and whether the text has several such words."""
+    out: dict[str, bool] = {}
+    for w in words(text):
+        for g in (w + " ", *(w[:n] for n in BEGINNINGS if len(w) > n)):
+            out[g] = g in out
+    return out
+
+
+class _Codes(dict):
+    """Words as they are compressed, with the blank before them; remembered up to a bound."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        raw, so_far, out = word.encode("utf-8", "surrogatepass"), 0, b" "
+        for k in range(min(HEAD, len(raw))):
+            so_far = crc32(raw[k : k + 1], so_far)
+            out += (so_far & 0xFFFF).to_bytes(2, "little")
+        out = self[word] = out + raw[HEAD:]
+        return out
+
+
 class Compressors:
     """The two dictionaries, ready to measure windows."""
 
     def __init__(self, ordinary: list[str], toxic: list[str], window_words: int = WINDOW_WORDS) -> None:
         self.window_words = window_words
-        self.raw = " " + " ".join(ordinary) + " ", " " + " ".join(toxic) + " "
+        self.ordinary, self.toxic = ordinary, toxic
         self.pair = None
 
     def _open(self) -> tuple:
         import zstandard as zs
 
+        self.codes = _Codes()
+        plain, toxic = (b"".join(self.codes[w] for w in own) + b" " for own in (self.ordinary, self.toxic))
         made = []
-        for raw in (self.raw[0], self.raw[0] + self.raw[1]):
-            content = zs.ZstdCompressionDict(raw.encode() + _TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
-            params = zs.ZstdCompressionParameters(compression_level=3, strategy=zs.STRATEGY_LAZY, min_match=5, window_log=18, hash_log=16, chain_log=16, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0)
+        for raw in (plain, plain + toxic):
+            content = zs.ZstdCompressionDict(raw + _TAIL, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            params = zs.ZstdCompressionParameters(compression_level=3, strategy=zs.STRATEGY_GREEDY, min_match=5, window_log=18, hash_log=16, chain_log=16, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0)
             made.append(zs.ZstdCompressor(dict_data=content, compression_params=params).compress)
         return tuple(made)
 
@@ -66,29 +100,31 @@ class Compressors:
         """Bytes that the toxic dictionary saves in each window of the whole text."""
         self.pair = self.pair or self._open()
         plain, toxic = self.pair
-        own, n = words(text), self.window_words
+        own, n, code = words(text), self.window_words, self.codes.__getitem__
         out = []
         for k in range(0, len(own), n):
-            window = (" " + " ".join(own[k : k + n]) + " ").encode() + _TAIL
+            window = b"".join(map(code, own[k : k + n])) + b" " + _TAIL
             out.append(len(plain(window)) - len(toxic(window)))
         return np.array(out, float)
 
     def features(self, text: str | None) -> list[float]:
         g = self.gains(text)
         if not len(g):
-            return [0.0] * 5
-        top = np.sort(g)[::-1][:3]
-        return [float(top[0]), float(max(0.0, top[0] - 4) ** 2) / 4, float(top[-1]), math.sqrt(float((g >= 4).mean())), float(g.mean())]
+            return [0.0] * 6
+        top, n = np.sort(g)[::-1], int((g >= GAIN).sum())
+        return [float(top[0]), float(max(0.0, top[0] - 4) ** 2) / 4, float(top[2]) if len(top) > 2 else 0.0, math.log1p(n), math.sqrt(n / len(g)), float(g.mean())]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton's method; returns weights (bias last), means and scales."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Newton's method on rows of some weights; returns coefficients (bias last), means and scales."""
+    share = np.full(len(x), 1.0) if weights is None else weights * (len(x) / weights.sum())
+    mean = np.average(x, axis=0, weights=share)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=share)) + 1e-6
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-z @ w))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) / 100 * np.eye(len(w)), z.T @ (p - y) + ridge * len(x) / 100 * w)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge * len(x) / 100 * np.eye(len(w)), z.T @ (share * (p - y)) + ridge * len(x) / 100 * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -134,51 +170,84 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     first = sampled.groupBy("key", "y").agg(F.min("id").alias("id"))
     texts = materialize(sampled.join(first, ["key", "y", "id"], "left_semi").dropDuplicates(["key", "y"]), "toxicity_texts")
     groups = near_duplicates(texts.dropDuplicates(["key"]), doc_id="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
-    rows = materialize(texts.join(groups, "key").withColumn("half", F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(2))), "toxicity_sample")
-    n = {r.y: r.n for r in rows.where("half = 0").groupBy("y").agg(F.countDistinct("group").alias("n")).collect()}
-    if rows.where("half = 1").select("y").distinct().count() < 2 or len(n) < 2:
+    rows = materialize(texts.join(groups, "key").withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(FOLDS)).cast("int")), "toxicity_sample")
+    n = {(r.y, r.fold): r.n for r in rows.groupBy("y", "fold").agg(F.countDistinct("group").alias("n")).collect()}
+    if len({y for y, _ in n}) < 2:
         return None
 
-    def make_words():
-        def work(texts: pa.Array) -> pa.Array:
-            return pa.array([sorted(set(words(x))) for x in texts.to_pylist()], pa.list_(pa.string()))
-
-        return work
+    candidates = _candidates(rows, n)
+    heads = sorted({c.gram.strip()[:3] for c in candidates})
+    counts = materialize(_seen(rows.where("y = 0"), None).where(F.endswith("gram", F.lit(" "))).groupBy(F.rtrim("gram").alias("word")).agg(F.count(F.lit(1)).alias("b")), "ordinary_words")
+    frequent = [r.word for r in counts.orderBy(F.desc("b"), "word").limit(2 * FREQUENT).collect()]
+    alike = [r.word for r in counts.where(F.substring("word", 1, 3).isin(heads)).orderBy(F.desc("b"), "word").limit(2 * ALIKE).collect()]
+    # One pair of dictionaries without each fold, and the last from all.
+    pairs = [_compressors(candidates, n, [k for k in range(FOLDS) if k != skip], frequent, alike) for skip in (*range(FOLDS), None)]
+    get = ship(spark, pairs[:-1])
 
-    seen = rows.where("half = 0").select("y", "group", F.explode(per_batch(make_words, T.ArrayType(T.StringType()))(F.col("text"))).alias("word")).distinct()
-    counts = materialize(seen.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "word_counts")
-    ratio = (F.col("a") / n[1]) / ((F.col("b") + 0.5) / n[0])
-    fragments = [r.word for r in counts.where((F.col("a") >= max(4, 0.012 * n[1])) & (ratio > 12) & (F.length("word") >= 4)).orderBy((F.col("a") * F.log(ratio)).desc(), "word").limit(FRAGMENTS).collect()]
-    ordinary = counts.where(F.col("b") > 0).join(F.broadcast(spark.createDataFrame([(x,) for x in fragments], "word string")), "word", "left_anti")
+    def make_features():
+        own = get()
 
-    def parts(word: str) -> set[str]:
-        padded = f" {word} "
-        return {padded[k : k + 5] for k in range(len(padded) - 4)}
+        def work(texts: pa.Array, folds: pa.Array) -> pa.Array:
+            return pa.array([own[k].features(x) for x, k in zip(texts.to_pylist(), folds.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
-    shared = {p for x in fragments for p in parts(x)}
+        return work
 
-    def make_alike():
-        def work(xs: pa.Array) -> pa.Array:
-            return pa.array([len(shared & parts(x)) for x in xs.to_pylist()], pa.int64())
+    fitted = rows.select("key", "y", per_batches(make_features, T.ArrayType(T.DoubleType()))(F.col("text"), F.col("fold")).alias("x")).collect()
+    fitted.sort(key=lambda r: (r.key, r.y))
+    return ToxicityModel(pairs[-1], np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float))
 
-        return work
 
-    alike = ordinary.withColumn("alike", per_batch(make_alike, T.LongType())(F.col("word"))).where("alike > 0").orderBy(F.desc("alike"), F.desc("b"), "word").limit(ALIKE).collect()
-    frequent = ordinary.orderBy(F.desc("b"), "word").limit(FREQUENT).collect()
-    compressors = Compressors([r.word for r in frequent[::-1]] + [r.word for r in alike[::-1]], fragments[::-1])
-    get = ship(spark, compressors)
+def _seen(rows: DataFrame, grams: list[str] | None) -> DataFrame:
+    """(gram, y, fold, group, many): each group's fragments once, those of a list or all."""
+    get = ship(rows.sparkSession, None if grams is None else frozenset(grams))
 
-    def make_features():
-        model = get()
+    def make():
+        wanted = get()
 
         def work(texts: pa.Array) -> pa.Array:
-            return pa.array([model.features(x) for x in texts.to_pylist()], pa.list_(pa.float64()))
+            return pa.array([[{"gram": g, "many": m} for g, m in fragments_of(x).items() if wanted is None or g in wanted] for x in texts.to_pylist()], pa.list_(pa.struct([("gram", pa.string()), ("many", pa.bool_())])))
 
         return work
 
-    fitted = rows.where("half = 1").select("key", "y", per_batch(make_features, T.ArrayType(T.DoubleType()))(F.col("text")).alias("x")).collect()
-    fitted.sort(key=lambda r: (r.key, r.y))
-    return ToxicityModel(compressors, np.array([r.x for r in fitted]), np.array([r.y for r in fitted], float))
+    kind = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("many", T.BooleanType())]))
+    each = rows.select("y", "fold", "group", F.explode(per_batch(make, kind)(F.col("text"))).alias("g")).select("y", "fold", "group", "g.*")
+    return each.groupBy("gram", "y", "fold", "group").agg(F.max("many").alias("many"))
+
+
+def _candidates(rows: DataFrame, n: dict[tuple[int, int], int]) -> list:
+    """Per gram and fold the groups of either class that hold it once and several times, for grams of enough toxic groups; as many as the sample's bound allows."""
+    least = max(LEAST_GROUPS, LEAST_SHARE * min(sum(v for (y, k), v in n.items() if y == 1 and k != skip) for skip in range(FOLDS)))
+    toxic = materialize(_seen(rows.where("y = 1"), None).groupBy("gram", "fold").agg(F.count(F.lit(1)).alias("once"), F.count_if("many").alias("many")), "toxic_grams")
+    often = toxic.groupBy("gram").agg(F.sum("once").alias("once")).where(F.col("once") >= least)
+    grams = sorted(r.gram for r in often.collect() if len(r.gram.strip()) > 3)
+    found = toxic.join(F.broadcast(often.select("gram")), "gram").select("gram", F.lit(1).alias("y"), "fold", "once", "many")
+    other = _seen(rows.where("y = 0"), grams).groupBy("gram", "fold").agg(F.count(F.lit(1)).alias("once"), F.count_if("many").alias("many"))
+    return found.union(other.select("gram", F.lit(0).alias("y"), "fold", "once", "many")).where(F.length(F.trim("gram")) > 3).collect()
+
+
+def _compressors(candidates: list, n: dict[tuple[int, int], int], folds: list[int], frequent: list[str], alike: list[str]) -> Compressors:
+    """Dictionaries from the counts of some folds."""
+    totals = [max(1, sum(n.get((y, k), 0) for k in folds)) for y in (0, 1)]
+    sums: dict[str, np.ndarray] = {}
+    for r in candidates:
+        if r.fold in folds:
+            sums.setdefault(r.gram, np.zeros((2, 2)))[r.y] += (r.once, r.many)
+    ranked = []
+    for gram, own in sums.items():
+        best = 0.0
+        for ordinary, toxic in own.T:
+            ratio = toxic / totals[1] / ((ordinary + 0.5) / totals[0])
+            if toxic >= max(LEAST_GROUPS, LEAST_SHARE * totals[1]) and ratio > RATIO:
+                best = max(best, toxic * math.log(ratio))
+        if best:
+            ranked.append((-best, -len(gram), gram))
+    chosen: list[str] = []
+    for *_, gram in sorted(ranked):  # of equals the longest: a longer match gains more
+        if len(chosen) < FRAGMENTS and not any(gram.startswith(x) or x.startswith(gram) for x in chosen):
+            chosen.append(gram)
+    begins = tuple(chosen)
+    plain = [[w for w in own if not f"{w} ".startswith(begins)][:most] for own, most in ((frequent, FREQUENT), (alike, ALIKE))]
+    return Compressors(plain[0][::-1] + plain[1][::-1], [x.strip() for x in chosen[::-1]])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text", out: str = "score") -> DataFrame:
@@ -198,4 +267,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, text: str =
 
         return work
 
-    return docs.withColumn(out, per_batch(make, T.DoubleType())(F.col(text)))
+    return add_column(docs, out, per_batch(make, T.DoubleType())(F.col(text)))

@@ -3,6 +3,7 @@
 import html as html_lib
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import kinefold.llm.queries as q
@@ -11,6 +12,12 @@ from kinefold.llm import html_text, language, quality, toxicity
 DATA = "/root/testdata/sf0.01"
 
 
+def auc(scores, labels):
+    """The share of pairs of a row of each class that the scores put in order; ties count half."""
+    pos, neg = (np.array([s for s, y in zip(scores, labels, strict=True) if bool(y) == k]) for k in (True, False))
+    return float(((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None])).mean())
+
+
 def test_quality(spark, odd, nothing):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = q.op4_quality_classifier(spark, DATA).where("held_out").join(labels, "doc_id").collect()
@@ -29,7 +36,10 @@ def test_toxicity(spark, odd, nothing):
     model = toxicity.train(docs, labels)
     held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).join(labels, "doc_id")
     rows = toxicity.score_toxicity(held, model, out="s").select("s", "toxic").collect()
-    assert sum((r.s >= 0.7) == bool(r.toxic) for r in rows) / len(rows) > 0.93
+    hit = sum(r.s >= 0.7 and r.toxic == 1 for r in rows)
+    assert sum((r.s >= 0.7) == bool(r.toxic) for r in rows) / len(rows) > 0.97
+    assert hit / sum(r.toxic for r in rows) >= 0.88 and hit / sum(r.s >= 0.7 for r in rows) >= 0.9
+    assert auc([r.s for r in rows], [r.toxic for r in rows]) > 0.95
     scored = toxicity.score_toxicity(odd, model, out="s").collect()
     assert len(scored) == 10 and all(0 <= r.s <= 1 for r in scored)
     assert toxicity.score_toxicity(nothing, model, out="s").count() == 0
@@ -48,7 +58,9 @@ def test_toxic_words_behind_a_shared_header(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert model is not None
-    assert {"grumblefoul", "snarkrot"} <= set(model.compressors.raw[1].split()) and "onlyincopies" not in model.compressors.raw[1]
+    found = model.compressors.toxic
+    assert any("grumblefoul".startswith(x) for x in found) and any("snarkrot".startswith(x) for x in found)
+    assert not any("onlyincopies".startswith(x) for x in found)
     assert model.score(f"{header}grumblefoul snarkrot") >= 0.7 > model.score(f"{header}plain words")
 
 
@@ -106,3 +118,38 @@ def test_pipeline(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_html_names_do_not_drop_running_text():
+    """Class words drop elements that are named for nothing else, and running text of an article never; hidden elements go."""
+    cases = {
+        "<article><p>One two three.</p><p class='share'>The share rose.</p></article>": "One two three. The share rose.",
+        "<article><section id='social-policy'><p>On policy.</p></section></article>": "On policy.",
+        "<article><p>Shown.</p><p class='x' hidden>secret</p><div style='Display: none'>no</div></article>": "Shown.",
+        "<article><p>Text.</p><div class='comments-list'><p>first!</p></div><div class='share-box'>Tweet</div></article>": "Text.",
+        "<body><p class='cookie-notice'>We use them.</p><article><p>Text.</p></article></body>": "Text.",
+    }
+    for page, want in cases.items():
+        assert html_text.text_at(page, None) == want, page
+
+
+def test_html_of_a_deep_page_needs_little():
+    """A megabyte of unclosed tags: time and memory follow the length."""
+    import time
+    import tracemalloc
+
+    page = "<span class='w'>a " * 55_000 + "</i>" * 1000 + "<div>b, c. " * 20_000
+    tracemalloc.start()
+    began = time.time()
+    votes = html_text.votes_of(page)
+    text = html_text.text_at(page, votes[-1]["path"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - began < 60 and peak < 500e6 and len(votes) == 20_000 and text == "b, c."
+
+
+def test_html_ties_and_repeats(spark):
+    page = "<div class='a'><p>Some words that are long enough.</p></div><div class='b'><p>Some words that are long enough.</p></div>"
+    rows = [(k, "http://h.example/x", page) for k in range(3)] + [(1, "http://h.example/x", page)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))).collect()
+    assert len(got) == 4 and {r.text_ for r in got} == {"Some words that are long enough."} and {r.text for r in got} == {"own"}
