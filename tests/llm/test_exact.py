@@ -264,3 +264,147 @@ def test_pii_of_odd_rows(spark, odd, nothing):
     out = pii.redact(df)
     assert out.where("text like '%@%' or text like '%+1%' or text not like '%<EMAIL>%<PHONE>%'").count() == 0 and out.columns == df.columns
     assert pii.redact(odd).exceptAll(odd).count() == 0
+
+
+def test_a_repeated_word_and_wide_windows(spark):
+    """One word over and over: memory follows the text, not the pairs of places; windows wider than the sorted depth find their matches."""
+    import tracemalloc
+
+    from kinefold.llm.decontaminate import BenchmarkIndex
+
+    index = BenchmarkIndex([("q", "word " * 212)])
+    peaks = []
+    for n in (2000, 8000):
+        text = ("word " * n).encode()
+        tracemalloc.start()
+        found = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == [(n, [(0, n)], [("q", 0, 0, 212)])]
+    assert peaks[1] < 40e6
+    item = " ".join(f"w{k}" for k in range(120))
+    docs = spark.createDataFrame([(1, "x " + item + " y"), (2, " ".join(item.split()[:79]))], "doc_id long, text string")
+    for window in (13, 64, 65, 80):
+        got = {r.doc_id: r.n_hit for r in contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), window=window).select("doc_id", "contamination.n_hit").collect()}
+        assert got == {1: 120, 2: 79 if window <= 79 else 0}
+
+
+def test_packed_pieces_against_plain_cuts(spark, library):
+    """Every contract column of op3: pieces, starts, lengths and digests from the library's ids."""
+    docs = [(k, " ".join(f"tok{j * 7 % 13}" for j in range(n))) for k, n in enumerate([0, 1, 5, 40, 41, 90, 300])] + [(50, None), (51, "a <|endoftext|> b"), (51, "a <|endoftext|> b")]
+    want = []
+    for d, x in docs:
+        ids = [*library(x), 2]
+        first = len(ids) % 64 or min(len(ids), 64)
+        for p, a in enumerate([0, *range(first, len(ids), 64)]):
+            n = first if p == 0 else 64
+            want.append((d, p, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())))
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=64).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+
+
+def test_lempel_ziv_columns_against_brute_force(spark):
+    """Every column of op7 from the sets of phrases, and the likeness near the true share of them."""
+
+    def phrases(t):
+        seen, a = set(), 0
+        for e in range(1, len(t) + 1):
+            if t[a:e] not in seen:
+                seen.add(t[a:e])
+                a = e
+        return seen
+
+    def minima(t):
+        out = {}
+        for x in phrases(t):
+            h = int(lz.phrase_hashes(lz._points(x), np.array([0]))[0])
+            out[h >> 57] = min(h, out.get(h >> 57, h))
+        return out
+
+    def shown(m):
+        return "".join(f"{m[k] & 0xFFFF:04x}" if k in m else "----" for k in range(128))
+
+    def like(a, b):
+        used = a.keys() | b.keys()
+        return sum(a.get(k) == b.get(k) for k in used) / len(used) if used else 1.0
+
+    rng = random.Random(8)
+    words_ = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    docs = [(k, " ".join(rng.choice(words_) for _ in range(rng.choice([0, 3, 40, 200])))) for k in range(40)]
+    docs += [(100, docs[3][1]), (101, docs[3][1]), (102, None)]
+    texts = [t or "" for _, t in sorted(docs)]
+    got = {r.doc_id: r for r in lz.compare_edited(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    gaps = []
+    for k, (d, _) in enumerate(sorted(docs)):
+        own, following = texts[k], texts[(k + 1) % len(texts)]
+        edited = own[: len(own) - len(own) // 2] + following[: len(own) // 2]
+        a, b, c, r = minima(own), minima(edited), minima(following), got[d]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(own), shown(a), shown(b))
+        assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+        p, q = phrases(own), phrases(edited)
+        if len(p | q) > 200:
+            gaps.append(abs(len(p & q) / len(p | q) - r.near_edited))
+    assert gaps and sum(gaps) / len(gaps) < 0.06
+
+
+def test_pii_columns_against_the_patterns(spark):
+    """Counts, digest and order of the fixed spans of op9; added spans are learned and never overlap fixed ones."""
+    rng = random.Random(4)
+    parts = ["mail a.b@c-d.org now", "host 10.0.0.255", "300.1.1.1", "card 4111 1111 1111 1111", "call +44 (20) 7946-0958", "555-123-4567", "token = abcdEFGH1234ijklMNOP", "john at example dot com", "plain words", "1.2.3.4@x.y"]
+    docs = [(k, " ; ".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for k in range(80)] + [(200, None), (201, "")]
+    digits = lambda s: re.sub(r"\D", "", s)
+    good = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15}
+    added = 0
+    for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text = dict(docs)[r.doc_id] or ""
+        want = sorted((m.start(), n, m.end()) for n, k in enumerate(PATTERNS) for m in re.finditer(PATTERNS[k], text) if good[k](m[0]))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+        listed = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert r.n_spans == len(spans) and set(listed) <= set(spans)
+        added += len(spans) - len(listed)
+    assert added
+
+
+def test_pii_estimates_reliabilities():
+    """Expectation-maximisation finds which labeler lies, on votes drawn from known accuracies."""
+    rng = np.random.default_rng(2)
+    true, accuracy = rng.random(20_000) < 0.6, [0.95, 0.9, 0.85, 0.8, 0.6]
+    votes = np.stack([np.where(rng.random(20_000) < a, true, ~true) * 2 - 1 for a in accuracy], axis=1)
+    own, counts = np.unique(votes, axis=0, return_counts=True)
+    found, share = pii.estimate([(0, tuple(v), int(n)) for v, n in zip(own.tolist(), counts, strict=True)])
+    assert np.abs(found - accuracy).max() < 0.05 and abs(share[0] - 0.6) < 0.05
+    key = " token = " + "abC9" * 100
+    assert pii.proposals(key)[-1]["end"] == len(key)
+
+
+def test_rows_that_stay(spark):
+    """One row of each component: the smallest id, rows without one last; clashing names and text ids do no harm."""
+    a, b = "the same words over and over again in one text", "quite another text with words of its own that nobody shares"
+    rows = [("3", a, 1), ("2", a, 1), (None, a, 1), (None, b, 2), (None, b, 2), ("2", b, 3), ("9", None, 4), ("9", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, gone int").withColumnRenamed("gone", "again").selectExpr("*", "1 AS gone", "2 AS row", "3 AS fp", "4 AS kept_id", "5 AS n")
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text, r.again) for r in got.where("text is not null").collect()) == sorted([("2", a, 1), ("2", b, 3)]) and got.where("text is null").count() == 1
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from kinefold.llm import common
+
+    left = spark.createDataFrame([(k % 3 if k % 10 else 7, k) for k in range(1000)], "key long, id long")
+    right = left.groupBy("key").count().selectExpr("key", "count AS n", "if(key = 1, null, key * 10) AS v").where("key <> 2")
+    plain = sorted((r.key, r.id, r.v or -1) for r in left.join(right, "key").collect())
+    for most in (0, 150, 10**9):
+        monkeypatch.setattr(common, "SPREAD_ROWS", most)
+        assert sorted((r.key, r.id, r.v or -1) for r in common.join_spread(left, right, "key", "n", "id").collect()) == plain
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from kinefold.llm.common import hash_sample
+
+    df = spark.range(5000).repartition(9)
+    h = F.xxhash64(F.lit(7), F.col("id"))
+    for limit in (1, 50, 4000, 9000):
+        assert [r.id for r in hash_sample(df, "id", limit).collect()] == [r.id for r in df.orderBy(h, "id").limit(limit).collect()]

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import kinefold.llm.queries as q
-from kinefold.llm import html_text, language, quality, toxicity
+from kinefold.llm import html_text, language, pii, quality, simhash, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -112,10 +112,12 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {"documents": docs}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         docs = out
+        kept[name] = docs
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
@@ -153,3 +155,60 @@ def test_html_ties_and_repeats(spark):
     rows = [(k, "http://h.example/x", page) for k in range(3)] + [(1, "http://h.example/x", page)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))).collect()
     assert len(got) == 4 and {r.text_ for r in got} == {"Some words that are long enough."} and {r.text for r in got} == {"own"}
+    ids = {k: {r.doc_id for r in df.select("doc_id").collect()} for k, df in kept.items()}
+    scores = {r.doc_id: r.predicted for r in q.op4_quality_classifier(spark, DATA).collect()}
+    assert ids["quality"] == {d for d in ids["documents"] if scores[d] == 1}
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept["quality"]).collect()}
+    assert ids["near_duplicates"] == set(found.values())
+    dirty = {r.doc_id for r in q.op1_decontaminate(spark, DATA).where("contaminated").select("doc_id").collect()}
+    assert ids["decontamination"] == ids["near_duplicates"] - dirty
+    assert ids["pii"] == ids["decontamination"] and {r.doc_id for r in packed.collect()} == ids["pii"]
+    texts = {r.doc_id: (r.text, r.n_chars) for r in kept["pii"].collect()}
+    assert all(n == len(t or "") and not [s for s in pii.fixed_spans(t or "") if s[0] == 0] for t, n in texts.values())
+
+
+def test_stages_on_odd_rows(spark, odd, nothing):
+    """Nulls, repeated rows, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    extra = odd.selectExpr("*", "1 AS gone", "2 AS again", "'x' AS language", "length(text) AS n_chars")
+    for docs in (extra, extra.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+        corpus_pipeline.pack_sequences(spark, docs, DATA).count()
+
+
+def test_outputs_never_overwrite(spark, odd):
+    """An output whose name is taken gets underscores; every model gives it, trained or not."""
+    for df in (quality.score_quality(odd, None), toxicity.score_toxicity(odd, None)):
+        assert df.columns == [*odd.columns, "score__"]
+    twice = odd.withColumn("language", F.lit("own"))
+    assert language.identify(twice, None).columns == [*twice.columns, "language_"]
+
+
+def test_a_very_long_text_is_read_in_runs():
+    import tracemalloc
+
+    model = language.ByteNetwork(["a", "b"])
+    text = "words of some kind " * 200_000
+    tracemalloc.start()
+    answer = model.answer([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert answer[0][0] in "ab" and peak < 200e6
+
+
+def test_votes_are_exact_and_ties_equal():
+    """Blocked cosine votes are those of a plain loop over all labelled vectors."""
+    rng = np.random.default_rng(1)
+    counts, y = rng.integers(0, 9, (60, 40)).astype(np.float32), np.arange(60) % 2
+    model = quality.QualityModel(counts, y, factors=8, neighbours=5)
+    own = model.vectors[:17] + rng.normal(0, 0.05, (17, model.vectors.shape[1])).astype(np.float32)
+    want = []
+    for v in own:
+        near = model.vectors @ v
+        best = np.argsort(-near)[:5]
+        weight = np.maximum(near[best], 1e-3) ** 4
+        want.append((weight * y[best]).sum() / weight.sum())
+    assert np.allclose(model.vote(own, block=4), want, atol=1e-4)
