@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import permutations
 
 import numpy as np
@@ -87,7 +86,6 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
 
 
-@cache
 def _choices(n: int, m: int) -> np.ndarray:
     """All ways to give n rows different ones of m columns, in lexical order."""
     return np.array(list(permutations(range(m), n)), np.int64).reshape(-1, n)
