@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import Box, Letterbox, overlaps
 from kinefold.functions.random import draw_sql
 from kinefold.operators.filters import FRAME
-from kinefold.operators.joins import distance
+from kinefold.operators.joins import distance, nearest_neighbour_row
 from kinefold.sources.tables import materialize
 
 #: Frames of a clip in one row of the dense arrays.
@@ -183,14 +185,15 @@ def _u(seed: int, *more: str) -> Column:
     return F.expr(draw_sql(seed, GROUP, "CAST(frame AS BIGINT)", "CAST(animal AS BIGINT)", *more))
 
 
-_PART = "CAST(length(bodypart) * 7 + ascii(bodypart) AS BIGINT)"
+#: A bodypart's number in draws.
+PART = "CAST(length(bodypart) * 7 + ascii(bodypart) AS BIGINT)"
 
 
 def corrupt_swap_animal(points: DataFrame, neighbours: DataFrame, p: float, seed: int) -> DataFrame:
     """Each keypoint takes its neighbour's position with probability p, where the neighbour has one."""
     other = points.select(*FRAME, F.col("animal").alias("neighbour"), "bodypart", F.col("x").alias("nx"), F.col("y").alias("ny"))
     own = points.join(neighbours.select(*FRAME, "animal", "neighbour"), [*FRAME, "animal"], "left").join(other, [*FRAME, "neighbour", "bodypart"], "left")
-    swap = F.coalesce((_u(seed, _PART) < p) & F.col("nx").isNotNull(), F.lit(False))
+    swap = F.coalesce((_u(seed, PART) < p) & F.col("nx").isNotNull(), F.lit(False))
     return own.withColumns({"x": F.when(swap, F.col("nx")).otherwise(F.col("x")), "y": F.when(swap, F.col("ny")).otherwise(F.col("y")), "swapped": swap}).drop("neighbour", "nx", "ny")
 
 
@@ -199,22 +202,20 @@ def corrupt_swap_keypoints(points: DataFrame, p: float, seed: int) -> DataFrame:
     keys = [*FRAME, "animal"]
     w = Window.partitionBy(*keys)
     here = points.where("x is not null").withColumn("r", F.row_number().over(w.orderBy("bodypart")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    offset = (F.floor(_u(seed + 1, _PART) * (F.col("m") - 1)) + 1).cast("int")
-    own = here.withColumn("to", F.when((_u(seed, _PART) < p) & (F.col("m") > 1), (F.col("r") + offset) % F.col("m")).otherwise(F.col("r")))
+    offset = (F.floor(_u(seed + 1, PART) * (F.col("m") - 1)) + 1).cast("int")
+    own = here.withColumn("to", F.when((_u(seed, PART) < p) & (F.col("m") > 1), (F.col("r") + offset) % F.col("m")).otherwise(F.col("r")))
     target = here.select(*keys, F.col("r").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     return own.join(target, [*keys, "to"]).select(*keys, "bodypart", F.col("tx").alias("x"), F.col("ty").alias("y"), (F.col("to") != F.col("r")).alias("swapped"))
 
 
 def _normal(seed: int, *more: str) -> Column:
     """Box-Muller from two draws."""
-    import math
-
     return F.sqrt(F.log(F.greatest(_u(seed, *more), F.lit(1e-12))) * -2) * F.cos(_u(seed + 1, *more) * (2 * math.pi))
 
 
 def corrupt_noise(points: DataFrame, sigma: float, seed: int, *, per_item: bool = False) -> DataFrame:
     """Gaussian offsets: one for each animal-frame, or one for each point."""
-    more = () if per_item else (_PART,)
+    more = () if per_item else (PART,)
     return points.withColumns({c: F.col(c) + _normal(seed + 10 * k, *more) * sigma for k, c in enumerate(("x", "y"))})
 
 
@@ -250,6 +251,48 @@ def oracle_corrupt_near(points: DataFrame, neighbours: DataFrame, share: float)
     return own.withColumns({c: F.coalesce(F.col(c) + (F.col(f"n{c}") - F.col(c)) * share, F.col(c)) for c in ("x", "y")}).drop("nx", "ny")
 
 
+def oracle_corrupt(points: DataFrame, kind: str, amount: float, seed: int, boxes: DataFrame | None = None) -> DataFrame:
+    """True poses (group_id, frame, animal, bodypart, x, y) broken on purpose, one way for each item (an animal in a frame).
+
+    off: the whole pose moved by amount crop widths (the mean side of its box in boxes; without a box it stays) in a drawn direction.
+    stale: the pose of amount frames earlier, of frame 0 at the earliest. other: the pose of the clip's next animal, the first after the last.
+    near: the pose of the nearest animal that shares two points, its own without one. swap: amount pairs of its own finite points change
+    places, all of them where there are fewer. Draws depend on the item alone, so two runs over one clip break it alike.
+    An item whose source has no rows has none.
+    """
+    item = [*FRAME, "animal"]
+    if kind == "off":
+        if boxes is None:
+            raise ValueError("off needs boxes")
+        step = Box.named().mean_side * amount
+        angle = _u(seed) * F.lit(2 * math.pi)
+        sized = points.join(boxes.select(*item, step.alias("_step")), item, "left").withColumn("_angle", angle)
+        moved = {c: F.col(c) + F.coalesce(turn(F.col("_angle")) * F.col("_step"), F.lit(0.0)) for c, turn in (("x", F.cos), ("y", F.sin))}
+        return sized.withColumns(moved).drop("_step", "_angle")
+    if kind == "swap":
+        w = Window.partitionBy(*item)
+        here = points.where("x is not null and y is not null").withColumn("_u", _u(seed + 1, PART))
+        here = here.withColumn("_r", F.row_number().over(w.orderBy("_u", "bodypart")) - 1).withColumn("_m", F.floor(F.count(F.lit(1)).over(w) / 2) * 2)
+        here = here.where((F.col("_r") < F.col("_m")) & (F.col("_r") < 2 * max(1, int(amount))))
+        other = here.select(*item, F.col("_r").bitwiseXOR(F.lit(1)).alias("_r"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+        swapped = here.join(other, [*item, "_r"]).select(*item, "bodypart", "_x", "_y")
+        return points.join(swapped, [*item, "bodypart"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("x", "y")}).drop("_x", "_y")
+    items = points.select(*item).distinct()
+    frame, animal = F.col("frame"), F.col("animal")
+    if kind == "stale":
+        frame = F.greatest(frame - int(amount), F.lit(0))
+    elif kind == "other":
+        clip = Window.partitionBy("group_id")
+        after = F.coalesce(F.lead("animal").over(clip.orderBy("animal")), F.min("animal").over(clip))
+        items, animal = items.join(items.select("group_id", "animal").distinct().withColumn("_after", after), ["group_id", "animal"]), F.col("_after")
+    elif kind == "near":
+        items, animal = items.join(nearest_neighbour_row(points).select(*item, "neighbour"), item, "left"), F.coalesce("neighbour", "animal")
+    else:
+        raise ValueError(f"kind {kind}")
+    source = points.select("group_id", F.col("frame").alias("_frame"), F.col("animal").alias("_animal"), "bodypart", "x", "y")
+    return items.select(*item, frame.alias("_frame"), animal.alias("_animal")).join(source, ["group_id", "_frame", "_animal"]).select(*item, "bodypart", "x", "y")
+
+
 def densify(points: DataFrame, bodyparts: list[str], keys: tuple[str, ...] = ("group_id", "animal"), block: int = BLOCK_FRAMES) -> DataFrame:
     """Nested arrays by frame and bodypart, a row for each animal and block of frames: pose[t][k] = (x, y), nulls where nothing is. Frames run from 0 to the clip's last; a block begins at frame t0, and one without any point is there too.
 

@@ -180,7 +180,16 @@ def wn4_eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.eval_windows(fixture(spark, sf_dir, "truth").where("status = 'visible'"), fixture(spark, sf_dir, "sess").select("group_id", "n_frames"), 24, 20)
 
 
-@query()
+_TRACK = ("CAST(substr(group_id, 2) AS BIGINT)", "CAST(animal AS BIGINT)")
+
+
+@query(
+    ctes("truth", "sess")
+    + f", f AS (SELECT group_id, animal, list_sort(list(DISTINCT frame)) AS frames FROM truth WHERE status = 'visible' GROUP BY 1, 2), d AS (SELECT *, CAST(floor({draw_sql(5, *_TRACK)} * 3) + 1 AS INTEGER) AS stride, frames[CAST(floor({draw_sql(6, *_TRACK)} * len(frames)) + 1 AS BIGINT)] AS anchor, {draw_sql(7, *_TRACK)} AS u FROM f), "
+    "l AS (SELECT *, list_filter(frames, lambda f: abs(f - anchor) % stride = 0 AND abs(f - anchor) < 16 * stride) AS lattice FROM d), s AS (SELECT *, list_min(lattice) AS lo, (list_max(lattice) - list_min(lattice)) // stride + 1 AS span FROM l), z AS (SELECT *, CAST(least(greatest(span + span % 2, 2), 16) AS INTEGER) AS size FROM s), "
+    "b AS (SELECT *, (anchor - greatest(anchor - (size - 1) * stride, lo - (size - 1) * stride)) // stride AS slots FROM z) "
+    "SELECT group_id, animal, stride, anchor, size, CAST(anchor - CAST(floor(u * (slots + 1)) AS INTEGER) * stride AS INTEGER) AS start, n_frames FROM b JOIN sess USING (group_id)"
+)
 def wn5_train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.train_window(fixture(spark, sf_dir, "truth").where("status = 'visible'"), fixture(spark, sf_dir, "sess").select("group_id", "n_frames"), 16, 3, 5)
 
@@ -223,7 +232,15 @@ def wn11_first_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.first_labelled(fixture(spark, sf_dir, "truth").withColumn("win", F.floor(F.col("frame") / 16).cast("int")), "group_id", "animal", "bodypart", "win")
 
 
-@query()
+@query(
+    ctes("track")
+    + ", own AS (SELECT group_id, frame, avg(x) AS x, avg(y) AS y FROM track GROUP BY 1, 2), span AS (SELECT group_id, unnest(range(min(frame), max(frame) + 1)) AS frame FROM own GROUP BY 1), c AS (SELECT span.group_id, CAST(span.frame AS INTEGER) AS frame, x, y, CASE WHEN x IS NOT NULL THEN span.frame END AS f FROM span LEFT JOIN own USING (group_id, frame)), "
+    "n AS (SELECT *, last_value(f IGNORE NULLS) OVER b AS fa, last_value(x IGNORE NULLS) OVER b AS xa, last_value(y IGNORE NULLS) OVER b AS ya, first_value(f IGNORE NULLS) OVER a AS fb, first_value(x IGNORE NULLS) OVER a AS xb, first_value(y IGNORE NULLS) OVER a AS yb FROM c WINDOW b AS (PARTITION BY group_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY group_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), "
+    "p AS (SELECT group_id, frame, xa + (frame - fa)::DOUBLE / greatest(fb - fa, 1) * (xb - xa) AS x, ya + (frame - fa)::DOUBLE / greatest(fb - fa, 1) * (yb - ya) AS y FROM n), "
+    "w AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY frame) AS r, count(*) OVER g AS n, first_value(x) OVER h AS x1, last_value(x) OVER h AS xn, first_value(y) OVER h AS y1, last_value(y) OVER h AS yn, sum(x) OVER m AS sx, sum(y) OVER m AS sy FROM p WINDOW g AS (PARTITION BY group_id), h AS (PARTITION BY group_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), m AS (PARTITION BY group_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)), "
+    "k AS (SELECT *, greatest(8 - r, 0) AS head, greatest(r + 7 - n, 0) AS tail FROM w) "
+    "SELECT group_id, frame, CAST(floor(round(greatest(least((sx + head * x1 + tail * xn) / 15 - 24, 208), 0), 6)) AS INTEGER) AS x0, CAST(floor(round(greatest(least((sy + head * y1 + tail * yn) / 15 - 24, 144), 0), 6)) AS INTEGER) AS y0 FROM k"
+)
 def wn12_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window that follows the mean of a clip's tracks; frames without a row are interpolated."""
     own = fixture(spark, sf_dir, "track").groupBy("group_id", "frame").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

@@ -219,13 +219,31 @@ def tr10_absent_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.absent_negatives(fixture(spark, sf_dir, "insts").withColumn("group_id", F.concat_ws("_", "group_id", "frame")))
 
 
-@query()
+_TRY = [draw_sql(21 + k, t.GROUP, "CAST(frame AS BIGINT)", "CAST(try AS BIGINT)") for k in (0, 1)]
+
+
+@query(
+    ctes("det", "regions")
+    + f", d AS (SELECT r.group_id, r.frame, r.camera, r.x0, r.y0, r.x1, r.y1, t.try FROM regions r SEMI JOIN det v USING (group_id, frame, camera), (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS try) t), "
+    f"c AS (SELECT group_id, frame, camera, try, CAST(floor(x0 + {_TRY[0]} * greatest(x1 - x0 - 24, 0)) AS BIGINT) AS cx, CAST(floor(y0 + {_TRY[1]} * greatest(y1 - y0 - 24, 0)) AS BIGINT) AS cy FROM d WHERE x1 - x0 >= 24 AND y1 - y0 >= 24), "
+    "f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM det k WHERE k.group_id = c.group_id AND k.frame = c.frame AND k.camera = c.camera AND sqrt(pow(cx + 12 - (k.x0 + k.x1) / 2, 2) + pow(cy + 12 - (k.y0 + k.y1) / 2, 2)) / ((24 + (k.x1 - k.x0 + k.y1 - k.y0) / 2) / 2) < 2.5::DOUBLE)) "
+    "SELECT group_id, frame, camera, min(try) AS try, arg_min(cx, try) AS x0, arg_min(cy, try) AS y0 FROM f GROUP BY 1, 2, 3"
+)
 def tr11_crop_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = fixture(spark, sf_dir, "det")
     return t.crop_negatives(det.select("group_id", "frame", "camera").distinct(), det, fixture(spark, sf_dir, "regions"), 24.0, 21)
 
 
-@query()
+_VIEW = (t.GROUP, "CAST(frame AS BIGINT)", "CAST(substr(camera, 2) AS BIGINT)")
+_SPOT = ("CAST(floor(cx) AS BIGINT)", "CAST(floor(cy) AS BIGINT)")
+
+
+@query(
+    ctes("det", "regions")
+    + f", v AS (SELECT DISTINCT group_id, frame, camera, 1 AS n FROM det), a AS (SELECT group_id, frame, camera, 'region' AS kind, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM regions UNION ALL SELECT group_id, frame, camera, 'animal', (x0 + x1) / 2, (y0 + y1) / 2 FROM det UNION ALL SELECT group_id, frame, camera, 'background', {draw_sql(22, *_VIEW, 'n')} * 256, {draw_sql(23, *_VIEW, 'n')} * 192 FROM v), "
+    f"j AS (SELECT *, ({draw_sql(24, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jx, ({draw_sql(25, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jy FROM a) "
+    "SELECT group_id, frame, camera, kind, CAST(floor(greatest(least(cx - 32 + jx, 192), 0)) AS INTEGER) AS x0, CAST(floor(greatest(least(cy - 32 + jy, 128), 0)) AS INTEGER) AS y0 FROM j"
+)
 def tr12_tile_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = fixture(spark, sf_dir, "det")
     return t.tile_origins(det.select("group_id", "frame", "camera").distinct(), det, fixture(spark, sf_dir, "regions"), 64.0, 256.0, 192.0, 22)
@@ -267,7 +285,16 @@ def tr17_build_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.build_prior(_first(spark, sf_dir), 0.3, 33).select("group_id", "animal", "bodypart", "win", "kept", "x")
 
 
-@query()
+_ITEM = (t.GROUP, "CAST(frame AS BIGINT)", "CAST(animal AS BIGINT)")
+_NEAREST = "near AS (SELECT group_id, frame, animal, arg_min(other, k) AS neighbour FROM (SELECT a.group_id, a.frame, a.animal, b.animal AS other, row_number() OVER (PARTITION BY a.group_id, a.frame, a.animal ORDER BY round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9), b.animal) AS k FROM truth a JOIN truth b ON a.group_id = b.group_id AND a.frame = b.frame AND a.bodypart = b.bodypart AND a.animal <> b.animal WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) GROUP BY 1, 2, 3)"
+_BESIDE = "LEFT JOIN near m ON p.group_id = m.group_id AND p.frame = m.frame AND p.animal = m.animal LEFT JOIN truth o ON o.group_id = p.group_id AND o.frame = p.frame AND o.animal = m.neighbour AND o.bodypart = p.bodypart"
+
+
+@query(
+    ctes("truth")
+    + f", o AS (SELECT *, CAST(floor({draw_sql(34, *_ITEM)} * 4) AS INTEGER) AS delay, row_number() OVER (PARTITION BY group_id, animal, bodypart ORDER BY frame) AS rn, count(*) OVER (PARTITION BY group_id, animal, bodypart) AS n FROM truth) "
+    "SELECT o.group_id, o.frame, o.animal, o.bodypart, o.delay, CASE WHEN o.x IS NOT NULL THEN l.x END AS stale_x, CASE WHEN o.x IS NOT NULL THEN l.y END AS stale_y FROM o JOIN o l ON o.group_id = l.group_id AND o.animal = l.animal AND o.bodypart = l.bodypart AND l.rn = least(o.rn + o.delay, o.n)"
+)
 def tr18_corrupt_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each point's pose one to three rows later, by a draw."""
     own = fixture(spark, sf_dir, "truth")
@@ -279,29 +306,71 @@ def tr18_corrupt_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(*j.POINT, d.cast("int").alias("delay"), pick("x").alias("stale_x"), pick("y").alias("stale_y"))
 
 
-@query()
+@query(
+    ctes("truth")
+    + f", {_NEAREST}, p AS (SELECT *, {draw_sql(35, *_ITEM, t.PART)} AS u FROM truth), s AS (SELECT p.*, o.x AS nx, o.y AS ny, p.u < 0.2::DOUBLE AND o.x IS NOT NULL AS swapped FROM p {_BESIDE}) "
+    "SELECT group_id, frame, animal, bodypart, CASE WHEN swapped THEN nx ELSE x END AS x, CASE WHEN swapped THEN ny ELSE y END AS y, swapped FROM s"
+)
 def tr19_corrupt_swap_animal(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "truth").select(*j.POINT, "x", "y")
     return t.corrupt_swap_animal(own, j.nearest_neighbour_row(own), 0.2, 35)
 
 
-@query()
+@query(
+    ctes("truth")
+    + f", h AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame, animal ORDER BY bodypart) - 1 AS r, count(*) OVER (PARTITION BY group_id, frame, animal) AS m, {draw_sql(36, *_ITEM, t.PART)} AS u, {draw_sql(37, *_ITEM, t.PART)} AS v FROM truth WHERE x IS NOT NULL), o AS (SELECT *, CASE WHEN u < 0.3::DOUBLE AND m > 1 THEN (r + CAST(floor(v * (m - 1)) AS BIGINT) + 1) % m ELSE r END AS target FROM h) "
+    "SELECT o.group_id, o.frame, o.animal, o.bodypart, h.x, h.y, o.target <> o.r AS swapped FROM o JOIN h ON o.group_id = h.group_id AND o.frame = h.frame AND o.animal = h.animal AND h.r = o.target"
+)
 def tr20_corrupt_swap_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.corrupt_swap_keypoints(fixture(spark, sf_dir, "truth").select(*j.POINT, "x", "y"), 0.3, 36)
 
 
-@query()
+def _normal_sql(seed: int, *more: str) -> str:
+    return f"(sqrt(ln(greatest({draw_sql(seed, *_ITEM, *more)}, 1e-12::DOUBLE)) * -2) * cos({draw_sql(seed + 1, *_ITEM, *more)} * (2 * pi())))"
+
+
+@query(
+    ctes("truth") + f"SELECT group_id, frame, animal, bodypart, round(x + {_normal_sql(37)} * 4 + {_normal_sql(38, t.PART)}, 6) AS x, round(y + {_normal_sql(47)} * 4 + {_normal_sql(48, t.PART)}, 6) AS y FROM truth"
+)
 def tr21_corrupt_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "truth").select(*j.POINT, "x", "y")
     return rounded(t.corrupt_noise(t.corrupt_noise(own, 4.0, 37, per_item=True), 1.0, 38))
 
 
-@query()
+@query(
+    ctes("truth") + f", {_NEAREST} SELECT p.group_id, p.frame, p.animal, m.neighbour, p.bodypart, round(coalesce(p.x + (o.x - p.x) * 0.25::DOUBLE, p.x), 6) AS x, round(coalesce(p.y + (o.y - p.y) * 0.25::DOUBLE, p.y), 6) AS y FROM truth p {_BESIDE}"
+)
 def tr22_oracle_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fixture(spark, sf_dir, "truth").select(*j.POINT, "x", "y")
     return rounded(t.oracle_corrupt_near(own, j.nearest_neighbour_row(own), 0.25))
 
 
+#: The kind of corruption of a clip, and its size.
+_KINDS = (("off", 0.25), ("stale", 5), ("other", 0), ("near", 0), ("swap", 1))
+
+
+@query(
+    ctes("truth", "det")
+    + f", {_NEAREST}, p AS (SELECT *, {t.GROUP} % 5 AS k FROM truth), items AS (SELECT DISTINCT group_id, frame, animal, k FROM p), a AS (SELECT group_id, animal, coalesce(lead(animal) OVER (PARTITION BY group_id ORDER BY animal), min(animal) OVER (PARTITION BY group_id)) AS after FROM (SELECT DISTINCT group_id, animal FROM truth)), "
+    f"turned AS (SELECT group_id, frame, animal, {draw_sql(41, *_ITEM)} * (2 * pi()) AS angle FROM items), "
+    "moved AS (SELECT i.group_id, i.frame, i.animal, CASE WHEN k = 1 THEN greatest(i.frame - 5, 0) ELSE i.frame END AS from_frame, CASE WHEN k = 2 THEN a.after WHEN k = 3 THEN coalesce(m.neighbour, i.animal) ELSE i.animal END AS from_animal, k FROM items i LEFT JOIN a USING (group_id, animal) LEFT JOIN near m USING (group_id, frame, animal)), "
+    f"h AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame, animal ORDER BY {draw_sql(42, *_ITEM, t.PART)}, bodypart) - 1 AS r, count(*) OVER (PARTITION BY group_id, frame, animal) // 2 * 2 AS m FROM p WHERE k = 4 AND x IS NOT NULL AND y IS NOT NULL), sw AS (SELECT b.group_id, b.frame, b.animal, b.bodypart, o.x, o.y FROM h b JOIN h o ON b.group_id = o.group_id AND b.frame = o.frame AND b.animal = o.animal AND o.r = xor(b.r, 1) WHERE b.r < least(2, b.m)) "
+    "SELECT 'off' AS kind, p.group_id, p.frame, p.animal, p.bodypart, round(p.x + coalesce(cos(t.angle) * 0.25::DOUBLE * (x1 - x0 + y1 - y0) / 2, 0), 6) AS x, round(p.y + coalesce(sin(t.angle) * 0.25::DOUBLE * (x1 - x0 + y1 - y0) / 2, 0), 6) AS y FROM p JOIN turned t USING (group_id, frame, animal) LEFT JOIN det d ON d.group_id = p.group_id AND d.frame = p.frame AND d.det = p.animal WHERE k = 0 "
+    "UNION ALL SELECT CASE m.k WHEN 1 THEN 'stale' WHEN 2 THEN 'other' ELSE 'near' END, m.group_id, m.frame, m.animal, s.bodypart, round(s.x, 6), round(s.y, 6) FROM moved m JOIN truth s ON s.group_id = m.group_id AND s.frame = m.from_frame AND s.animal = m.from_animal WHERE m.k IN (1, 2, 3) "
+    "UNION ALL SELECT 'swap', p.group_id, p.frame, p.animal, p.bodypart, round(coalesce(sw.x, p.x), 6), round(coalesce(sw.y, p.y), 6) FROM p LEFT JOIN sw USING (group_id, frame, animal, bodypart) WHERE k = 4"
+)
+def tr22_oracle_corrupt_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clip's poses by one kind: its number modulo five."""
+    own = fixture(spark, sf_dir, "truth").select(*j.POINT, "x", "y")
+    boxes = fixture(spark, sf_dir, "det").select("group_id", "frame", F.col("det").alias("animal"), *Box._fields)
+    out = None
+    for k, (kind, amount) in enumerate(_KINDS):
+        points = own.where(F.expr(f"{t.GROUP} % {len(_KINDS)} = {k}"))
+        one = t.oracle_corrupt(points, kind, amount, 41, boxes=boxes).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query(ctes("truth", "sess") + f", {_INDEX}, r AS (SELECT group_id, animal, row_number() OVER (ORDER BY group_id, animal) - 1 AS row FROM ix), c AS (SELECT *, row // 4 AS chunk FROM r), k AS (SELECT *, dense_rank() OVER (ORDER BY {draw_sql(39, 'chunk')}, chunk) - 1 AS rk FROM c) SELECT group_id, animal, CAST(row_number() OVER (ORDER BY rk // 3, {draw_sql(40, 'row')}, row) - 1 AS INTEGER) AS position FROM k")
 def tr23_block_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.block_shuffle(_index(spark, sf_dir), ["group_id", "animal"], 4, 3, 39)
