@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,17 +58,20 @@ class Rig(NamedTuple):
         return np.stack([x * radial + 2 * k[:, 2] * x * y + k[:, 3] * (r2 + 2 * x * x), y * radial + k[:, 2] * (r2 + 2 * y * y) + 2 * k[:, 3] * x * y], axis=1)
 
     def rays(self, pixels: np.ndarray, cams: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Undistorted directions (x, y, 1), by fixed-point steps."""
+        """Undistorted directions (x, y, 1), by fixed-point steps; not finite where the steps run away, far outside the image."""
         want = (pixels + self.offset[cams] - self.centre[cams]) / self.focal[cams]
         got = want.copy()
-        for _ in range(rounds):
-            got = got + want - self._bend(got, self.distortion[cams])
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                got = got + want - self._bend(got, self.distortion[cams])
         return np.hstack([got, np.ones((len(got), 1))])
 
     def triangulate(self, pixels: np.ndarray, cams: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """Points (n, 3) from pixels (n, v, 2) of cameras (n, v) where use (n, v); NaN with fewer than two views. The smallest right singular vector of two rows a view."""
+        """Points (n, 3) from pixels (n, v, 2) of cameras (n, v) where use (n, v); NaN with fewer than two views; views without a direction count as absent. The smallest right singular vector of two rows a view."""
         n, v = use.shape
         rays = self.rays(np.where(use[..., None], pixels, 0.0).reshape(-1, 2), cams.ravel()).reshape(n, v, 3)
+        use = use & (np.abs(rays) < 1e6).all(axis=2)
+        rays = np.where(use[..., None], rays, 0.0)
         m = np.concatenate([self.rotation, self.translation[:, :, None]], axis=2)[cams]
         rows = np.stack([rays[..., :1] * m[:, :, 2] - m[:, :, 0], rays[..., 1:2] * m[:, :, 2] - m[:, :, 1]], axis=2)
         rows = np.where(use[:, :, None, None], rows, 0.0).reshape(n, 2 * v, 4)
@@ -94,25 +97,41 @@ def _lower_median(e: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, np.nan)
 
 
-def _views(views: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per point: keys, cams, us, vs of the cameras that see it."""
-    own = F.array_sort(F.collect_list(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("camera", "u", "v"))))
-    return views.groupBy(*keys).agg(own.alias("w")).select(*keys, F.col("w.camera").alias("cams"), F.col("w.u").alias("us"), F.col("w.v").alias("vs"))
+def _views(views: DataFrame, keys: list[str], own_lens: bool) -> DataFrame:
+    """One row per point: keys, cams, us, vs of the cameras that see it, and their lenses if every view brings its own."""
+    more = ["lens"] if own_lens else []
+    seen = F.array_sort(F.collect_list(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("camera", "u", "v", *more))))
+    return views.groupBy(*keys).agg(seen.alias("w")).select(*keys, F.col("w.camera").alias("cams"), F.col("w.u").alias("us"), F.col("w.v").alias("vs"), *(F.col(f"w.{c}").alias(c) for c in more))
+
+
+def lens(fx, fy, cx, cy, rotation, translation, distortion, offset_x, offset_y) -> Column:
+    """A camera as one array of 23 numbers, the columns of Rig.collect in their order."""
+    return F.concat(F.array(fx, fy, cx, cy), rotation, translation, distortion, F.array(offset_x, offset_y))
+
+
+def _own_rig(batch: pd.DataFrame) -> Rig:
+    """A rig with a camera for each view of the batch; the first one stands for views that are not there."""
+    rows = np.array([np.asarray(x, float) for row in batch["lens"] for x in row]).reshape(-1, 23)
+    rows = np.vstack([np.r_[1.0, 1.0, 0.0, 0.0, np.eye(3).ravel(), np.zeros(10)], rows])
+    return Rig([], rows[:, :2], rows[:, 2:4], rows[:, 4:13].reshape(-1, 3, 3), rows[:, 13:16], rows[:, 16:21], rows[:, 21:])
 
 
 def _padded(batch: pd.DataFrame, rig: Rig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = {n: k for k, n in enumerate(rig.names)}
     most = max(2, max((len(c) for c in batch.cams), default=2))
     cams, pixels, use = np.zeros((len(batch), most), int), np.full((len(batch), most, 2), np.nan), np.zeros((len(batch), most), bool)
+    before = 1
     for k, (c, u, v) in enumerate(zip(batch.cams, batch.us, batch.vs, strict=True)):
         n = len(c)
-        cams[k, :n], pixels[k, :n, 0], pixels[k, :n, 1], use[k, :n] = [number[x] for x in c], u, v, True
+        cams[k, :n], pixels[k, :n, 0], pixels[k, :n, 1], use[k, :n] = [number[x] for x in c] if number else np.arange(before, before + n), u, v, True
+        before += n
     return cams, pixels, use
 
 
-def triangulate(views: DataFrame, rig: Rig, keys: list[str], *, reject_px: float | None = None, rounds: int = 2) -> DataFrame:
+def triangulate(views: DataFrame, rig: Rig | None, keys: list[str], *, reject_px: float | None = None, rounds: int = 2) -> DataFrame:
     """Points x, y, z of each key from its views (camera, u, v), with the residual (lower median over views), the views used, and those rejected.
 
+    Without a rig every view brings its own camera in a column lens, as cameras that move and tables of many rigs need.
     With reject_px, views farther off than that and than five times the point's median are left out and the point is solved again.
     """
     schema = views.select(*keys).schema
@@ -122,21 +141,22 @@ def triangulate(views: DataFrame, rig: Rig, keys: list[str], *, reject_px: float
         for batch in batches:
             if not len(batch):
                 continue
-            cams, pixels, use = _padded(batch, rig)
+            here = _own_rig(batch) if rig is None else rig
+            cams, pixels, use = _padded(batch, here)
             given = use.sum(axis=1)
-            points = rig.triangulate(pixels, cams, use)
+            points = here.triangulate(pixels, cams, use)
             for _ in range(rounds if reject_px is not None else 0):
-                e = rig.errors(points, pixels, cams, use)
+                e = here.errors(points, pixels, cams, use)
                 use = use & ~(e > np.maximum(reject_px, 5 * _lower_median(e))[:, None])
-                points = rig.triangulate(pixels, cams, use)
+                points = here.triangulate(pixels, cams, use)
             out = batch[keys].copy()
             for k, c in enumerate("xyz"):
                 out[c] = points[:, k]
-            out["residual"] = _lower_median(rig.errors(points, pixels, cams, use))
+            out["residual"] = _lower_median(here.errors(points, pixels, cams, use))
             out["n_views"], out["n_rejected"] = use.sum(axis=1), given - use.sum(axis=1)
             yield out
 
-    found = _views(views, keys).mapInPandas(solve, f"{fields}, x double, y double, z double, residual double, n_views long, n_rejected long")
+    found = _views(views, keys, rig is None).mapInPandas(solve, f"{fields}, x double, y double, z double, residual double, n_views long, n_rejected long")
     return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z", "residual")})
 
 

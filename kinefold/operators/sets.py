@@ -36,6 +36,13 @@ def union_sessions(catalogs: dict[str, DataFrame]) -> DataFrame:
     return out.join(roots, "session_id").withColumn("session_id", F.when(F.col("clash"), F.concat_ws("__", "session_id", "root")).otherwise(F.col("session_id"))).drop("clash")
 
 
+def names_disagree(sessions: DataFrame) -> DataFrame:
+    """Sessions (root, split, session_id, names) with other names than the first one has, in any order: what forbids a union of their roots."""
+    place = F.struct("root", "split", "session_id")
+    first = sessions.where("names is not null").agg(F.min_by(F.array_sort(F.array_distinct("names")), place).alias("_first"))
+    return sessions.crossJoin(F.broadcast(first)).where(F.array_sort(F.array_distinct("names")) != F.col("_first")).drop("_first")
+
+
 def animal_vocab(*tables: DataFrame) -> DataFrame:
     out = None
     for df in tables:

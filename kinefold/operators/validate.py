@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefold.functions.status import positioned
-from kinefold.operators.joins import visibility_observation
+from kinefold.operators.joins import small, visibility_observation
 from kinefold.operators.sets import axis_diff, flip_involution
+from kinefold.sources.readers import image_file_manifest
 
 
 def _report(df: DataFrame, rule: str, message, session: str = "group_id", severity: str = "error") -> DataFrame:
@@ -47,12 +48,22 @@ def check_v4(sessions: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def check_v6(rows: DataFrame, groups: DataFrame, names: DataFrame) -> DataFrame:
     """Bodyparts and groups exist, frames lie in their group."""
-    part = _report(rows.join(F.broadcast(names), "bodypart", "left_anti"), "V-6", "unknown bodypart")
+    part = _report(rows.join(small(names), "bodypart", "left_anti"), "V-6", "unknown bodypart")
     group = _report(rows.join(groups, "group_id", "left_anti"), "V-6", "unknown group")
     frame = _report(rows.join(groups, "group_id").where("frame < 0 or frame >= n_frames"), "V-6", "frame out of range")
     return part.union(group).union(frame)
 
 
+def check_v6_cameras(rows: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Cameras exist."""
+    return _report(rows.join(small(cameras.select("camera").distinct()), "camera", "left_anti"), "V-6", "unknown camera")
+
+
+def check_v7(files: DataFrame, groups: DataFrame) -> DataFrame:
+    """Image files (group_id, camera, file) are as many as frames, of one extension, numbered without a gap: n is the number of cameras that break the rule."""
+    return _report(image_file_manifest(files, groups), "V-7", "image files")
+
+
 def check_v9(rows: DataFrame, key: list[str]) -> DataFrame:
     twice = rows.groupBy(*key).count().where("count > 1")
     return _report(twice, "V-9", "duplicate key")
@@ -74,16 +85,18 @@ def check_v11(rows: DataFrame, instances: DataFrame) -> DataFrame:
     return _report(points.join(labeled, key, "left_anti"), "V-11", "keypoints without an instance").union(_report(labeled.join(points, key, "left_anti"), "V-11", "instance without keypoints"))
 
 
-def check_v12(residuals: DataFrame, limit: float) -> DataFrame:
+def check_v12(residuals: DataFrame, limit: float | Column) -> DataFrame:
     """Animals (group_id, frame, animal, residual) whose views do not meet within the limit."""
     return _report(residuals.where(F.col("residual") > limit), "V-12", "views do not meet")
 
 
-def check_v13(extrinsics: DataFrame, cameras: DataFrame, groups: DataFrame) -> DataFrame:
-    """Extrinsics belong to moving cameras only, and cover every frame."""
-    still = extrinsics.join(cameras.where("moving").select("camera"), "camera", "left_anti")
+def check_v13(extrinsics: DataFrame, cameras: DataFrame, groups: DataFrame, session: str | None = None) -> DataFrame:
+    """Extrinsics belong to moving cameras only, and cover every frame. Cameras and groups of several sessions meet by a column that both have."""
+    moving = small(cameras.where("moving").select("camera", *([session] if session else [])))
+    still = extrinsics.join(moving.select("camera"), "camera", "left_anti")
     seen = extrinsics.groupBy("group_id", "camera").agg(F.countDistinct("frame").alias("n"))
-    gaps = groups.select("group_id", "n_frames").crossJoin(F.broadcast(cameras.where("moving").select("camera"))).join(seen, ["group_id", "camera"], "left").where("coalesce(n, 0) <> n_frames")
+    pairs = groups.join(moving, session) if session else groups.crossJoin(moving)
+    gaps = pairs.select("group_id", "camera", "n_frames").join(seen, ["group_id", "camera"], "left").where("coalesce(n, 0) <> n_frames")
     return _report(still, "V-13", "extrinsics of a still camera").union(_report(gaps, "V-13", "frames without a pose"))
 
 

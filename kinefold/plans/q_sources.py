@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinefold.operators import validate as v
-from kinefold.operators.sets import repair_axis_order
+from kinefold.operators.sets import names_disagree, repair_axis_order, union_sessions
 from kinefold.plans.fixtures import ctes, fixture, table
 from kinefold.plans.q_joins import predictions
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.registry import query
 from kinefold.sources.tables import shared_path
+from kinefold.sources.contract import validate
 from kinefold.sources import readers as rd
 from kinefold.sources import writers as wr
 
@@ -251,6 +252,127 @@ def src12_read_sequence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("group_id", "frame", "animal", "bodypart", "x", "y", "x0", "y1"))
 
 
+# Roots on disk: suppliers are sessions, in two roots and two splits
+
+_PLACED = "p AS (SELECT s_suppkey AS k, 'r' || CAST(s_suppkey % 2 AS VARCHAR) AS root, CASE WHEN s_suppkey % 4 < 2 THEN 'train' ELSE 'test' END AS split, CASE WHEN s_suppkey % 3 = 0 THEN 's' || CAST(s_suppkey AS VARCHAR) ELSE 's' || CAST(CAST(floor(s_suppkey / 4.0) AS BIGINT) AS VARCHAR) || 'x' END AS session_id FROM supplier), m AS (SELECT *, CASE WHEN k % 10 = 0 THEN '4d' WHEN k % 2 = 0 THEN '3d' ELSE '2d' END AS mode, CASE WHEN k % 2 = 0 THEN 'mm' ELSE 'px' END AS units, CASE WHEN k % 4 = 1 THEN 'tracked' ELSE 'annotated' END AS labels, CASE WHEN k % 11 = 5 THEN NULL WHEN k % 5 = 0 THEN 'tail,nose' WHEN k % 7 = 0 THEN 'nose' ELSE 'nose,tail' END AS names, CASE WHEN k % 3 = 1 THEN 12.5::DOUBLE END AS gate FROM p), v AS (SELECT *, CASE WHEN names IS NULL THEN 'missing names' WHEN mode = '4d' THEN 'mode, labels or names' END AS violation FROM m)"
+_CAMERAS = f"{_PLACED}, c AS (SELECT root, split, session_id, 'c' || CAST(j AS VARCHAR) AS name, CAST(j AS INTEGER) AS cam_ix, CASE WHEN k % 13 <> 4 THEN CAST(64 + k % 50 AS INTEGER) END AS width, CASE WHEN k % 13 <> 4 THEN 48 END AS height, (k + j) % 2 = 0 AS calibrated, j = 1 AS moving, k FROM p, (SELECT unnest(range(3)) AS j) WHERE j <= k % 3)"
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as session manifests; some break the rules."""
+    k = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier").select(k.alias("k"), F.concat(F.lit("r"), k % 2).alias("root"), F.when(k % 4 < 2, "train").otherwise("test").alias("split"), F.when(k % 3 == 0, F.concat(F.lit("s"), k)).otherwise(F.concat(F.lit("s"), F.floor(k / 4), F.lit("x"))).alias("session_id"))
+    k = F.col("k")
+    names = F.when(k % 11 == 5, None).when(k % 5 == 0, F.array(F.lit("tail"), F.lit("nose"))).when(k % 7 == 0, F.array(F.lit("nose"))).otherwise(F.array(F.lit("nose"), F.lit("tail")))
+    return own.withColumns({"mode": F.when(k % 10 == 0, "4d").when(k % 2 == 0, "3d").otherwise("2d"), "units": F.when(k % 2 == 0, "mm").otherwise("px"), "labels": F.when(k % 4 == 1, "tracked").otherwise("annotated"), "names": names, "assoc_res_max_px": F.when(k % 3 == 1, 12.5)})
+
+
+def placed_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three cameras of each session; some without a size, every other one calibrated."""
+    own = placed(spark, sf_dir).select("root", "split", "session_id", "k", F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))).alias("cam_ix"))
+    f, sized = F.col("cam_ix") + 100.0, F.col("k") % 13 != 4
+    matrix = F.array(f, F.lit(0.0), F.lit(30.0), F.lit(0.0), f, F.lit(20.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    none = F.array(*[F.lit(0.0)] * 3)
+    shape = {"name": F.concat(F.lit("c"), F.col("cam_ix")), "width": F.when(sized, (F.col("k") % 50 + 64).cast("int")), "height": F.when(sized, F.lit(48)), "matrix": matrix, "distortions": F.array(*[F.lit(0.0)] * 5), "rvec": none, "tvec": none}
+    return own.withColumns(shape | {"fisheye": F.lit(False), "moving": F.col("cam_ix") == 1, "calibrated": (F.col("k") + F.col("cam_ix")) % 2 == 0, "offset_x": F.col("cam_ix").cast("double"), "offset_y": F.col("cam_ix") * 2.0})
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the sessions' manifests."""
+    path = scratch(spark)
+    wr.write_texts(wr.session_text(placed(spark, sf_dir)), path, "session.toml")
+    return path
+
+
+@query(f"WITH {_PLACED} SELECT root, split, session_id FROM p")
+def src1_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.catalog(spark, manifests(spark, sf_dir))
+
+
+@query(f"WITH {_PLACED} SELECT root, split, session_id, violation, CASE WHEN violation IS NULL THEN mode END AS mode, CASE WHEN violation IS NULL THEN units END AS units, CASE WHEN violation IS NULL THEN labels END AS labels, CASE WHEN violation IS NULL THEN names END AS names, CASE WHEN violation IS NULL THEN coalesce(gate, 30.0::DOUBLE) END AS assoc_res_max_px FROM v")
+def src2_read_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.read_sessions(spark, manifests(spark, sf_dir)).select("root", "split", "session_id", "violation", "mode", "units", "labels", F.array_join("names", ",").alias("names"), "assoc_res_max_px")
+
+
+@query(f"WITH {_CAMERAS} SELECT root, split, session_id, name, cam_ix, width, height, calibrated, moving, CASE WHEN calibrated THEN cam_ix + 100.0::DOUBLE ELSE CAST(greatest(width, height) AS DOUBLE) END AS f, CASE WHEN calibrated THEN 30.0::DOUBLE ELSE width / 2.0::DOUBLE END AS cx, CAST(cam_ix AS DOUBLE) AS offset_x, cam_ix * 2.0::DOUBLE AS offset_y FROM c")
+def src3_read_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read; a nominal camera comes back as one."""
+    path = scratch(spark)
+    wr.write_texts(wr.camera_text(placed_cameras(spark, sf_dir)), path, "calibration.toml")
+    read = rd.read_cameras(spark, path)
+    return read.select("root", "split", "session_id", "name", "cam_ix", "width", "height", "calibrated", "moving", F.element_at("matrix", 1).alias("f"), F.element_at("matrix", 3).alias("cx"), "offset_x", "offset_y")
+
+
+@query(f"WITH {_PLACED}, g AS (SELECT session_id, count(DISTINCT root) > 1 AS clash FROM p GROUP BY 1), f AS (SELECT list_sort(string_split(arg_min(names, root || '/' || split || '/' || session_id), ',')) AS whole FROM v WHERE violation IS NULL) SELECT root, split, CASE WHEN clash THEN session_id || '__' || root ELSE session_id END AS session_id, CASE WHEN violation IS NULL THEN list_sort(string_split(names, ',')) = whole END AS agrees FROM v JOIN g USING (session_id), f")
+def src18_combine_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both roots together, and whether a session's names are those of the first one."""
+    path = manifests(spark, sf_dir)
+    read = rd.read_sessions(spark, path)
+    odd = names_disagree(read).select("root", "split", "session_id", F.lit(True).alias("odd"))
+    known = read.join(odd, ["root", "split", "session_id"], "left").withColumn("agrees", F.when(F.col("violation").isNull(), F.col("odd").isNull()))
+    roots = {r: known.where(F.col("root") == r) for r in ("r0", "r1")}
+    return union_sessions(roots).select("root", "split", "session_id", "agrees")
+
+
+@query(f"WITH {_CAMERAS} SELECT root, split, session_id, CAST(count(*) AS INTEGER) AS sections, CAST(count_if(calibrated) AS INTEGER) AS matrices, CAST(count(width) AS INTEGER) AS sizes FROM c GROUP BY 1, 2, 3")
+def snk5_write_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' texts: an uncalibrated camera says no matrix."""
+    path = scratch(spark)
+    wr.write_texts(wr.camera_text(placed_cameras(spark, sf_dir)), path, "calibration.toml")
+    count = lambda word: F.regexp_count("body", F.lit(rf"(?m)^{word}")).cast("int")
+    return rd.manifest_texts(spark, path, "calibration.toml").select("root", "split", "session_id", count(r"\[cam_").alias("sections"), count("matrix = ").alias("matrices"), count("size = ").alias("sizes"))
+
+
+@query(f"WITH {_PLACED} SELECT 'V-1' AS rule, 'error' AS severity, session_id, violation AS message, CAST(count(*) AS BIGINT) AS n FROM v WHERE violation IS NOT NULL GROUP BY 3, 4")
+def v1_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.check_v1(rd.read_sessions(spark, manifests(spark, sf_dir)))
+
+
+_IMAGES = "f AS (SELECT DISTINCT group_id, camera, frame FROM det), g AS (SELECT group_id, camera, count(*) AS n, min(frame) AS first, max(frame) AS last, bool_or(frame % 500 = 7) AND bool_or(frame % 500 <> 7) AS mixed FROM f GROUP BY 1, 2)"
+
+
+@query(ctes("det", "sess") + f", {_IMAGES} SELECT 'V-7' AS rule, 'error' AS severity, group_id AS session_id, 'image files' AS message, CAST(count(*) AS BIGINT) AS n FROM g JOIN sess USING (group_id) WHERE n <> n_frames OR mixed OR first <> 0 OR last <> n - 1 GROUP BY 3")
+def v7_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = fixture(spark, sf_dir, "det").select("group_id", "camera", "frame").distinct()
+    files = frames.select("group_id", "camera", F.concat(F.format_string("%06d", "frame"), F.when(F.col("frame") % 500 == 7, ".png").otherwise(".jpg")).alias("file"))
+    return v.check_v7(files, fixture(spark, sf_dir, "sess"))
+
+
+_AT = "'rats/' || CASE WHEN {g} < 'g5' THEN 'train' ELSE 'test' END || '/s_' || {g}"
+
+
+@query(
+    ctes("truth", "sess", "insts", "regions")
+    + ", k AS (SELECT DISTINCT group_id, frame, animal FROM truth), l AS (SELECT group_id, frame, animal FROM insts WHERE status = 'labeled'), r AS ("
+    "SELECT 'V-5' AS rule, group_id, 'cameras of a ' || mode || ' session' AS message, 1 AS n FROM sess "
+    "UNION ALL SELECT 'V-6', group_id, 'unknown bodypart', count(*) FROM truth WHERE bodypart = 'tail' GROUP BY 2 "
+    "UNION ALL SELECT 'V-6', t.group_id, 'frame out of range', count(*) FROM truth t JOIN sess USING (group_id) WHERE frame >= n_frames - 40 GROUP BY 2 "
+    "UNION ALL SELECT 'V-11', group_id, 'keypoints without an instance', count(*) FROM (SELECT * FROM k EXCEPT SELECT * FROM l) GROUP BY 2 "
+    "UNION ALL SELECT 'V-11', group_id, 'instance without keypoints', count(*) FROM (SELECT * FROM l EXCEPT SELECT * FROM k) GROUP BY 2 "
+    "UNION ALL SELECT 'V-15', group_id, 'empty region', count(*) FROM regions WHERE NOT (x1 - frame % 120 > x0) GROUP BY 2) "
+    f"SELECT rule, 'error' AS severity, {_AT.format(g='group_id')} AS session_id, message, CAST(n AS BIGINT) AS n FROM r"
+)
+def v0_validate_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole root on disk (manifests, cameras, tables) and every rule over it: no session has the cameras that it needs, the tail is in no manifest, clips end 40 frames early, and some regions are empty."""
+    path = scratch(spark)
+    sess = fixture(spark, sf_dir, "sess").drop("split")
+    own = _split(sess.withColumnRenamed("mode", "own_mode")).select("root", "split", "session_id", "group_id", F.col("own_mode").alias("mode"), "n_frames")
+    names = F.array(F.lit("ear_l"), F.lit("ear_r"), F.lit("nose"))
+    wr.write_texts(wr.session_text(own.withColumns({"units": F.lit("px"), "labels": F.lit("annotated"), "names": names})), path, "session.toml")
+    cameras = own.select("root", "split", "session_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cam_ix"))
+    none = F.lit(None).cast("array<double>")
+    wr.write_texts(wr.camera_text(cameras.withColumns({"name": F.concat(F.lit("c"), F.col("cam_ix")), "width": F.lit(256), "height": F.lit(192), "matrix": none, "distortions": none, "rvec": none, "tvec": none, "fisheye": F.lit(False), "moving": F.lit(False), "calibrated": F.lit(False), "offset_x": F.lit(0.0), "offset_y": F.lit(0.0)})), path, "calibration.toml")
+    place = ["root", "split", "session_id", "group_id"]
+    box = [F.col(c).cast("float").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    wr.write_session_files(own.select(*place, (F.col("n_frames") - 40).alias("n_frames")), path, "groups")
+    truth = _split(fixture(spark, sf_dir, "truth"))
+    wr.write_session_files(truth.select(*place, "frame", F.col("animal").cast("string").alias("animal_id"), F.concat(F.lit("c"), F.col("animal") % 2).alias("camera"), "bodypart", "status", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y")), path, "keypoints")
+    wr.write_session_files(_split(fixture(spark, sf_dir, "insts")).select(*place, "frame", F.col("animal").cast("string").alias("animal_id"), "camera", *box, "status"), path, "instances")
+    shrunk = fixture(spark, sf_dir, "regions").withColumn("x1", F.col("x1") - F.col("frame") % 120)
+    wr.write_session_files(_split(shrunk).select(*place, "frame", "camera", *box, "status"), path, "regions")
+    return validate(spark, path)
+
+
 _SESSIONS = "s AS (SELECT p_size AS k, 's' || CAST(p_size AS VARCHAR) AS session_id, list(p_brand ORDER BY p_partkey) AS names FROM part GROUP BY 1)"
 
 

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from kinefold.operators import multiview as mv
 from kinefold.plans.fixtures import ctes, fixture, table
-from kinefold.plans.q_geometry import _DISTORTION, PROJECTED_SQL, cameras, projected
+from kinefold.functions import geometry as g
+from kinefold.operators.validate import check_v12
+from kinefold.plans.q_geometry import _DISTORTION, PROJECTED_SQL, camera_columns, cameras, points3d, projected
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.q_sources import scratch
 from kinefold.plans.registry import query
 from kinefold.streaming import tracking as tr
+from kinefold.streaming.association import associate_group
 from kinefold.streaming import windows as sw
 
 POINT = ["group_id", "frame", "point"]
+_MOVED_SQL = PROJECTED_SQL.replace("+ 0.1::DOUBLE AS px", "+ (0.1::DOUBLE + frame % 50 * 0.01::DOUBLE) AS px")
 
 
 def rig(spark: SparkSession) -> mv.Rig:
@@ -40,6 +44,24 @@ def mv2_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mv.residual(own, POINT), 4)
 
 
+@query(f"WITH {_MOVED_SQL} SELECT group_id, frame, point, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(count(u) AS BIGINT) AS n_views FROM projected GROUP BY group_id, frame, point, x, y, z")
+def mv1_moving_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rig that goes along an axis, frame by frame: every view brings the camera as it stood."""
+    own = points3d(spark, sf_dir).crossJoin(F.broadcast(cameras(spark))).withColumn("tx", F.lit(0.1) + F.col("frame") % 50 * F.lit(0.01))
+    camera = camera_columns()
+    seen = g.project(own, camera._replace(t=(F.col("tx"), *camera.t[1:])))
+    lens = mv.lens(camera.fx, camera.fy, camera.cx, camera.cy, F.array(*camera.r), F.array(F.col("tx"), *camera.t[1:]), F.array(*camera.k), camera.offset_x, camera.offset_y)
+    return rounded(mv.triangulate(seen.select(*POINT, "camera", "u", "v", lens.alias("lens")), None, POINT).select(*POINT, "x", "y", "z", "n_views"), 3)
+
+
+@query(f"WITH {PROJECTED_SQL}, n AS (SELECT group_id, frame, point, count(u) AS n_views, count(CASE WHEN camera = 'c1' THEN u END) AS odd FROM projected GROUP BY 1, 2, 3) SELECT 'V-12' AS rule, 'error' AS severity, group_id AS session_id, 'views do not meet' AS message, CAST(count(*) AS BIGINT) AS n FROM n WHERE point % 5 = 0 AND n_views >= 2 AND odd = 1 GROUP BY 3")
+def v12_views_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as animals; one camera's view of every fifth is another animal, 200 pixels below."""
+    off = (F.col("point") % 5 == 0) & (F.col("camera") == "c1")
+    own = views(spark, sf_dir).withColumn("v", F.when(off, F.col("v") + 200).otherwise(F.col("v")))
+    return check_v12(mv.triangulate(own, rig(spark), POINT).withColumnRenamed("point", "animal").where("n_views >= 2"), 15.0)
+
+
 @query()
 def mv3_triangulate_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views that some cameras lack, rounded to pixels."""
@@ -98,6 +120,25 @@ def st3_associate_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_detections(own, 3).select("group_id", "frame", F.col("det").cast("int").alias("det"), (F.col("x0") + 20).alias("x"), (F.col("y0") + 20).alias("y"), F.col("rank").alias("row"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_dets(spark, sf_dir).withColumn("score", F.lit(1.0) / (F.col("det") + 1))
+
+
+@query()
+def st3_associate_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cameras with the tracker; a detection's own centre and two corners are its points, and rows whose points lie in each other's boxes are one animal."""
+    own = _scored(spark, sf_dir)
+    spots = F.array(*(F.struct(F.lit(k).alias("bodypart"), (F.col("cx") + d).alias("x"), (F.col("cy") + d).alias("y")) for k, d in (("mid", 0), ("low", 9), ("high", -9))))
+    points = own.select("group_id", "frame", "camera", "det", F.explode(spots).alias("p")).select("group_id", "frame", "camera", "det", "p.*")
+    return rounded(associate_group(own, rig(spark), 24, max_res=2.0, points=points, overlap=0.8))
+
+
+@query()
+def st3_associate_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cameras, each frame on its own, then linked."""
+    return rounded(associate_group(_scored(spark, sf_dir), rig(spark), 24, follow=False, link=True, max_res=2.0))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of four files, a file a micro-batch."""
     own, landing = table(spark, sf_dir, "events"), f"{scratch(spark)}/landing"

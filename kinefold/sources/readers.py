@@ -12,22 +12,20 @@ from pyspark.sql import functions as F
 from kinefold.functions.status import finite
 from kinefold.sources.schema import ASSOCIATION_PX, CAMERA, LABELS, MODES, PREFIX, SESSION, TABLES
 
-_PLACE = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
-
-
 def _placed(df: DataFrame, path: Column) -> DataFrame:
-    """root, split and session_id from a file's path."""
-    return df.withColumns({n: F.regexp_extract(path, _PLACE, k) for k, n in enumerate(("root", "split", "session_id"), 1)})
+    """root, split and session_id from a file's path: the folders above it."""
+    return df.withColumns({n: F.substring_index(F.substring_index(path, "/", -k), "/", 1) for n, k in (("root", 4), ("split", 3), ("session_id", 2))})
 
 
-def _manifests(spark: SparkSession, path: str, name: str) -> DataFrame:
+def manifest_texts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Files of a name below a path: file, body, root, split, session_id."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
     return _placed(files.select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("body")), F.col("file"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """The sessions below a path: root, split, session_id. A session is a folder with a session.toml; none at all is an error."""
-    found = _manifests(spark, path, "session.toml").select("root", "split", "session_id")
+    found = manifest_texts(spark, path, "session.toml").select("root", "split", "session_id")
     if found.isEmpty():
         raise FileNotFoundError(f"no session below {path}")
     return found
@@ -57,25 +55,59 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
                 rows.append(out)
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return _manifests(spark, path, "session.toml").mapInPandas(parse, f"{PREFIX}, violation string, {SESSION}")
+    return manifest_texts(spark, path, "session.toml").mapInPandas(parse, f"{PREFIX}, violation string, {SESSION}")
 
 
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
-    """Cameras in section order; one without a matrix is a nominal pinhole at the origin and not calibrated."""
+    """Cameras in section order; one without a matrix is a nominal pinhole at the origin and not calibrated.
+
+    What a file does not say (a name, a size) or says wrongly is null, and a file that cannot be read is one row of nulls, which V-4 reports.
+    """
+
+    names = [c.split(" ")[0] for c in CAMERA.split(", ")]
+
+    def numbers(c: dict, key: str, n: int, otherwise: list[float] | None) -> list[float] | None:
+        flat = [float(v) for row in c[key] for v in (row if isinstance(row, list) else [row])] if key in c else otherwise
+        if flat is not None and len(flat) != n:
+            raise ValueError(key)
+        return flat
+
+    def camera(c: dict, k: int) -> dict:
+        w, h = (int(v) for v in c["size"]) if "size" in c else (None, None)
+        f = None if w is None else float(max(w, h))
+        nominal = None if w is None else [f, 0.0, w / 2, 0.0, f, h / 2, 0.0, 0.0, 1.0]
+        ox, oy = (float(v) for v in c.get("offset", (0, 0)))
+        return {
+            "name": c.get("name"), "cam_ix": k, "width": w, "height": h, "matrix": numbers(c, "matrix", 9, nominal), "distortions": numbers(c, "distortions", 5, [0.0] * 5),
+            "rvec": numbers(c, "rotation", 3, [0.0] * 3), "tvec": numbers(c, "translation", 3, [0.0] * 3), "fisheye": bool(c.get("fisheye", False)), "moving": bool(c.get("moving", False)),
+            "calibrated": "matrix" in c, "offset_x": ox, "offset_y": oy,
+        }
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                sections = [v for v in tomllib.loads(r.body).values() if isinstance(v, dict) and "name" in v]
+                place = {"root": r.root, "split": r.split, "session_id": r.session_id}
+                try:
+                    sections = [v for k, v in tomllib.loads(r.body).items() if isinstance(v, dict) and k != "metadata"]
+                except ValueError:
+                    sections = [{"size": None}]
                 for k, c in enumerate(sections):
-                    w, h = c["size"]
-                    flat = [float(v) for row in c["matrix"] for v in row] if "matrix" in c else [float(max(w, h)), 0.0, w / 2, 0.0, float(max(w, h)), h / 2, 0.0, 0.0, 1.0]
-                    ox, oy = c.get("offset", (0, 0))
-                    rows.append((r.root, r.split, r.session_id, c["name"], k, int(w), int(h), flat, [float(v) for v in c.get("distortions", [0.0] * 5)], [float(v) for v in c.get("rotation", [0.0] * 3)], [float(v) for v in c.get("translation", [0.0] * 3)], bool(c.get("fisheye", False)), bool(c.get("moving", False)), "matrix" in c, float(ox), float(oy)))
-            yield pd.DataFrame(rows, columns=["root", "split", "session_id", *(c.split(" ")[0] for c in CAMERA.split(", "))])
+                    try:
+                        found = camera(c, k)
+                    except (ValueError, TypeError):
+                        found = {"cam_ix": k}
+                    rows.append(place | dict.fromkeys(names) | found)
+            yield pd.DataFrame(rows, columns=["root", "split", "session_id", *names], dtype=object)
+
+    return manifest_texts(spark, path, "calibration.toml").mapInPandas(parse, f"{PREFIX}, {CAMERA}")
+
 
-    return _manifests(spark, path, "calibration.toml").mapInPandas(parse, f"{PREFIX}, {CAMERA}")
+def read_image_files(spark: SparkSession, path: str) -> DataFrame:
+    """Image files below the sessions' group folders: root, split, session_id, group_id, camera, file. Only the listing is read; a file without a byte is no image."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(path).select("path")
+    place = r"([^/]+)/([^/]+)/([^/]+)/groups/([^/]+)/([^/]+)/([^/]+)$"
+    return found.select(*(F.regexp_extract("path", place, k).alias(n) for k, n in enumerate(("root", "split", "session_id", "group_id", "camera", "file"), 1))).where("root <> ''")
 
 
 def read_table(spark: SparkSession, path: str, stem: str) -> DataFrame:

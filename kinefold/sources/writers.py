@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import sigmoid
 from kinefold.functions.status import finite
 
 ROWS_A_FILE = 250_000
+PLACE = ["root", "split", "session_id"]
 # How a window ended.
 OUTCOMES = ("ok", "no box", "no camera", "no points")
 
@@ -38,3 +44,99 @@ def window_outcomes(windows: DataFrame) -> DataFrame:
 def camera_rows(cameras: DataFrame) -> DataFrame:
     """Uncalibrated cameras keep their name, size and offset only, so that reading them makes no calibration of a nominal pinhole."""
     return cameras.withColumns({c: F.when(F.col("calibrated"), F.col(c)) for c in ("matrix", "distortions", "rvec", "tvec")})
+
+
+def _text(c: str | Column) -> Column:
+    """A text as a quoted TOML string."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+
+
+def session_text(sessions: DataFrame) -> DataFrame:
+    """root, split, session_id and the body of session.toml; what is null is left out."""
+    texts = [F.concat(F.lit(f"{k} = "), _text(k)) for k in ("mode", "units", "labels") if k in sessions.columns]
+    lists = [F.concat(F.lit(f"{k} = "), F.to_json(k)) for k in ("names", "skeleton", "flip_pairs") if k in sessions.columns]
+    numbers = [F.concat(F.lit(f"{k} = "), F.col(k).cast("string")) for k in ("assoc_res_max_px",) if k in sessions.columns]
+    return sessions.select(*PLACE, F.concat_ws("\n", *texts, *lists, *numbers, F.lit("")).alias("body"))
+
+
+def camera_text(cameras: DataFrame) -> DataFrame:
+    """root, split, session_id and the body of calibration.toml, cameras in their order; uncalibrated ones say name, size, offset and moving only."""
+    own = camera_rows(cameras)
+    nine = F.transform(F.array(F.lit(1), F.lit(4), F.lit(7)), lambda k: F.slice("matrix", k, F.lit(3)))
+    lines = [
+        F.concat(F.lit("[cam_"), F.col("cam_ix").cast("string"), F.lit("]")),
+        F.concat(F.lit("name = "), _text("name")),
+        F.when(F.col("width").isNotNull(), F.concat(F.lit("size = "), F.to_json(F.array("width", "height")))),
+        F.when(F.col("matrix").isNotNull(), F.concat(F.lit("matrix = "), F.to_json(nine))),
+        *(F.concat(F.lit(f"{k} = "), F.to_json(c)) for k, c in (("distortions", "distortions"), ("rotation", "rvec"), ("translation", "tvec"))),
+        F.when(F.col("calibrated"), F.concat(F.lit("fisheye = "), F.col("fisheye").cast("string"))),
+        F.concat(F.lit("offset = "), F.to_json(F.array("offset_x", "offset_y"))),
+        F.concat(F.lit("moving = "), F.col("moving").cast("string")),
+    ]
+    sections = F.array_sort(F.collect_list(F.struct("cam_ix", F.concat_ws("\n", *lines, F.lit("")).alias("text"))))
+    return own.groupBy(*PLACE).agg(F.array_join(F.transform(sections, lambda x: x["text"]), "\n").alias("body"))
+
+
+def _session_folder(path: str, place: tuple[str, str, str]):
+    """The file system of a root's parent folder, and a session's folder there, made if it is not."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    folder = "/".join([base.rstrip("/"), *place])
+    store.create_dir(folder, recursive=True)
+    return store, folder
+
+
+def write_texts(texts: DataFrame, path: str, name: str) -> int:
+    """The body of each row as <path>/<root>/<split>/<session_id>/<name>; how many were written. A file is renamed when it is whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, folder = _session_folder(path, tuple(row[k] for k in PLACE))
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(row["body"].encode())
+                store.move(part, f"{folder}/{name}")
+                n += 1
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    return texts.select(*PLACE, "body").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_session_files(df: DataFrame, path: str, stem: str) -> int:
+    """A table as <path>/<root>/<split>/<session_id>/<stem>.pq, zstd Parquet sorted by clip and frame; how many files were written.
+
+    The format keeps a session's table in one file, so a session is one task, which streams its rows in batches; a
+    repeated task replaces its file. write_table has no such bound.
+    """
+    order = [c for c in ("group_id", "frame") if c in df.columns]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, out, n = None, None, 0
+
+        def close() -> None:
+            out[0].close()
+            out[1].move(out[2], f"{out[3]}/{stem}.pq")
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in PLACE), strict=True))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                own = batch.slice(a, b - a).drop_columns(PLACE)
+                if keys[a] != place:
+                    if out is not None:
+                        close()
+                    place, n = keys[a], n + 1
+                    store, folder = _session_folder(path, place)
+                    part = f"{folder}/_{uuid.uuid4().hex}"
+                    out = (pq.ParquetWriter(part, own.schema, filesystem=store, compression="zstd"), store, part, folder)
+                out[0].write_batch(own)
+        if out is not None:
+            close()
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    return df.repartition(*PLACE).sortWithinPartitions(*PLACE, *order).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -64,3 +64,62 @@ def test_variant_keys_and_sequences(spark):
 def test_views_that_do_not_meet(spark):
     df = spark.createDataFrame([("s", 0, 1, 50.0), ("s", 1, 1, 3.0)], "group_id string, frame int, animal int, residual double")
     assert v.check_v12(df, 30.0).first().n == 1
+
+
+def test_camera_files_that_break_kill_no_job(spark, tmp_path):
+    for name, text in (("a", "[cam_0\n"), ("b", '[cam_0]\nsize = [64, 48]\n[metadata]\n'), ("c", '[cam_0]\nname = "c0"\n'), ("d", '[cam_0]\nname = "c0"\nsize = [64, 48]\nmatrix = [1.0]\n')):
+        (tmp_path / "r" / "train" / name).mkdir(parents=True)
+        (tmp_path / "r" / "train" / name / "calibration.toml").write_text(text)
+    rows = {r.session_id: r for r in rd.read_cameras(spark, str(tmp_path)).collect()}
+    assert {k: (r.name, r.width) for k, r in rows.items()} == {"a": (None, None), "b": (None, 64), "c": ("c0", None), "d": (None, None)}
+    assert v.check_v4(spark.createDataFrame([], "session_id string, mode string"), rd.read_cameras(spark, str(tmp_path))).count() == 4
+
+
+def test_texts_come_back(spark, tmp_path):
+    df = spark.createDataFrame([("r", "val", 's "1"', "2d", "px", "annotated", ['a"b', "c\\d"], None, 4.0)], "root string, split string, session_id string, mode string, units string, labels string, names array<string>, skeleton array<array<string>>, assoc_res_max_px double")
+    assert wr.write_texts(wr.session_text(df), str(tmp_path), "session.toml") == 1
+    got = rd.read_sessions(spark, str(tmp_path)).first()
+    assert (got.root, got.split, got.names, got.assoc_res_max_px, got.violation) == ("r", "val", ['a"b', "c\\d"], 4.0, None)
+
+
+def test_names_of_roots(spark):
+    from kinefold.operators.sets import names_disagree
+
+    df = spark.createDataFrame([("a", "train", "s", ["x", "y"]), ("b", "train", "s", ["y", "x"]), ("b", "val", "t", ["x", "z"]), ("b", "val", "u", None)], "root string, split string, session_id string, names array<string>")
+    assert [r.session_id for r in names_disagree(df).collect()] == ["t"]
+
+
+def test_contract_over_a_path(spark, tmp_path):
+    """Two sessions of two cameras, one that obeys every rule and one that breaks as many as one folder can."""
+    from kinefold.functions.geometry import Camera, project, rodrigues
+    from kinefold.sources.contract import validate
+
+    lit = F.lit
+    place = ["root", "split", "session_id"]
+    sessions = spark.createDataFrame([("r", "train", "good", "3d", ["p", "q"]), ("r", "test", "bad", "3d", ["p", "q"])], "root string, split string, session_id string, mode string, names array<string>").withColumns({"units": lit("mm"), "labels": lit("annotated")})
+    path = str(tmp_path)
+    wr.write_texts(wr.session_text(sessions), path, "session.toml")
+    cams = sessions.select(*place, F.explode(F.array(lit(0), lit(1))).alias("cam_ix")).withColumns({"name": F.concat(lit("c"), "cam_ix"), "width": lit(200), "height": lit(200), "matrix": F.array(*map(lit, (100.0, 0.0, 100.0, 0.0, 100.0, 100.0, 0.0, 0.0, 1.0))), "distortions": F.array(*[lit(0.0)] * 5), "rvec": F.array(lit(0.0), F.col("cam_ix") * 0.4, lit(0.0)), "tvec": F.array(F.col("cam_ix") * -1.0, lit(0.0), lit(5.0)), "fisheye": lit(False), "moving": lit(False), "calibrated": lit(True), "offset_x": lit(0.0), "offset_y": lit(0.0)})
+    wr.write_texts(wr.camera_text(cams), path, "calibration.toml")
+    wr.write_session_files(sessions.select(*place, lit("g").alias("group_id"), lit(3).alias("n_frames")), path, "groups")
+    points = spark.createDataFrame([("p", 0.1, 0.2, 0.3), ("q", -0.3, 0.1, 0.1)], "bodypart string, px double, py double, pz double")
+    cells = rodrigues(F.element_at("rvec", 1), F.element_at("rvec", 2), F.element_at("rvec", 3))
+    seen = project(cams.crossJoin(points).withColumn("frame", F.explode(F.array(lit(0), lit(1), lit(2)))).withColumns({f"r{k}": c for k, c in enumerate(cells)}), Camera(lit(100.0), lit(100.0), lit(100.0), lit(100.0), tuple(F.col(f"r{k}") for k in range(9)), tuple(F.element_at("tvec", k) for k in (1, 2, 3)), tuple(lit(0.0) for _ in range(5)), lit(0.0), lit(0.0)), "px", "py", "pz")
+    bad = F.col("session_id") == "bad"
+    rows = seen.select(*place, lit("g").alias("group_id"), "frame", lit("m").alias("animal_id"), F.col("name").alias("camera"), "bodypart", lit("visible").alias("status"), F.col("u").cast("float").alias("x"), (F.col("v") + F.when(bad & (F.col("cam_ix") == 1), 150.0).otherwise(0.0)).cast("float").alias("y"))
+    first = rows.where(bad & (F.col("frame") == 0) & (F.col("camera") == "c0") & (F.col("bodypart") == "p"))
+    odd = first.withColumn("bodypart", lit("zz")).unionByName(first.withColumn("camera", lit("c9"))).unionByName(first.withColumn("frame", lit(3))).unionByName(first.withColumn("group_id", lit("none"))).unionByName(first)
+    wr.write_session_files(rows.unionByName(odd), path, "keypoints")
+    boxes = rows.where("bodypart = 'p'").select(*place, "group_id", "frame", "animal_id", "camera", *(lit(v).cast("float").alias(c) for c, v in (("x0", 1), ("y0", 1), ("x1", 9), ("y1", 9))), F.when(bad & (F.col("frame") == 2), "present").otherwise("labeled").alias("status"))
+    wr.write_session_files(boxes, path, "instances")
+    for name, files in (("train/good", ("000000.jpg", "000001.jpg", "000002.jpg")), ("test/bad", ("000000.jpg", "000001.png", "000002.jpg"))):
+        for c in ("c0", "c1"):
+            folder = tmp_path / "r" / name / "groups" / "g" / c
+            folder.mkdir(parents=True)
+            for f in files:
+                (folder / f).write_bytes(b"x")
+    out = {(r.rule, r.session_id, r.message): r.n for r in validate(spark, path).collect()}
+    assert out == {
+        ("V-6", "r/test/bad", "unknown bodypart"): 1, ("V-6", "r/test/bad", "unknown camera"): 1, ("V-6", "r/test/bad", "frame out of range"): 1, ("V-6", "r/test/bad", "unknown group"): 1,
+        ("V-7", "r/test/bad", "image files"): 2, ("V-9", "r/test/bad", "duplicate key"): 1, ("V-11", "r/test/bad", "keypoints without an instance"): 3, ("V-12", "r/test/bad", "views do not meet"): 1,
+    }
