@@ -86,7 +86,18 @@ def src10_explode_pose_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = densify(fixture(spark, sf_dir, "truth"), NAMES)
     blank = F.transform(F.sequence(F.lit(1), F.lit(len(NAMES))), lambda k: F.array(F.lit(float("nan")), F.lit(float("nan"))))
     pose = F.transform("pose", lambda row: F.coalesce(F.transform(row, lambda p: F.array(F.coalesce(p["x"], F.lit(float("nan"))), F.coalesce(p["y"], F.lit(float("nan"))))), blank))
-    return rd.explode_pose_array(dense.select("group_id", "animal", pose.alias("pose")), NAMES).select("group_id", "animal", "frame", "bodypart", "status", "x", "y")
+    return rd.explode_pose_array(dense.select("group_id", "animal", "t0", pose.alias("pose")), NAMES, start="t0")
+
+
+@query(ctes("truth", "sess") + "SELECT group_id, animal, frame, 'c' || c AS camera, bodypart, CASE WHEN (frame + c) % 3 = 0 THEN 'missing' ELSE 'visible' END AS status FROM truth JOIN sess USING (group_id), (SELECT unnest(range(2)) AS c) WHERE x IS NOT NULL AND frame < n_frames - 100")
+def src10_explode_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which camera sees what, in recordings that are 100 frames shorter than their labels."""
+    from kinefold.operators.sampling import densify
+
+    dense = densify(fixture(spark, sf_dir, "truth"), NAMES).join(fixture(spark, sf_dir, "sess").select("group_id", (F.col("n_frames") - 100).alias("recorded")), "group_id")
+    pose = F.transform("pose", lambda row: F.coalesce(F.transform(row, lambda p: F.array(p["x"], p["y"])), F.array()))
+    vis = F.transform("pose", lambda row, t: F.transform(F.sequence(F.lit(1), F.lit(len(NAMES))), lambda k: F.array(*((F.col("t0") + t + c) % 3 != 0 for c in range(2)))))
+    return rd.explode_visibility(dense.select("group_id", "animal", "t0", "recorded", pose.alias("pose"), vis.alias("vis")), NAMES, ["c0", "c1"], start="t0", n_frames="recorded")
 
 
 @query("WITH n AS (SELECT p_size, list(DISTINCT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || (p_partkey % 3)::VARCHAR) AS names FROM part GROUP BY 1), s AS (SELECT p_size, list_sort(names) AS by_name, list_sort(list_transform(names, lambda x: {'k': replace(x, '-', '_'), 'n': x})) AS by_column FROM n), p AS (SELECT p_size, list_transform(by_name, lambda x: list_position(list_transform(by_column, lambda y: y.n), x) - 1) AS perm, range(len(by_name)) AS same FROM s) SELECT p_size, CASE WHEN perm <> same THEN array_to_string(perm, ',') END AS perm FROM p")

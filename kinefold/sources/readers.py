@@ -158,13 +158,33 @@ def read_framesets(df: DataFrame) -> DataFrame:
     return df.select(F.explode("framesets").alias("key", "n")).select(frame_key(F.col("key")).alias("k"), "n").select("k.*", "n")
 
 
-def explode_pose_array(df: DataFrame, names: list[str]) -> DataFrame:
-    """pose[t][k] = [x, y] of each (group_id, animal): finite points are visible, others have no row, and so have animals without any."""
-    frames = df.select("group_id", "animal", F.posexplode("pose").alias("frame", "row"))
-    parts = frames.select("group_id", "animal", "frame", F.posexplode("row").alias("k", "p"))
-    x, y = finite(F.element_at("p", 1)), finite(F.element_at("p", 2))
-    axis = F.array(*map(F.lit, names))
-    return parts.select("group_id", "animal", "frame", F.element_at(axis, F.col("k") + 1).alias("bodypart"), F.lit("visible").alias("status"), x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+def _pose_points(df: DataFrame, names: list[str], start: str | None, n_frames: str | None, seen: str | None = None) -> DataFrame:
+    """The finite points of pose[t][k], with what seen[t][k] holds for them."""
+    keys, axis = ["group_id", "animal"], F.array(*map(F.lit, names))
+    first = F.coalesce(F.col(start), F.lit(0)) if start else F.lit(0)
+    last = F.col(n_frames) if n_frames else F.lit(None)
+    rows = df.select(*keys, first.cast("int").alias("_first"), last.cast("int").alias("_n"), *([F.col(seen).alias("_seen")] if seen else []), F.posexplode("pose").alias("_t", "row"))
+    rows = rows.withColumn("frame", F.col("_first") + F.col("_t")).where("_n is null or frame < _n")
+    parts = rows.select(*keys, "frame", *([F.get("_seen", F.col("_t")).alias("_seen")] if seen else []), F.posexplode("row").alias("k", "p"))
+    points = parts.select(*keys, "frame", F.element_at(axis, F.col("k") + 1).alias("bodypart"), finite(F.element_at("p", 1)).alias("x"), finite(F.element_at("p", 2)).alias("y"), *([F.get("_seen", F.col("k")).alias("_seen")] if seen else []))
+    return points.where("x is not null and y is not null")
+
+
+def explode_pose_array(df: DataFrame, names: list[str], *, start: str | None = None, n_frames: str | None = None) -> DataFrame:
+    """pose[t][k] = [x, y] of each (group_id, animal): finite points are visible, others have no row, and so have animals without any.
+
+    start names a column with the frame of pose[0], where an array is a block of a clip; n_frames one with the frames that
+    the recording really has: later ones are left out.
+    """
+    points = _pose_points(df, names, start, n_frames)
+    return points.select("group_id", "animal", "frame", "bodypart", F.lit("visible").alias("status"), "x", "y")
+
+
+def explode_visibility(df: DataFrame, names: list[str], cameras: list[str], *, vis: str = "vis", start: str | None = None, n_frames: str | None = None) -> DataFrame:
+    """vis[t][k][c] beside pose[t][k]: a row without a place for each finite point and camera, visible or missing; none where vis is null."""
+    points = _pose_points(df, names, start, n_frames, vis)
+    own = points.select("group_id", "animal", "frame", "bodypart", F.posexplode("_seen").alias("c", "sees"))
+    return own.select("group_id", "animal", "frame", F.get(F.array(*map(F.lit, cameras)), F.col("c")).alias("camera"), "bodypart", F.when(F.col("sees"), "visible").otherwise("missing").alias("status")).where("sees is not null and camera is not null")
 
 
 def read_sequence(df: DataFrame, names: list[str], w: float, h: float) -> DataFrame:
