@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefold.llm import language, quality, toxicity
+from kinefold.llm import infill, language, quality, toxicity
 from kinefold.llm.common import crc_fold, scratch_path
 from kinefold.llm.decontaminate import contamination
 from kinefold.llm.html_text import extract_text
@@ -75,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, model), 3, 1, toxicity.THRESHOLD)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_output": op2_token_output,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
