@@ -149,9 +149,45 @@ class WordEncoder:
         return np.split(ids, ends[edges[1:-1]])
 
 
-def shared_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process, added tokens matched: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
+class ChunkEncoder:
+    """Ids of tokenizers that drop white space: a text's ids are those of its blank-separated chunks in order. Only unseen chunks reach the library."""
+
+    def __init__(self, path: str, chunks: int = 500_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.whole, self.most = Tokenizer.from_file(path), chunks
+        self.size = self.whole.get_vocab_size()
+        if self.whole.encode("a b", add_special_tokens=False).ids != self._learn("a")[0] + self._learn("b")[0]:
+            raise ValueError(f"{path}: the ids of a text are not those of its chunks")
+        self.known = _Known(self._learn)
+
+    def _learn(self, chunk: str) -> tuple[list[int], int]:
+        return self.whole.encode(chunk, add_special_tokens=False).ids, 0
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        if len(self.known) > self.most or len(self.known.flat) > 8 * self.most or self.known.chars > 16 * self.most:
+            self.known = _Known(self._learn)
+        chunks = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int32, sum(map(len, chunks)))
+        ids, ends = self.known.ids(at)
+        return np.split(ids, ends[np.cumsum([len(x) for x in chunks])[:-1]])
+
+
+def _kept(kind: str, path: str, make: Callable[[], object]) -> object:
+    """An encoder of this worker process: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
     kept = vars(sys).setdefault("_kinefold_encoders", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path, added=True)
-    return kept[path]
+    if (kind, path) not in kept:
+        kept[kind, path] = make()
+    return kept[kind, path]
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The word encoder of this process, added tokens matched."""
+    return _kept("words", path, lambda: WordEncoder(path, added=True))
+
+
+def shared_chunk_encoder(path: str) -> ChunkEncoder:
+    return _kept("chunks", path, lambda: ChunkEncoder(path))

@@ -12,6 +12,7 @@ from kinefold.llm.html_text import extract_text
 from kinefold.llm.lempel_ziv import compare_edited
 from kinefold.llm.packing import pack
 from kinefold.llm.pii import find_pii
+from kinefold.llm.retrieval_packing import pack_related
 from kinefold.llm.simhash import near_duplicates
 from kinefold.llm.tokens import token_digests, write_tokens
 
@@ -75,6 +76,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, model), 3, 1, toxicity.THRESHOLD)
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_related(_documents(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_documents(spark, sf_dir))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op12_retrieval_packing": op12_retrieval_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
