@@ -176,7 +176,7 @@ class ChunkEncoder:
         return np.split(ids, ends[np.cumsum([len(x) for x in chunks])[:-1]])
 
 
-def _kept(kind: str, path: str, make: Callable[[], object]) -> object:
+def kept_encoder(kind: str, path: str, make: Callable[[], object]) -> object:
     """An encoder of this worker process: what it has learned serves the tasks that follow. It hangs on a module of the process, as functions that arrive by value have new globals each time."""
     kept = vars(sys).setdefault("_kinefold_encoders", {})
     if (kind, path) not in kept:
@@ -186,8 +186,8 @@ def _kept(kind: str, path: str, make: Callable[[], object]) -> object:
 
 def shared_encoder(path: str) -> WordEncoder:
     """The word encoder of this process, added tokens matched."""
-    return _kept("words", path, lambda: WordEncoder(path, added=True))
+    return kept_encoder("words", path, lambda: WordEncoder(path, added=True))
 
 
 def shared_chunk_encoder(path: str) -> ChunkEncoder:
-    return _kept("chunks", path, lambda: ChunkEncoder(path))
+    return kept_encoder("chunks", path, lambda: ChunkEncoder(path))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinefold.llm import infill, language, quality, toxicity
+from kinefold.llm.alignment import align
 from kinefold.llm.common import crc_fold, scratch_path
 from kinefold.llm.decontaminate import contamination
 from kinefold.llm.html_text import extract_text
@@ -76,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, model), 3, 1, toxicity.THRESHOLD)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_documents(spark, sf_dir))
+
+
 def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_related(_documents(spark, sf_dir))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_retrieval_packing": op12_retrieval_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
