@@ -172,8 +172,16 @@ def rotate_z(x: Column, y: Column, cos: Column, sin: Column) -> tuple[Column, Co
     return x * cos - y * sin, x * sin + y * cos
 
 
+#: Lens models: what a calibration may name. Fisheye is the equidistant one.
+MODELS = ("pinhole", "fisheye")
+
+
 class Camera(NamedTuple):
-    """Pinhole camera columns: focal lengths, centre, rotation matrix rows, translation, distortion (k1, k2, p1, p2, k3), offset."""
+    """Camera columns: focal lengths, centre, rotation matrix rows, translation, distortion, offset, and whether the lens is a fisheye.
+
+    A pinhole's distortion is (k1, k2, p1, p2, k3). A fisheye is equidistant: a ray at angle t from the axis lands at
+    t (1 + k1 t^2 + k2 t^4 + k3 t^6 + k4 t^8) from the centre, with k1 to k4 the first four numbers.
+    """
 
     fx: Column
     fy: Column
@@ -184,6 +192,19 @@ class Camera(NamedTuple):
     k: tuple[Column, Column, Column, Column, Column]
     offset_x: Column
     offset_y: Column
+    fisheye: Column | None = None
+
+
+def is_fisheye(model: Column) -> Column:
+    """Of a model's name; an error where it is not one of MODELS (or is null)."""
+    unknown = F.raise_error(F.concat(F.lit("unknown lens model: "), F.coalesce(model, F.lit("null")))).cast("boolean")
+    return F.when(model == "fisheye", F.lit(True)).when(model == "pinhole", F.lit(False)).otherwise(unknown)
+
+
+def _angle_series(t2: Column, k: tuple[Column, ...], powers: tuple[int, ...] = (1, 1, 1, 1)) -> Column:
+    """1 + k1 t^2 + k2 t^4 + k3 t^6 + k4 t^8, each term times a power for the derivative."""
+    k1, k2, k3, k4 = (F.lit(float(p)) * c for p, c in zip(powers, k[:4], strict=True))
+    return F.lit(1.0) + t2 * (k1 + t2 * (k2 + t2 * (k3 + t2 * k4)))
 
 
 def rodrigues(rx: Column, ry: Column, rz: Column) -> tuple[Column, ...]:
@@ -207,15 +228,60 @@ def project(df: DataFrame, cam: Camera, x: str = "x", y: str = "y", z: str = "z"
     Each step is a column of its own, so that the next one does not repeat its expression.
     """
     px, py, pz = to_camera(F.col(x), F.col(y), F.col(z), cam)
-    k1, k2, p1, p2, k3 = cam.k
     own = df.withColumns({"_px": px, "_py": py, "_pz": F.when(pz > 0, pz)})
     own = own.withColumns({"_a": F.col("_px") / F.col("_pz"), "_b": F.col("_py") / F.col("_pz")})
+    own = _bend(own, cam)
+    return own.withColumns({"u": cam.fx * F.col("_ud") + cam.cx - cam.offset_x, "v": cam.fy * F.col("_vd") + cam.cy - cam.offset_y}).drop("_px", "_py", "_pz", "_a", "_b", "_ud", "_vd")
+
+
+def _bend(own: DataFrame, cam: Camera) -> DataFrame:
+    """Where the lens bends the directions _a, _b to: _ud, _vd."""
+    k1, k2, p1, p2, k3 = cam.k
     a, b, r2 = F.col("_a"), F.col("_b"), F.col("_r2")
     own = own.withColumn("_r2", a * a + b * b)
     own = own.withColumn("_radial", F.lit(1.0) + r2 * (k1 + r2 * (k2 + r2 * k3)))
     ud = a * F.col("_radial") + F.lit(2.0) * p1 * a * b + p2 * (r2 + F.lit(2.0) * a * a)
     vd = b * F.col("_radial") + p1 * (r2 + F.lit(2.0) * b * b) + F.lit(2.0) * p2 * a * b
-    return own.withColumns({"u": cam.fx * ud + cam.cx - cam.offset_x, "v": cam.fy * vd + cam.cy - cam.offset_y}).drop("_px", "_py", "_pz", "_a", "_b", "_r2", "_radial")
+    if cam.fisheye is not None:
+        own = own.withColumn("_r", F.sqrt(r2)).withColumn("_t", F.atan("_r"))
+        t, r = F.col("_t"), F.col("_r")
+        own = own.withColumn("_scale", F.when(r > 1e-12, t * _angle_series(t * t, cam.k) / r).otherwise(F.lit(1.0)))
+        ud, vd = F.when(cam.fisheye, a * F.col("_scale")).otherwise(ud), F.when(cam.fisheye, b * F.col("_scale")).otherwise(vd)
+    return own.withColumns({"_ud": ud, "_vd": vd}).drop("_r2", "_radial", "_r", "_t", "_scale")
+
+
+def unproject(df: DataFrame, cam: Camera, u: str = "u", v: str = "v", rounds: int = 20) -> DataFrame:
+    """df with a, b: the direction (a, b, 1) in the camera's frame that lands on a pixel; none where there is no such direction.
+
+    A pinhole's lens is undone by fixed-point steps, a fisheye's by Newton's on the angle; the steps are a fold, so that the plan stays small.
+    """
+    own = df.withColumns({"_wu": (F.col(u) + cam.offset_x - cam.cx) / cam.fx, "_wv": (F.col(v) + cam.offset_y - cam.cy) / cam.fy})
+    wu, wv = F.col("_wu"), F.col("_wv")
+    k1, k2, p1, p2, k3 = cam.k
+    steps = F.sequence(F.lit(1), F.lit(rounds))
+
+    def bent(a: Column, b: Column) -> tuple[Column, Column]:
+        r2 = a * a + b * b
+        radial = F.lit(1.0) + r2 * (k1 + r2 * (k2 + r2 * k3))
+        return a * radial + F.lit(2.0) * p1 * a * b + p2 * (r2 + F.lit(2.0) * a * a), b * radial + p1 * (r2 + F.lit(2.0) * b * b) + F.lit(2.0) * p2 * a * b
+
+    def step(s: Column, _: Column) -> Column:
+        ud, vd = bent(s["a"], s["b"])
+        return F.struct((s["a"] + wu - ud).alias("a"), (s["b"] + wv - vd).alias("b"))
+
+    own = own.withColumn("_p", F.aggregate(steps, F.struct(wu.alias("a"), wv.alias("b")), step))
+    ud, vd = bent(F.col("_p.a"), F.col("_p.b"))
+    met = F.hypot(ud - wu, vd - wv) < 1e-6
+    a, b = F.when(met, F.col("_p.a")), F.when(met, F.col("_p.b"))
+    if cam.fisheye is not None:
+        own = own.withColumn("_d", F.hypot(wu, wv))
+        t, d = F.col("_t"), F.col("_d")
+        gap = lambda x: x * _angle_series(x * x, cam.k) - d
+        own = own.withColumn("_t", F.aggregate(steps, F.least(d, F.lit(1.5)), lambda x, _: x - gap(x) / _angle_series(x * x, cam.k, (3, 5, 7, 9))))
+        there = (F.abs(gap(t)) < 1e-9) & (t >= 0) & (t < F.lit(1.5707963))
+        own = own.withColumn("_f", F.when(there, F.when(d > 1e-12, F.tan(t) / d).otherwise(F.lit(1.0))))
+        a, b = F.when(cam.fisheye, wu * F.col("_f")).otherwise(a), F.when(cam.fisheye, wv * F.col("_f")).otherwise(b)
+    return own.withColumns({"a": a, "b": b}).drop("_wu", "_wv", "_p", "_d", "_t", "_f")
 
 
 def crop_camera(offset_x: Column, offset_y: Column, b: Box) -> tuple[Column, Column, Column, Column]:

@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinefold.functions.geometry import MODELS, is_fisheye
 
-#: Cameras of one rig: what a broadcast or a closure may hold.
+#: Cameras of one rig: what a broadcast or a closure may hold. Operators take a table of more as it is.
 MOST_CAMERAS = 1000
+#: Numbers of a camera in one array.
+LENS = 24
 
 
 class Rig(NamedTuple):
-    """A session's cameras as arrays."""
+    """A session's cameras as arrays; fisheye tells which lenses are equidistant (None: none is)."""
 
     names: list[str]
     focal: np.ndarray
@@ -25,15 +28,30 @@ class Rig(NamedTuple):
     translation: np.ndarray
     distortion: np.ndarray
     offset: np.ndarray
+    fisheye: np.ndarray | None = None
 
     @classmethod
     def collect(cls, cameras: DataFrame) -> Rig:
-        """From rows camera, fx, fy, cx, cy, rotation[9], translation[3], distortion[5], offset_x, offset_y."""
+        """From rows camera, fx, fy, cx, cy, rotation[9], translation[3], distortion[5], offset_x, offset_y and, if it is there, model (one of MODELS). Larger tables go to triangulate and track as they are."""
         rows = sorted(cameras.limit(MOST_CAMERAS + 1).collect(), key=lambda r: r.camera)
         if len(rows) > MOST_CAMERAS:
-            raise ValueError(f"more than {MOST_CAMERAS} cameras")
+            raise ValueError(f"more than {MOST_CAMERAS} cameras: give the operators the table, or rows with a lens each")
+        models = [r.model if "model" in r else "pinhole" for r in rows]
+        if unknown := sorted({str(x) for x in models} - set(MODELS)):
+            raise ValueError(f"unknown lens models: {', '.join(unknown)}")
         a = lambda f: np.array([f(r) for r in rows], float)
-        return cls([r.camera for r in rows], a(lambda r: [r.fx, r.fy]), a(lambda r: [r.cx, r.cy]), a(lambda r: r.rotation).reshape(-1, 3, 3), a(lambda r: r.translation), a(lambda r: r.distortion), a(lambda r: [r.offset_x, r.offset_y]))
+        return cls([r.camera for r in rows], a(lambda r: [r.fx, r.fy]), a(lambda r: [r.cx, r.cy]), a(lambda r: r.rotation).reshape(-1, 3, 3), a(lambda r: r.translation), a(lambda r: r.distortion), a(lambda r: [r.offset_x, r.offset_y]), np.array([x == "fisheye" for x in models], bool))
+
+    @classmethod
+    def of_lenses(cls, names: list[str], lenses: np.ndarray) -> Rig:
+        """From lens() arrays, one a camera."""
+        rows = np.asarray(lenses, float).reshape(-1, LENS)
+        if not np.isin(rows[:, 23], range(len(MODELS))).all():
+            raise ValueError("unknown lens model")
+        return cls(names, rows[:, :2], rows[:, 2:4], rows[:, 4:13].reshape(-1, 3, 3), rows[:, 13:16], rows[:, 16:21], rows[:, 21:23], rows[:, 23] == MODELS.index("fisheye"))
+
+    def _bends(self, cams: np.ndarray) -> np.ndarray:
+        return np.zeros(len(cams), bool) if self.fisheye is None else self.fisheye[cams]
 
     def moved(self, cams: np.ndarray, rotations: list, translations: list) -> Rig:
         """The rig with some cameras in other places: of each camera number its rotation (9 numbers) and translation, or None where it stays."""
@@ -48,22 +66,29 @@ class Rig(NamedTuple):
         p = np.einsum("nij,nj->ni", self.rotation[cams], points) + self.translation[cams]
         with np.errstate(all="ignore"):
             a = np.where(p[:, 2:] > 0, p[:, :2] / p[:, 2:], np.nan)
-        return self._bend(a, self.distortion[cams]) * self.focal[cams] + self.centre[cams] - self.offset[cams]
+        return self._bend(a, self.distortion[cams], self._bends(cams)) * self.focal[cams] + self.centre[cams] - self.offset[cams]
 
     @staticmethod
-    def _bend(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def _bend(a: np.ndarray, k: np.ndarray, fisheye: np.ndarray) -> np.ndarray:
         x, y = a[:, 0], a[:, 1]
         r2 = x * x + y * y
+        if fisheye.any():
+            r = np.sqrt(r2)
+            t = np.arctan(r)
+            scale = np.where(r > 1e-12, t * _angle_series(t * t, k) / np.where(r > 1e-12, r, 1.0), 1.0)
+            return np.where(fisheye[:, None], a * scale[:, None], Rig._bend(a, k, np.zeros(len(a), bool)))
         radial = 1 + r2 * (k[:, 0] + r2 * (k[:, 1] + r2 * k[:, 4]))
         return np.stack([x * radial + 2 * k[:, 2] * x * y + k[:, 3] * (r2 + 2 * x * x), y * radial + k[:, 2] * (r2 + 2 * y * y) + 2 * k[:, 3] * x * y], axis=1)
 
     def rays(self, pixels: np.ndarray, cams: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Undistorted directions (x, y, 1), by fixed-point steps; not finite where the steps run away, far outside the image."""
+        """Undistorted directions (x, y, 1), by fixed-point steps, of a fisheye by Newton's on the angle; not finite where the steps run away, far outside the image."""
         want = (pixels + self.offset[cams] - self.centre[cams]) / self.focal[cams]
-        got = want.copy()
+        got, bends = want.copy(), self._bends(cams)
         with np.errstate(all="ignore"):
             for _ in range(rounds):
-                got = got + want - self._bend(got, self.distortion[cams])
+                got = got + want - self._bend(got, self.distortion[cams], np.zeros(len(got), bool))
+            if bends.any():
+                got[bends] = _unbent(want[bends], self.distortion[cams][bends], rounds)
         return np.hstack([got, np.ones((len(got), 1))])
 
     def triangulate(self, pixels: np.ndarray, cams: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -89,6 +114,21 @@ class Rig(NamedTuple):
         return np.where(use, np.linalg.norm(seen - pixels, axis=2), np.nan)
 
 
+def _angle_series(t2: np.ndarray, k: np.ndarray, powers: tuple[int, ...] = (1, 1, 1, 1)) -> np.ndarray:
+    k1, k2, k3, k4 = (p * k[:, c] for c, p in enumerate(powers))
+    return 1 + t2 * (k1 + t2 * (k2 + t2 * (k3 + t2 * k4)))
+
+
+def _unbent(want: np.ndarray, k: np.ndarray, rounds: int) -> np.ndarray:
+    """Directions that a fisheye bends to want; NaN where the angle's polynomial has none below a right angle."""
+    d = np.linalg.norm(want, axis=1)
+    t = np.minimum(d, 1.5)
+    for _ in range(rounds):
+        t = t - (t * _angle_series(t * t, k) - d) / _angle_series(t * t, k, (3, 5, 7, 9))
+    there = (np.abs(t * _angle_series(t * t, k) - d) < 1e-9) & (t >= 0) & (t < np.pi / 2)
+    return want * np.where(there, np.where(d > 1e-12, np.tan(t) / np.where(d > 1e-12, d, 1.0), 1.0), np.nan)[:, None]
+
+
 def _lower_median(e: np.ndarray) -> np.ndarray:
     """Of each row the lower of the middle values that are there."""
     s = np.sort(e, axis=1)
@@ -104,16 +144,34 @@ def _views(views: DataFrame, keys: list[str], own_lens: bool) -> DataFrame:
     return views.groupBy(*keys).agg(seen.alias("w")).select(*keys, F.col("w.camera").alias("cams"), F.col("w.u").alias("us"), F.col("w.v").alias("vs"), *(F.col(f"w.{c}").alias(c) for c in more))
 
 
-def lens(fx, fy, cx, cy, rotation, translation, distortion, offset_x, offset_y) -> Column:
-    """A camera as one array of 23 numbers, the columns of Rig.collect in their order."""
-    return F.concat(F.array(fx, fy, cx, cy), rotation, translation, distortion, F.array(offset_x, offset_y))
+def lens(fx, fy, cx, cy, rotation, translation, distortion, offset_x, offset_y, fisheye: Column | None = None) -> Column:
+    """A camera as one array of numbers: the columns of Rig.collect in their order, and the place of its model in MODELS."""
+    model = F.lit(0.0) if fisheye is None else F.coalesce(fisheye, F.lit(False)).cast("double")
+    return F.concat(F.array(fx, fy, cx, cy), rotation, translation, distortion, F.array(offset_x, offset_y, model))
+
+
+def lenses(cameras: DataFrame) -> DataFrame:
+    """The rows of Rig.collect as camera, lens."""
+    c = F.col
+    fisheye = is_fisheye(c("model")) if "model" in cameras.columns else None
+    return cameras.select("camera", lens(c("fx"), c("fy"), c("cx"), c("cy"), c("rotation"), c("translation"), c("distortion"), c("offset_x"), c("offset_y"), fisheye).alias("lens"))
+
+
+def with_lenses(rows: DataFrame, cameras: DataFrame, poses: DataFrame | None = None) -> DataFrame:
+    """Rows (group_id, frame, camera, ...) with the lens of their camera: as cameras has it, or where poses (group_id, frame, camera, rotation[9], translation[3]) puts it in that frame. Rows of an unknown camera are left out."""
+    own = rows.join(lenses(cameras), "camera")
+    if poses is None:
+        return own
+    moved = own.join(poses.select("group_id", "frame", "camera", "rotation", "translation"), ["group_id", "frame", "camera"], "left")
+    there = F.col("rotation").isNotNull() & F.col("translation").isNotNull()
+    at = F.concat(F.slice("lens", 1, 4), F.col("rotation"), F.col("translation"), F.slice("lens", 17, 8))
+    return moved.withColumn("lens", F.when(there, at).otherwise(F.col("lens"))).drop("rotation", "translation")
 
 
 def _own_rig(batch: pd.DataFrame) -> Rig:
     """A rig with a camera for each view of the batch; the first one stands for views that are not there."""
-    rows = np.array([np.asarray(x, float) for row in batch["lens"] for x in row]).reshape(-1, 23)
-    rows = np.vstack([np.r_[1.0, 1.0, 0.0, 0.0, np.eye(3).ravel(), np.zeros(10)], rows])
-    return Rig([], rows[:, :2], rows[:, 2:4], rows[:, 4:13].reshape(-1, 3, 3), rows[:, 13:16], rows[:, 16:21], rows[:, 21:])
+    rows = np.array([np.asarray(x, float) for row in batch["lens"] for x in row]).reshape(-1, LENS)
+    return Rig.of_lenses([], np.vstack([np.r_[1.0, 1.0, 0.0, 0.0, np.eye(3).ravel(), np.zeros(LENS - 13)], rows]))
 
 
 def _padded(batch: pd.DataFrame, rig: Rig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +186,15 @@ def _padded(batch: pd.DataFrame, rig: Rig) -> tuple[np.ndarray, np.ndarray, np.n
     return cams, pixels, use
 
 
-def triangulate(views: DataFrame, rig: Rig | None, keys: list[str], *, reject_px: float | None = None, rounds: int = 2) -> DataFrame:
+def triangulate(views: DataFrame, rig: Rig | DataFrame | None, keys: list[str], *, reject_px: float | None = None, rounds: int = 2) -> DataFrame:
     """Points x, y, z of each key from its views (camera, u, v), with the residual (lower median over views), the views used, and those rejected.
 
-    Without a rig every view brings its own camera in a column lens, as cameras that move and tables of many rigs need.
+    Without a rig every view brings its own camera in a column lens, as cameras that move and tables of many rigs need. A
+    table of cameras (the rows of Rig.collect) is joined to the views, however many there are.
     With reject_px, views farther off than that and than five times the point's median are left out and the point is solved again.
     """
+    if isinstance(rig, DataFrame):
+        views, rig = views.join(lenses(rig), "camera"), None
     schema = views.select(*keys).schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 

@@ -181,6 +181,33 @@ def ge14_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected(spark, sf_dir).select("group_id", "frame", "point", "camera", r("u", 4).alias("u"), r("v", 4).alias("v"))
 
 
+def mixed_columns() -> g.Camera:
+    """The same rig with one pinhole; the other two are fisheyes."""
+    return camera_columns()._replace(fisheye=g.is_fisheye(F.when(F.col("camera") == "c0", "pinhole").otherwise("fisheye")))
+
+
+def projected_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.project(points3d(spark, sf_dir).crossJoin(F.broadcast(cameras(spark))), mixed_columns())
+
+
+#: The equidistant lens in SQL, in place of the pinhole's two.
+_ANGLE = "(1 + t * t * (-0.1::DOUBLE + t * t * (0.02::DOUBLE + t * t * (0.001::DOUBLE + t * t * -0.001::DOUBLE))))"
+MIXED_SQL = PROJECTED_SQL.replace("projected AS (", "pinhole AS (") + f", angled AS (SELECT *, sqrt(r2) AS rad, atan(sqrt(r2)) AS t FROM bent), projected AS (SELECT * FROM pinhole WHERE camera = 'c0' UNION ALL SELECT group_id, frame, point, camera, x, y, z, 300 * a * t * {_ANGLE} / rad + 128 - 4 AS u, 310 * b * t * {_ANGLE} / rad + 96 - 2 AS v FROM angled WHERE camera <> 'c0')"
+
+
+@query(f"WITH {MIXED_SQL} SELECT group_id, frame, point, camera, round(u, 4) AS u, round(v, 4) AS v FROM projected")
+def ge14_project_fisheye(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_mixed(spark, sf_dir).select("group_id", "frame", "point", "camera", r("u", 4).alias("u"), r("v", 4).alias("v"))
+
+
+@query(f"WITH {PROJECTED_SQL} SELECT group_id, frame, point, camera, round(a, 7) AS a, round(b, 7) AS b FROM flat")
+def ge14_unproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directions of the points, back from their pixels in both kinds of lenses."""
+    pixels = projected_mixed(spark, sf_dir).select("group_id", "frame", "point", "camera", "u", "v")
+    own = g.unproject(pixels.join(F.broadcast(cameras(spark)), "camera"), mixed_columns())
+    return own.select("group_id", "frame", "point", "camera", r("a", 7).alias("a"), r("b", 7).alias("b"))
+
+
 @query(ctes("sess") + ", frames AS (SELECT group_id, unnest(range(n_frames)) AS frame FROM sess), moving AS (SELECT DISTINCT concat('g', CAST(l_orderkey % 8 AS STRING)) AS group_id, CAST(floor(l_orderkey / 8.0) AS BIGINT) AS frame, true AS has FROM lineitem) SELECT group_id, CAST(count(*) AS BIGINT) AS n_frames, CAST(count(has) AS BIGINT) AS n_posed, count(has) < count(*) AS gap, round(avg(coalesce(CASE WHEN has THEN frame * 0.5::DOUBLE END, 0.25::DOUBLE)), 6) AS mean_tx FROM frames LEFT JOIN moving USING (group_id, frame) GROUP BY 1")
 def ge15_camera_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static pose, or the frame's own where the camera moves; groups with a gap are marked."""

@@ -11,7 +11,7 @@ from kinefold.operators import multiview as mv
 from kinefold.plans.fixtures import ctes, fixture, table
 from kinefold.functions import geometry as g
 from kinefold.operators.validate import check_v12
-from kinefold.plans.q_geometry import _DISTORTION, PROJECTED_SQL, camera_columns, cameras, points3d, projected
+from kinefold.plans.q_geometry import _DISTORTION, MIXED_SQL, PROJECTED_SQL, camera_columns, cameras, points3d, projected, projected_mixed
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.q_sources import scratch
 from kinefold.plans.registry import query
@@ -23,9 +23,15 @@ POINT = ["group_id", "frame", "point"]
 _MOVED_SQL = PROJECTED_SQL.replace("+ 0.1::DOUBLE AS px", "+ (0.1::DOUBLE + frame % 50 * 0.01::DOUBLE) AS px")
 
 
-def rig(spark: SparkSession) -> mv.Rig:
+def camera_rows(spark: SparkSession, fisheyes: bool = False) -> DataFrame:
+    """The rig's table, with fisheyes or without."""
     lit = F.lit
-    return mv.Rig.collect(cameras(spark).select("camera", lit(300.0).alias("fx"), lit(310.0).alias("fy"), lit(128.0).alias("cx"), lit(96.0).alias("cy"), F.array(*(f"r{k}" for k in range(9))).alias("rotation"), F.array(lit(0.1), lit(-0.2), F.col("tz")).alias("translation"), F.array(*map(lit, _DISTORTION)).alias("distortion"), lit(4.0).alias("offset_x"), lit(2.0).alias("offset_y")))
+    own = cameras(spark).select("camera", lit(300.0).alias("fx"), lit(310.0).alias("fy"), lit(128.0).alias("cx"), lit(96.0).alias("cy"), F.array(*(f"r{k}" for k in range(9))).alias("rotation"), F.array(lit(0.1), lit(-0.2), F.col("tz")).alias("translation"), F.array(*map(lit, _DISTORTION)).alias("distortion"), lit(4.0).alias("offset_x"), lit(2.0).alias("offset_y"))
+    return own.withColumn("model", F.when(F.col("camera") == "c0", "pinhole").otherwise("fisheye")) if fisheyes else own
+
+
+def rig(spark: SparkSession) -> mv.Rig:
+    return mv.Rig.collect(camera_rows(spark))
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +44,13 @@ def mv1_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mv.triangulate(views(spark, sf_dir), rig(spark), POINT).select(*POINT, "x", "y", "z", "n_views"), 3)
 
 
+@query(f"WITH {MIXED_SQL} SELECT group_id, frame, point, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, CAST(count(u) AS BIGINT) AS n_views FROM projected GROUP BY group_id, frame, point, x, y, z")
+def mv1_triangulate_fisheye(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinhole and two fisheyes, joined to the views as a table."""
+    seen = projected_mixed(spark, sf_dir).select(*POINT, "camera", "u", "v")
+    return rounded(mv.triangulate(seen, camera_rows(spark, True), POINT).select(*POINT, "x", "y", "z", "n_views"), 3)
+
+
 @query(f"WITH {PROJECTED_SQL} SELECT group_id, frame, point, round(quantile_disc(sqrt(pow(u - round(u), 2) + pow(v - round(v), 2)), 0.5), 4) AS residual FROM projected GROUP BY 1, 2, 3")
 def mv2_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = projected(spark, sf_dir).select(*POINT, F.col("u").alias("pu"), F.col("v").alias("pv"), F.round("u").alias("u"), F.round("v").alias("v"))
@@ -62,6 +75,14 @@ def v12_views_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_v12(mv.triangulate(own, rig(spark), POINT).withColumnRenamed("point", "animal").where("n_views >= 2"), 15.0)
 
 
+@query(f"WITH {MIXED_SQL}, n AS (SELECT group_id, frame, point, count(u) AS n_views, count(CASE WHEN camera = 'c1' THEN u END) AS odd FROM projected GROUP BY 1, 2, 3) SELECT 'V-12' AS rule, 'error' AS severity, group_id AS session_id, 'views do not meet' AS message, CAST(count(*) AS BIGINT) AS n FROM n WHERE point % 5 = 0 AND n_views >= 2 AND odd = 1 GROUP BY 3")
+def v12_fisheye_views_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among fisheyes."""
+    off = (F.col("point") % 5 == 0) & (F.col("camera") == "c1")
+    own = projected_mixed(spark, sf_dir).select(*POINT, "camera", "u", "v").withColumn("v", F.when(off, F.col("v") + 200).otherwise(F.col("v")))
+    return check_v12(mv.triangulate(own, camera_rows(spark, True), POINT).withColumnRenamed("point", "animal").where("n_views >= 2"), 15.0)
+
+
 @query()
 def mv3_triangulate_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views that some cameras lack, rounded to pixels."""

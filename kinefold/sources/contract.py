@@ -31,17 +31,17 @@ def _scoped(df: DataFrame) -> DataFrame:
 
 
 def view_residuals(keypoints: DataFrame, cameras: DataFrame, extrinsics: DataFrame) -> DataFrame:
-    """The residual of every point that two calibrated cameras see (group_id, frame, animal, bodypart, residual); cameras that move stand where the frame says. Fisheye lenses have no model here and are left out."""
+    """The residual of every point that two calibrated cameras see (group_id, frame, animal, bodypart, residual); cameras that move stand where the frame says."""
     at = lambda c, k: F.element_at(c, k)
     still = F.array(*rodrigues(at("rvec", 1), at("rvec", 2), at("rvec", 3)))
-    own = cameras.where("calibrated and not fisheye").select("camera", "matrix", "distortions", still.alias("still"), "tvec", "offset_x", "offset_y", "moving")
+    own = cameras.where("calibrated").select("camera", "matrix", "distortions", still.alias("still"), "tvec", "offset_x", "offset_y", "moving", "fisheye")
     ext = extrinsics.select("group_id", "frame", "camera", "ext")
     seen = keypoints.where(positioned(F.col("status")) & F.col("x").isNotNull() & F.col("y").isNotNull()).join(small(own), "camera").join(ext, ["group_id", "frame", "camera"], "left")
     cell = lambda i, j: at("ext", 4 * i + j + 1)
     posed = F.col("moving") & F.col("ext").isNotNull()
     rotation = F.when(posed, F.array(*(cell(i, j) for i in range(3) for j in range(3)))).otherwise(F.col("still"))
     translation = F.when(posed, F.array(*(cell(i, 3) for i in range(3)))).otherwise(F.col("tvec"))
-    lens = mv.lens(at("matrix", 1), at("matrix", 5), at("matrix", 3), at("matrix", 6), rotation, translation, F.col("distortions"), F.col("offset_x"), F.col("offset_y"))
+    lens = mv.lens(at("matrix", 1), at("matrix", 5), at("matrix", 3), at("matrix", 6), rotation, translation, F.col("distortions"), F.col("offset_x"), F.col("offset_y"), F.col("fisheye"))
     keys = ["group_id", "frame", "animal", "bodypart"]
     views = seen.select(*keys, "camera", F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"), lens.alias("lens"))
     return mv.triangulate(views, None, keys).where("n_views >= 2")
