@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinefold.llm.common import bound_batches, materialize, slices
-from kinefold.llm.encoding import kept_encoder, vocabulary_path
+from kinefold.llm.encoding import byte_letters, kept_encoder, vocabulary_path
 
 #: Texts whose links are gathered at once.
 TEXTS_AT_ONCE = 64
@@ -38,13 +38,6 @@ LINKS_AT_ONCE = 1 << 20
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
 
 
-def byte_letters() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest in order from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Aligner:
     """Words of a text and what both tokenizers make of them, remembered. Pairs of ids are numbered in the order in which they come."""
 

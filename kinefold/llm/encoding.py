@@ -149,31 +149,70 @@ class WordEncoder:
         return np.split(ids, ends[edges[1:-1]])
 
 
+def byte_letters() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+#: Latin letters that are single characters in lower case as well.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+
+
 class ChunkEncoder:
-    """Ids of tokenizers that drop white space: a text's ids are those of its blank-separated chunks in order. Only unseen chunks reach the library."""
+    """Ids of tokenizers that lower-case, drop white space and look up runs of letters: a text's ids are those of its chunks in order.
+
+    Texts are cut at blanks, at line ends and before marks that follow a letter or digit. Only unseen chunks reach the library, and words of
+    Latin letters its model alone.
+    """
 
     def __init__(self, path: str, chunks: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole, self.most = Tokenizer.from_file(path), chunks
+        self.merge = self.whole.model.tokenize
+        self.letters = {b: x for x, b in byte_letters().items()}
         self.size = self.whole.get_vocab_size()
-        if self.whole.encode("a b", add_special_tokens=False).ids != self._learn("a")[0] + self._learn("b")[0]:
-            raise ValueError(f"{path}: the ids of a text are not those of its chunks")
+        for text, cut in (("Ab çé", ["Ab", "çé"]), ("ab,cd.", ["ab", ",cd", "."])):
+            if self._ids(text) != [x for chunk in cut for x in self._learn(chunk)[0]]:
+                raise ValueError(f"{path}: the ids of a text are not those of its chunks")
+        cut = [re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values() if set(x.content) & set(",.\n")]
+        self.whole_texts = re.compile("|".join(cut)) if cut else None
         self.known = _Known(self._learn)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def _learn(self, chunk: str) -> tuple[list[int], int]:
-        return self.whole.encode(chunk, add_special_tokens=False).ids, 0
+        if chunk.isascii() and chunk.isalpha():
+            return [x.id for x in self.merge(chunk.lower())], 0
+        if _LATIN.fullmatch(chunk):
+            return [x.id for x in self.merge(chunk.lower().encode().decode("latin-1").translate(self.letters))], 0
+        flags = (0 if not chunk or chunk[-1].lower()[-1].isalnum() else _OPEN) | (_MARK if chunk[:1] in (",", ".") else 0)
+        return self._ids(chunk), flags
+
+    def _numbers(self, chunks: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int32, sum(map(len, chunks)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not texts:
             return []
         if len(self.known) > self.most or len(self.known.flat) > 8 * self.most or self.known.chars > 16 * self.most:
             self.known = _Known(self._learn)
-        chunks = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int32, sum(map(len, chunks)))
+        chunks = [x.replace("\n", "\1").replace(" ", "\1").replace(",", "\1,").replace(".", "\1.").split("\1") if x else [] for x in texts]
+        at = self._numbers(chunks)
+        edges = np.cumsum([0, *map(len, chunks)])
+        again = np.unique(np.searchsorted(edges, self.known.odd(at), "right") - 1).tolist()
+        again += [k for k, x in enumerate(texts) if x and ("\1" in x or self.whole_texts and self.whole_texts.search(x))]
+        if again:  # a mark behind another mark, or an added token that holds one: cut at blanks alone
+            for k in again:
+                chunks[k] = texts[k].split(" ")
+            at = self._numbers(chunks)
+            edges = np.cumsum([0, *map(len, chunks)])
         ids, ends = self.known.ids(at)
-        return np.split(ids, ends[np.cumsum([len(x) for x in chunks])[:-1]])
+        return np.split(ids, ends[edges[1:-1]])
 
 
 def kept_encoder(kind: str, path: str, make: Callable[[], object]) -> object:

@@ -63,6 +63,16 @@ def heaviest(terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return terms[np.lexsort((terms, -weights))[:n]]
 
 
+def two_heaviest(terms: np.ndarray, weights: np.ndarray) -> list[int]:
+    """heaviest(terms, weights, 2), for terms in order."""
+    out = []
+    for _ in range(min(2, len(terms))):
+        k = int(weights.argmax())
+        out.append(int(terms[k]))
+        weights[k] = -np.inf
+    return out
+
+
 class Shard:
     """The inverted index of some documents' ids."""
 
@@ -169,7 +179,7 @@ def pack_related(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for raw, width in zip(rows.field("ids").to_pylist(), rows.field("width").to_pylist(), strict=True):
                 ids = _ids(raw, width)[:-1]
                 terms, tf = counts_of(ids)
-                leads.append(heaviest(terms, term_weights(tf, weights[terms], len(ids), mean), 2).tolist())
+                leads.append(two_heaviest(terms, term_weights(tf, weights[terms], len(ids), mean)))
             return pa.array(leads, pa.list_(pa.int32()))
 
         return work

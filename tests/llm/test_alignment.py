@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinefold.llm import alignment
 from kinefold.llm import queries as q
-from kinefold.llm.encoding import vocabulary_path
+from kinefold.llm.encoding import byte_letters, vocabulary_path
 
 DATA = "/root/testdata/sf0.001"
 A, B = vocabulary_path(), vocabulary_path("piece_bpe_32k.model")
@@ -25,7 +25,7 @@ def whole():
 
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    names, letters = {k: x for x, k in a.get_vocab().items()}, alignment.byte_letters()
+    names, letters = {k: x for x, k in a.get_vocab().items()}, byte_letters()
     of_a = lambda k: bytes(letters[c] for c in names[k])
     of_b = lambda k: bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("\u2581", " ").encode()
 
