@@ -20,7 +20,7 @@ import numpy as np
 
 _CUT = re.compile(r"(?= \S)")
 #: A word of common letters, with a space before it or not: one pre-token.
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,15 +31,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: What the cuts of a text have to know of a piece: it ends in a mark, suits no cut at all, begins with a mark, is empty, is a line end, begins with a blank or nothing.
-_OPEN, _ODD, _MARK, _EMPTY, _LINE, _BLANK = 1, 2, 4, 8, 16, 32
+OPEN, _ODD, _MARK, _EMPTY, _LINE, _BLANK = 1, 2, 4, 8, 16, 32
 
 
-def _flags(piece: str) -> int:
+def piece_flags(piece: str) -> int:
     if not piece:
         return _EMPTY | _BLANK
     if piece == "\n":
-        return _OPEN | _LINE | _BLANK
-    out = 0 if piece[-1].isalnum() else _OPEN
+        return OPEN | _LINE | _BLANK
+    out = 0 if piece[-1].isalnum() else OPEN
     if piece[0].isspace():
         out |= _BLANK
     if piece[-1].isspace() or out & _BLANK and piece[1].isspace():
@@ -47,7 +47,7 @@ def _flags(piece: str) -> int:
     return out | _MARK if piece[0] in ",." else out
 
 
-class _Known(dict):
+class KnownPieces(dict):
     """Numbers of pieces; an unseen one is learned when it is asked for."""
 
     def __init__(self, learn: Callable[[str], tuple[list[int], int]]) -> None:
@@ -55,7 +55,9 @@ class _Known(dict):
         self.chars = 0
 
     def __missing__(self, piece: str) -> int:
-        ids, flags = self.learn(piece)
+        return self.add(piece, *self.learn(piece))
+
+    def add(self, piece: str, ids: list[int], flags: int) -> int:
         self.flat.fromlist(ids)
         self.begin.append(len(self.flat))
         self.flags.append(flags)
@@ -67,7 +69,7 @@ class _Known(dict):
         """Which of the pieces, side by side, the cuts do not suit: a mark is a pre-token of its own behind a letter or digit only, and of several blanks the last one alone is cut off."""
         f = np.frombuffer(self.flags, np.int8)[at]
         out = f & _ODD > 0
-        out[1:] |= (f[:-1] & _OPEN > 0) & (f[1:] & _MARK > 0)
+        out[1:] |= (f[:-1] & OPEN > 0) & (f[1:] & _MARK > 0)
         out[1:-1] |= (f[:-2] & _EMPTY > 0) & (f[1:-1] & _LINE > 0) & (f[2:] & _BLANK > 0)
         return np.flatnonzero(out)
 
@@ -80,6 +82,11 @@ class _Known(dict):
         return np.frombuffer(self.flat, np.int32)[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)] if ends[-1] else np.zeros(0, np.int32), ends
 
 
+def cut_pieces(text: str) -> list[str]:
+    """A text's pieces, cut before blanks and marks and around line ends."""
+    return text.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").replace("\n", "\1\n\1").split("\1")
+
+
 class WordEncoder:
     """Ids of whole texts as numpy arrays, without special tokens around. Strings of added tokens get their ids as in the library where added is set, and are ordinary text otherwise."""
 
@@ -95,7 +102,7 @@ class WordEncoder:
         self.most = pieces
         self.letters = self._byte_letters()
         self.blank = self.letters[ord(" ")]
-        self.known = _Known(self._learn)
+        self.known = KnownPieces(self._learn)
 
     def _byte_letters(self) -> dict[int, str]:
         """The letter that stands for each byte, read off the pre-tokenizer itself."""
@@ -111,9 +118,9 @@ class WordEncoder:
         word = piece[1:] if piece[:1] == " " else piece
         if word.isascii() and word.isalpha():
             return [x.id for x in self.merge(piece if word is piece else self.blank + word)], 0
-        if _PLAIN.fullmatch(piece):
+        if PLAIN.fullmatch(piece):
             return [x.id for x in self.merge(piece.encode().decode("latin-1").translate(self.letters))], 0
-        return [x.id for letters, _ in self.split(piece) for x in self.merge(letters)], _flags(piece)
+        return [x.id for letters, _ in self.split(piece) for x in self.merge(letters)], piece_flags(piece)
 
     def _numbers(self, pieces: list[list[str]]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
@@ -134,8 +141,8 @@ class WordEncoder:
         if not texts:
             return []
         if len(self.known) > self.most or len(self.known.flat) > 8 * self.most or self.known.chars > 16 * self.most:
-            self.known = _Known(self._learn)
-        pieces = [x.replace(" ", "\1 ").replace(",", "\1,").replace(".", "\1.").replace("\n", "\1\n\1").split("\1") if x else [] for x in texts]
+            self.known = KnownPieces(self._learn)
+        pieces = [cut_pieces(x) if x else [] for x in texts]
         at = self._numbers(pieces)
         edges = np.cumsum([0, *map(len, pieces)])
         again = np.unique(np.searchsorted(edges, self.known.odd(at), "right") - 1).tolist()
@@ -180,7 +187,7 @@ class ChunkEncoder:
                 raise ValueError(f"{path}: the ids of a text are not those of its chunks")
         cut = [re.escape(x.content) for x in self.whole.get_added_tokens_decoder().values() if set(x.content) & set(",.\n")]
         self.whole_texts = re.compile("|".join(cut)) if cut else None
-        self.known = _Known(self._learn)
+        self.known = KnownPieces(self._learn)
 
     def _ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -190,7 +197,7 @@ class ChunkEncoder:
             return [x.id for x in self.merge(chunk.lower())], 0
         if _LATIN.fullmatch(chunk):
             return [x.id for x in self.merge(chunk.lower().encode().decode("latin-1").translate(self.letters))], 0
-        flags = (0 if not chunk or chunk[-1].lower()[-1].isalnum() else _OPEN) | (_MARK if chunk[:1] in (",", ".") else 0)
+        flags = (0 if not chunk or chunk[-1].lower()[-1].isalnum() else OPEN) | (_MARK if chunk[:1] in (",", ".") else 0)
         return self._ids(chunk), flags
 
     def _numbers(self, chunks: list[list[str]]) -> np.ndarray:
@@ -200,7 +207,7 @@ class ChunkEncoder:
         if not texts:
             return []
         if len(self.known) > self.most or len(self.known.flat) > 8 * self.most or self.known.chars > 16 * self.most:
-            self.known = _Known(self._learn)
+            self.known = KnownPieces(self._learn)
         chunks = [x.replace("\n", "\1").replace(" ", "\1").replace(",", "\1,").replace(".", "\1.").split("\1") if x else [] for x in texts]
         at = self._numbers(chunks)
         edges = np.cumsum([0, *map(len, chunks)])

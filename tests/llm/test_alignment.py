@@ -82,12 +82,12 @@ def plainly(rows, whole):
     return out
 
 
-ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a   b ", "a \n b", "\n\n a", "a\n", "\t \tx", "<s> </s> <unk> <|endoftext|>", "日本語 テスト  です", "e\u0301 ﬁ Ａ", "x\u3000y \u00a0z", "a\x01b \x01", "\u2581 a\u2581b", "it's we'll", "😀 👩‍👩‍👧", "1234567 89", "<0x41>", "a\x00b", "\x1c x \x85 y", "..., ,,, --- ???"]
+ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a   b ", "a \n b", "\n\n a", "a\n", "\t \tx", "<s> </s> <unk> <|endoftext|>", "日本語 テスト  です", "e\u0301 ﬁ Ａ", "x\u3000y \u00a0z", "a\x01b \x01", "\u2581 a\u2581b", "it's we'll", "😀 👩‍👩‍👧", "1234567 89", "<0x41>", "a\x00b", "\x1c x \x85 y", "..., ,,, --- ???", "a,b.c", "x².y 2.5 ².", "a\nb\n\nc", "a.\n,b", "_, a_,b a_.", "٣,٤", "\n", "a\n b", "a \nb"]
 
 
 @pytest.fixture(scope="module")
 def aligner():
-    return alignment.Aligner(A, B, words=30)
+    return alignment.Aligner(A, B, pieces=30)
 
 
 def groups_of(aligner, text):
@@ -111,7 +111,7 @@ def test_odd_texts(aligner, whole):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abE é\u0301,.'\n\t1日😀\u2581\u3000\x01<s>", min_size=1, max_size=30))
+@given(st.text(alphabet="abE é\u0301,.'\n\t1²_日😀\u2581\u3000\x01<s>", min_size=1, max_size=30))
 def test_words_are_aligned_as_whole_texts(aligner, whole, text):
     check_text(aligner, whole, text)
 
@@ -122,9 +122,11 @@ def test_measures(spark, whole):
     rows = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 25)))) for k in range(150)]
     rows += [(1000 + k, rows[3][1]) for k in range(200)] + [(2000 + k, x) for k, x in enumerate(ODD)] + [(None, "no id"), (7, rows[9][1]), (7, rows[9][1]), (3000, "ab " * 30_000), (3001, "z" * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"block": F.lit(1), "text_key": F.lit("clash")})
-    got = alignment.align(df)
-    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(plainly(rows, whole), key=str)
+    want = sorted(plainly(rows, whole), key=str)
+    for most in (alignment.BROADCAST_PAIRS, 0):  # by a broadcast, and by a join of every task's pairs
+        got = alignment.align(df, broadcast_pairs=most)
+        assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        assert sorted(map(tuple, got.collect()), key=str) == want
     counted = Counter(link for _, t in rows if whole(t) for link in whole(t)[3])
     assert {(r.a, r.b): r["count"] for r in alignment.linked_ids(df).collect()} == dict(counted)
 
