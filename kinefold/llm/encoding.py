@@ -174,7 +174,7 @@ class ChunkEncoder:
     Latin letters its model alone.
     """
 
-    def __init__(self, path: str, chunks: int = 500_000) -> None:
+    def __init__(self, path: str, chunks: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -49,7 +49,7 @@ def term_weights(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean
 
 def counts_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids in order, and how often each is there."""
-    own = np.sort(ids)
+    own = np.sort(ids, kind="stable")  # by radix where ids have two bytes
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     return own[first], np.diff(np.append(first, len(own)))
 
