@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -306,25 +307,33 @@ def associate(rig: Rig, view: View, max_res: float, min_views: int = 2, max_n: i
     return out
 
 
-def associate_frames(dets: DataFrame, rig: Rig, max_res: float, min_views: int = 2, bucket: int = 512, *, max_n: int = 0, corroborate: bool = True, poses: DataFrame | None = None) -> DataFrame:
+def associate_frames(dets: DataFrame, rig: Rig | None, max_res: float, min_views: int = 2, bucket: int = 512, *, max_n: int = 0, corroborate: bool = True, poses: DataFrame | None = None) -> DataFrame:
     """Detections (group_id, frame, camera, det, cx, cy) as rows (group_id, frame, instance, x, y, z, residual, camera, det).
 
     poses (group_id, frame, camera, rotation[9], translation[3]) moves the rig: in frames that it names a camera
-    stands there, in others where the rig has it. At most max_n instances a frame, if that is not 0.
+    stands there, in others where the rig has it. Without a rig every detection brings its camera in a column lens. At most max_n instances a frame, if that is not 0.
     """
-    number = {c: k for k, c in enumerate(rig.names)}
-    moving = poses is not None
+    number = None if rig is None else {c: k for k, c in enumerate(rig.names)}
+    moving = rig is not None and poses is not None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (g, f), own in rows.sort_values(["camera", "det"]).groupby(["group_id", "frame"], sort=True):
-            cams = own.camera.map(number).to_numpy()
-            here = rig.moved(cams, own.rotation.tolist(), own.translation.tolist()) if moving else rig
-            for k, (p, res, members) in enumerate(associate(here, View(cams, own[["cx", "cy"]].to_numpy(float)), max_res, min_views, max_n, corroborate=corroborate)):
-                out += [(g, f, k, *p, res, own.camera.iloc[d], own.det.iloc[d]) for d in members]
+        rows = rows.sort_values(["frame", "camera", "det"])
+        group, frames, cameras, det = rows["group_id"].iloc[0], rows["frame"].to_numpy(), rows["camera"].to_numpy(object), rows["det"].to_numpy()
+        centres = rows[["cx", "cy"]].to_numpy(float)
+        for a, b in pairwise([0, *np.flatnonzero(frames[1:] != frames[:-1]) + 1, len(rows)]):
+            if rig is None:
+                names, first, cams = np.unique(cameras[a:b], return_index=True, return_inverse=True)
+                here = Rig.of_lenses(list(names), np.array([rows["lens"].iloc[a + k] for k in first], float))
+            else:
+                cams = np.array([number[c] for c in cameras[a:b]], int)
+                here = rig.moved(cams, rows["rotation"].iloc[a:b].tolist(), rows["translation"].iloc[a:b].tolist()) if moving else rig
+            for k, (p, res, members) in enumerate(associate(here, View(cams, centres[a:b]), max_res, min_views, max_n, corroborate=corroborate)):
+                out += [(group, frames[a], k, *p, res, cameras[a + d], det[a + d]) for d in members]
         return pd.DataFrame(out, columns=["group_id", "frame", "instance", "x", "y", "z", "residual", "camera", "det"])
 
-    own = dets.select("group_id", "frame", "camera", F.col("det").cast("int").alias("det"), "cx", "cy", F.floor(F.col("frame") / bucket).alias("bucket"))
+    more = ["lens"] if rig is None else []
+    own = dets.select("group_id", "frame", "camera", F.col("det").cast("int").alias("det"), "cx", "cy", *more, F.floor(F.col("frame") / bucket).alias("bucket"))
     if moving:
         own = own.join(poses.select("group_id", "frame", "camera", "rotation", "translation"), ["group_id", "frame", "camera"], "left")
     return own.groupBy("group_id", "bucket").applyInPandas(solve, "group_id string, frame int, instance int, x double, y double, z double, residual double, camera string, det int")

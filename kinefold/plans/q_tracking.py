@@ -16,7 +16,7 @@ from kinefold.plans.q_metrics import rounded
 from kinefold.plans.q_sources import scratch
 from kinefold.plans.registry import query
 from kinefold.streaming import tracking as tr
-from kinefold.streaming.association import associate_group
+from kinefold.streaming.association import GroupStep, associate_group, associate_stream
 from kinefold.streaming import windows as sw
 
 POINT = ["group_id", "frame", "point"]
@@ -160,6 +160,50 @@ def st3_associate_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(associate_group(_scored(spark, sf_dir), rig(spark), 24, follow=False, link=True, max_res=2.0))
 
 
+def moving_dets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Animals that stand still under a rig that goes along an axis: their detections in three cameras, numbered without regard to the animal, and the cameras' poses."""
+    own = fixture(spark, sf_dir, "track").select("group_id", "animal", "frame", (F.col("animal") - 2.5).alias("x"), ((F.col("animal") - 2.5) / 2).alias("y"), F.lit(0.0).alias("z"))
+    posed = own.crossJoin(F.broadcast(cameras(spark))).withColumn("tx", F.lit(0.1) + F.col("frame") % 50 * F.lit(0.01))
+    camera = camera_columns()
+    seen = g.project(posed, camera._replace(t=(F.col("tx"), *camera.t[1:])))
+    boxes = {n: F.col(c) + d for n, c, d in (("x0", "u", -10), ("y0", "v", -10), ("x1", "u", 10), ("y1", "v", 10))}
+    dets = seen.select("group_id", "frame", "camera", F.pmod(F.col("animal") + F.col("frame"), F.lit(6)).alias("det"), *(c.alias(n) for n, c in boxes.items()), (F.lit(1.0) / (F.col("animal") + 1)).alias("score"))
+    poses = posed.select("group_id", "frame", "camera", F.array(*camera.r).alias("rotation"), F.array(F.col("tx"), *camera.t[1:]).alias("translation")).distinct()
+    return dets, poses
+
+
+def _by_animal(rows: DataFrame) -> DataFrame:
+    """Which animal each row of moving_dets shows, and how many rows it has had."""
+    animal = F.pmod(F.col("det") - F.col("frame"), F.lit(6)).alias("animal")
+    return rows.groupBy("group_id", animal).agg(F.count("row").alias("n"), F.countDistinct("row").alias("n_rows"), F.count_if(F.col("row").isNull()).alias("n_late"))
+
+
+def _moving_step() -> GroupStep:
+    return GroupStep(6, several=True, max_res=2.0, max_age=10_000)
+
+
+@query(ctes("track") + "SELECT group_id, animal, CAST(3 * count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM track GROUP BY 1, 2")
+def st2_moving_rig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each animal keeps one row, though the cameras move."""
+    dets, poses = moving_dets(spark, sf_dir)
+    return _by_animal(tr.track(mv.with_lenses(dets, camera_rows(spark), poses), partial(tr.CrossViewTracker, None, 6, 1.0, 10_000, 2.0)))
+
+
+@query(ctes("track") + "SELECT group_id, animal, CAST(3 * count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_rows, CAST(3 * count(*) FILTER (WHERE frame = 0) AS BIGINT) AS n_late FROM track GROUP BY 1, 2")
+def st3_stream_moving_rig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of four files joined with the poses, and a fifth with frame 0 again, which is late."""
+    dets, poses = moving_dets(spark, sf_dir)
+    path = scratch(spark)
+    last = dets.agg(F.max("frame").alias("last"))
+    cut = dets.crossJoin(F.broadcast(last)).withColumn("part", F.floor(F.col("frame") * 4 / (F.col("last") + 1)))
+    for k in range(4):
+        cut.where(F.col("part") == k).select(*dets.columns).coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    dets.where("frame = 0").coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    stream = sw.frame_stream(spark, f"{path}/landing", dets.schema)
+    sw.run_to_end(associate_stream(mv.with_lenses(stream, camera_rows(spark), poses), _moving_step), path)
+    return _by_animal(spark.read.schema(tr.OUT).parquet(f"{path}/data"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of four files, a file a micro-batch."""
     own, landing = table(spark, sf_dir, "events"), f"{scratch(spark)}/landing"
