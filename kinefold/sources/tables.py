@@ -21,6 +21,12 @@ def shared_path(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/kinefold-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark takes it to have, so that libraries on the executors open the same store: without one it is the default file system's, which need not be the local disk."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub(r"^file:/(?!/)", "file:///", own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it is computed once, and its lineage ends."""
     path = f"{shared_path(df.sparkSession)}/{name}"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import sigmoid
 from kinefold.functions.status import finite
+from kinefold.sources.tables import qualified
 
 ROWS_A_FILE = 250_000
 PLACE = ["root", "split", "session_id"]
@@ -81,7 +82,7 @@ def _session_folder(path: str, place: tuple[str, str, str]):
     """The file system of a root's parent folder, and a session's folder there, made if it is not."""
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, base = fs.FileSystem.from_uri(path)
     folder = "/".join([base.rstrip("/"), *place])
     store.create_dir(folder, recursive=True)
     return store, folder
@@ -89,6 +90,7 @@ def _session_folder(path: str, place: tuple[str, str, str]):
 
 def write_texts(texts: DataFrame, path: str, name: str) -> int:
     """The body of each row as <path>/<root>/<split>/<session_id>/<name>; how many were written. A file is renamed when it is whole."""
+    path = qualified(texts.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -111,6 +113,7 @@ def write_session_files(df: DataFrame, path: str, stem: str) -> int:
     The format keeps a session's table in one file, so a session is one task, which streams its rows in batches; a
     repeated task replaces its file. write_table has no such bound.
     """
+    path = qualified(df.sparkSession, path)
     order = [c for c in ("group_id", "frame") if c in df.columns]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
