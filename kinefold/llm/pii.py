@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 # A run with fewer than 14 digits fails from each of its digits, and matches are maximal.
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\bdot\b|\[dot\]|\(dot\)", re.I)
 
 _WIDER = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,24}){1,3}", re.I)),
@@ -131,15 +131,15 @@ def _votes(text: str, kind: int, start: int, end: int, fixed: bool) -> list[int]
 
 def proposals(text: str | None) -> list[dict]:
     """Fixed spans and wider ones, each with its votes, in order of start and kind."""
-    if not text or not _ANY.search(text):
+    if not text:
         return []
     base = fixed_spans(text)
     taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(s: int, e: int) -> bool:
         k = bisect_left(starts, e)
-        return not any(x < e and y > s for x, y in taken[max(0, k - 4) : k])
+        return k == 0 or furthest[k - 1] <= s
 
     found = [(k, s, e, True) for k, s, e in base]
     for kind, pattern in _WIDER:

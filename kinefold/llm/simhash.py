@@ -220,11 +220,11 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_
     return tasks.groupBy("shard", "lo", "hi").applyInArrow(search, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Each node a that is not its component's smallest, with that smallest b: star contraction until nothing changes."""
     edges = materialize(edges.distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:  # as many rounds as it takes; their number grows with the logarithm of the longest path
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             return edges
@@ -239,7 +239,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
         before, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
         discard(before)
-    raise RuntimeError("components did not settle")
 
 
 def _owners(fps: DataFrame, radius: int) -> DataFrame:
@@ -260,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component; all columns kept."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))  # maps have no hash of their own
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("row"))
     fps = materialize(fingerprints(own, text="text", shingle=shingle).select("doc_id", "fp", "row"), "fingerprints")
     placed = join_spread(fps, _owners(fps.select("doc_id", "fp"), radius), "fp", "rows", "row")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kinefold.llm.common import bound_batches, crc32_of, slices
 from kinefold.llm.encoding import shared_encoder, vocabulary_path
+from kinefold.sources.tables import qualified
 
 END_ID = 2
 #: Texts that the encoder takes at once; bounds the arrays in memory.
@@ -36,11 +37,11 @@ _NAMES = ["doc_id", "part", "local_start", "n_tokens", "ids"]
 
 
 def _store(path: str):
-    """The file system of a folder and its path there, or None where pyarrow has none for it."""
+    """The file system of a folder (with a scheme) and its path there, or None where pyarrow has none for it."""
     from pyarrow import fs
 
     try:
-        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        return fs.FileSystem.from_uri(path)
     except (pa.ArrowInvalid, OSError):
         return None
 
@@ -74,6 +75,7 @@ def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")
     spark = docs.sparkSession
+    path = qualified(spark, path)
     bound_batches(spark)
     if partitions is None:
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -179,6 +181,7 @@ def _digest(rows: pa.RecordBatch | pa.Table, starts: np.ndarray) -> pa.RecordBat
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, read back from the files: doc_id, start in the whole stream, n_tokens, ids_crc32."""
     bound_batches(spark)
+    path = qualified(spark, path)
     kind = spark.read.parquet(path).schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long"
     starts = stream_starts(spark, path)

@@ -367,6 +367,37 @@ def test_pii_columns_against_the_patterns(spark):
     assert added
 
 
+def test_pii_wider_spans_need_no_digit_elsewhere():
+    """What is proposed in a text does not hang on what else it holds."""
+    for text in ("password=abcdefghijklmnopqrst", "see abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd there", "write to some.one at example point", "someone [at] example [dot] org"):
+        assert [(p["kind"], p["start"], p["end"]) for p in pii.proposals(text)] == [(p["kind"], p["start"], p["end"]) for p in pii.proposals(f"{text} 1")], text
+    assert len(pii.proposals("password=abcdefghijklmnopqrst")) == 1
+
+
+def test_pii_overlaps_of_a_long_span():
+    """A wider span inside a long fixed one is none, however many fixed ones lie between."""
+    text = "token=" + "a" * 16 + ".9.8.7.6.1.2.3.4@" + "1.2.3.4." * 3 + "x.org"
+    base = pii.fixed_spans(text)
+    for p in pii.proposals(text):
+        if not p["fixed"]:
+            assert not any(s < p["end"] and e > p["start"] for _, s, e in base)
+
+
+def test_duplicates_of_rows_with_maps(spark):
+    """Maps have no hash of their own; the stage takes them all the same."""
+    rows = [(1, "the same words in every one of these rows", {"a": 1}), (2, "the same words in every one of these rows", {"b": 2}), (3, "another text altogether, about something else", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_token_files_lie_where_spark_reads(spark, tmp_path):
+    """A path without a scheme is the default file system's."""
+    from kinefold.sources.tables import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and qualified(spark, f"file:{tmp_path}/x") == f"file://{tmp_path}/x"
+
+
 def test_pii_estimates_reliabilities():
     """Expectation-maximisation finds which labeler lies, on votes drawn from known accuracies."""
     rng = np.random.default_rng(2)
