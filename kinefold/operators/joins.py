@@ -108,11 +108,12 @@ def carry_prior(windows: DataFrame, overlap: int) -> DataFrame:
     return carried.withColumn("prior_frame", F.when((F.col("start") - frame >= 0) & (F.col("last.start") + F.col("last.length") > F.col("start")), frame)).drop("last")
 
 
-def nearest_neighbour_row(points: DataFrame, min_shared: int = 2) -> DataFrame:
-    """For each animal of a frame the nearest other one, by mean distance over at least min_shared common points."""
+def nearest_neighbour_row(points: DataFrame, min_usable: int = 2) -> DataFrame:
+    """For each animal of a frame the nearest other one of at least min_usable points, by mean distance over the points that both have (one at least)."""
     own = points.where("x is not null").select(*FRAME, "bodypart", F.col("animal").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    other = points.where("x is not null").select(*FRAME, "bodypart", F.col("animal").alias("j"), "x", "y")
-    pairs = own.join(other, [*FRAME, "bodypart"]).where("i <> j").groupBy(*FRAME, "i", "j").agg(F.avg(distance(F.col("ax"), F.col("ay"), F.col("x"), F.col("y"))).alias("dist"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
+    usable = F.count(F.lit(1)).over(Window.partitionBy(*FRAME, "animal"))
+    other = points.where("x is not null").withColumn("usable", usable).where(F.col("usable") >= min_usable).select(*FRAME, "bodypart", F.col("animal").alias("j"), "x", "y")
+    pairs = own.join(other, [*FRAME, "bodypart"]).where("i <> j").groupBy(*FRAME, "i", "j").agg(F.avg(distance(F.col("ax"), F.col("ay"), F.col("x"), F.col("y"))).alias("dist"))
     return pairs.groupBy(*FRAME, F.col("i").alias("animal")).agg(F.min_by(F.struct("j", "dist"), F.struct(F.round("dist", 9), "j")).alias("m")).select(*FRAME, "animal", F.col("m.j").alias("neighbour"), F.col("m.dist").alias("dist"))
 
 

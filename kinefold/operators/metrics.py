@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from kinefold.functions.random import draw_sql
 from kinefold.operators.filters import FRAME
 from kinefold.operators.joins import centroids, distance, points_in_boxes
+from kinefold.operators.quantiles import counted, exact_quantiles, quantiles, with_quantiles
+from kinefold.operators.sampling import numbered
+from kinefold.sources.tables import materialize
 
-#: Units that a bootstrap may broadcast.
-BOOTSTRAP_UNITS = 1_000_000
+#: Upper quantiles of errors.
+TAIL = {"p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+#: Draws of a bootstrap that one task makes.
+DRAWS_A_TASK = 5_000_000
 
 
-def percentiles(d: Column, qs: tuple[float, ...] = (0.75, 0.9, 0.95, 0.99)) -> list[Column]:
-    """Linearly interpolated quantiles of the values that are there."""
-    return [F.percentile(d, F.lit(q)).alias(f"p{round(100 * q)}") for q in qs]
+def error_quantiles(rows: DataFrame, *keys: str) -> DataFrame:
+    """The upper quantiles of the distances of aligned rows (px, py, x, y)."""
+    d = distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
+    table = counted(rows, d, *keys)
+    return with_quantiles(table.select(*keys).distinct(), quantiles(table, TAIL, *keys), *keys) if keys else quantiles(table, TAIL)
 
 
 def error_and_coverage(rows: DataFrame, *keys: str) -> DataFrame:
     """Over aligned rows (px, py, x, y): mean, median and upper quantiles of the distance, and the share of labels that have one."""
     d = distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
-    own = rows.withColumn("d", d)
-    n_true, n_matched = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()), F.count("d")
-    return own.groupBy(*keys).agg(F.avg("d").alias("err"), F.percentile("d", F.lit(0.5)).alias("median"), *percentiles(F.col("d")), n_true.alias("n_true"), n_matched.alias("n_matched"), (n_matched / F.nullif(n_true, F.lit(0))).alias("coverage"))
+    table = counted(rows, d, *keys, labelled=F.col("x").isNotNull() & F.col("y").isNotNull())
+    n_true, n_matched = F.coalesce(F.sum(F.when(F.col("labelled"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+    err = F.sum(F.col("v") * F.col("n")) / F.nullif(n_matched, F.lit(0))
+    groups = table.groupBy(*keys).agg(err.alias("err"), n_true.alias("n_true"), n_matched.alias("n_matched"), (n_matched / F.nullif(n_true, F.lit(0))).alias("coverage"))
+    out = with_quantiles(groups, quantiles(table, {"median": 0.5} | TAIL, *keys), *keys)
+    return out.select(*keys, "err", "median", *TAIL, "n_true", "n_matched", "coverage")
 
 
 def pck(rows: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
@@ -36,18 +46,20 @@ def pck(rows: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
 def paired_bootstrap(units: DataFrame, n: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean of a (or of a - b) over units, with the percentile interval of n resamples; units lacking either side are dropped and counted.
 
-    units: (unit, a, b). The units are broadcast after their number was checked; resamples are rows.
+    units: (unit, a, b). A resample's draws are rows (resample, number of a unit) that are joined with the numbered units and summed up, so there is
+    no bound on the units; only the n means meet at the end.
     """
     spark = units.sparkSession
-    own = units.withColumn("v", F.col("a") - F.col("b")) if "b" in units.columns else units.withColumn("v", F.col("a"))
-    whole = own.agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_dropped"), F.transform(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("unit", "v")))), lambda x: x["v"]).alias("vs"))
-    if own.limit(BOOTSTRAP_UNITS + 1).count() > BOOTSTRAP_UNITS:
-        raise ValueError(f"more than {BOOTSTRAP_UNITS} units")
-    index = f"CAST(floor({draw_sql(seed, 'r', 'k')} * size(vs)) AS INT)"
-    draws = spark.range(n).withColumnRenamed("id", "r").crossJoin(F.broadcast(whole.where("n > 0")))
-    means = draws.select(F.expr(f"aggregate(sequence(0, size(vs) - 1), CAST(0 AS DOUBLE), (s, k) -> s + vs[{index}]) / size(vs)").alias("m"))
+    own = materialize(units.select("unit", (F.col("a") - F.col("b") if "b" in units.columns else F.col("a")).alias("v")), "units")
+    whole = own.agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_dropped"))
+    size = whole.first()["n"]
+    values = numbered(own.where("v is not null"), ["unit"], "number").select("number", "v")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * size // DRAWS_A_TASK))
+    drawn = spark.range(0, n * size, 1, tasks).selectExpr(f"id div {max(size, 1)} AS r", f"id % {max(size, 1)} AS k")
+    index = F.expr(f"CAST(floor({draw_sql(seed, 'r', 'k')} * {size}) AS BIGINT)")
+    means = drawn.select("r", index.alias("number")).join(values, "number").groupBy("r").agg((F.sum("v") / size).alias("m"))
     interval = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
-    return whole.select("mean", "n", "n_dropped").crossJoin(interval)
+    return whole.crossJoin(interval)
 
 
 def motion_ratio(rows: DataFrame, *keys: str) -> DataFrame:
@@ -63,8 +75,8 @@ def motion_ratio(rows: DataFrame, *keys: str) -> DataFrame:
 def match_radius(true: DataFrame, *keys: str) -> DataFrame:
     """The median diagonal of the instances' keypoint extents; infinite where that is not positive."""
     box = true.where("x is not null").groupBy(*keys, "frame", "animal").agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("diagonal"))
-    radius = F.percentile("diagonal", F.lit(0.5))
-    return box.groupBy(*keys).agg(F.when(radius > 0, radius).otherwise(F.lit(float("inf"))).alias("radius"))
+    found = exact_quantiles(box, F.col("diagonal"), {"radius": 0.5}, *keys)
+    return found.select(*keys, F.when(F.col("radius") > 0, F.col("radius")).otherwise(F.lit(float("inf"))).alias("radius"))
 
 
 def mota(matches: DataFrame, pred: DataFrame, true: DataFrame, ignore_boxes: DataFrame, max_dist: float, *keys: str) -> DataFrame:
@@ -172,7 +184,8 @@ def bone_lengths(points: DataFrame, skeleton: list[tuple[str, str]]) -> DataFram
     side = lambda n: points.where("x is not null").select(*keys, F.col("bodypart").alias(n), F.struct("x", "y").alias(f"p{n}"))
     pairs = side("a").join(bones, "a").join(side("b"), [*keys, "b"])
     d = distance(F.col("pa.x"), F.col("pa.y"), F.col("pb.x"), F.col("pb.y"))
-    return pairs.groupBy("a", "b").agg(F.percentile(d, F.lit(0.5)).alias("length"), F.count(F.lit(1)).alias("n"))
+    table = counted(pairs, d, "a", "b")
+    return with_quantiles(table.groupBy("a", "b").agg(F.sum("n").alias("n")), quantiles(table, {"length": 0.5}, "a", "b"), "a", "b").select("a", "b", "length", "n")
 
 
 def modal_step(frames: DataFrame, *keys: str) -> DataFrame:

@@ -8,10 +8,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinefold.functions.geometry import MODELS, is_fisheye
+from kinefold.sources.tables import materialize
 
 #: Cameras of one rig: what a broadcast or a closure may hold. Operators take a table of more as it is.
 MOST_CAMERAS = 1000
@@ -222,6 +225,64 @@ def triangulate(views: DataFrame, rig: Rig | DataFrame | None, keys: list[str],
     return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z", "residual")})
 
 
+class Rejections(NamedTuple):
+    """What rejection leaves: points; the views that were rejected (keys, camera, u, v, error in pixels); the views that stay."""
+
+    points: DataFrame
+    rejected: DataFrame
+    kept: DataFrame
+
+
+def triangulate_rejecting(views: DataFrame, rig: Rig | DataFrame | None, keys: list[str], reject_px: float, rounds: int = 2) -> Rejections:
+    """triangulate with reject_px, and the views that it leaves out as rows of their own: one pass writes points and views under a tag, which are split afterwards. error is the distance in the round that rejected the view."""
+    if isinstance(rig, DataFrame):
+        views, rig = views.join(lenses(rig), "camera"), None
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in views.select(*keys).schema)
+    schema = views.sparkSession.createDataFrame([], f"{fields}, kind string, camera string, x double, y double, z double, residual double, n_views long, n_rejected long, u double, v double, error double").schema
+    arrow = to_arrow_schema(schema)
+
+    def tagged_rows(kind: str, own: list[pa.Array], **columns: object) -> pa.RecordBatch:
+        n = len(own[0])
+        rest = [pa.array([kind] * n) if f.name == "kind" else pa.array(columns[f.name], f.type, from_pandas=True) if f.name in columns else pa.nulls(n, f.type) for f in list(arrow)[len(keys) :]]
+        return pa.RecordBatch.from_arrays([*own, *rest], schema=arrow)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            own, batch = [rows.column(k).cast(arrow.field(k).type) for k in keys], rows.to_pandas()
+            here = _own_rig(batch) if rig is None else rig
+            cams, pixels, use = _padded(batch, here)
+            given, error = use.copy(), np.full(use.shape, np.nan)
+            points = here.triangulate(pixels, cams, use)
+            for _ in range(rounds):
+                e = here.errors(points, pixels, cams, use)
+                far = e > np.maximum(reject_px, 5 * _lower_median(e))[:, None]
+                error[far] = e[far]
+                use = use & ~far
+                points = here.triangulate(pixels, cams, use)
+            left = _lower_median(here.errors(points, pixels, cams, use))
+            yield tagged_rows("point", own, x=points[:, 0], y=points[:, 1], z=points[:, 2], residual=left, n_views=use.sum(axis=1), n_rejected=given.sum(axis=1) - use.sum(axis=1))
+            for kind, of in (("rejected", given & ~use), ("kept", use)):
+                row, view = np.nonzero(of)
+                if len(row):
+                    names = [batch["cams"].iloc[r][v] for r, v in zip(row, view, strict=True)]
+                    yield tagged_rows(kind, [c.take(pa.array(row)) for c in own], camera=names, u=pixels[row, view, 0], v=pixels[row, view, 1], error=error[row, view])
+
+    tagged = _views(views, keys, rig is None).mapInArrow(solve, schema)
+    tagged = materialize(tagged, "rejections")
+    points = tagged.where("kind = 'point'").select(*keys, "x", "y", "z", "residual", "n_views", "n_rejected")
+    seen = lambda kind, *more: tagged.where(F.col("kind") == kind).select(*keys, "camera", "u", "v", *more)
+    return Rejections(points, seen("rejected", "error"), seen("kept"))
+
+
+def emptied_boxes(boxes: DataFrame, found: Rejections, keys: list[str]) -> DataFrame:
+    """Boxes (keys, camera: an animal in a view) that have lost every view of a point: there was one, and none stays."""
+    at = [*keys, "camera"]
+    lost = found.rejected.select(*at).distinct().join(found.kept.select(*at).distinct(), at, "left_anti")
+    return boxes.join(lost, at, "left_semi")
+
+
 def triangulate_gated(views: DataFrame, rig: Rig, keys: list[str], gate: float) -> DataFrame:
     """Status of each point: visible with at least two views within the gate, missing where every camera looked and none saw it, and no row else."""
     looked = views.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_looked"))

@@ -135,18 +135,33 @@ def crop_negatives(views: DataFrame, known: DataFrame, certified: DataFrame, sid
     return far.groupBy(*keys).agg(F.min_by(F.struct("c_x0", "c_y0"), "try").alias("o"), F.min("try").alias("try")).select(*keys, "try", F.col("o.c_x0").alias("x0"), F.col("o.c_y0").alias("y0"))
 
 
-def tile_origins(views: DataFrame, boxes: DataFrame, regions: DataFrame, tile: float, w: float, h: float, seed: int, background: int = 1) -> DataFrame:
-    """Tile origins of each view: one for each region, one for each animal, and background ones; all moved by up to a quarter tile and kept inside the image."""
+def tile_origins(views: DataFrame, centres: DataFrame, regions: DataFrame, tile: float, w: float, h: float, seed: int, background: int = 1, certified: DataFrame | None = None) -> DataFrame:
+    """Tile origins of each view: one for each region, one for each animal (centres: cx, cy), and background ones; all moved by up to a quarter tile and kept near the image.
+
+    In groups that certify regions (those of the table, or of certified: group_id) a background tile is centred inside one of the
+    view's regions, drawn alike, and a view without any has none; elsewhere it is centred anywhere. A view that gets
+    no tile at all has one in the middle.
+    """
     keys = [*FRAME, "camera"]
-    centre = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     key = (GROUP, "CAST(frame AS BIGINT)", "CAST(substr(camera, 2) AS BIGINT)")
-    spots = views.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(background))))
-    back = spots.select(*keys, F.lit("background").alias("kind"), (F.expr(draw_sql(seed, *key, "n")) * w).alias("cx"), (F.expr(draw_sql(seed + 1, *key, "n")) * h).alias("cy"))
-    all_ = centre(regions, "region").unionByName(centre(boxes, "animal")).unionByName(back)
+    known = (regions if certified is None else certified).select("group_id").distinct()
+    spots = views.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(background))).alias("n"))
+    u = lambda k: F.expr(draw_sql(seed + k, *key, "n"))
+    anywhere = spots.join(known, "group_id", "left_anti").select(*keys, (u(0) * w).alias("cx"), (u(1) * h).alias("cy"))
+    rects = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*Box._fields))).alias("rects"))
+    drawn = spots.join(rects, keys).withColumn("r", F.get("rects", F.floor(u(4) * F.size("rects")).cast("int")))
+    inside = drawn.select(*keys, (F.col("r.x0") + u(0) * (F.col("r.x1") - F.col("r.x0"))).alias("cx"), (F.col("r.y0") + u(1) * (F.col("r.y1") - F.col("r.y0"))).alias("cy"))
+    of_region = regions.select(*keys, F.lit("region").alias("kind"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    of_animal = centres.select(*keys, F.lit("animal").alias("kind"), "cx", "cy")
+    back = anywhere.unionByName(inside).select(*keys, F.lit("background").alias("kind"), "cx", "cy")
+    all_ = of_region.unionByName(of_animal).unionByName(back)
     place = ("CAST(floor(cx) AS BIGINT)", "CAST(floor(cy) AS BIGINT)")
     jitter = lambda k: (F.expr(draw_sql(seed + k, *key, *place)) - 0.5) * (tile / 2)
-    clamp = lambda v, most: F.greatest(F.least(v, F.lit(max(0.0, most - tile))), F.lit(0.0))
-    return all_.select(*keys, "kind", F.floor(clamp(F.col("cx") - tile / 2 + jitter(2), w)).cast("int").alias("x0"), F.floor(clamp(F.col("cy") - tile / 2 + jitter(3), h)).cast("int").alias("y0"))
+    clamp = lambda v, most: F.greatest(F.least(v, F.lit(max(0.0, most - 3 * tile / 4))), F.lit(-tile / 4))
+    origins = all_.select(*keys, "kind", clamp(F.col("cx") - tile / 2 + jitter(2), w).alias("x0"), clamp(F.col("cy") - tile / 2 + jitter(3), h).alias("y0"))
+    bare = views.select(*keys).join(origins.select(*keys).distinct(), keys, "left_anti")
+    middle = bare.select(*keys, F.lit("empty").alias("kind"), F.lit(max(0.0, (w - tile) / 2)).alias("x0"), F.lit(max(0.0, (h - tile) / 2)).alias("y0"))
+    return origins.unionByName(middle).select(*keys, "kind", F.floor("x0").cast("int").alias("x0"), F.floor("y0").cast("int").alias("y0"))
 
 
 def box_targets(boxes: DataFrame, w: float, h: float, out_w: int, out_h: int) -> DataFrame:

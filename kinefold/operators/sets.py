@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinefold.operators.sampling import numbered
+from kinefold.sources.tables import materialize
 
 
 def union_axis(sessions: DataFrame) -> DataFrame:
@@ -118,11 +122,77 @@ def left_right_pairs(names: Column) -> Column:
     return F.transform(lefts, lambda n: F.struct(n.alias("l"), F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("R")).alias("r")))
 
 
-def registry_build(names: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Append-only ids of (dataset, name): names of the base keep theirs, others follow in order; with several datasets names carry the dataset before them."""
+class Registry(NamedTuple):
+    """ids: dataset, name (as the registry has it), local (the dataset's own name), kpt_id. moved: datasets whose ids would change against the base (dataset, local, kpt_id, new_id), which are refused."""
+
+    ids: DataFrame
+    moved: DataFrame
+
+
+def registry(names: DataFrame, base: DataFrame | None = None) -> Registry:
+    """Append-only ids of (dataset, local): what the base has keeps its id, others follow in order.
+
+    With several datasets, here or in the base, names carry the dataset before them. A dataset of the base whose ids would change (a
+    prefix that appears, a name more or less) keeps the base's, and moved tells what would have changed.
+    """
     spark = names.sparkSession
-    base = base if base is not None else spark.createDataFrame([], "dataset string, name string, kpt_id int")
-    facts = names.agg((F.count_distinct("dataset") > 1).alias("several")).crossJoin(base.agg(F.coalesce(F.max("kpt_id"), F.lit(-1)).alias("top")))
-    full = names.select("dataset", "name").distinct().crossJoin(F.broadcast(facts)).withColumn("name", F.when(F.col("several"), F.concat_ws("-", "dataset", "name")).otherwise(F.col("name")))
-    new = numbered(full.join(base, ["dataset", "name"], "left_anti"), ["dataset", "name"], "place", 1)
-    return base.select("dataset", "name", "kpt_id").unionByName(new.select("dataset", "name", (F.col("top") + F.col("place")).cast("int").alias("kpt_id")))
+    empty = spark.createDataFrame([], "dataset string, name string, local string, kpt_id int")
+    base = base.select("dataset", "name", "local", "kpt_id") if base is not None else empty
+    own = names.select("dataset", "local").distinct()
+    facts = own.agg(F.count_distinct("dataset").alias("n")).crossJoin(base.agg(F.count_distinct("dataset").alias("n_base"), F.coalesce(F.max("kpt_id"), F.lit(-1)).alias("top")))
+    full = own.crossJoin(F.broadcast(facts)).withColumn("name", F.when((F.col("n") > 1) | (F.col("n_base") > 1), F.concat_ws("-", "dataset", "local")).otherwise(F.col("local")))
+    known = base.groupBy("name").agg(F.min("kpt_id").alias("kpt_id"))
+    held = full.join(known, "name")
+    # Names that several datasets share without a prefix are one id.
+    fresh = numbered(full.join(known, "name", "left_anti").groupBy("name").agg(F.min_by("dataset", F.struct("dataset", "local")).alias("by"), F.max("top").alias("top")), ["by", "name"], "place", 1)
+    new = full.drop("top").join(fresh.select("name", (F.col("top") + F.col("place")).cast("int").alias("kpt_id")), "name")
+    built = held.select("dataset", "name", "local", "kpt_id").unionByName(new.select("dataset", "name", "local", "kpt_id"))
+    before = base.join(own.select("dataset").distinct(), "dataset", "left_semi").select("dataset", "local", F.col("kpt_id").alias("old"))
+    again = built.join(base.select("dataset").distinct(), "dataset", "left_semi").select("dataset", "local", F.col("kpt_id").alias("new_id"))
+    moved = again.join(before, ["dataset", "local"], "full").where("not (new_id <=> old)").select("dataset", "local", F.col("old").alias("kpt_id"), "new_id")
+    ids = base.unionByName(built.join(base.select("dataset").distinct(), "dataset", "left_anti"))
+    return Registry(ids, materialize(moved, "moved"))
+
+
+def registry_build(names: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """The ids of registry() as dataset, name, kpt_id; an error where ids of the base would move. A base without local names has its names' own."""
+    if base is not None and "local" not in base.columns:
+        prefix = F.concat(F.col("dataset"), F.lit("-"))
+        base = base.withColumn("local", F.when(F.startswith("name", prefix), F.substr("name", F.length(prefix) + 1)).otherwise(F.col("name")))
+    found = registry(names.withColumnRenamed("name", "local"), base)
+    wrong = found.moved.orderBy("dataset", "local").limit(3).collect()
+    if wrong:
+        raise ValueError("ids of the base would move: " + ", ".join(f"{r.dataset}/{r.local} {r.kpt_id} -> {r.new_id}" for r in wrong))
+    return found.ids.select("dataset", "name", "kpt_id")
+
+
+def registry_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a registry below a path, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(x.removeprefix("version=")) for x in found if x.startswith("version="))
+
+
+def read_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The latest version of a registry, or an older one; None where there is none."""
+    found = registry_versions(spark, path)
+    if not found:
+        return None
+    return spark.read.parquet(f"{path}/version={found[-1] if version is None else version}")
+
+
+def commit_registry(ids: DataFrame, path: str, base: int | None) -> int:
+    """Write ids as the version after base (None: the first), which is returned. The folder is written aside and renamed; who comes second finds the version taken and gets an error, nothing is overwritten. A claim without its version is left by a writer that died, and may be deleted."""
+    spark = ids.sparkSession
+    version = 0 if base is None else base + 1
+    aside = f"{path}/_{uuid.uuid4().hex}"
+    ids.select("dataset", "name", "local", "kpt_id").coalesce(1).write.parquet(aside)
+    jvm, target = spark._jvm.org.apache.hadoop.fs, f"{path}/version={version}"
+    files = jvm.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    claim = jvm.Path(f"{path}/_claim-{version}")
+    taken = files.exists(jvm.Path(target)) or not files.createNewFile(claim)  # only one creates the claim
+    if taken or not files.rename(jvm.Path(aside), jvm.Path(target)):
+        files.delete(jvm.Path(aside), True)
+        raise FileExistsError(f"{path}: version {version} is taken; read it and build again")
+    return version

@@ -100,7 +100,7 @@ def jn10_carry_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.carry_prior(windows, 4).select("group_id", "animal", "win", "start", "prior_frame")
 
 
-@query(ctes("truth") + ", p AS (SELECT a.group_id, a.frame, a.animal, b.animal AS neighbour, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS dist FROM truth a JOIN truth b ON a.group_id = b.group_id AND a.frame = b.frame AND a.bodypart = b.bodypart AND a.animal <> b.animal WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2), q AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame, animal ORDER BY round(dist, 9), neighbour) AS k FROM p) SELECT group_id, frame, animal, neighbour, round(dist, 6) AS dist FROM q WHERE k = 1")
+@query(ctes("truth") + ", u AS (SELECT * FROM (SELECT *, count(x) OVER (PARTITION BY group_id, frame, animal) AS usable FROM truth) WHERE usable >= 2), p AS (SELECT a.group_id, a.frame, a.animal, b.animal AS neighbour, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS dist FROM truth a JOIN u b ON a.group_id = b.group_id AND a.frame = b.frame AND a.bodypart = b.bodypart AND a.animal <> b.animal WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3, 4), q AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame, animal ORDER BY round(dist, 9), neighbour) AS k FROM p) SELECT group_id, frame, animal, neighbour, round(dist, 6) AS dist FROM q WHERE k = 1")
 def jn11_nearest_neighbour_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.nearest_neighbour_row(fixture(spark, sf_dir, "truth")).withColumn("dist", r("dist"))
 

@@ -39,8 +39,7 @@ def ag1_error_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ctes("pred", "truth") + f", {_ALIGNED} SELECT bodypart, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.95), 6) AS p95, round(quantile_cont(d, 0.99), 6) AS p99 FROM al GROUP BY 1")
 def ag2_err_pcts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = j.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))
-    return rounded(aligned(spark, sf_dir).groupBy("bodypart").agg(*m.percentiles(d)))
+    return rounded(m.error_quantiles(aligned(spark, sf_dir), "bodypart"))
 
 
 @query(ctes("pred", "truth") + f", {_ALIGNED} SELECT group_id, t AS threshold, round(count(*) FILTER (WHERE d <= t)::DOUBLE / count(*), 6) AS pck FROM al, (SELECT unnest([5.0::DOUBLE, 10.0::DOUBLE, 20.0::DOUBLE]) AS t) WHERE x IS NOT NULL GROUP BY 1, 2")

@@ -145,6 +145,14 @@ def rg1_registry_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.registry_build(names, base)
 
 
+@query("WITH d AS (SELECT DISTINCT n_regionkey::VARCHAR AS dataset, n_name AS local FROM nation WHERE n_regionkey IN (1, 2)), b AS (SELECT local, row_number() OVER (ORDER BY local) - 1 AS kpt_id FROM d WHERE dataset = '1'), f AS (SELECT dataset, local, (SELECT max(kpt_id) FROM b) + row_number() OVER (ORDER BY dataset, local) AS new_id FROM d) SELECT dataset, local, CAST(kpt_id AS INTEGER) AS kpt_id, CAST(new_id AS INTEGER) AS new_id FROM f JOIN b USING (local) WHERE dataset = '1'")
+def rg1_registry_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second dataset would put a prefix before the names of the first, and so move its ids: refused."""
+    names = table(spark, sf_dir, "nation").where("n_regionkey in (1, 2)").select(F.col("n_regionkey").cast("string").alias("dataset"), F.col("n_name").alias("local"))
+    base = s.registry(names.where("dataset = '1'")).ids
+    return s.registry(names, base).moved
+
+
 # Training tables
 
 
@@ -240,13 +248,21 @@ _SPOT = ("CAST(floor(cx) AS BIGINT)", "CAST(floor(cy) AS BIGINT)")
 
 @query(
     ctes("det", "regions")
-    + f", v AS (SELECT DISTINCT group_id, frame, camera, 1 AS n FROM det), a AS (SELECT group_id, frame, camera, 'region' AS kind, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM regions UNION ALL SELECT group_id, frame, camera, 'animal', (x0 + x1) / 2, (y0 + y1) / 2 FROM det UNION ALL SELECT group_id, frame, camera, 'background', {draw_sql(22, *_VIEW, 'n')} * 256, {draw_sql(23, *_VIEW, 'n')} * 192 FROM v), "
-    f"j AS (SELECT *, ({draw_sql(24, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jx, ({draw_sql(25, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jy FROM a) "
-    "SELECT group_id, frame, camera, kind, CAST(floor(greatest(least(cx - 32 + jx, 192), 0)) AS INTEGER) AS x0, CAST(floor(greatest(least(cy - 32 + jy, 128), 0)) AS INTEGER) AS y0 FROM j"
+    + ", v AS (SELECT DISTINCT group_id, frame, camera, 1 AS n FROM det), reg AS (SELECT * FROM regions WHERE group_id < 'g6'), two AS (SELECT group_id, frame, camera, x0, y0, x1, y1 FROM reg UNION ALL SELECT group_id, frame, camera, x0 + 100, y0 + 50, x1 + 60, y1 + 20 FROM reg WHERE frame % 5 = 0), "
+    + "ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame, camera ORDER BY x0, y0, x1, y1) - 1 AS k, count(*) OVER (PARTITION BY group_id, frame, camera) AS many FROM two), "
+    + f"drawn AS (SELECT *, {draw_sql(22, *_VIEW, 'n')} AS ux, {draw_sql(23, *_VIEW, 'n')} AS uy, {draw_sql(26, *_VIEW, 'n')} AS ur FROM v), "
+    + "b AS (SELECT group_id, frame, camera, ux * 256 AS cx, uy * 192 AS cy FROM drawn WHERE group_id >= 'g6' UNION ALL SELECT group_id, frame, camera, x0 + ux * (x1 - x0), y0 + uy * (y1 - y0) FROM drawn JOIN ranked USING (group_id, frame, camera) WHERE k = floor(ur * many)), "
+    + "a AS (SELECT group_id, frame, camera, 'region' AS kind, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM two UNION ALL SELECT group_id, frame, camera, 'animal', (x0 + x1) / 2, (y0 + y1) / 2 FROM det WHERE frame % 7 <> 1 UNION ALL SELECT group_id, frame, camera, 'background', cx, cy FROM b), "
+    + f"j AS (SELECT *, ({draw_sql(24, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jx, ({draw_sql(25, *_VIEW, *_SPOT)} - 0.5::DOUBLE) * 32 AS jy FROM a) "
+    + "SELECT group_id, frame, camera, kind, CAST(floor(greatest(least(cx - 32 + jx, 208), -16)) AS INTEGER) AS x0, CAST(floor(greatest(least(cy - 32 + jy, 144), -16)) AS INTEGER) AS y0 FROM j UNION ALL SELECT group_id, frame, camera, 'empty', 96, 64 FROM v WHERE (group_id, frame, camera) NOT IN (SELECT (group_id, frame, camera) FROM j)"
 )
 def tr12_tile_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = fixture(spark, sf_dir, "det")
-    return t.tile_origins(det.select("group_id", "frame", "camera").distinct(), det, fixture(spark, sf_dir, "regions"), 64.0, 256.0, 192.0, 22)
+    """Two groups certify nothing, so their background is anywhere; some views of the others have two regions, some none and no animal either."""
+    det, keys = fixture(spark, sf_dir, "det"), ["group_id", "frame", "camera"]
+    reg = fixture(spark, sf_dir, "regions").where("group_id < 'g6'").select(*keys, *Box._fields)
+    more = reg.where("frame % 5 = 0").select(*keys, (F.col("x0") + 100).alias("x0"), (F.col("y0") + 50).alias("y0"), (F.col("x1") + 60).alias("x1"), (F.col("y1") + 20).alias("y1"))
+    centres = det.where("frame % 7 <> 1").select(*keys, ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    return t.tile_origins(det.select(*keys).distinct(), centres, reg.unionByName(more), 64.0, 256.0, 192.0, 22)
 
 
 @query(ctes("insts") + "SELECT group_id, frame, camera, animal, round(x0 * 0.5 + 16, 6) AS x0, round(y0 * 0.5 + 0, 6) AS y0, round(x1 * 0.5 + 16, 6) AS x1, round(y1 * 0.5 + 0, 6) AS y1 FROM insts WHERE status = 'labeled'")
@@ -286,7 +302,7 @@ def tr17_build_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ITEM = (t.GROUP, "CAST(frame AS BIGINT)", "CAST(animal AS BIGINT)")
-_NEAREST = "near AS (SELECT group_id, frame, animal, arg_min(other, k) AS neighbour FROM (SELECT a.group_id, a.frame, a.animal, b.animal AS other, row_number() OVER (PARTITION BY a.group_id, a.frame, a.animal ORDER BY round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9), b.animal) AS k FROM truth a JOIN truth b ON a.group_id = b.group_id AND a.frame = b.frame AND a.bodypart = b.bodypart AND a.animal <> b.animal WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) GROUP BY 1, 2, 3)"
+_NEAREST = "near AS (SELECT group_id, frame, animal, arg_min(other, k) AS neighbour FROM (SELECT a.group_id, a.frame, a.animal, b.animal AS other, row_number() OVER (PARTITION BY a.group_id, a.frame, a.animal ORDER BY round(avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9), b.animal) AS k FROM truth a JOIN (SELECT *, count(x) OVER (PARTITION BY group_id, frame, animal) AS usable FROM truth) b ON a.group_id = b.group_id AND a.frame = b.frame AND a.bodypart = b.bodypart AND a.animal <> b.animal WHERE a.x IS NOT NULL AND b.x IS NOT NULL AND b.usable >= 2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"
 _BESIDE = "LEFT JOIN near m ON p.group_id = m.group_id AND p.frame = m.frame AND p.animal = m.animal LEFT JOIN truth o ON o.group_id = p.group_id AND o.frame = p.frame AND o.animal = m.neighbour AND o.bodypart = p.bodypart"
 
 

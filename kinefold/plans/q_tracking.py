@@ -11,7 +11,7 @@ from kinefold.operators import multiview as mv
 from kinefold.plans.fixtures import ctes, fixture, table
 from kinefold.functions import geometry as g
 from kinefold.operators.validate import check_v12
-from kinefold.plans.q_geometry import _DISTORTION, MIXED_SQL, PROJECTED_SQL, camera_columns, cameras, points3d, projected, projected_mixed
+from kinefold.plans.q_geometry import _DISTORTION, MIXED_SQL, POINTS_SQL, PROJECTED_SQL, camera_columns, cameras, points3d, projected, projected_mixed
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.q_sources import scratch
 from kinefold.plans.registry import query
@@ -99,6 +99,31 @@ def mv4_triangulate_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mv.triangulate(own, rig(spark), POINT, reject_px=15.0), 3)
 
 
+_RING = "POINTS, ring AS (SELECT unnest(range(15)) AS c)".replace("POINTS", POINTS_SQL)
+
+
+def _ring(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fifteen cameras around the points, and their views."""
+    ring = spark.range(15).select(F.concat(F.lit("c"), F.col("id")).alias("camera"), ((F.col("id") - 7) * 0.2).alias("ry"))
+    cams = ring.select("camera", *(c.alias(f"r{k}") for k, c in enumerate(g.rodrigues(F.lit(0.0), F.col("ry"), F.lit(0.0)))), F.lit(7.0).alias("tz"))
+    lit, camera = F.lit, camera_columns()
+    table = cams.select("camera", lit(300.0).alias("fx"), lit(310.0).alias("fy"), lit(128.0).alias("cx"), lit(96.0).alias("cy"), F.array(*camera.r).alias("rotation"), F.array(*camera.t).alias("translation"), F.array(*camera.k).alias("distortion"), camera.offset_x.alias("offset_x"), camera.offset_y.alias("offset_y"))
+    return g.project(points3d(spark, sf_dir).crossJoin(F.broadcast(cams)), camera).select(*POINT, "camera", "u", "v"), table
+
+
+@query(f"WITH {_RING} SELECT 'view' AS what, group_id, frame, point % 5 AS animal, point, 'c1' AS camera FROM points WHERE point % 5 = 0 UNION ALL SELECT 'view', group_id, frame, point % 5, point, 'c9' FROM points WHERE point = 7 UNION ALL SELECT DISTINCT 'box', group_id, frame, 0, NULL::INTEGER, 'c1' FROM points")
+def mv4_rejected_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera c1 is 40 px too low in all points of animal 0, and c9 in one point of animal 2: the views that go, and the box that is left empty."""
+    seen, table = _ring(spark, sf_dir)
+    off = ((F.col("point") % 5 == 0) & (F.col("camera") == "c1")) | ((F.col("point") == 7) & (F.col("camera") == "c9"))
+    own = seen.withColumn("v", F.when(off, F.col("v") + 40).otherwise(F.col("v"))).withColumn("animal", F.col("point") % 5)
+    found = mv.triangulate_rejecting(own, table, ["group_id", "frame", "animal", "point"], 15.0)
+    animal = ["group_id", "frame", "animal"]
+    boxes = own.select(*animal, "camera").distinct()
+    views_gone = found.rejected.select(F.lit("view").alias("what"), *animal, "point", "camera")
+    return views_gone.unionByName(mv.emptied_boxes(boxes, found, animal).select(F.lit("box").alias("what"), *animal, F.lit(None).cast("int").alias("point"), "camera"))
+
+
 @query(ctes("truth") + ", v AS (SELECT group_id, frame, animal, bodypart, status, CASE WHEN frame % 31 = 4 THEN x + 1 ELSE x END AS x FROM truth), b AS (SELECT group_id, frame, animal, bodypart, status, x FROM truth) SELECT *, 'variant' AS side FROM (SELECT * FROM v EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'base' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM v)")
 def mv5_check_variants_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fixture(spark, sf_dir, "truth").select("group_id", "frame", "animal", "bodypart", "status", "x")

@@ -95,3 +95,22 @@ def test_residuals_of_a_fisheye_session(spark):
     worst = lambda c: view_residuals(keypoints, c, none).agg(F.max("residual"), F.count("*")).first()
     assert worst(cameras)[0] < 1e-6 and worst(cameras)[1] == len(points)
     assert worst(cameras.withColumn("fisheye", F.lit(False)))[0] > 5
+
+
+def test_rejected_views_are_rows(spark):
+    """Every view of a point is kept or rejected, and the points are those of triangulate with the same gate."""
+    rig, points = planted(12, False)
+    rig, points = rig._replace(distortion=np.zeros((12, 5))), points * 0.3
+    seen = rig.project(np.repeat(points, 12, axis=0), np.tile(np.arange(12), len(points))).reshape(-1, 12, 2)
+    seen[::4, 5, 1] += 40
+    rows = [("g", k, f"c{c:02d}", *map(float, seen[k, c])) for k in range(len(points)) for c in range(12) if (k + c) % 5]
+    views = spark.createDataFrame(rows, "group_id string, k int, camera string, u double, v double")
+    own = rig._replace(names=[f"c{c:02d}" for c in range(12)])
+    found = mv.triangulate_rejecting(views, own, ["group_id", "k"], 10.0)
+    want = {("g", k, "c05") for k in range(0, len(points), 4) if (k + 5) % 5}
+    assert {(r.group_id, r.k, r.camera) for r in found.rejected.collect()} == want and found.rejected.where("error < 10").count() == 0
+    assert found.kept.count() + len(want) == len(rows)
+    plain = {r.k: (r.x, r.y, r.z, r.n_views, r.n_rejected) for r in mv.triangulate(views, own, ["group_id", "k"], reject_px=10.0).collect()}
+    assert {r.k: (r.x, r.y, r.z, r.n_views, r.n_rejected) for r in found.points.collect()} == plain
+    boxes = views.select("group_id", "k", "camera")
+    assert {(r.group_id, r.k, r.camera) for r in mv.emptied_boxes(boxes, found, ["group_id", "k"]).collect()} == want
