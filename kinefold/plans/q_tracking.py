@@ -271,3 +271,46 @@ def st8_incremental_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(totals.join(F.broadcast(last), "batch", "left_semi").select("event_type", "n", "total"), 4)
 
 
+
+
+def _closed(spark: SparkSession, sf_dir: str, key: str, size_ms: int, slide_ms: int | None = None, sessions: bool = False) -> DataFrame:
+    """closing_windows over the events as a stream: four files in order of time, then one with every 50th event again."""
+    own, path = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark)
+    span = own.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    share = (F.unix_millis("ts") - F.unix_millis("first")) / (F.unix_millis("last") - F.unix_millis("first") + 1)
+    cut = own.crossJoin(F.broadcast(span)).withColumn("part", F.floor(share * 4))
+    for k in range(4):
+        cut.where(F.col("part") == k).select(*own.columns).coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    own.where("event_id % 50 = 0").coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    stream = sw.frame_stream(spark, f"{path}/landing", own.schema)
+    sw.run_to_end(sw.closing_windows(stream, "ts", key, "1 hour", size_ms, slide_ms, sessions=sessions), path)
+    return spark.read.parquet(f"{path}/data")
+
+
+_MARK = "e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT max(ms) - 3600000 AS mark FROM e)"
+
+
+def _closed_sql(key: str, size: int, slide: int) -> str:
+    back = -(-size // slide)
+    return f"WITH {_MARK}, w AS (SELECT event_id, {key}, value, (ms // {slide} - k) * {slide} AS start_ms FROM e, (SELECT unnest(range({back})) AS k)), c AS (SELECT * FROM w, m WHERE start_ms + {size} <= mark) SELECT 'window' AS what, {key}, CAST(start_ms AS BIGINT) AS start_ms, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM c GROUP BY 2, 3 UNION ALL SELECT 'late', {key}, CAST(start_ms AS BIGINT), CAST(count(*) AS BIGINT), round(sum(value), 4) FROM c WHERE event_id % 50 = 0 GROUP BY 2, 3"
+
+
+def _told(rows: DataFrame, key: str) -> DataFrame:
+    return rounded(rows.groupBy("what", key, "start_ms").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), 4)
+
+
+@query(_closed_sql("event_type", 7_200_000, 3_600_000))
+def st5_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hour windows every hour, as the watermark closes them, and what came after that."""
+    return _told(_closed(spark, sf_dir, "event_type", 7_200_000, 3_600_000), "event_type")
+
+
+@query(_closed_sql("event_type", 3_600_000, 3_600_000))
+def st6_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_closed(spark, sf_dir, "event_type", 3_600_000), "event_type")
+
+
+@query(f"WITH {_MARK}, g AS (SELECT user_id, ms, value, CASE WHEN ms - lag(ms) OVER w < 86400000 THEN 0 ELSE 1 END AS cut FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM g), r AS (SELECT user_id, min(ms) AS start_ms, max(ms) AS last, count(*) AS n, sum(value) AS total FROM s GROUP BY user_id, k) SELECT 'window' AS what, user_id, CAST(start_ms AS BIGINT) AS start_ms, CAST(n AS BIGINT) AS n, round(total, 4) AS total FROM r, m WHERE last + 86400000 <= mark UNION ALL SELECT 'late', user_id, CAST(ms AS BIGINT), CAST(count(*) AS BIGINT), round(sum(value), 4) FROM e, m WHERE event_id % 50 = 0 AND ms + 86400000 <= mark GROUP BY 2, 3")
+def st7_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs without a day's gap."""
+    return _told(_closed(spark, sf_dir, "user_id", 86_400_000, sessions=True), "user_id")
