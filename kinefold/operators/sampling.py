@@ -178,10 +178,14 @@ def ignore_boxes(instances: DataFrame) -> DataFrame:
     return instances.where("status = 'present'")
 
 
-def camera_subset(views: DataFrame, n: int, seed: int) -> DataFrame:
-    """n cameras of each frame by a seeded draw."""
-    order = F.expr(draw_sql(seed, GROUP, "CAST(frame AS BIGINT)", "CAST(substr(camera, 2) AS BIGINT)"))
-    return views.withColumn("_rank", F.row_number().over(Window.partitionBy(*FRAME).orderBy(order, "camera"))).where(F.col("_rank") <= n).drop("_rank")
+def camera_subset(views: DataFrame, n: int | tuple[int, int], seed: int, single: float = 0.0) -> DataFrame:
+    """n cameras of each frame by a seeded draw; of a range (lowest, highest) each number alike, and with a chance of single one camera alone. A frame with fewer cameras has all."""
+    frame = (GROUP, "CAST(frame AS BIGINT)")
+    order = F.expr(draw_sql(seed, *frame, "CAST(substr(camera, 2) AS BIGINT)"))
+    low, high = (n, n) if isinstance(n, int) else n
+    count = F.lit(low) + F.floor(F.expr(draw_sql(seed + 1, *frame)) * (high - low + 1))
+    count = F.when(F.expr(draw_sql(seed + 2, *frame)) < single, F.lit(1)).otherwise(count)
+    return views.withColumn("_rank", F.row_number().over(Window.partitionBy(*FRAME).orderBy(order, "camera"))).where(F.col("_rank") <= count).drop("_rank")
 
 
 def crop_inflate_draw(split: Column, lo: float, hi: float, u: Column) -> Column:

@@ -28,6 +28,9 @@ def check_v2(sessions: DataFrame) -> DataFrame:
     unknown = _report(sessions.where(F.size(named) > 0), "V-2", "unknown name", "session_id")
     pairs = sessions.select("session_id", F.explode("flip_pairs").alias("p")).select(F.concat_ws("/", "session_id", F.element_at("p", 1)).alias("a"), F.concat_ws("/", "session_id", F.element_at("p", 2)).alias("b"))
     broken = flip_involution(pairs)[1].select(F.regexp_extract("a", "^(.*)/", 1).alias("session_id"))
+    if "skeleton" in sessions.columns:
+        bones = F.array_except(F.flatten(F.coalesce("skeleton", F.array().cast("array<array<string>>"))), F.col("names"))
+        unknown = unknown.union(_report(sessions.where(F.size(bones) > 0), "V-2", "unknown skeleton name", "session_id"))
     return twice.union(unknown).union(_report(broken, "V-2", "not an involution", "session_id"))
 
 
@@ -114,3 +117,14 @@ def check_v16(pred_groups: DataFrame, groups: DataFrame) -> DataFrame:
     """The groups of a prediction and of its source are the same, with as many frames."""
     both = pred_groups.select("group_id", F.col("n_frames").alias("np")).join(groups.select("group_id", F.col("n_frames").alias("ns")), "group_id", "full").where("not (np <=> ns)")
     return _report(both, "V-16", F.when(F.col("np").isNull(), "group not predicted").when(F.col("ns").isNull(), "group not in the source").otherwise("frames differ"))
+
+
+def check_v16_sessions(predicted: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A prediction is of one session, which its source has with the same names and the same cameras, in order: rows (session_id, names, cameras)."""
+    side = lambda df, p: df.select("session_id", F.col("names").alias(f"{p}_names"), F.col("cameras").alias(f"{p}_cameras"))
+    both = side(predicted, "p").join(side(sessions, "s").withColumn("known", F.lit(True)), "session_id", "left")
+    unknown = _report(both.where("known is null"), "V-16", "session not in the source", "session_id")
+    names = _report(both.where("known and not (p_names <=> s_names)"), "V-16", "names differ", "session_id")
+    cameras = _report(both.where("known and not (p_cameras <=> s_cameras)"), "V-16", "cameras differ", "session_id")
+    several = predicted.agg(F.count_distinct("session_id").alias("n"), F.max("session_id").alias("session_id")).where("n > 1")
+    return unknown.union(names).union(cameras).union(_report(several, "V-16", "several sessions", "session_id"))

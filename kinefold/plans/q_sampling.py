@@ -286,6 +286,16 @@ def tr15_camera_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.camera_subset(fixture(spark, sf_dir, "det").select("group_id", "frame", "camera").distinct(), 1, 31)
 
 
+_FRAME = (t.GROUP, "CAST(frame AS BIGINT)")
+
+
+@query(ctes("inst") + f", v AS (SELECT DISTINCT group_id, frame, 'c' || CAST(animal AS VARCHAR) AS camera FROM inst), k AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame ORDER BY {draw_sql(41, *_FRAME, 'CAST(substr(camera, 2) AS BIGINT)')}, camera) AS r, CASE WHEN {draw_sql(43, *_FRAME)} < 0.2::DOUBLE THEN 1 ELSE 2 + floor({draw_sql(42, *_FRAME)} * 3) END AS most FROM v) SELECT group_id, frame, camera FROM k WHERE r <= most")
+def tr15_camera_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two to four cameras a frame (the animals stand for them), and one alone in a fifth of the frames."""
+    views = fixture(spark, sf_dir, "inst").select("group_id", "frame", F.concat(F.lit("c"), F.col("animal")).alias("camera")).distinct()
+    return t.camera_subset(views, (2, 4), 41, 0.2)
+
+
 @query(ctes("truth", "sess") + f", {_INDEX} SELECT group_id, animal, round(CASE WHEN split = 'train' THEN 1.0::DOUBLE + {draw_sql(32, t.GROUP, 'CAST(animal AS BIGINT)')} * 0.5::DOUBLE ELSE 1.25::DOUBLE END, 9) AS factor FROM ix")
 def tr16_crop_inflate_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = draw(32, t.GROUP, "CAST(animal AS BIGINT)")

@@ -399,6 +399,27 @@ def v2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.check_v2(_part_sessions(spark, sf_dir))
 
 
+@query(f"WITH {_SESSIONS} SELECT 'V-2' AS rule, 'error' AS severity, session_id, 'unknown skeleton name' AS message, CAST(1 AS BIGINT) AS n FROM s WHERE NOT list_contains(names, 'Brand#2') AND len(list_distinct(names)) = len(names)")
+def v2_skeleton_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bone from the first name to one that not all sessions have."""
+    own = _part_sessions(spark, sf_dir).where(F.size(F.array_distinct("names")) == F.size("names"))
+    bone = F.array(F.array(F.element_at("names", 1), F.lit("Brand#2")))
+    return v.check_v2(own.withColumns({"flip_pairs": F.lit(None).cast("array<array<string>>"), "skeleton": bone}))
+
+
+@query(f"WITH {_SESSIONS}, p AS (SELECT *, row_number() OVER (ORDER BY session_id) AS k FROM s) SELECT 'V-16' AS rule, 'error' AS severity, session_id, 'names differ' AS message, CAST(1 AS BIGINT) AS n FROM p WHERE len(names) > 1 AND names <> list_reverse(names) AND contains(session_id, '1') UNION ALL SELECT 'V-16', 'error', session_id, 'cameras differ', CAST(1 AS BIGINT) FROM s WHERE contains(session_id, '2') UNION ALL SELECT 'V-16', 'error', session_id || 'x', 'session not in the source', CAST(1 AS BIGINT) FROM s WHERE contains(session_id, '3') AND NOT contains(session_id, '2') AND NOT contains(session_id, '1') UNION ALL SELECT 'V-16', 'error', (SELECT max(CASE WHEN contains(session_id, '3') AND NOT contains(session_id, '2') AND NOT contains(session_id, '1') THEN session_id || 'x' ELSE session_id END) FROM s), 'several sessions', CAST(1 AS BIGINT)")
+def v16_prediction_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of all sessions: some with their names turned, some with a camera more, some of a session that is not there."""
+    own = _part_sessions(spark, sf_dir).select("session_id", "names", F.array(F.lit("c0"), F.lit("c1")).alias("cameras"))
+    has = lambda d: F.col("session_id").contains(d)
+    predicted = own.select(
+        F.when(has("3") & ~has("2") & ~has("1"), F.concat("session_id", F.lit("x"))).otherwise(F.col("session_id")).alias("session_id"),
+        F.when(has("1"), F.reverse("names")).otherwise(F.col("names")).alias("names"),
+        F.when(has("2"), F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))).otherwise(F.col("cameras")).alias("cameras"),
+    )
+    return v.check_v16_sessions(predicted, own)
+
+
 @query(f"WITH {_SESSIONS}, a AS (SELECT session_id, names, list_filter(['Brand#1', 'Brand#2', 'Brand#3'], lambda x: NOT list_contains(names, x)) AS missing FROM s) SELECT 'V-3' AS rule, 'warning' AS severity, session_id, CASE WHEN len(missing) = 0 THEN 'reordered' ELSE 'subset' END AS message, CAST(1 AS BIGINT) AS n FROM a WHERE len(missing) > 0 OR names <> ['Brand#1', 'Brand#2', 'Brand#3']")
 def v3_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.check_v3(_part_sessions(spark, sf_dir), ["Brand#1", "Brand#2", "Brand#3"])
