@@ -108,6 +108,7 @@ def mota(matches: DataFrame, pred: DataFrame, true: DataFrame, ignore_boxes: Dat
 
 def matched_error(matches: DataFrame, pred: DataFrame, true: DataFrame, *keys: str) -> DataFrame:
     """Errors over the points of matched instances, with point and instance counts."""
+    matches = materialize(matches, "matches")  # the solver runs once, though the matches are asked for twice
     p = pred.select(*FRAME, "bodypart", F.col("pred").alias("i"), F.col("x").alias("px"), F.col("y").alias("py"))
     t = true.withColumnRenamed("animal", "j")
     rows = t.join(matches.select(*FRAME, "i", "j"), [*FRAME, "j"], "left").join(p, [*FRAME, "i", "bodypart"], "left")
