@@ -232,11 +232,22 @@ def test_tr11_and_tr12_stay_inside(spark):
         assert r.x0 <= c.x0 and c.x0 + 24 <= r.x1 and r.y0 <= c.y0 and c.y0 + 24 <= r.y1 and 1 <= c["try"] <= 12
         for b in boxes[key]:
             assert min(c.x0 + 24, b.x1) <= max(c.x0, b.x0) or min(c.y0 + 24, b.y1) <= max(c.y0, b.y0)
-    kinds = defaultdict(int)
+    certified, has_animal, kinds, seen = {k for k in regions if k[0] < "g6"}, {k for k in boxes if k[1] % 7 != 1}, defaultdict(int), set()
     for r in QUERIES["tr12_tile_origins"](spark, DATA).collect():
+        key = (r.group_id, r.frame, r.camera)
         kinds[r.kind] += 1
-        assert 0 <= r.x0 <= 192 and 0 <= r.y0 <= 128
-    assert kinds == {"region": len(regions), "animal": sum(map(len, boxes.values())), "background": len(boxes)}
+        seen.add(key)
+        assert -16 <= r.x0 <= 208 and -16 <= r.y0 <= 144
+        if r.kind == "background" and key[0] < "g6":
+            # Its centre, before the move of up to a quarter tile and the cut at the border, lies in a region of the view.
+            own = [(b.x0, b.y0, b.x1, b.y1) for b in [regions[key]]]
+            own += [(x0 + 100, y0 + 50, x1 + 60, y1 + 20) for x0, y0, x1, y1 in own if key[1] % 5 == 0]
+            near = [all(lo - 17 <= c <= hi + 17 or edge for c, lo, hi, edge in ((r.x0 + 32, x0, x1, r.x0 in (-16, 208)), (r.y0 + 32, y0, y1, r.y0 in (-16, 144)))) for x0, y0, x1, y1 in own]
+            assert any(near)
+    several = sum(1 + (k[1] % 5 == 0) for k in certified)
+    assert seen == set(boxes) and kinds["region"] == several and kinds["animal"] == sum(len(boxes[k]) for k in has_animal)
+    assert kinds["background"] == len([k for k in boxes if k in certified or k[0] >= "g6"])
+    assert kinds["empty"] == len([k for k in boxes if k not in certified and k[0] < "g6" and k not in has_animal]) > 0
 
 
 def test_dense_blocks(spark):
