@@ -145,6 +145,36 @@ def test_html_names_do_not_drop_running_text():
         assert html_text.text_at(page, None) == want, page
 
 
+def test_html_keeps_all_parts_of_an_article():
+    """Sibling containers of different classes, formulas, labels and objects in running text, headings of an article's header."""
+    part = "Alpha beta gamma delta, epsilon zeta eta theta. " * 8
+    menu = "<nav>menu</nav>"
+    cases = {
+        f"<body>{menu}<div class='wrap'><div class='intro'><p>{part}</p></div><div class='rest'><p>{part * 3}</p></div></div></body>": part * 4,
+        f"<body>{menu}<article><div class='intro'><p>{part}</p></div><div class='rest'><p>{part * 3}</p></div></article></body>": part * 4,
+        f"<body>{menu}<div class='a'><p>{part}</p></div><div class='b'><p>{part}</p></div></body>": part * 2,
+        f"<body>{menu}<div class='wrap'><div class='post'><p>{part}</p></div><div class='more'><a href='/'>{part}</a></div></div></body>": part,
+        "<article><p>Energy <math><mi>E</mi><annotation>TeX</annotation></math> is big.</p></article>": "Energy E is big.",
+        "<article><p>Pick <label>two</label> of <object data='x'>three</object> now.</p><label>Mail</label></article>": "Pick two of three now.",
+        "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p><nav><h2>x</h2></nav></header><p>Body text.</p></article></body>": "Title Body text.",
+        "<article><div class='header'><h2>Title</h2><div><h3>Under</h3>12 May</div></div><p>Body text.</p></article>": "Title Under Body text.",
+    }
+    for page, want in cases.items():
+        assert html_text.text_at(page, None) == want.strip(), page
+
+
+def test_html_hosts_outvote_a_page(spark):
+    """A box of running text on one page of a host does not widen the host's path; parts on most of its pages do."""
+    part = "Alpha beta gamma delta, epsilon zeta eta theta. " * 8
+    one = f"<body><div class='post'><p>{part}</p></div></body>"
+    odd = f"<body><div class='post'><p>{part}</p></div><div class='box'><p>{part}</p></div></body>"
+    two = f"<body><div class='wrap'><div class='post'><p>{part}</p></div><div class='end'><p>{part}</p></div></div></body>"
+    less = f"<body><div class='wrap'><div class='post'><p>{part}</p></div></div></body>"
+    rows = [(k, "http://h.example", odd if k == 9 else one) for k in range(10)] + [(k, "http://k.example", two if k < 16 else less) for k in range(10, 20)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (part * 2 if 10 <= k < 16 else part).strip() for k in got) and len(got) == 20
+
+
 def test_html_of_a_deep_page_needs_little():
     """A megabyte of unclosed tags: time and memory follow the length."""
     import time
