@@ -104,15 +104,16 @@ def pieces_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, **kwargs) -> DataFrame:
     """Pieces with sequence_id and offset: the pieces of a sequence lie without gaps from 0."""
-    pieces = materialize(pieces_of(docs, capacity=capacity, **kwargs), "pieces")
+    pieces = materialize(pieces_of(docs, capacity=capacity, **kwargs).withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # Dealt by the row's written number: equal rows, and those without an id, are spread like any others.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         bins, offsets = best_fit_decreasing(table["length"].to_numpy(), capacity)
         shard = table["shard"].to_numpy() << 32
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(shard + bins)).append_column("offset", pa.array(offsets))
+        return table.drop_columns(["row", "shard"]).append_column("sequence_id", pa.array(shard + bins)).append_column("offset", pa.array(offsets))
 
     return dealt.groupBy("shard").applyInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
