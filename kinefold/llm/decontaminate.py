@@ -3,14 +3,17 @@
 A shard is a run of whole documents inside one Arrow batch. Its suffix array is sparse: it holds
 the word positions whose first words (four, or the whole window if it is shorter) begin some
 benchmark window; no other suffix can hold a window. Every benchmark suffix is then found in it by
-binary search: the matching range gives all occurrences, and each is widened to the longest
-verbatim match. Nothing is shuffled, and memory follows the shard, not the corpus.
+binary search: the matching range gives all occurrences. A document's items are the union of its windows' sets of
+items, which windows of equal sets share; an item's longest verbatim match begins at one of the two neighbours of the item's
+own suffix among the text's suffixes in order, so no step is taken for an item and an occurrence. Nothing is
+shuffled, and memory follows the shard, not the corpus.
 
 Words are compared by 64-bit hashes of their bytes, so a false match needs as many hash collisions in a row as
 the window has words (13; one for an item of one word).
 
-A benchmark larger than BLOCK_CHARS is taken block by block: each block's index is broadcast alone, and
-what it found is written before the next.
+A benchmark larger than BLOCK_CHARS is taken block by block: each block's index is broadcast alone. The corpus is written
+once, with row numbers; each further block reads numbers and texts and writes only the rows in which it found
+something, and these are joined to the rest by the number at the end.
 
 Defined cases: a null or empty text has no words and is not contaminated; benchmark rows with a
 null id, or without words, are left out; repeated items and documents each count as they stand;
@@ -22,6 +25,10 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -152,16 +159,20 @@ class BenchmarkIndex:
                 if query not in where:
                     keys[prefix][int(prefixes[j])].append(query)
                 where[query][k].append(j)
-        # Places of a window in one item, in the order of the suffixes that begin there.
         self.raw = [x.tobytes() for x in self.sequences]
-        self.where = {q: [(k, sorted(js, key=lambda j, k=k: self.raw[k][4 * j :]) if len(js) > 1 else js) for k, js in own.items()] for q, own in where.items()}
+        self.longest = max(map(len, self.sequences), default=0)
+        # Windows of the same items share one set of them; the places of a window are (item, word).
+        sets: dict[tuple[int, ...], int] = {}
+        self.set_of = {q: sets.setdefault(tuple(own), len(sets)) for q, own in where.items()}
+        self.sets = [frozenset(x) for x in sets]
+        self.where = {q: [(k, j) for k, js in own.items() for j in js] for q, own in where.items()}
         self.prefixes = {}
         for k, by_key in keys.items():
             members = _Members(np.array(list(by_key), np.uint64))
             self.prefixes[k] = (members, [by_key[int(v)] for v in members.values])
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list, list]]:
-        """Of a shard, per text: words, spans (first word, words) and for each item found its longest match (item, item's word, text's word, words; of equals the first)."""
+        """Of a shard, per text: words, spans (first word, words) and for each item found its longest match (item, item's word, text's word, words; of equals the first in the text, then in the item)."""
         hashes, owner = words_of(data, offsets)
         n = len(offsets) - 1
         counts = np.bincount(owner, minlength=n)
@@ -179,37 +190,78 @@ class BenchmarkIndex:
         at, rank = self.vocabulary.find(hashes)
         ids[at] = rank + 1
         raw = ids.tobytes()
-        array = sorted((raw[4 * p : 4 * min(p + self.depth, int(firsts[owner[p] + 1]))], p) for p in np.unique(np.concatenate(suffixes)).tolist())
+        at = np.unique(np.concatenate(suffixes))
+        text_of, ends = dict(zip(at.tolist(), owner[at].tolist(), strict=True)), dict(zip(at.tolist(), firsts[owner[at] + 1].tolist(), strict=True))
+
+        def suffix(p: int) -> bytes:
+            return raw[4 * p : 4 * min(p + self.longest, ends[p])]
+
+        array = sorted((raw[4 * p : 4 * min(p + self.depth, end)], p) for p, end in ends.items())
         keys = [x[0] for x in array]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if self.longest > self.depth:
+            array = [(key, p) for key, run in groupby(array, itemgetter(0)) for p in _in_full([p for _, p in run], suffix)]
+        found: dict[int, dict[bytes, list[int]]] = defaultdict(dict)
         for query in queries:
             lo = bisect_left(keys, query)
             hi = bisect_left(keys, query + b"\xff\xff\xff\xff", lo)
+            size = len(query) // 4
             for _, p in array[lo:hi]:
-                text = int(owner[p])
-                first, end = int(firsts[text]), int(firsts[text + 1])
-                out[text][1].append((p - first, len(query) // 4))
-                for item, places in self.where[query]:
-                    size, j = self._longest(item, places, ids, raw, p, end)
-                    if (size, first - p) > best.get((text, item), (0, 0, 0))[:2]:
-                        best[text, item] = (size, first - p, j)
-        for (text, item), (size, back, j) in sorted(best.items()):
-            out[text][2].append((self.items[item], j, -back, size))
+                text = text_of[p]
+                out[text][1].append((p - int(firsts[text]), size))
+                found[text].setdefault(query, []).append(p)
+        for text, windows in found.items():
+            first = int(firsts[text])
+            items = frozenset().union(*(self.sets[k] for k in {self.set_of[q] for q in windows}))
+            best = self._longest(windows, raw, suffix, ends)
+            out[text][2].extend((self.items[k], best[k][1], best[k][0] - first, best[k][2]) for k in sorted(items))
         return [(c, _merged(spans), matches) for c, spans, matches in out]
 
-    def _longest(self, item: int, places: list[int], ids: np.ndarray, raw: bytes, p: int, end: int) -> tuple[int, int]:
-        """Words that agree from word p of the text and one of the places of an item, at most, and that place: a neighbour of the text's suffix in the order of the item's."""
-        theirs = self.sequences[item]
-        if len(places) > 1:
-            suffix, own = raw[4 * p : 4 * min(end, p + len(theirs))], self.raw[item]
-            at = bisect_left(places, suffix, key=lambda j: own[4 * j :])
-            places = places[max(0, at - 1) : at + 1]
-        found = (0, 0)
-        for j in places:
-            size = min(len(theirs) - j, end - p)
-            differ = np.flatnonzero(theirs[j : j + size] != ids[p : p + size])
-            found = max(found, (int(differ[0]) if len(differ) else size, j))
-        return found
+    def _longest(self, windows: dict[bytes, list[int]], raw: bytes, suffix: Callable[[int], bytes], ends: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+        """Of one text, from the places of its windows in the order of their suffixes: each item's longest match (word of the shard, item's word, words)."""
+        best: dict[int, tuple[int, int, int]] = {}
+        earliest: dict[bytes, int] = {}
+        for query, places in windows.items():
+            least = len(query) // 4
+            for item, j in self.where[query]:
+                own = self.raw[item]
+                had = best.get(item)
+                if had and len(own) // 4 - j < had[2]:
+                    continue
+                at = bisect_left(places, own[4 * j :], key=suffix) if len(places) > 1 else 0
+                size = max(_common(own, j, raw, p, min(len(own) // 4 - j, ends[p] - p), least) for p in places[max(0, at - 1) : at + 1])
+                if had and size < had[2]:
+                    continue
+                prefix = own[4 * j : 4 * (j + size)]
+                p = earliest.get(prefix)
+                if p is None:
+                    lo = bisect_left(places, prefix, key=suffix)
+                    p = earliest[prefix] = min(places[lo : bisect_left(places, prefix + b"\xff\xff\xff\xff", lo, key=suffix)])
+                if not had or (-size, p, j) < (-had[2], had[0], had[1]):
+                    best[item] = (p, j, size)
+        return best
+
+
+def _in_full(places: list[int], suffix: Callable[[int], bytes]) -> list[int]:
+    """Places of suffixes that agree in the words that were sorted, by the words behind these."""
+    return sorted(places, key=suffix) if len(places) > 1 else places
+
+
+def _common(a: bytes, i: int, b: bytes, j: int, most: int, known: int) -> int:
+    """Words that agree from word i of a and word j of b, at most most; the first known ones do."""
+    at, step = known, 16
+    while at < most:
+        n = min(step, most - at)
+        x, y = a[4 * (i + at) : 4 * (i + at + n)], b[4 * (j + at) : 4 * (j + at + n)]
+        if x != y:
+            while n > 1:  # halve the piece that holds the first difference
+                half = n // 2
+                if x[: 4 * half] == y[: 4 * half]:
+                    at, x, y, n = at + half, x[4 * half :], y[4 * half :], n - half
+                else:
+                    x, y, n = x[: 4 * half], y[: 4 * half], half
+            return at
+        at, step = at + n, 4 * step
+    return most
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,13 +332,19 @@ def _summary(blocks: list[dict]) -> dict:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, out: str = "contamination") -> DataFrame:
     """docs with a struct column: n_words, n_hit, n_items, items_sha256, contaminated. One row per input row, all its columns kept."""
     name, columns = free_name(docs, out), docs.columns
-    names: list[str] = []
-    blocks = benchmark_blocks(benchmark, item_id=item_id, item_text=item_text, block_chars=block_chars)
-    for k, block in enumerate(blocks):
-        names.append(free_name(docs, f"overlap{k}"))
-        docs = find_matches(docs, block, text=text, window=window, out=names[-1])
-        if len(blocks) > 1:
-            docs = materialize(docs, f"block{k}")
+    first, *rest = benchmark_blocks(benchmark, item_id=item_id, item_text=item_text, block_chars=block_chars)
+    found, row, more = free_name(docs, "overlap"), free_name(docs, "row"), free_name(docs, "more")
+    docs = find_matches(docs, first, text=text, window=window, out=found)
+    overlaps = F.array(found)
+    if rest:
+        docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        hits = []
+        for k, block in enumerate(rest):
+            own = find_matches(docs.select(row, text), block, text=text, window=window, out=more)
+            hits.append(materialize(own.where(F.size(f"`{more}`.spans") > 0).select(row, more), f"block{k + 1}"))
+        hits = reduce(DataFrame.union, hits).groupBy(row).agg(F.collect_list(more).alias(more))  # at most one a block
+        docs = docs.join(hits, row, "left")
+        overlaps = F.concat(overlaps, F.coalesce(F.col(more), F.array().cast(docs.schema[more].dataType)))
 
     def make():
         def work(found: pa.Array) -> pa.Array:
@@ -294,7 +352,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
         return work
 
-    return docs.withColumn(name, per_batch(make, _SUMMARY)(F.array(*names))).select(*(F.col(f"`{c}`") for c in columns), name)
+    return docs.withColumn(name, per_batch(make, _SUMMARY)(overlaps)).select(*(F.col(f"`{c}`") for c in columns), name)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:

@@ -64,6 +64,73 @@ def test_longest_matches():
     assert found[0][2] == [("q", 5, 1, 90)]
 
 
+def test_matches_against_brute_force():
+    """Words, hit words and every item's longest match of texts with few words, so that windows repeat."""
+    from kinefold.llm.decontaminate import BenchmarkIndex
+
+    rng = random.Random(3)
+    for _ in range(120):
+        window, letters = rng.choice([2, 3, 13]), "abcdefgh"[: rng.choice([2, 3, 5])]
+        some = lambda most: " ".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice(most))))  # noqa: B023, E731
+        items = [(k, some([5, 30, 150])) for k in range(rng.randint(0, 6))]
+        docs = [some([10, 120]) for _ in range(3)] + [(items[0][1] + " ") * 3 if items else ""]
+        raw = [x.encode() for x in docs]
+        got = BenchmarkIndex(items, window).search(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for doc, (n, spans, matches) in zip(docs, got, strict=True):
+            w, hit, want = doc.split(), set(), []
+            for item, body in items:
+                v = body.split()
+                size, found = min(window, len(v)), []
+                for p in range(len(w) if v else 0):
+                    for j in range(len(v) - size + 1):
+                        if w[p : p + size] == v[j : j + size]:
+                            same = size
+                            while p + same < len(w) and j + same < len(v) and w[p + same] == v[j + same]:
+                                same += 1
+                            hit.update(range(p, p + size))
+                            found.append((-same, p, j))
+                if found:
+                    same, p, j = min(found)
+                    want.append((str(item), j, p, -same))
+            assert n == len(w) and {x for a, c in spans for x in range(a, a + c)} == hit and sorted(matches) == sorted(want)
+
+
+def test_a_passage_of_all_items_costs_no_step_an_occurrence_and_item():
+    import time
+
+    from kinefold.llm.decontaminate import BenchmarkIndex
+
+    shared = " ".join(f"shared{k}" for k in range(40))
+    index = BenchmarkIndex([(k, shared + " " + " ".join(f"own{k}x{i}" for i in range(30))) for k in range(800)])
+    text = " ".join(f"{shared} between{k}" for k in range(50)).encode()
+    began = time.process_time()
+    n, spans, matches = index.search(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert n == 2050 and len(spans) == 50 and len(matches) == 800 and {m[1:] for m in matches} == {(0, 0, 40)}
+    assert time.process_time() - began < 3  # about 0.25; it was 11
+
+
+def test_blocks_write_no_text_of_the_corpus_again(spark, monkeypatch):
+    """Many blocks: the rows are written once, and of each further block only the numbers of rows with a hit."""
+    from kinefold.llm import decontaminate as module
+
+    written = []
+
+    def spy(df, name):
+        table = materialize(df, name)
+        written.append((name, df.columns, table.count()))
+        return table
+
+    materialize = module.materialize
+    monkeypatch.setattr(module, "materialize", spy)
+    items = [(k, f"item{k} has words of its own number{k}") for k in range(40)]
+    docs = [(k, f"before item{k} has words of its own number{k} after" if k < 30 else "nothing of the kind", k) for k in [*range(60), 3, 3]]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, row long"), spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(df, bench, block_chars=300)
+    assert got.columns == ["doc_id", "text", "row", "contamination"]
+    assert sorted((r.doc_id, r.row, *r.contamination) for r in got.collect()) == sorted((d, k, *brute_contamination(t, items)) for d, t, k in docs)
+    assert len(written) > 3 and written[0][2] == 62 and all("text" not in columns and n < 31 for _, columns, n in written[1:])
+
+
 ODD_TEXTS = ["", " ", "  ", "a  b", "a   b", "a \n b", "\n\n a", "it's we'll  x", "<|endoftext|> hi", "日本語 テスト  です", "a,b.c", "a ,b", "x .y", "..a", "a.,b", ".\nB", "\n,a", "a\x01b,c", "é é", "½ ² ٣,٤", "x\x85 y", "tab\t\t x \t", "a\n\nb", "a\n\n", "a\n", "\n", "\n\n\nb", "a\r\nb", "a\n b\n,c\n\n.d", "a\t\n\nb", "\n\tb\n\n\tc"]
 
 
@@ -159,6 +226,16 @@ def test_pack_odd_rows(spark, odd, nothing, library):
     assert packing.pack(nothing).count() == 0
 
 
+def test_equal_pieces_are_spread_over_shards(spark):
+    """Equal rows, and rows without an id, make no large shard."""
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS long) AS doc_id", "'' AS text")
+    packed = packing.pack(docs, shard_pieces=1000)
+    shards = [r["count"] for r in packed.selectExpr("sequence_id >> 32 AS shard").groupBy("shard").count().collect()]
+    assert len(shards) == 20 and sum(shards) == 20_000 and max(shards) < 1300
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.groupBy("sequence_id").agg({"offset": "max", "*": "count"}).where("`max(offset)` + 1 <> `count(1)`").count() == 0
+
+
 def test_simhash_components(spark, odd, nothing, monkeypatch):
     import xxhash
 
