@@ -39,14 +39,15 @@ def window_index(labels: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def pool_weights(index: DataFrame, annot_frac: float | None, mode_3d_frac: float | None) -> DataFrame:
-    """Shares of label source, then of mode inside it; a level that a pool lacks is skipped and an unset one keeps its natural share."""
+    """Shares of label source, then of mode inside it; a level that a pool lacks is skipped and an unset one keeps its natural share. Entries that lack a value are a cell of their own."""
     for v in (annot_frac, mode_3d_frac):
         if v is not None and not 0 <= v <= 1:
             raise ValueError(f"share {v}")
-    n = F.count(F.lit(1))
-    own = with_totals(index, [], n_all=n, sources=F.count_distinct("label_source"))
-    own = with_totals(own, ["label_source"], n_source=n, modes=F.count_distinct("mode"))
-    own = with_totals(own, ["label_source", "mode"], n_cell=n)
+    # The index is counted once; the rest is sums over its few cells.
+    cells = index.groupBy(F.col("label_source").alias("_source"), F.col("mode").alias("_mode")).agg(F.count(F.lit(1)).alias("n_cell"))
+    all_, of_source = Window.partitionBy(F.lit(0)), Window.partitionBy("_source")
+    totals = cells.withColumns({"n_all": F.sum("n_cell").over(all_), "sources": F.size(F.collect_set(F.struct("_source")).over(all_)), "n_source": F.sum("n_cell").over(of_source), "modes": F.count(F.lit(1)).over(of_source)})
+    own = index.join(F.broadcast(totals), F.col("label_source").eqNullSafe(F.col("_source")) & F.col("mode").eqNullSafe(F.col("_mode"))).drop("_source", "_mode")
     source = F.col("n_source") / F.col("n_all")
     if annot_frac is not None:
         wanted = F.when(F.col("label_source") == "annotated", annot_frac).otherwise(1 - annot_frac)
@@ -178,6 +179,16 @@ def ignore_boxes(instances: DataFrame) -> DataFrame:
     return instances.where("status = 'present'")
 
 
+def regions_in_view(views: DataFrame, regions: DataFrame, certified: DataFrame, view: Letterbox) -> DataFrame:
+    """views with rects: the view's certified rectangles in input pixels, in order. None (null) in a group that certifies nothing, and so claims to be wholly labelled; an empty list where the group does but this view has none."""
+    keys = [*FRAME, "camera"]
+    moved = regions.select(*keys, F.struct(*(c.alias(n) for n, c in view.box(Box.named()).columns().items())).alias("r"))
+    rects = moved.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rects"))
+    known = certified.select("group_id").distinct().withColumn("_known", F.lit(True))
+    own = views.join(rects, keys, "left").join(known, "group_id", "left")
+    return own.withColumn("rects", F.when(F.col("_known"), F.coalesce("rects", F.array().cast(rects.schema["rects"].dataType)))).drop("_known")
+
+
 def camera_subset(views: DataFrame, n: int | tuple[int, int], seed: int, single: float = 0.0) -> DataFrame:
     """n cameras of each frame by a seeded draw; of a range (lowest, highest) each number alike, and with a chance of single one camera alone. A frame with fewer cameras has all."""
     frame = (GROUP, "CAST(frame AS BIGINT)")
@@ -315,17 +326,19 @@ def oracle_corrupt(points: DataFrame, kind: str, amount: float, seed: int, boxes
 def densify(points: DataFrame, bodyparts: list[str], keys: tuple[str, ...] = ("group_id", "animal"), block: int = BLOCK_FRAMES) -> DataFrame:
     """Nested arrays by frame and bodypart, a row for each animal and block of frames: pose[t][k] = (x, y), nulls where nothing is. Frames run from 0 to the clip's last; a block begins at frame t0, and one without any point is there too.
 
-    An animal's frames that are there are sorted inside their block, and the gaps before each and behind the last are filled with repeated nulls: one pass, no look-up.
+    An animal's frames that are there are sorted inside their block, and the gaps before each and behind the last are filled with repeated nulls: no look-up.
+    The points are read once, into a table of the blocks that have any; the clips' last frames and the blocks without a point come from its narrow columns.
     """
     none = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
     pose = points.groupBy(*keys, "frame").agg(*(F.max(F.when(F.col("bodypart") == b, F.struct("x", "y"))).alias(f"b{k}") for k, b in enumerate(bodyparts)))
     t0 = (F.floor(F.col("frame") / block) * block).cast("int")
     framed = pose.select(*keys, t0.alias("t0"), F.struct((F.col("frame") - t0).alias("t"), F.array(*(F.coalesce(F.col(f"b{k}"), none) for k in range(len(bodyparts)))).alias("row")).alias("r"))
-    own = framed.groupBy(*keys, "t0").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    last = points.groupBy(keys[0]).agg(F.max("frame").alias("last"))
-    blocks = points.select(*keys).distinct().join(last, keys[0]).select(*keys, "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block))).alias("t0"))
-    whole = blocks.join(own, [*keys, "t0"], "left").withColumn("size", F.least(F.lit(block), F.col("last") + 1 - F.col("t0")).cast("int"))
-    rows = F.coalesce("rows", F.array())
+    own = materialize(framed.groupBy(*keys, "t0").agg(F.max("r.t").alias("t"), F.array_sort(F.collect_list("r")).alias("rows")), "blocks")
+    last = own.groupBy(keys[0]).agg(F.max(F.col("t0") + F.col("t")).alias("last"))
+    grid = own.select(*keys).distinct().join(last, keys[0]).select(*keys, "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block))).alias("t0"))
+    bare = grid.join(own.select(*keys, "t0"), [*keys, "t0"], "left_anti").select(*keys, "t0", "last", F.array().cast(own.schema["rows"].dataType).alias("rows"))
+    whole = own.join(last, keys[0]).select(*keys, "t0", "last", "rows").unionByName(bare).withColumn("size", F.least(F.lit(block), F.col("last") + 1 - F.col("t0")).cast("int"))
+    rows = F.col("rows")
     before = F.concat(F.array(F.lit(-1)), F.transform(rows, lambda r: r["t"]))
     nothing = F.lit(None).cast("array<struct<x:double,y:double>>")
     filled = F.flatten(F.zip_with(rows, F.slice(before, F.lit(1), F.size(rows)), lambda r, p: F.concat(F.array_repeat(nothing, r["t"] - p - 1), F.array(r["row"]))))

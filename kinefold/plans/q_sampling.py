@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefold.functions.geometry import Box
+from kinefold.functions.geometry import Box, Letterbox
 from kinefold.functions.random import draw, draw_sql
 from kinefold.operators import frames as w
 from kinefold.operators import joins as j
@@ -281,6 +281,16 @@ def tr14_known_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.union(ignored).union(views).groupBy(*keys).agg(F.sum("k").alias("n_known"), F.sum("i").alias("n_ignore"))
 
 
+@query(ctes("det", "regions") + f", {_VIEWS}, r AS (SELECT group_id, frame, camera, count(*) AS n, sum(x0 * 0.5 + 16 + y0 * 0.5 + x1 * 0.5 + 16 + y1 * 0.5) AS total FROM regions WHERE group_id < 'g6' GROUP BY 1, 2, 3) SELECT group_id, frame, camera, CASE WHEN group_id < 'g6' THEN CAST(coalesce(n, 0) AS INTEGER) END AS n_regions, round(total, 6) AS total FROM v LEFT JOIN r USING (group_id, frame, camera)")
+def tr14_regions_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups certify nothing (null); of the others every third frame has no region (an empty list)."""
+    own, reg = fixture(spark, sf_dir, "det"), fixture(spark, sf_dir, "regions").where("group_id < 'g6'")
+    found = t.regions_in_view(own.select("group_id", "frame", "camera").distinct(), reg, reg, Letterbox.fit(F.lit(256.0), F.lit(192.0), 160, 96))
+    total = F.aggregate("rects", F.lit(0.0), lambda s, b: s + b["x0"] + b["y0"] + b["x1"] + b["y1"])
+    n = F.when(F.col("rects").isNotNull(), F.size("rects"))
+    return rounded(found.select("group_id", "frame", "camera", n.alias("n_regions"), F.when(n > 0, total).alias("total")))
+
+
 @query(ctes("det") + f", {_VIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id, frame ORDER BY {draw_sql(31, t.GROUP, 'CAST(frame AS BIGINT)', 'CAST(substr(camera, 2) AS BIGINT)')}, camera) AS r FROM v) SELECT group_id, frame, camera FROM k WHERE r = 1")
 def tr15_camera_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.camera_subset(fixture(spark, sf_dir, "det").select("group_id", "frame", "camera").distinct(), 1, 31)

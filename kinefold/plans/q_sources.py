@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinefold.functions.geometry import Box, crop_box
 from kinefold.operators import validate as v
 from kinefold.operators.sets import names_disagree, repair_axis_order, union_sessions
 from kinefold.plans.fixtures import ctes, fixture, table
+from kinefold.plans.q_geometry import _CROP as CROP_SQL
+from kinefold.plans.q_geometry import extents
 from kinefold.plans.q_joins import predictions
 from kinefold.plans.q_metrics import rounded
 from kinefold.plans.registry import query
@@ -44,6 +47,15 @@ def src5_read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.group_defaults(raw).select("group_id", "n_frames", "fps", "source_frame_start", "source_frame_step", "notes")
 
 
+@query(ctes("sess") + "SELECT group_id, 's_' || group_id AS session_id, n_frames, CAST(CASE WHEN n_frames % 2 = 0 THEN 30.0 END AS FLOAT) AS fps, CASE WHEN mode = '3d' THEN 5 ELSE 0 END AS source_frame_start, 1 AS source_frame_step, '' AS source_video, '' AS notes FROM sess")
+def src5_read_groups_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read from session folders; the files leave out steps, notes and videos."""
+    path = scratch(spark)
+    raw = _split(fixture(spark, sf_dir, "sess")).select("root", "split", "session_id", "group_id", "n_frames", F.when(F.col("n_frames") % 2 == 0, F.lit(30.0)).cast("float").alias("fps"), F.when(F.col("mode") == "3d", 5).alias("source_frame_start"))
+    wr.write_session_files(raw, path, "groups")
+    return rd.read_groups(spark, path).select("group_id", "session_id", "n_frames", "fps", "source_frame_start", "source_frame_step", "source_video", "notes")
+
+
 @query(ctes("pred") + "SELECT group_id, frame, pred, bodypart, x, y, logit AS conf FROM pred WHERE group_id IN ('g1', 'g4')")
 def src6_read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -139,6 +151,14 @@ def src16_manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.manifest_reconcile(rd.video_manifest(fixture(spark, sf_dir, "files"), "_cam([0-9])", ["0", "1", "2"])[0])
 
 
+@query(ctes("files") + f", {_MANIFEST}, v AS (SELECT group_id, camera, CASE WHEN n_frames = 102 THEN 648 ELSE 640 END AS w, CASE WHEN n_frames = 101 THEN 360 ELSE 480 END AS h FROM m WHERE camera IN ('0', '1', '2')), f AS (SELECT camera, min((group_id, w, h)) AS first FROM v GROUP BY 1), s AS (SELECT camera, CASE WHEN camera = '0' THEN 640 WHEN camera = '1' THEN 648 ELSE first[2] END AS width, CASE WHEN camera = '2' THEN first[3] ELSE 480 END AS height FROM f) SELECT group_id, camera, w, h, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height FROM v JOIN s USING (camera) WHERE w <> width OR h <> height")
+def src16_size_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of other sizes than their cameras; the third camera has none of its own."""
+    manifest = rd.video_manifest(fixture(spark, sf_dir, "files"), "_cam([0-9])", ["0", "1", "2"])[0]
+    sized = manifest.select("group_id", "camera", F.when(F.col("n_frames") == 102, 648).otherwise(640).alias("w"), F.when(F.col("n_frames") == 101, 360).otherwise(480).alias("h"))
+    return rd.size_refusals(sized, spark.createDataFrame([("0", 640, 480), ("1", 648, 480), ("2", None, None)], "name string, width int, height int"))
+
+
 @query(ctes("det", "sess") + ", f AS (SELECT DISTINCT group_id, camera, frame FROM det), g AS (SELECT group_id, camera, count(*) AS n, min(frame) AS first, max(frame) AS last, CASE WHEN bool_or(frame % 500 = 7) AND bool_or(frame % 500 <> 7) THEN 2 ELSE 1 END AS extensions FROM f GROUP BY 1, 2) SELECT group_id, camera, CAST(n AS BIGINT) AS n, n_frames, first, last, CAST(extensions AS BIGINT) AS extensions FROM g JOIN sess USING (group_id) WHERE n <> n_frames OR extensions <> 1 OR first <> 0 OR last <> n - 1")
 def src17_image_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = fixture(spark, sf_dir, "det").select("group_id", "camera", "frame").distinct()
@@ -152,6 +172,38 @@ def src19_unblock_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.unblock_xy(blocked, ["lo", "hi"])
 
 
+@query("WITH m AS (SELECT CAST(o_custkey AS VARCHAR) AS session_id, o_orderstatus AS split FROM orders) SELECT session_id, array_to_string(list(DISTINCT split ORDER BY split), ',') AS splits FROM m GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def src19_split_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    movies = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("session_id"), F.col("o_orderstatus").alias("split"))
+    return rd.split_conflicts(movies).select("session_id", F.array_join("splits", ",").alias("splits"))
+
+
+@query("SELECT c_custkey AS project, field FROM customer, (VALUES ('skeleton_names', 3), ('label_names', 5), ('n_points', 7), ('n_views', 11)) AS f(field, k) WHERE c_custkey % k = 1")
+def src19_axis_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as label projects, of which some have their names in another order, too few points or two views."""
+    k, axis = F.col("c_custkey"), F.array(*map(F.lit, NAMES))
+    lists = {"skeleton_names": F.when(k % 3 == 1, F.reverse(axis)).otherwise(axis), "label_names": F.when(k % 5 == 1, F.slice(axis, 1, 3)).otherwise(axis)}
+    sizes = {"n_points": F.when(k % 7 == 1, F.lit(None).cast("int")).otherwise(len(NAMES)), "n_views": F.when(k % 11 == 1, 2).otherwise(1)}
+    return rd.axis_errors(table(spark, sf_dir, "customer").select(k.alias("project"), *(c.alias(n) for n, c in (lists | sizes).items())), NAMES)
+
+
+@query(ctes("det", "regions") + "SELECT 'point' AS kind, group_id || '/' || camera AS movie, frame, bodypart, CASE WHEN det % 4 <> 1 THEN CASE WHEN bodypart = 'lo' THEN x0 ELSE x1 END END AS x FROM det, (VALUES ('lo'), ('hi')) AS p(bodypart) WHERE det % 4 <> 3 AND group_id <> 'g7' UNION ALL SELECT 'region', group_id || '/' || camera, frame, NULL, least(x1, 150) FROM regions WHERE group_id <> 'g7' AND frame % 4 <> 0 UNION ALL SELECT DISTINCT 'turned region', group_id || '/' || camera, CAST(NULL AS INTEGER), NULL, CAST(NULL AS DOUBLE) FROM regions WHERE group_id <> 'g7' AND frame % 4 = 0 UNION ALL SELECT DISTINCT 'session in two splits', group_id || '/' || camera, NULL, NULL, NULL FROM det WHERE group_id = 'g2'")
+def src19_label_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A movie for each clip and camera: one clip is not labelled, one is in two splits, some regions are turned; infinite places are missing, NaN ones nothing."""
+    det, reg = fixture(spark, sf_dir, "det"), fixture(spark, sf_dir, "regions")
+    movie = F.concat_ws("/", "group_id", "camera").alias("movie")
+    movies = det.select(movie, F.col("group_id").alias("session_id"), F.when((F.col("group_id") == "g2") & (F.col("camera") == "c1"), "test").otherwise("train").alias("split"), F.lit(150).alias("w"), F.lit(100).alias("h")).distinct()
+    mark = F.when(F.col("det") % 4 == 1, float("inf")).when(F.col("det") % 4 == 3, float("nan"))
+    labels = det.where("group_id <> 'g7'").select(movie, (F.col("frame") + 1).alias("frame"), F.col("det").alias("target"), F.array(*(F.coalesce(mark, F.col(c) + 1) for c in ("x0", "x1", "y0", "y1"))).alias("p"))
+    turn = F.when(F.col("frame") % 4 == 0, 3.0).otherwise(0.0)
+    corner = lambda x, y, by: F.struct((F.col(x) + 1 + by).alias("x"), (F.col(y) + 1).alias("y"))
+    rois = reg.select(movie, (F.col("frame") + 1).alias("frame"), F.lit(1).alias("roi"), F.explode(F.array(corner("x0", "y0", turn), corner("x1", "y0", F.lit(0.0)), corner("x1", "y1", F.lit(0.0)), corner("x0", "y1", F.lit(0.0)))).alias("p")).select("movie", "frame", "roi", "p.*")
+    points, regions, errors = rd.label_movies(movies, labels, rois, ["lo", "hi"])
+    none = F.lit(None).cast("string").alias("bodypart")
+    own = points.select(F.lit("point").alias("kind"), "movie", "frame", "bodypart", "x").union(regions.select(F.lit("region"), "movie", "frame", none, "x1"))
+    return own.union(errors.select("reason", "movie", F.lit(None).cast("int"), none, F.lit(None).cast("double")))
+
+
 @query(ctes("truth") + "SELECT group_id, frame, animal, bodypart, status, x, y FROM truth")
 def snk1_write_session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round trip; unlabeled rows and numbers that are not finite do not survive it."""
@@ -185,6 +237,23 @@ def snk4_write_window_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wr.window_outcomes(own).select("group_id", "animal", "win", "outcome")
 
 
+@query(
+    ctes("det", "truth") + ", w AS (SELECT group_id, animal, CAST(floor(frame / 8.0) AS INTEGER) AS frame, count(x) AS n_points FROM truth GROUP BY 1, 2, 3), b AS (SELECT group_id, det AS animal, CAST(floor(frame / 8.0) AS INTEGER) AS frame, count(*) AS n_boxes FROM det WHERE score >= 0.55 GROUP BY 1, 2, 3), "
+    "padded AS (SELECT group_id, CAST(floor(frame / 8.0) AS INTEGER) AS frame, animal, CAST(floor(least(greatest(min(x) - 20, 0), 120)) AS INTEGER) AS x0, CAST(floor(least(greatest(min(y) - 20, 0), 100)) AS INTEGER) AS y0, CAST(floor(least(greatest(max(x) + 20, 0), 120)) AS INTEGER) AS x1, CAST(floor(least(greatest(max(y) + 20, 0), 100)) AS INTEGER) AS y1 FROM truth WHERE x BETWEEN 0 AND 120 AND y BETWEEN 0 AND 100 GROUP BY 1, 2, 3)"
+    + CROP_SQL.format(side=64, w=120, h=100) + ", o AS (SELECT group_id, animal, frame AS win, x0, y0, x1, y1, CASE WHEN coalesce(n_boxes, 0) = 0 THEN 'no box' WHEN animal = 6 THEN 'no camera' WHEN n_points = 0 THEN 'no points' WHEN x0 IS NULL THEN 'crop failed' WHEN (frame + animal) % 9 = 0 THEN 'decode failed' ELSE 'ok' END AS outcome FROM w LEFT JOIN b USING (group_id, animal, frame) LEFT JOIN crop USING (group_id, animal, frame)) "
+    "SELECT group_id, animal, win, outcome, CASE WHEN outcome IN ('ok', 'decode failed') THEN x0 END AS x0, CASE WHEN outcome IN ('ok', 'decode failed') THEN y0 END AS y0, CASE WHEN outcome IN ('ok', 'decode failed') THEN x1 END AS x1, CASE WHEN outcome IN ('ok', 'decode failed') THEN y1 END AS y1 FROM o"
+)
+def snk4_window_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six outcomes, with the crops around a window's points inside an image of 120 x 100; every ninth window cannot be read."""
+    truth, keys = fixture(spark, sf_dir, "truth").withColumn("win", F.floor(F.col("frame") / 8).cast("int")), ["group_id", "animal", "win"]
+    points = truth.groupBy(*keys).agg(F.count("x").alias("n_points"))
+    boxes = fixture(spark, sf_dir, "det").where("score >= 0.55").groupBy("group_id", F.col("det").alias("animal"), F.floor(F.col("frame") / 8).cast("int").alias("win")).agg(F.count(F.lit(1)).alias("n_boxes"))
+    inside = extents(truth.where("x between 0 and 120 and y between 0 and 100"), *keys)
+    crops = inside.select(*keys, *(c.alias(n) for n, c in crop_box(Box.named("ex_"), 120, 100, 64, 20).columns().items()))
+    own = points.join(boxes, keys, "left").join(crops, keys, "left").fillna(0, ["n_boxes"])
+    return wr.window_outcomes(own.withColumns({"has_camera": F.col("animal") != 6, "decoded": (F.col("win") + F.col("animal")) % 9 != 0})).select(*keys, "outcome", *Box._fields)
+
+
 # Validation
 
 

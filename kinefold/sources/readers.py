@@ -121,6 +121,11 @@ def group_defaults(groups: DataFrame) -> DataFrame:
     return groups.fillna({"source_frame_start": 0, "source_frame_step": 1, "source_video": "", "notes": ""})
 
 
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The clips of every session below a path, with the defaults of what their files leave out."""
+    return group_defaults(read_table(spark, path, "groups"))
+
+
 def read_predictions(keypoints: DataFrame, cameras: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Prediction rows of the first camera, with the logit as confidence; the filter on groups reaches the scan."""
     own = keypoints if groups is None else keypoints.where(F.col("group_id").isin(groups))
@@ -204,12 +209,13 @@ def label_status(x: Column) -> Column:
     return F.when(F.isnan(x) | x.isNull(), None).when(F.abs(x) == float("inf"), "missing").otherwise("visible")
 
 
-def rois_to_regions(rois: DataFrame, w: float, h: float) -> tuple[DataFrame, DataFrame]:
+def rois_to_regions(rois: DataFrame, w: float | Column, h: float | Column) -> tuple[DataFrame, DataFrame]:
     """Vertex rows (group_id, frame, roi, x, y), counted from 1, as upright rectangles counted from 0 and clipped; turned ones (other than two xs and two ys) are errors."""
-    boxes = rois.groupBy("group_id", "frame", "roi").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"))
+    w, h = (x if isinstance(x, Column) else F.lit(x) for x in (w, h))
+    boxes = rois.groupBy("group_id", "frame", "roi").agg(F.max(w).cast("double").alias("w"), F.max(h).cast("double").alias("h"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"))
     turned = boxes.where("nx > 2 or ny > 2").select("group_id", "frame", "roi")
-    clip = lambda c, m: F.greatest(F.least(F.col(c) - 1, F.lit(m)), F.lit(0.0)).alias(c)
-    upright = boxes.where("nx <= 2 and ny <= 2").select("group_id", "frame", "roi", clip("x0", w), clip("y0", h), clip("x1", w), clip("y1", h))
+    clip = lambda c, m: F.greatest(F.least(F.col(c) - 1, F.col(m)), F.lit(0.0)).alias(c)
+    upright = boxes.where("nx <= 2 and ny <= 2").select("group_id", "frame", "roi", clip("x0", "w"), clip("y0", "h"), clip("x1", "w"), clip("y1", "h"))
     return upright.where("x1 > x0 and y1 > y0"), turned
 
 
@@ -221,6 +227,37 @@ def unblock_xy(df: DataFrame, names: list[str]) -> DataFrame:
     return parts.select(*keys, "bodypart", (F.element_at("p", F.col("k") + 1) - 1).alias("x"), (F.element_at("p", F.col("k") + 1 + n) - 1).alias("y"))
 
 
+def split_conflicts(movies: DataFrame) -> DataFrame:
+    """Sessions (session_id, split) that would land in several splits, which is an error: session_id, splits."""
+    seen = movies.where("split is not null").groupBy("session_id").agg(F.array_sort(F.collect_set("split")).alias("splits"))
+    return seen.where(F.size("splits") > 1)
+
+
+def axis_errors(projects: DataFrame, names: list[str]) -> DataFrame:
+    """Label projects (project, skeleton_names, label_names, n_points, n_views) whose two lists of names, or their sizes, are not the expected ones: project, field."""
+    axis = F.array(*map(F.lit, names))
+    wanted = {"skeleton_names": axis, "label_names": axis, "n_points": F.lit(len(names)), "n_views": F.lit(1)}
+    wrong = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(x), c) for c, x in wanted.items())))
+    return projects.select("project", F.explode(wrong).alias("field"))
+
+
+def label_movies(movies: DataFrame, labels: DataFrame, rois: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of movies (movie, session_id, split, w, h), their labels (movie, frame, target, p; frames and targets from 1) and certified corners (movie, frame, roi, x, y): points, regions, and what is an error (movie, reason).
+
+    A movie without labels has neither points nor regions. Regions are clipped to their own movie; turned ones, and sessions in two splits, are errors.
+    """
+    counted = labels.withColumns({"frame": F.col("frame") - 1, "target": F.col("target") - 1})
+    own = unblock_xy(counted, names).withColumn("status", label_status(F.col("x")))
+    points = movies.select("movie", "session_id", "split").join(own, "movie").where("status is not null")
+    points = points.withColumns({c: F.when(F.col("status") == "visible", F.col(c)) for c in ("x", "y")})
+    labelled = movies.join(labels.select("movie").distinct(), "movie", "left_semi").select("movie", "w", "h")
+    corners = rois.withColumns({"group_id": F.col("movie"), "frame": F.col("frame") - 1}).join(labelled, "movie")
+    upright, turned = rois_to_regions(corners, F.col("w"), F.col("h"))
+    bad = split_conflicts(movies).select("session_id").join(movies, "session_id").select("movie", F.lit("session in two splits").alias("reason"))
+    errors = turned.select(F.col("group_id").alias("movie"), F.lit("turned region").alias("reason")).distinct().union(bad)
+    return points, upright.withColumnRenamed("group_id", "movie"), errors
+
+
 def video_manifest(files: DataFrame, pattern: str, cameras: list[str]) -> tuple[DataFrame, DataFrame]:
     """File names (name, n_frames) as (group_id, camera, ...), and what is refused: no match, a camera twice in a group, a camera that a group lacks. Cameras out of the rig are skipped."""
     hit = F.regexp_extract("name", pattern, 0)
@@ -240,6 +277,20 @@ def manifest_reconcile(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("group_id").agg(F.min("n_frames").alias("trim_to"), F.max("n_frames").alias("longest"), (F.min("n_frames") == F.max("n_frames")).alias("agrees"), F.countDistinct("camera").alias("n_cameras"))
 
 
+def filled_sizes(cameras: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Cameras (name, width, height); one that has no size takes that of its first group's video in the manifest (group_id, camera, w, h)."""
+    first = manifest.groupBy(F.col("camera").alias("name")).agg(F.min(F.struct("group_id", "w", "h")).alias("_first"))
+    sized = F.col("width").isNotNull() & F.col("height").isNotNull()
+    own = {c: F.when(sized, F.col(c)).otherwise(F.col(f"_first.{v}")) for c, v in (("width", "w"), ("height", "h"))}
+    return cameras.join(first, "name", "left").withColumns(own).drop("_first")
+
+
+def size_refusals(manifest: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Videos whose size is not their camera's: a calibration holds for its own resolution alone. One row each, with both sizes."""
+    sizes = filled_sizes(cameras, manifest).select(F.col("name").alias("camera"), "width", "height")
+    return manifest.join(sizes, "camera").where("w <> width or h <> height").select("group_id", "camera", "w", "h", "width", "height")
+
+
 def image_file_manifest(files: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups and cameras whose image files (group_id, camera, file) break the rule: as many as frames, one extension, numbered %06d without a gap."""
     number, extension = F.regexp_extract("file", r"^(\d{6})\.", 1), F.regexp_extract("file", r"\.([^.]+)$", 1)

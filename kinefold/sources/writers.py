@@ -10,14 +10,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinefold.functions.geometry import sigmoid
+from kinefold.functions.geometry import Box, sigmoid
 from kinefold.functions.status import finite
 from kinefold.sources.tables import qualified
 
 ROWS_A_FILE = 250_000
 PLACE = ["root", "split", "session_id"]
 # How a window ended.
-OUTCOMES = ("ok", "no box", "no camera", "no points")
+OUTCOMES = ("ok", "no box", "no camera", "no points", "crop failed", "decode failed")
 
 
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...] = ("root", "split", "session_id")) -> None:
@@ -38,8 +38,20 @@ def prediction_rows(pred: DataFrame) -> DataFrame:
 
 
 def window_outcomes(windows: DataFrame) -> DataFrame:
-    """What became of each (animal, window, camera) with n_boxes, n_points and has_camera."""
-    return windows.withColumn("outcome", F.when(F.col("n_boxes") == 0, OUTCOMES[1]).when(~F.col("has_camera"), OUTCOMES[2]).when(F.col("n_points") == 0, OUTCOMES[3]).otherwise(OUTCOMES[0]))
+    """What became of each (animal, window, camera) with n_boxes, n_points and has_camera.
+
+    With the window's crop (x0, y0, x1, y1; null or without area: it failed) and decoded, false where its pixels could not be read,
+    there are two outcomes more; the crop stays where one was cut, whether it could be read or not.
+    """
+    outcome = F.when(F.col("n_boxes") == 0, OUTCOMES[1]).when(~F.col("has_camera"), OUTCOMES[2]).when(F.col("n_points") == 0, OUTCOMES[3])
+    cropped = set(Box._fields) <= set(windows.columns)
+    if cropped:
+        outcome = outcome.when(~Box.named().is_box, OUTCOMES[4])
+    if "decoded" in windows.columns:
+        outcome = outcome.when(~F.coalesce("decoded", F.lit(False)), OUTCOMES[5])
+    own = windows.withColumn("outcome", outcome.otherwise(OUTCOMES[0]))
+    cut = F.col("outcome").isin(OUTCOMES[0], OUTCOMES[5])
+    return own.withColumns({c: F.when(cut, F.col(c)) for c in Box._fields}) if cropped else own
 
 
 def camera_rows(cameras: DataFrame) -> DataFrame:

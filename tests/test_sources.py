@@ -123,3 +123,41 @@ def test_contract_over_a_path(spark, tmp_path):
         ("V-6", "r/test/bad", "unknown bodypart"): 1, ("V-6", "r/test/bad", "unknown camera"): 1, ("V-6", "r/test/bad", "frame out of range"): 1, ("V-6", "r/test/bad", "unknown group"): 1,
         ("V-7", "r/test/bad", "image files"): 2, ("V-9", "r/test/bad", "duplicate key"): 1, ("V-11", "r/test/bad", "keypoints without an instance"): 3, ("V-12", "r/test/bad", "views do not meet"): 1,
     }
+
+
+def test_sizes_of_videos(spark):
+    """A camera without a size takes its first group's; one out of the rig, or equal, is not refused."""
+    cams = spark.createDataFrame([("a", 4, 3), ("b", None, None), ("d", 4, None)], "name string, width int, height int")
+    videos = spark.createDataFrame([("g1", "a", 4, 3), ("g2", "a", 8, 6), ("g1", "b", 5, 5), ("g2", "b", 5, 5), ("g3", "b", 5, 6), ("g1", "c", 1, 1), ("g1", "d", 7, 7)], "group_id string, camera string, w int, h int")
+    assert sorted(tuple(r) for r in rd.size_refusals(videos, cams).collect()) == [("g2", "a", 8, 6, 4, 3), ("g3", "b", 5, 6, 5, 5)]
+    assert rd.size_refusals(videos.where("false"), cams).count() == 0
+
+
+def test_label_movies(spark):
+    """A movie without labels has no regions, regions are clipped to their movie, a session in two splits is an error for each of its movies."""
+    movies = spark.createDataFrame([("m", "s", "train", 10, 8), ("n", "s", "test", 10, 8), ("o", "t", "val", 100, 80)], "movie string, session_id string, split string, w int, h int")
+    inf, nan = float("inf"), float("nan")
+    labels = spark.createDataFrame([("m", 1, 1, [2.0, inf, 3.0, inf]), ("m", 2, 1, [nan, 4.0, nan, 5.0]), ("m", 3, 1, []), ("o", 1, 2, [1.0, 1.0, 1.0, 1.0]), ("z", 1, 1, [1.0] * 4)], "movie string, frame int, target int, p array<double>")
+    corners = [(m, 1, 1, x, y) for m in ("m", "n", "o") for x, y in ((1.0, 1.0), (50.0, 1.0), (50.0, 50.0), (1.0, 50.0))] + [("m", 2, 1, x, y) for x, y in ((1.0, 2.0), (5.0, 1.0), (6.0, 5.0), (2.0, 6.0))]
+    points, regions, errors = rd.label_movies(movies, labels, spark.createDataFrame(corners, "movie string, frame int, roi int, x double, y double"), ["p", "q"])
+    got = sorted((r.movie, r.frame, r.target, r.bodypart, r.status, r.x, r.y) for r in points.collect())
+    assert got == [("m", 0, 0, "p", "visible", 1.0, 2.0), ("m", 0, 0, "q", "missing", None, None), ("m", 1, 0, "q", "visible", 3.0, 4.0), ("o", 0, 1, "p", "visible", 0.0, 0.0), ("o", 0, 1, "q", "visible", 0.0, 0.0)]
+    assert sorted((r.movie, r.frame, r.x1, r.y1) for r in regions.collect()) == [("m", 0, 10.0, 8.0), ("o", 0, 49.0, 49.0)]
+    assert sorted(tuple(r) for r in errors.collect()) == [("m", "session in two splits"), ("m", "turned region"), ("n", "session in two splits")]
+
+
+def test_window_outcomes_without_crops(spark):
+    df = spark.createDataFrame([(0, 1, True), (1, 1, False), (1, 0, True), (1, 1, True)], "n_boxes int, n_points int, has_camera boolean")
+    assert [r.outcome for r in wr.window_outcomes(df).collect()] == ["no box", "no camera", "no points", "ok"]
+    crop = df.selectExpr("*", "1 AS x0", "1 AS y0", "CASE WHEN n_points > 0 THEN 1 + n_boxes END AS x1", "2 AS y1", "CAST(NULL AS boolean) AS decoded")
+    assert [(r.outcome, r.x0) for r in wr.window_outcomes(crop).collect()] == [("no box", None), ("no camera", None), ("no points", None), ("decode failed", 1)]
+
+
+def test_weights_of_cells_with_nulls(spark):
+    """Entries without a label source or mode are a cell like any other."""
+    from kinefold.operators.sampling import pool_weights
+
+    df = spark.createDataFrame([("a", "2d"), ("a", "2d"), ("a", "3d"), (None, "2d"), (None, None)], "label_source string, mode string")
+    got = pool_weights(df, None, 0.5)
+    assert got.columns == df.columns + ["w"] and got.count() == 5
+    assert sorted((str(r.label_source), str(r.mode), round(r.w, 9)) for r in got.collect()) == [("None", "2d", 0.2), ("None", "None", 0.2), ("a", "2d", 0.15), ("a", "2d", 0.15), ("a", "3d", 0.3)]
