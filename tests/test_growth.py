@@ -14,3 +14,10 @@ def plan(df):
 def test_follow_reads_a_clip_once(spark):
     """No frame of rows reaches from each row to its clip's end."""
     assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in plan(QUERIES["wn12_follow"](spark, DATA))
+
+
+def test_windows_frames_are_not_broadcast(spark):
+    """Eight clips become millions of frames, which a broadcast would take through the driver."""
+    df = QUERIES["wn8_last_window_owns"](spark, DATA)
+    df.collect()
+    assert "BroadcastHashJoin" not in plan(df)
