@@ -292,9 +292,9 @@ def size_refusals(manifest: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def image_file_manifest(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """Groups and cameras whose image files (group_id, camera, file) break the rule: as many as frames, one extension, numbered %06d without a gap."""
-    number, extension = F.regexp_extract("file", r"^(\d{6})\.", 1), F.regexp_extract("file", r"\.([^.]+)$", 1)
-    seen = files.groupBy("group_id", "camera").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("try_cast(nullif(regexp_extract(file, '^([0-9]{6})[.]', 1), '') AS INT)")).alias("first"), F.max(F.expr("try_cast(nullif(regexp_extract(file, '^([0-9]{6})[.]', 1), '') AS INT)")).alias("last"), F.countDistinct(extension).alias("extensions"), F.count_if(number == "").alias("unnumbered"))
+    """Groups and cameras whose image files (group_id, camera, file) break the rule: as many as frames, one extension, numbered %06d (from a million on with more digits) without a gap."""
+    number, extension = F.regexp_extract("file", r"^(\d{6}|[1-9]\d{6,})\.", 1), F.regexp_extract("file", r"\.([^.]+)$", 1)
+    seen = files.groupBy("group_id", "camera").agg(F.count(F.lit(1)).alias("n"), F.min(F.expr("try_cast(nullif(regexp_extract(file, '^([0-9]{6}|[1-9][0-9]{6,})[.]', 1), '') AS INT)")).alias("first"), F.max(F.expr("try_cast(nullif(regexp_extract(file, '^([0-9]{6}|[1-9][0-9]{6,})[.]', 1), '') AS INT)")).alias("last"), F.countDistinct(extension).alias("extensions"), F.count_if(number == "").alias("unnumbered"))
     joined = seen.join(groups.select("group_id", "n_frames"), "group_id")
     bad = (F.col("n") != F.col("n_frames")) | (F.col("extensions") != 1) | (F.col("unnumbered") > 0) | (F.col("first") != 0) | (F.col("last") != F.col("n") - 1)
     return joined.where(bad).select("group_id", "camera", "n", "n_frames", "first", "last", "extensions")

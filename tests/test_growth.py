@@ -21,3 +21,15 @@ def test_windows_frames_are_not_broadcast(spark):
     df = QUERIES["wn8_last_window_owns"](spark, DATA)
     df.collect()
     assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_a_million_image_files_are_numbered(spark):
+    """%06d has seven digits from a million on; a leading zero there, or five digits, is no number."""
+    from kinefold.sources.readers import image_file_manifest
+
+    files = spark.range(1_000_002).select(F.lit("a").alias("group_id"), F.lit("c").alias("camera"), F.concat(F.format_string("%06d", "id"), F.lit(".jpg")).alias("file"))
+    groups = spark.createDataFrame([("a", 1_000_002)], "group_id string, n_frames int")
+    assert image_file_manifest(files, groups).count() == 0
+    for bad in ("01000001.jpg", "00001.jpg"):
+        renamed = files.withColumn("file", F.when(F.col("file") == "1000001.jpg", bad).otherwise(F.col("file")))
+        assert image_file_manifest(renamed, groups).count() == 1
