@@ -33,3 +33,11 @@ def test_a_million_image_files_are_numbered(spark):
     for bad in ("01000001.jpg", "00001.jpg"):
         renamed = files.withColumn("file", F.when(F.col("file") == "1000001.jpg", bad).otherwise(F.col("file")))
         assert image_file_manifest(renamed, groups).count() == 1
+
+
+def test_sequences_come_in_blocks(spark):
+    """A block of a clip's arrays says where it begins, and a clip that starts late has no blocks before."""
+    from kinefold.sources.readers import read_sequence
+
+    seq = spark.createDataFrame([("g", 1024, [[[[1.0], [3.0]]], [[[2.0], [4.0]]]], [[[0.0, 0.5, 1.0, 1.0]]] * 2)], "group_id string, t0 int, keypoints array<array<array<array<double>>>>, boxes array<array<array<double>>>")
+    assert {(r.frame, r.animal, r.x, r.y) for r in read_sequence(seq, ["p"], 100.0, 50.0, start="t0").collect()} == {(1024, 0, 1.0, 3.0), (1025, 0, 2.0, 4.0)}
