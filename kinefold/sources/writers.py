@@ -15,19 +15,22 @@ from kinefold.functions.status import finite
 from kinefold.sources.tables import qualified
 
 ROWS_A_FILE = 250_000
+#: Frames of a clip that one task writes together.
+FRAMES_A_TASK = 32_768
 PLACE = ["root", "split", "session_id"]
 # How a window ended.
 OUTCOMES = ("ok", "no box", "no camera", "no points", "crop failed", "decode failed")
 
 
 def write_table(df: DataFrame, path: str, keys: tuple[str, ...] = ("root", "split", "session_id")) -> None:
-    """Zstd Parquet in partitions of the keys, sorted by clip and frame; no row where nothing was determined, and no number that is not finite. An empty layer is written too: no file and no rows differ."""
+    """Zstd Parquet in partitions of the keys, each file sorted by clip and frame (a long clip is written in ranges of frames); no row where nothing was determined, and no number that is not finite. An empty layer is written too: no file and no rows differ."""
     numbers = [c for c, t in df.dtypes if t in ("float", "double")]
     clean = df.withColumns({c: finite(F.col(c)).cast(dict(df.dtypes)[c]) for c in numbers})
     if "status" in df.columns:
         clean = clean.where("status is null or status <> 'unlabeled'")
     order = [c for c in ("group_id", "frame") if c in df.columns]
-    clean.repartition(*keys, *order[:1]).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).option("compression", "zstd").option("maxRecordsPerFile", ROWS_A_FILE).parquet(path)
+    ranges = [F.floor(F.col("frame") / FRAMES_A_TASK)] if "frame" in order else []
+    clean.repartition(*keys, *order[:1], *ranges).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).option("compression", "zstd").option("maxRecordsPerFile", ROWS_A_FILE).parquet(path)
 
 
 def prediction_rows(pred: DataFrame) -> DataFrame:

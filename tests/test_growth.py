@@ -41,3 +41,17 @@ def test_sequences_come_in_blocks(spark):
 
     seq = spark.createDataFrame([("g", 1024, [[[[1.0], [3.0]]], [[[2.0], [4.0]]]], [[[0.0, 0.5, 1.0, 1.0]]] * 2)], "group_id string, t0 int, keypoints array<array<array<array<double>>>>, boxes array<array<array<double>>>")
     assert {(r.frame, r.animal, r.x, r.y) for r in read_sequence(seq, ["p"], 100.0, 50.0, start="t0").collect()} == {(1024, 0, 1.0, 3.0), (1025, 0, 2.0, 4.0)}
+
+
+def test_a_long_clip_is_written_by_several_tasks(spark, tmp_path):
+    """A clip's ranges of frames are dealt apart; every file is still sorted."""
+    from kinefold.sources.writers import FRAMES_A_TASK, write_table
+
+    rows = spark.range(8).select(F.lit("g").alias("group_id"), (F.col("id") * FRAMES_A_TASK).cast("int").alias("frame"), F.lit("s").alias("session_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_table(rows, str(tmp_path / "out"), ("session_id",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.parquet(str(tmp_path / "out")).select("frame", F.input_file_name().alias("file")).collect()
+    assert sorted(r.frame for r in found) == [k * FRAMES_A_TASK for k in range(8)] and len({r.file for r in found}) > 1
