@@ -82,6 +82,7 @@ def match_radius(true: DataFrame, *keys: str) -> DataFrame:
 def mota(matches: DataFrame, pred: DataFrame, true: DataFrame, ignore_boxes: DataFrame, max_dist: float, *keys: str) -> DataFrame:
     """Misses, false positives (those near a claimed label are duplicates, those inside an ignore box are excused), switches and MOTA by keys (columns of the frames' rows)."""
     frames = list(FRAME)
+    matches = materialize(matches, "matches")  # the solver runs once, though the matches are asked for five times
     p = pred.where("x is not null").select(*frames, F.col("pred").alias("i")).distinct()
     t = true.where("x is not null").select(*frames, F.col("animal").alias("j")).distinct()
     misses = t.join(matches, [*frames, "j"], "left_anti")

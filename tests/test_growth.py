@@ -55,3 +55,8 @@ def test_a_long_clip_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     found = spark.read.parquet(str(tmp_path / "out")).select("frame", F.input_file_name().alias("file")).collect()
     assert sorted(r.frame for r in found) == [k * FRAMES_A_TASK for k in range(8)] and len({r.file for r in found}) > 1
+
+
+def test_matches_are_solved_once(spark):
+    """The counts ask five times for the matches, which are read."""
+    assert "FlatMapGroupsInArrow" not in plan(QUERIES["ag6_mota"](spark, DATA))
