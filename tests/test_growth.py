@@ -60,3 +60,53 @@ def test_a_long_clip_is_written_by_several_tasks(spark, tmp_path):
 def test_matches_are_solved_once(spark):
     """The counts ask five times for the matches, which are read."""
     assert "FlatMapGroupsInArrow" not in plan(QUERIES["ag6_mota"](spark, DATA))
+
+
+def test_runs_meet_a_batch_in_one_sweep():
+    """Four thousand runs of a key, and one event in each gap's middle: no event is held against every run, and a timer closes all that have ended."""
+    import json
+    import time
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from kinefold.streaming.windows import _SessionWindows
+
+    class Value:
+        body = None
+
+        def get(self):
+            return self.body
+
+        def exists(self):
+            return self.body is not None
+
+        def update(self, body):
+            self.body = body
+
+    timers, state = set(), Value()
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.discard)
+    windows = _SessionWindows("user_id", 10, 10)
+    windows.init(handle)
+    at = lambda mark: SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+    batch = lambda *ms: pd.DataFrame({"text": "=7", "at": ms, "value": 1.0})
+    began = time.process_time()
+    assert list(windows.handleInputRows((7,), iter([batch(*range(0, 400_000, 40))]), at(0))) == []
+    assert list(windows.handleInputRows((7,), iter([batch(*range(9, 400_000, 40), 399_990)]), at(0))) == []
+    assert time.process_time() - began < 5
+    runs = json.loads(state.get()[0])
+    assert len(runs) == 10_001 and runs[0] == ["=7", 0, 19, 2, 2.0] and runs[-1] == ["=7", 399_990, 400_000, 1, 1.0] and len(timers) == 1
+    late = pd.concat(windows.handleInputRows((7,), iter([batch(5)]), at(15)))
+    assert late.values.tolist() == [["=7", "late", 5, 15, 1, 1.0]]
+    done = pd.concat(windows.handleExpiredTimer((7,), at(100), SimpleNamespace(getExpiryTimeInMs=lambda: min(timers))))
+    assert done[["start_ms", "end_ms"]].values.tolist() == [[0, 19], [40, 59], [80, 99]] and len(json.loads(state.get()[0])) == 9_998
+
+
+def test_keys_of_runs_come_back(spark):
+    """Keys go as text, and are the same behind it, null and empty apart."""
+    from kinefold.streaming.windows import _key_text, _text_key
+
+    rows = spark.sql("SELECT * FROM VALUES (9007199254740993L, 'a', TIMESTAMP'2024-03-31 02:30:00.123456', X'ff00'), (NULL, '', NULL, X''), (-1L, NULL, TIMESTAMP'1969-01-01', NULL) AS t(k, s, t, b)")
+    for name, kind in rows.dtypes:
+        back = rows.select(name, _key_text(name, kind).alias("text")).select(name, _text_key(kind).alias("back"))
+        assert back.where(~F.col(name).eqNullSafe(F.col("back"))).count() == 0, name
