@@ -110,3 +110,52 @@ def test_keys_of_runs_come_back(spark):
     for name, kind in rows.dtypes:
         back = rows.select(name, _key_text(name, kind).alias("text")).select(name, _text_key(kind).alias("back"))
         assert back.where(~F.col(name).eqNullSafe(F.col("back"))).count() == 0, name
+
+
+def test_rays_are_found_for_many_frames_at_once(monkeypatch):
+    """A detection's ray is found once, not in each of its triangulations; the same as frame by frame."""
+    import numpy as np
+    import pandas as pd
+
+    from kinefold.operators.multiview import Rig
+    from kinefold.streaming.tracking import CrossViewTracker, _run
+
+    turn = lambda a: [[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]]
+    rig = Rig(["a", "b", "c"], np.full((3, 2), 300.0), np.full((3, 2), 100.0), np.array([turn(-0.4), turn(0), turn(0.5)]), np.array([[0, 0, 6.0]] * 3), np.tile([-0.1, 0.02, 0.001, -0.001, 0.005], (3, 1)), np.zeros((3, 2)))
+    at = np.array([[k - 1.5, 0.3 * k, 0.1 * k] for k in range(4)])
+    rows = []
+    for frame in range(30):
+        for c, name in enumerate(rig.names):
+            for k, (u, v) in enumerate(rig.project(at + 0.01 * frame, np.full(4, c))):
+                rows.append(("g", frame, name, (k + frame) % 4, u - 9, v - 9, u + 9, v + 9))
+    rows = pd.DataFrame(rows, columns=["group_id", "frame", "camera", "det", "x0", "y0", "x1", "y1"]).sort_values(["frame", "camera", "det"])
+    calls, rays = [], Rig.rays
+    monkeypatch.setattr(Rig, "rays", lambda *a: calls.append(1) or rays(*a))
+    got = _run(CrossViewTracker(rig, 4, max_res=2.0), "g", rows)[0]
+    assert len(calls) == 1 and len(got) == 360
+    one = CrossViewTracker(rig, 4, max_res=2.0)
+    alone = [x for f, own in rows.groupby("frame") for x in one.step(f, [(r.camera, r.det, (r.x0, r.y0, r.x1, r.y1)) for r in own.itertuples()])]
+    assert [(x[2], x[3], x[4]) for x in got] == [(row, d[0], d[1]) for row, d in alone]
+    assert all(len({x[2] for x in got if (x[4] - x[1]) % 4 == k}) == 1 for k in range(4))
+
+
+def test_small_assignments_equal_the_arrays(monkeypatch):
+    """Ties too: whole numbers from a narrow range."""
+    import numpy as np
+
+    from kinefold.operators import matching
+
+    rng = np.random.default_rng(2)
+    costs = [rng.integers(0, 4, (rng.integers(1, 8), rng.integers(1, 8))).astype(float) for _ in range(300)]
+    small = [matching.assignment(c) for c in costs]
+    monkeypatch.setattr(matching, "SMALL", 0)
+    assert small == [matching.assignment(c) for c in costs]
+
+
+def test_solvers_are_not_put_together(spark):
+    """Clips of few bytes are minutes of work: their partitions stay as many as a shuffle has."""
+    from kinefold.plans.q_tracking import track_dets
+    from kinefold.streaming.tracking import RowLinker, track
+
+    assert "REPARTITION_BY_NUM" in plan(track(track_dets(spark, DATA), lambda: RowLinker(6)))
+    assert "REPARTITION_BY_NUM" in plan(QUERIES["tk4_associate"](spark, DATA))
