@@ -159,3 +159,13 @@ def test_solvers_are_not_put_together(spark):
 
     assert "REPARTITION_BY_NUM" in plan(track(track_dets(spark, DATA), lambda: RowLinker(6)))
     assert "REPARTITION_BY_NUM" in plan(QUERIES["tk4_associate"](spark, DATA))
+
+
+def test_a_stream_joins_written_poses(spark, monkeypatch):
+    """No micro-batch derives the poses from the events again."""
+    from kinefold.plans import q_tracking
+
+    plans, run = [], q_tracking.sw.run_to_end
+    monkeypatch.setattr(q_tracking.sw, "run_to_end", lambda stream, path: plans.append(stream._jdf.queryExecution().logical().toString()) or run(stream, path))
+    QUERIES["st3_stream_moving_rig"](spark, DATA)
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
