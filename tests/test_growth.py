@@ -169,3 +169,25 @@ def test_a_stream_joins_written_poses(spark, monkeypatch):
     monkeypatch.setattr(q_tracking.sw, "run_to_end", lambda stream, path: plans.append(stream._jdf.queryExecution().logical().toString()) or run(stream, path))
     QUERIES["st3_stream_moving_rig"](spark, DATA)
     assert len(plans) == 1 and "Aggregate" not in plans[0]
+
+
+def test_neighbours_take_one_shuffle(spark):
+    """The instances are grouped, and their points dealt to buckets of frames: no pair of points is shuffled."""
+    for name in ("tr19_corrupt_swap_animal", "tr22_oracle_corrupt", "jn11_nearest_neighbour_row"):
+        assert plan(QUERIES[name](spark, DATA)).count("Exchange hashpartitioning") <= 2, name
+
+
+def test_neighbours_of_odd_points(spark):
+    """Keys that are null, a point without y, a bare frame, and an animal's point that is there twice."""
+    from kinefold.operators.joins import beside_nearest, nearest_neighbour_row
+
+    rows = [("g", 0, 1, "p", 0.0, 0.0), ("g", 0, 1, "q", 1.0, 0.0), ("g", 0, 2, "p", 3.0, 4.0), ("g", 0, 2, "p", 3.0, 5.0), ("g", 0, 3, "p", 9.0, None), ("g", 0, None, "p", 0.0, 0.0), ("g", None, 1, "p", 0.0, 0.0), (None, 0, 1, "p", 0.0, 0.0), ("g", 1, 1, "p", None, None)]
+    own = spark.createDataFrame(rows, "group_id string, frame int, animal int, bodypart string, x double, y double")
+    found = {(r.animal, r.neighbour, None if r.dist is None else round(r.dist, 6)) for r in nearest_neighbour_row(own, 1).collect()}
+    assert found == {(1, 3, None), (2, 3, None), (3, 1, None)}
+    near = {(r.animal, r.neighbour, round(r.dist, 6)) for r in nearest_neighbour_row(own.where("animal < 3"), 2).collect()}
+    assert near == {(1, 2, round((5 + 34**0.5) / 2, 6)), (2, 1, round((5 + 34**0.5) / 2, 6))}
+    beside = [tuple(r) for r in beside_nearest(own.where("coalesce(animal, 0) < 3")).collect()]
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want = [("g", 0, 1, "p", 0.0, 0.0, 2, 3.0, 4.0), ("g", 0, 1, "p", 0.0, 0.0, 2, 3.0, 5.0), ("g", 0, 1, "q", 1.0, 0.0, 2, None, None), ("g", 0, 2, "p", 3.0, 4.0, 1, 0.0, 0.0), ("g", 0, 2, "p", 3.0, 5.0, 1, 0.0, 0.0)]
+    assert sorted(beside, key=key) == sorted(want + [(*r, None, None, None) for r in rows if None in r[:3] or r[1] == 1], key=key)
