@@ -191,3 +191,24 @@ def test_neighbours_of_odd_points(spark):
     key = lambda r: tuple((v is not None, v) for v in r)
     want = [("g", 0, 1, "p", 0.0, 0.0, 2, 3.0, 4.0), ("g", 0, 1, "p", 0.0, 0.0, 2, 3.0, 5.0), ("g", 0, 1, "q", 1.0, 0.0, 2, None, None), ("g", 0, 2, "p", 3.0, 4.0, 1, 0.0, 0.0), ("g", 0, 2, "p", 3.0, 5.0, 1, 0.0, 0.0)]
     assert sorted(beside, key=key) == sorted(want + [(*r, None, None, None) for r in rows if None in r[:3] or r[1] == 1], key=key)
+
+
+def test_tasks_keep_their_size(spark, tmp_path):
+    """A larger table has more tasks, not larger ones; what was set finer stays."""
+    from kinefold.sources.tables import bounded_tasks
+
+    names = {"spark.sql.files.maxPartitionBytes": "64m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "4"}
+    before = {n: spark.conf.get(n) for n in names}
+    large = tmp_path / "large"
+    with large.open("wb") as f:
+        f.truncate(1 << 30)
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        QUERIES["tr14_known_boxes"](spark, DATA)
+        assert [spark.conf.get(n) for n in names] == [f"{16 << 20}b", "1m", "4"]
+        bounded_tasks(spark, str(large))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "256"
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
