@@ -212,3 +212,13 @@ def test_tasks_keep_their_size(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def test_corners_are_not_multiplied(spark):
+    """Distinct xs and ys of a region are counted in one pass; both zeros are one."""
+    from kinefold.sources.readers import rois_to_regions
+
+    assert "Expand" not in plan(QUERIES["src14_label_boxes_to_regions"](spark, DATA))
+    corners = [("g", 0, 1, x, y) for x, y in ((0.0, 1.0), (-0.0, 5.0), (7.0, 5.0), (7.0, 1.0))]
+    upright, turned = rois_to_regions(spark.createDataFrame(corners, "group_id string, frame int, roi int, x double, y double"), 10.0, 10.0)
+    assert (upright.count(), turned.count()) == (1, 0)
