@@ -130,10 +130,10 @@ def vis_confusion(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def chunk_units(rows: DataFrame, n: int) -> DataFrame:
-    """Rows with unit group#t0 of n frames each; chunks of one frame are dropped."""
+    """Rows with unit group#t0 of n frames each; chunks of one frame are dropped. A unit's rows, which n bounds, meet once: the rows are not derived again to look for long units."""
     own = rows.withColumn("t0", (F.floor(F.col("frame") / n) * n).cast("int")).withColumn("unit", F.concat_ws("#", "group_id", "t0"))
-    several = own.groupBy("unit").agg((F.min("frame") < F.max("frame")).alias("long")).where("long")
-    return own.join(several.select("unit"), "unit", "left_semi")
+    unit = Window.partitionBy("unit")
+    return own.withColumn("_long", F.min("frame").over(unit) < F.max("frame").over(unit)).where("_long").drop("_long")
 
 
 def report_by_mode(units: DataFrame) -> DataFrame:

@@ -222,3 +222,13 @@ def test_corners_are_not_multiplied(spark):
     corners = [("g", 0, 1, x, y) for x, y in ((0.0, 1.0), (-0.0, 5.0), (7.0, 5.0), (7.0, 1.0))]
     upright, turned = rois_to_regions(spark.createDataFrame(corners, "group_id string, frame int, roi int, x double, y double"), 10.0, 10.0)
     assert (upright.count(), turned.count()) == (1, 0)
+
+
+def test_units_are_cut_once(spark):
+    """The rows are not derived a second time to look for the long units."""
+    from kinefold.operators.metrics import chunk_units
+
+    rows = spark.createDataFrame([("g", 0), ("g", 1), ("g", 4), ("g", 4), ("h", None), ("h", 7)], "group_id string, frame int")
+    cut = chunk_units(rows, 4)
+    assert "LeftSemi" not in plan(cut)
+    assert sorted(tuple(r) for r in cut.select("unit", "frame").collect()) == [("g#0", 0), ("g#0", 1)]
