@@ -232,3 +232,8 @@ def test_units_are_cut_once(spark):
     cut = chunk_units(rows, 4)
     assert "LeftSemi" not in plan(cut)
     assert sorted(tuple(r) for r in cut.select("unit", "frame").collect()) == [("g#0", 0), ("g#0", 1)]
+
+
+def test_movies_corners_are_not_multiplied(spark):
+    """The regions of label movies share the step of src14."""
+    assert "Expand" not in plan(QUERIES["src19_label_movies"](spark, DATA))
