@@ -237,3 +237,15 @@ def test_units_are_cut_once(spark):
 def test_movies_corners_are_not_multiplied(spark):
     """The regions of label movies share the step of src14."""
     assert "Expand" not in plan(QUERIES["src19_label_movies"](spark, DATA))
+
+
+def test_tr11_asks_for_small_tasks(spark):
+    """Its shuffles are not put together to 64 MB of compressed rows."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        QUERIES["tr11_crop_negatives"](spark, DATA)
+        assert spark.conf.get(name) == f"{8 << 20}b"
+    finally:
+        spark.conf.set(name, before)
