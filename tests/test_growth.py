@@ -249,3 +249,15 @@ def test_tr11_asks_for_small_tasks(spark):
         assert spark.conf.get(name) == f"{8 << 20}b"
     finally:
         spark.conf.set(name, before)
+
+
+def test_jn7_asks_for_small_tasks(spark):
+    """Its shuffles are not put together to 64 MB of compressed rows."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        QUERIES["jn7_assign_points_to_boxes"](spark, DATA)
+        assert spark.conf.get(name) == f"{8 << 20}b"
+    finally:
+        spark.conf.set(name, before)
