@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefold.functions.geometry import Box, sigmoid
 from kinefold.functions.status import finite
-from kinefold.sources.tables import qualified
+from kinefold.sources.tables import materialize, qualified, shared_path
 
 ROWS_A_FILE = 250_000
 #: Frames of a clip that one task writes together.
@@ -93,7 +95,7 @@ def camera_text(cameras: DataFrame) -> DataFrame:
     return own.groupBy(*PLACE).agg(F.array_join(F.transform(sections, lambda x: x["text"]), "\n").alias("body"))
 
 
-def _session_folder(path: str, place: tuple[str, str, str]):
+def _session_folder(path: str, place: tuple[str, ...]):
     """The file system of a root's parent folder, and a session's folder there, made if it is not."""
     from pyarrow import fs
 
@@ -103,6 +105,18 @@ def _session_folder(path: str, place: tuple[str, str, str]):
     return store, folder
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, str, str], pa.RecordBatch]]:
+    """The rows of a sorted batch by session, without the columns that name it."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in PLACE:
+        code = batch.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield tuple(batch.column(k)[a].as_py() for k in PLACE), batch.slice(a, b - a).drop_columns(PLACE)
+
+
 def write_texts(texts: DataFrame, path: str, name: str) -> int:
     """The body of each row as <path>/<root>/<split>/<session_id>/<name>; how many were written. A file is renamed when it is whole."""
     path = qualified(texts.sparkSession, path)
@@ -125,36 +139,61 @@ def write_texts(texts: DataFrame, path: str, name: str) -> int:
 def write_session_files(df: DataFrame, path: str, stem: str) -> int:
     """A table as <path>/<root>/<split>/<session_id>/<stem>.pq, zstd Parquet sorted by clip and frame; how many files were written.
 
-    The format keeps a session's table in one file, so a session is one task, which streams its rows in batches; a
-    repeated task replaces its file. write_table has no such bound.
+    Rows are sorted apart, in ranges of (session, clip, frame), and written as parts. The format keeps a session's table in one
+    file, so one task a session strings its parts together, a batch at a time; it neither sorts nor holds them. A repeated task
+    replaces its file, and its earlier parts are not listed.
     """
-    path = qualified(df.sparkSession, path)
-    order = [c for c in ("group_id", "frame") if c in df.columns]
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, out, n = None, None, 0
-
-        def close() -> None:
-            out[0].close()
-            out[1].move(out[2], f"{out[3]}/{stem}.pq")
-
+    spark = df.sparkSession
+    path, parts = qualified(spark, path), qualified(spark, shared_path(spark))
+    order = [*PLACE, *(c for c in ("group_id", "frame") if c in df.columns)]
+    texts = [c for c, t in df.dtypes if t == "string" and c not in PLACE]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, place, name, out = TaskContext.get().partitionId(), None, None, None
+        store, folder = _session_folder(parts, (str(number),))
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in PLACE), strict=True))
-            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                own = batch.slice(a, b - a).drop_columns(PLACE)
-                if keys[a] != place:
+            for here, own in _runs(batch):
+                if here != place:
                     if out is not None:
-                        close()
-                    place, n = keys[a], n + 1
-                    store, folder = _session_folder(path, place)
-                    part = f"{folder}/_{uuid.uuid4().hex}"
-                    out = (pq.ParquetWriter(part, own.schema, filesystem=store, compression="zstd"), store, part, folder)
-                out[0].write_batch(own)
+                        out.close()
+                        yield pa.RecordBatch.from_pylist([dict(zip(PLACE, place, strict=True)) | {"number": number, "name": name}])
+                    place, name = here, f"{folder}/{uuid.uuid4().hex}"
+                    out = pq.ParquetWriter(name, own.schema, filesystem=store, compression="zstd")
+                out.write_batch(own)
         if out is not None:
-            close()
+            out.close()
+            yield pa.RecordBatch.from_pylist([dict(zip(PLACE, place, strict=True)) | {"number": number, "name": name}])
+
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, (held, _) = 0, _session_folder(parts, ())
+
+        def rows(names: list[str]) -> Iterator[pa.Table]:
+            """The rows of parts, put together to row groups."""
+            few, size = [], 0
+            for name in names:
+                with held.open_input_file(name) as f:
+                    for own in pq.ParquetFile(f, read_dictionary=texts).iter_batches(ROWS_A_FILE):
+                        few.append(own)
+                        size += own.num_rows
+                        if size >= ROWS_A_FILE:
+                            yield pa.Table.from_batches(few).unify_dictionaries()
+                            few, size = [], 0
+            if few:
+                yield pa.Table.from_batches(few).unify_dictionaries()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, folder = _session_folder(path, tuple(row[k] for k in PLACE))
+                whole, out = f"{folder}/_{uuid.uuid4().hex}", None
+                for own in rows(row["names"]):
+                    out = out or pq.ParquetWriter(whole, own.schema, filesystem=store, compression="zstd", store_schema=False)
+                    out.write_table(own, row_group_size=2 * ROWS_A_FILE)
+                out.close()
+                store.move(whole, f"{folder}/{stem}.pq")
+                n += 1
         yield pa.record_batch({"n": pa.array([n], pa.int64())})
 
-    return df.repartition(*PLACE).sortWithinPartitions(*PLACE, *order).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    kinds = ", ".join(f"{k} string" for k in PLACE)
+    listed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, f"{kinds}, number long, name string"), "parts")
+    sessions = listed.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("number", "name"))).alias("p")).select(*PLACE, F.col("p.name").alias("names"))
+    return sessions.repartitionByRange(max(sessions.count(), 1), *PLACE).mapInArrow(string, "n long").agg(F.sum("n")).first()[0] or 0

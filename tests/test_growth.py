@@ -261,3 +261,26 @@ def test_jn7_asks_for_small_tasks(spark):
         assert spark.conf.get(name) == f"{8 << 20}b"
     finally:
         spark.conf.set(name, before)
+
+
+def test_session_files_are_strung_together(spark, tmp_path):
+    """A session's rows are sorted by many tasks, and its file has no row group for every Arrow batch."""
+    import pyarrow.parquet as pq
+
+    from kinefold.sources.readers import read_table
+    from kinefold.sources.writers import write_session_files
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    own = spark.range(6000).selectExpr("'r' AS root", "'t' AS split", "if(id < 5000, '001', 's =%2') AS session_id", "concat('g', id % 2) AS group_id", "CAST(5999 - id AS INT) AS frame", "'c0' AS camera", "CAST(id AS FLOAT) AS x0", "CAST(NULL AS STRING) AS status")
+    try:
+        spark.conf.set(name, "100")
+        assert write_session_files(own, str(tmp_path), "regions") == 2
+        assert write_session_files(own.where("false"), str(tmp_path / "none"), "regions") == 0
+    finally:
+        spark.conf.set(name, before)
+    file = pq.ParquetFile(tmp_path / "r" / "t" / "001" / "regions.pq")
+    keys = list(zip(*(file.read().column(c).to_pylist() for c in ("group_id", "frame")), strict=True))
+    assert file.num_row_groups <= 4 and len(keys) == 5000 and keys == sorted(keys)
+    assert file.schema_arrow.names == ["group_id", "frame", "camera", "x0", "status"]
+    assert read_table(spark, str(tmp_path), "regions").where("session_id = '001' and status is null").count() == 5000
