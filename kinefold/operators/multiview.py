@@ -99,7 +99,7 @@ class Rig(NamedTuple):
         """Points (n, 3) from pixels (n, v, 2) of cameras (n, v) where use (n, v), or from their rays (n, v, 3) if those are known; NaN with fewer than two views; views without a direction count as absent. The smallest right singular vector of two rows a view."""
         n, v = use.shape
         if rays is None:
-            rays = self.rays(np.where(use[..., None], pixels, 0.0).reshape(-1, 2), cams.ravel()).reshape(n, v, 3)
+            rays = self.view_rays(pixels, cams, use)
         use = use & (np.abs(rays) < 1e6).all(axis=2)
         rays = np.where(use[..., None], rays, 0.0)
         m = np.concatenate([self.rotation, self.translation[:, :, None]], axis=2)[cams]
@@ -107,11 +107,22 @@ class Rig(NamedTuple):
         rows = np.where(use[:, :, None, None], rows, 0.0).reshape(n, 2 * v, 4)
         if 2 * v < 4:
             rows = np.concatenate([rows, np.zeros((n, 4 - 2 * v, 4))], axis=1)
-        x = np.linalg.svd(rows)[2][:, -1]
+        x = np.linalg.svd(rows, full_matrices=False)[2][:, -1]
         with np.errstate(all="ignore"):
             out = x[:, :3] / x[:, 3:]
         return np.where((use.sum(axis=1) >= 2)[:, None], out, np.nan)
 
+    def view_rays(self, pixels: np.ndarray, cams: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Rays (n, v, 3) of pixels (n, v, 2), for triangulations of the same views."""
+        return self.rays(np.where(use[..., None], pixels, 0.0).reshape(-1, 2), cams.ravel()).reshape(*use.shape, 3)
+
+    def again(self, points: np.ndarray, pixels: np.ndarray, cams: np.ndarray, use: np.ndarray, rays: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Points of which some, whose views have changed, are solved again."""
+        out = points.copy()
+        if which.any():
+            out[which] = self.triangulate(pixels[which], cams[which], use[which], rays[which])
+        return out
+
     def errors(self, points: np.ndarray, pixels: np.ndarray, cams: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Reprojection distances (n, v), NaN where there is none."""
         n, v = use.shape
@@ -145,7 +156,7 @@ def _lower_median(e: np.ndarray) -> np.ndarray:
 def _views(views: DataFrame, keys: list[str], own_lens: bool) -> DataFrame:
     """One row per point: keys, cams, us, vs of the cameras that see it, and their lenses if every view brings its own."""
     more = ["lens"] if own_lens else []
-    seen = F.array_sort(F.collect_list(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("camera", "u", "v", *more))))
+    seen = F.sort_array(F.collect_list(F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.struct("camera", "u", "v", *more))))
     return views.groupBy(*keys).agg(seen.alias("w")).select(*keys, F.col("w.camera").alias("cams"), F.col("w.u").alias("us"), F.col("w.v").alias("vs"), *(F.col(f"w.{c}").alias(c) for c in more))
 
 
@@ -173,21 +184,36 @@ def with_lenses(rows: DataFrame, cameras: DataFrame, poses: DataFrame | None = N
     return moved.withColumn("lens", F.when(there, at).otherwise(F.col("lens"))).drop("rotation", "translation")
 
 
-def _own_rig(batch: pd.DataFrame) -> Rig:
-    """A rig with a camera for each view of the batch; the first one stands for views that are not there."""
-    rows = np.array([np.asarray(x, float) for row in batch["lens"] for x in row]).reshape(-1, LENS)
+def _with_cameras(views: DataFrame, rig: Rig | DataFrame | None) -> tuple[DataFrame, Rig | None]:
+    """Views of known cameras and the rig. A table of few cameras becomes a rig; of a larger one each view gets its lens, some 200 bytes that are shuffled and sorted with it."""
+    if not isinstance(rig, DataFrame):
+        return views, rig
+    if rig.limit(MOST_CAMERAS + 1).count() <= MOST_CAMERAS:
+        own = Rig.collect(rig)
+        if len(set(own.names)) == len(own.names):
+            return views.where(F.col("camera").isin(own.names)), own
+    return views.join(lenses(rig), "camera"), None
+
+
+def _own_rig(lenses: pa.Array) -> Rig:
+    """A rig with a camera for each view of a batch (a list of lenses a row); the first one stands for views that are not there."""
+    rows = lenses.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, LENS)
     return Rig.of_lenses([], np.vstack([np.r_[1.0, 1.0, 0.0, 0.0, np.eye(3).ravel(), np.zeros(LENS - 13)], rows]))
 
 
-def _padded(batch: pd.DataFrame, rig: Rig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    number = {n: k for k, n in enumerate(rig.names)}
-    most = max(2, max((len(c) for c in batch.cams), default=2))
-    cams, pixels, use = np.zeros((len(batch), most), int), np.full((len(batch), most, 2), np.nan), np.zeros((len(batch), most), bool)
-    before = 1
-    for k, (c, u, v) in enumerate(zip(batch.cams, batch.us, batch.vs, strict=True)):
-        n = len(c)
-        cams[k, :n], pixels[k, :n, 0], pixels[k, :n, 1], use[k, :n] = [number[x] for x in c] if number else np.arange(before, before + n), u, v, True
-        before += n
+def _padded(batch: pa.RecordBatch, rig: Rig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Camera numbers, pixels and which are there, of the views (lists cams, us, vs) of each row of a batch."""
+    size = batch.column("cams").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    use = np.arange(max(2, size.max(initial=0))) < size[:, None]
+    cams, pixels = np.zeros(use.shape, int), np.full((*use.shape, 2), np.nan)
+    if rig.names:
+        names = batch.column("cams").flatten().dictionary_encode()
+        number = {n: k for k, n in enumerate(rig.names)}
+        cams[use] = np.array([number[x] for x in names.dictionary.to_pylist()], int)[names.indices.to_numpy(zero_copy_only=False)]
+    else:
+        cams[use] = np.arange(1, size.sum() + 1)
+    for k, c in enumerate(("us", "vs")):
+        pixels[use, k] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
     return cams, pixels, use
 
 
@@ -198,31 +224,30 @@ def triangulate(views: DataFrame, rig: Rig | DataFrame | None, keys: list[str],
     table of cameras (the rows of Rig.collect) is joined to the views, however many there are.
     With reject_px, views farther off than that and than five times the point's median are left out and the point is solved again.
     """
-    if isinstance(rig, DataFrame):
-        views, rig = views.join(lenses(rig), "camera"), None
+    views, rig = _with_cameras(views, rig)
     schema = views.select(*keys).schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(views.sparkSession.createDataFrame([], f"{fields}, x double, y double, z double, residual double, n_views long, n_rejected long").schema)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            here = _own_rig(batch) if rig is None else rig
+            here = _own_rig(batch.column("lens")) if rig is None else rig
             cams, pixels, use = _padded(batch, here)
-            given = use.sum(axis=1)
-            points = here.triangulate(pixels, cams, use)
+            given, rays = use.sum(axis=1), here.view_rays(pixels, cams, use)
+            points = here.triangulate(pixels, cams, use, rays)
             for _ in range(rounds if reject_px is not None else 0):
                 e = here.errors(points, pixels, cams, use)
-                use = use & ~(e > np.maximum(reject_px, 5 * _lower_median(e))[:, None])
-                points = here.triangulate(pixels, cams, use)
-            out = batch[keys].copy()
-            for k, c in enumerate("xyz"):
-                out[c] = points[:, k]
-            out["residual"] = _lower_median(here.errors(points, pixels, cams, use))
-            out["n_views"], out["n_rejected"] = use.sum(axis=1), given - use.sum(axis=1)
-            yield out
-
-    found = _views(views, keys, rig is None).mapInPandas(solve, f"{fields}, x double, y double, z double, residual double, n_views long, n_rejected long")
+                far = e > np.maximum(reject_px, 5 * _lower_median(e))[:, None]
+                use = use & ~far
+                points = here.again(points, pixels, cams, use, rays, far.any(axis=1))
+            found = [*points.T, _lower_median(here.errors(points, pixels, cams, use)), use.sum(axis=1), given - use.sum(axis=1)]
+            own = [batch.column(k).cast(arrow.field(k).type) for k in keys]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, f.type) for x, f in zip(found, list(arrow)[len(keys) :], strict=True))], schema=arrow)
+
+    found = _views(views, keys, rig is None).mapInArrow(solve, f"{fields}, x double, y double, z double, residual double, n_views long, n_rejected long")
     return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z", "residual")})
 
 
@@ -236,38 +261,38 @@ class Rejections(NamedTuple):
 
 def triangulate_rejecting(views: DataFrame, rig: Rig | DataFrame | None, keys: list[str], reject_px: float, rounds: int = 2) -> Rejections:
     """triangulate with reject_px, and the views that it leaves out as rows of their own: one pass writes points and views under a tag, which are split afterwards. error is the distance in the round that rejected the view."""
-    if isinstance(rig, DataFrame):
-        views, rig = views.join(lenses(rig), "camera"), None
+    views, rig = _with_cameras(views, rig)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in views.select(*keys).schema)
     schema = views.sparkSession.createDataFrame([], f"{fields}, kind string, camera string, x double, y double, z double, residual double, n_views long, n_rejected long, u double, v double, error double").schema
     arrow = to_arrow_schema(schema)
 
     def tagged_rows(kind: str, own: list[pa.Array], **columns: object) -> pa.RecordBatch:
         n = len(own[0])
-        rest = [pa.array([kind] * n) if f.name == "kind" else pa.array(columns[f.name], f.type, from_pandas=True) if f.name in columns else pa.nulls(n, f.type) for f in list(arrow)[len(keys) :]]
+        rest = [pa.array([kind] * n) if f.name == "kind" else (columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type, from_pandas=True)) if f.name in columns else pa.nulls(n, f.type) for f in list(arrow)[len(keys) :]]
         return pa.RecordBatch.from_arrays([*own, *rest], schema=arrow)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
                 continue
-            own, batch = [rows.column(k).cast(arrow.field(k).type) for k in keys], rows.to_pandas()
-            here = _own_rig(batch) if rig is None else rig
-            cams, pixels, use = _padded(batch, here)
-            given, error = use.copy(), np.full(use.shape, np.nan)
-            points = here.triangulate(pixels, cams, use)
+            own = [rows.column(k).cast(arrow.field(k).type) for k in keys]
+            here = _own_rig(rows.column("lens")) if rig is None else rig
+            cams, pixels, use = _padded(rows, here)
+            given, error, rays = use.copy(), np.full(use.shape, np.nan), here.view_rays(pixels, cams, use)
+            camera = rows.column("cams").flatten()
+            points = here.triangulate(pixels, cams, use, rays)
             for _ in range(rounds):
                 e = here.errors(points, pixels, cams, use)
                 far = e > np.maximum(reject_px, 5 * _lower_median(e))[:, None]
                 error[far] = e[far]
                 use = use & ~far
-                points = here.triangulate(pixels, cams, use)
+                points = here.again(points, pixels, cams, use, rays, far.any(axis=1))
             left = _lower_median(here.errors(points, pixels, cams, use))
             yield tagged_rows("point", own, x=points[:, 0], y=points[:, 1], z=points[:, 2], residual=left, n_views=use.sum(axis=1), n_rejected=given.sum(axis=1) - use.sum(axis=1))
             for kind, of in (("rejected", given & ~use), ("kept", use)):
                 row, view = np.nonzero(of)
                 if len(row):
-                    names = [batch["cams"].iloc[r][v] for r, v in zip(row, view, strict=True)]
+                    names = camera.take(pa.array(np.flatnonzero(of[given])))
                     yield tagged_rows(kind, [c.take(pa.array(row)) for c in own], camera=names, u=pixels[row, view, 0], v=pixels[row, view, 1], error=error[row, view])
 
     tagged = _views(views, keys, rig is None).mapInArrow(solve, schema)

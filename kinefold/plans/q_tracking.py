@@ -109,7 +109,8 @@ def _ring(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cams = ring.select("camera", *(c.alias(f"r{k}") for k, c in enumerate(g.rodrigues(F.lit(0.0), F.col("ry"), F.lit(0.0)))), F.lit(7.0).alias("tz"))
     lit, camera = F.lit, camera_columns()
     table = cams.select("camera", lit(300.0).alias("fx"), lit(310.0).alias("fy"), lit(128.0).alias("cx"), lit(96.0).alias("cy"), F.array(*camera.r).alias("rotation"), F.array(*camera.t).alias("translation"), F.array(*camera.k).alias("distortion"), camera.offset_x.alias("offset_x"), camera.offset_y.alias("offset_y"))
-    return g.project(points3d(spark, sf_dir).crossJoin(F.broadcast(cams)), camera).select(*POINT, "camera", "u", "v"), table
+    points = mv.dealt(points3d(spark, sf_dir), *POINT)  # a file of few megabytes is one task, and fifteen views a point are not few
+    return g.project(points.crossJoin(F.broadcast(cams)), camera).select(*POINT, "camera", "u", "v"), table
 
 
 @query(f"WITH {_RING} SELECT 'view' AS what, group_id, frame, point % 5 AS animal, point, 'c1' AS camera FROM points WHERE point % 5 = 0 UNION ALL SELECT 'view', group_id, frame, point % 5, point, 'c9' FROM points WHERE point = 7 UNION ALL SELECT DISTINCT 'box', group_id, frame, 0, NULL::INTEGER, 'c1' FROM points")

@@ -284,3 +284,17 @@ def test_session_files_are_strung_together(spark, tmp_path):
     assert file.num_row_groups <= 4 and len(keys) == 5000 and keys == sorted(keys)
     assert file.schema_arrow.names == ["group_id", "frame", "camera", "x0", "status"]
     assert read_table(spark, str(tmp_path), "regions").where("session_id = '001' and status is null").count() == 5000
+
+
+def test_views_are_dealt_and_bring_no_lens(spark):
+    """The ring's views are made by as many tasks as a shuffle has, and a rig of few cameras is not written with every view."""
+    from kinefold.operators import multiview as mv
+    from kinefold.plans.q_tracking import POINT, _ring
+
+    seen, table = _ring(spark, DATA)
+    assert seen.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = seen.limit(60)
+    few = mv.triangulate(own, table, POINT)
+    assert "lens" not in plan(few)
+    one = lambda df: sorted(tuple(r[c] for c in (*POINT, "x", "y", "z", "n_views")) for r in df.collect())
+    assert one(mv.triangulate(seen.where("frame < 3"), table, POINT)) == one(mv.triangulate(mv.with_lenses(seen.where("frame < 3"), table), None, POINT))
