@@ -176,14 +176,14 @@ def solve_frames(frame: np.ndarray, i: np.ndarray, j: np.ndarray, cost: np.ndarr
 def hungarian_match(pairs: DataFrame, max_dist: float | None = None) -> DataFrame:
     """One-to-one matches (group_id, frame, i, j, cost) of least total cost in each frame, then those within max_dist.
 
-    A frame's pairs meet by one shuffle on (group_id, bucket of frames); the solver takes all of a bucket's frames of one shape at once.
+    A frame's pairs meet by one shuffle on (group_id, bucket of frames), or by none where the pairs bring the bucket that they were dealt by; the solver takes all of a bucket's frames of one shape at once.
     """
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by([("frame", "ascending"), ("i", "ascending"), ("j", "ascending")])
         return table.filter(pa.array(solve_frames(*(table[c].to_numpy() for c in ("frame", "i", "j", "cost"))))).select(["group_id", "frame", "i", "j", "cost"])
 
-    own = pairs.where("cost is not null and not isnan(cost)").select(*FRAME, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("cost").cast("double").alias("cost"), F.floor(F.col("frame") / BUCKET_FRAMES).alias("bucket"))
+    own = pairs.where("cost is not null and not isnan(cost)").select(*FRAME, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("cost").cast("double").alias("cost"), (F.col("bucket") if "bucket" in pairs.columns else F.floor(F.col("frame") / BUCKET_FRAMES).alias("bucket")))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     solved = own.groupBy("group_id", "bucket").applyInArrow(solve, f"group_id {kinds['group_id']}, frame {kinds['frame']}, i int, j int, cost double")
     return solved if max_dist is None else solved.where(F.col("cost") <= max_dist)

@@ -298,3 +298,22 @@ def test_views_are_dealt_and_bring_no_lens(spark):
     assert "lens" not in plan(few)
     one = lambda df: sorted(tuple(r[c] for c in (*POINT, "x", "y", "z", "n_views")) for r in df.collect())
     assert one(mv.triangulate(seen.where("frame < 3"), table, POINT)) == one(mv.triangulate(mv.with_lenses(seen.where("frame < 3"), table), None, POINT))
+
+
+def test_pairs_are_dealt_once(spark):
+    """The join of a frame's points, the sums of its pairs and the solver share one shuffle of either side; the session's setting is put back."""
+    from kinefold.operators import joins, matching
+    from kinefold.plans.fixtures import fixture
+
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, sides = spark.conf.get(name), [fixture(spark, DATA, x) for x in ("pred", "truth")]
+    try:
+        spark.conf.set(name, "false")
+        shuffles = plan(matching.hungarian_match(joins.frame_pairs(*sides, 4, bucketed=True))).count("Exchange hashpartitioning")
+        few = plan(sides[0]).count("Exchange hashpartitioning") + plan(sides[1]).count("Exchange hashpartitioning")
+        assert shuffles == few + 2
+    finally:
+        spark.conf.set(name, before)
+    QUERIES["tk3_hungarian_match"](spark, DATA)
+    assert spark.conf.get(name) == before
+    assert "bucket" not in QUERIES["jn3_frame_pairs"](spark, DATA).columns
