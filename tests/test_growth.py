@@ -317,3 +317,9 @@ def test_pairs_are_dealt_once(spark):
     QUERIES["tk3_hungarian_match"](spark, DATA)
     assert spark.conf.get(name) == before
     assert "bucket" not in QUERIES["jn3_frame_pairs"](spark, DATA).columns
+
+
+def test_a_block_is_filled_after_its_shuffle(spark):
+    """Rows of absent animals are made where a block's rows have met: tracks and blocks are all that is shuffled, and nothing is joined."""
+    own = plan(QUERIES["src12_read_sequence_json"](spark, DATA))
+    assert own.count("Exchange hashpartitioning") == 2 and "Join" not in own
