@@ -323,3 +323,16 @@ def test_a_block_is_filled_after_its_shuffle(spark):
     """Rows of absent animals are made where a block's rows have met: tracks and blocks are all that is shuffled, and nothing is joined."""
     own = plan(QUERIES["src12_read_sequence_json"](spark, DATA))
     assert own.count("Exchange hashpartitioning") == 2 and "Join" not in own
+
+
+def test_follow_shuffles_the_events_alone(spark):
+    """Tracks, means and windows share one shuffle; frames without a row are added after it."""
+    from kinefold.operators.frames import follow
+
+    own = plan(QUERIES["wn12_follow"](spark, DATA))
+    assert own.count("Exchange hashpartitioning") == 1 and "Join" not in own
+    # A clip that begins without a position, and has rows in three of its forty frames: halfway between them lies the middle.
+    rows = [("a", 0, None, None), ("a", 10, 100.0, 80.0), ("a", 30, 140.0, 120.0), ("a", 39, None, None), ("b", 5, None, None)]
+    found = {(r.group_id, r.frame): (r.x0, r.y0) for r in follow(spark.createDataFrame(rows, "group_id string, frame int, x double, y double"), 48, 256, 192).collect()}
+    assert set(found) == {("a", f) for f in range(40)} | {("b", 5)}
+    assert found["a", 0] == (76, 56) and found["a", 20] == (96, 76) and found["a", 39] == (116, 96) and found["b", 5] == (104, 72)
