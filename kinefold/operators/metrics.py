@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinefold.functions.geometry import Box
 from kinefold.functions.random import draw_sql
-from kinefold.operators.filters import FRAME
-from kinefold.operators.joins import centroids, distance, points_in_boxes
+from kinefold.operators.filters import BUCKET_FRAMES, FRAME
+from kinefold.operators.joins import centroids, distance
 from kinefold.operators.quantiles import counted, exact_quantiles, quantiles, with_quantiles
 from kinefold.operators.sampling import numbered
 from kinefold.sources.tables import materialize
@@ -79,42 +80,75 @@ def match_radius(true: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.when(F.col("radius") > 0, F.col("radius")).otherwise(F.lit(float("inf"))).alias("radius"))
 
 
+def _dealt(matches: DataFrame, like: DataFrame) -> DataFrame:
+    """Matches with the bucket of frames and dealt as the table like, if that has one."""
+    bucket = F.floor(F.col("frame") / BUCKET_FRAMES)
+    if "bucket" not in like.columns:
+        return matches.withColumn("bucket", bucket)
+    own = matches.withColumn("bucket", bucket.cast(like.schema["bucket"].dataType))
+    return own.repartition(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group_id", "bucket")
+
+
+def switches(matches: DataFrame) -> DataFrame:
+    """group_id and frame of matches whose label was last matched by another prediction: looked for inside buckets of frames, and between a label's buckets by their first and last matches."""
+    own, whole = ["group_id", "bucket", "j"], Window.partitionBy("group_id", "j").orderBy("bucket")
+    inside = matches.withColumn("last", F.lag("i").over(Window.partitionBy(*own).orderBy("frame"))).where("last <> i")
+    ends = matches.groupBy(*own).agg(F.min(F.struct("frame", "i")).alias("first"), F.max(F.struct("frame", "i")).alias("end"))
+    across = ends.withColumn("last", F.lag("end.i").over(whole)).where("last <> first.i")
+    return inside.select(*FRAME).union(across.select("group_id", "first.frame"))
+
+
 def mota(matches: DataFrame, pred: DataFrame, true: DataFrame, ignore_boxes: DataFrame, max_dist: float, *keys: str) -> DataFrame:
-    """Misses, false positives (those near a claimed label are duplicates, those inside an ignore box are excused), switches and MOTA by keys (columns of the frames' rows)."""
-    frames = list(FRAME)
-    matches = materialize(matches, "matches")  # the solver runs once, though the matches are asked for five times
-    p = pred.where("x is not null").select(*frames, F.col("pred").alias("i")).distinct()
-    t = true.where("x is not null").select(*frames, F.col("animal").alias("j")).distinct()
-    misses = t.join(matches, [*frames, "j"], "left_anti")
-    unmatched = p.join(matches, [*frames, "i"], "left_anti")
-    centre = centroids(pred.withColumnRenamed("pred", "i"), *frames, "i")
-    loose = unmatched.join(centre, [*frames, "i"])
-    excused = points_in_boxes(loose, ignore_boxes).select(*frames, "i")
-    fps = loose.join(excused, [*frames, "i"], "left_anti")
-    claimed = centroids(true.withColumnRenamed("animal", "j"), *frames, "j").join(matches.select(*frames, "j"), [*frames, "j"]).select(*frames, F.col("x").alias("tx"), F.col("y").alias("ty"))
-    dups = fps.join(claimed, frames).where(distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")) <= max_dist).select(*frames, "i").distinct()
-    last = F.lag("i").over(Window.partitionBy("group_id", "j").orderBy("frame"))
-    switches = matches.withColumn("last", last).where("last <> i")
-    parts = [(t, "gt"), (misses, "misses"), (fps, "fp"), (dups, "fp_dup"), (excused, "fp_ignored"), (switches, "idsw")]
-    rows = None
-    for df, name in parts:
-        one = df.select(*keys, F.lit(name).alias("what"))
-        rows = one if rows is None else rows.union(one)
-    counts = rows.groupBy(*keys).agg(*(F.count_if(F.col("what") == n).alias(n) for _, n in parts))
+    """Misses, false positives (those near a claimed label are duplicates, those inside an ignore box are excused), switches and MOTA by keys (columns of the frames' rows).
+
+    A frame's few instances, boxes and matches are arrays of one row. Tables with a bucket are dealt by clip and bucket, and meet by that where
+    spark.sql.requireAllClusterKeysForCoPartition is off.
+    """
+    at = [*FRAME, *(["bucket"] if "bucket" in pred.columns else [])]
+    matches = _dealt(materialize(matches, "matches"), pred)  # the solver runs once, though the matches are asked for more often
+
+    def framed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy(*at).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+    keyed = " and ".join(f"{c} is not null" for c in at)
+    # Either side is asked for rows with a frame in the same words, so that what deals it is shuffled once; labels without one are only missed.
+    p = framed(centroids(pred.withColumnRenamed("pred", "i").where(keyed), *at, "i"), "p", "i", "x", "y")
+    t = framed(centroids(true.withColumnRenamed("animal", "j").where(keyed), *at, "j"), "t", "j", "x", "y")
+    lost = true.where("x is not null and (group_id is null or frame is null)").select(*FRAME, "animal").distinct().select(*keys, F.lit(1).alias("gt"), F.lit(1).alias("misses"))
+    b, m = framed(ignore_boxes, "b", *Box._fields), framed(matches, "m", "i", "j")
+    some = lambda c: F.coalesce(c, F.array())
+    matched = lambda row, k: F.coalesce(F.exists("m", lambda o: o[k] == row[k]), F.lit(False))
+    labels = t.join(m, at, "left").select(*keys, F.size("t").alias("gt"), F.size(F.filter("t", lambda o: ~matched(o, "j"))).alias("misses"))
+    near = lambda o, c: distance(o["x"], o["y"], c["x"], c["y"]) <= max_dist
+    inside = lambda o: F.coalesce(F.exists("b", lambda c: (o["x"] >= c["x0"]) & (o["x"] <= c["x1"]) & (o["y"] >= c["y0"]) & (o["y"] <= c["y1"])), F.lit(False))
+    loose = p.join(m, at, "left").withColumn("p", F.filter("p", lambda o: o["i"].isNotNull() & ~matched(o, "i"))).where(F.size("p") > 0)
+    told = loose.join(b, at, "left").withColumn("fps", F.filter("p", lambda o: ~inside(o))).join(t, at, "left").withColumn("claimed", F.filter("t", lambda o: matched(o, "j")))
+    dups = F.filter("fps", lambda o: F.coalesce(F.exists("claimed", lambda c: near(o, c)), F.lit(False)))
+    wrong = told.select(*keys, F.size("fps").alias("fp"), F.size(dups).alias("fp_dup"), (F.size("p") - F.size("fps")).alias("fp_ignored"))
+    parts = [labels, lost, wrong, switches(matches).select(*keys, F.lit(1).alias("idsw"))]
+    rows = parts[0]
+    for df in parts[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    counts = rows.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gt", "misses", "fp", "fp_dup", "fp_ignored", "idsw")))
     gt = F.nullif(F.col("gt"), F.lit(0))
     counts = counts.withColumn("fp_none", F.col("fp") - F.col("fp_dup"))
     rates = {f"{n}_rate": F.col(c) / gt for n, c in (("miss", "misses"), ("fp", "fp"), ("fp_dup", "fp_dup"), ("fp_none", "fp_none"), ("idsw", "idsw"))}
     return counts.withColumns(rates).withColumn("mota", F.lit(1.0) - (F.col("misses") + F.col("fp") + F.col("idsw")) / gt)
 
 
+def matched_points(matches: DataFrame, pred: DataFrame, true: DataFrame) -> DataFrame:
+    """Every label (j, x, y) beside its point of the matched prediction (px, py), if it has one; matches are dealt as pred and true are."""
+    at = [*FRAME, *(["bucket"] if "bucket" in pred.columns else [])]
+    p = pred.select(*at, "bodypart", F.col("pred").alias("i"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return true.withColumnRenamed("animal", "j").join(matches.select(*at, "i", "j"), [*at, "j"], "left").join(p, [*at, "i", "bodypart"], "left")
+
+
 def matched_error(matches: DataFrame, pred: DataFrame, true: DataFrame, *keys: str) -> DataFrame:
-    """Errors over the points of matched instances, with point and instance counts."""
-    matches = materialize(matches, "matches")  # the solver runs once, though the matches are asked for twice
-    p = pred.select(*FRAME, "bodypart", F.col("pred").alias("i"), F.col("x").alias("px"), F.col("y").alias("py"))
-    t = true.withColumnRenamed("animal", "j")
-    rows = t.join(matches.select(*FRAME, "i", "j"), [*FRAME, "j"], "left").join(p, [*FRAME, "i", "bodypart"], "left")
-    out = error_and_coverage(rows, *keys)
-    here = t.where("x is not null").select(*FRAME, "j").distinct()
+    """Errors over the points of matched instances, with point and instance counts. Tables with a bucket are dealt by clip and bucket, as in mota."""
+    at = [*FRAME, *(["bucket"] if "bucket" in pred.columns else [])]
+    matches = _dealt(materialize(matches, "matches"), pred)  # the solver runs once, though the matches are asked for twice
+    out = error_and_coverage(matched_points(matches, pred, true), *keys)
+    here = true.where("x is not null").select(*at, "animal").distinct()
     n_true = here.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_true_inst"))
     n_matched = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched_inst"))
     joined = out.join(n_true, list(keys), "left").join(n_matched, list(keys), "left").fillna(0, ["n_true_inst", "n_matched_inst"])

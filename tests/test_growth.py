@@ -336,3 +336,49 @@ def test_follow_shuffles_the_events_alone(spark):
     found = {(r.group_id, r.frame): (r.x0, r.y0) for r in follow(spark.createDataFrame(rows, "group_id string, frame int, x double, y double"), 48, 256, 192).collect()}
     assert set(found) == {("a", f) for f in range(40)} | {("b", 5)}
     assert found["a", 0] == (76, 56) and found["a", 20] == (96, 76) and found["a", 39] == (116, 96) and found["b", 5] == (104, 72)
+
+
+def test_the_sides_of_mota_share_a_shuffle(spark):
+    """Predictions and labels, asked for three times, are dealt by clip and bucket in the same words; only the boxes, the labels without a frame and the matches come beside them."""
+    from kinefold.operators import metrics
+    from kinefold.plans.fixtures import bucketed
+    from kinefold.plans.q_metrics import buckets_meet, matches
+
+    name, tuned = "spark.sql.requireAllClusterKeysForCoPartition", {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1k"}
+    before, old = spark.conf.get(name), {k: spark.conf.get(k) for k in tuned}
+    try:
+        for k, v in tuned.items():
+            spark.conf.set(k, v)
+        with buckets_meet(spark):
+            pred, true, insts = (bucketed(spark, DATA, x) for x in ("pred", "truth", "insts"))
+            solved = plan(matches(pred, true))
+            assert solved.count("- Exchange hashpartitioning(concat(g") == 1 and solved.count("ReusedExchange") >= 1 and "hashpartitioning(group_id" not in solved
+            told = plan(metrics.mota(matches(pred, true), pred, true, insts.where("status = 'present'"), 40.0, "group_id"))
+        assert told.count("- Exchange hashpartitioning(concat(g") == 3 and told.count("ReusedExchange") >= 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert spark.conf.get(name) == before
+
+
+def test_bucketed_views_are_the_views(spark):
+    from kinefold.plans.fixtures import bucketed, fixture
+
+    for x in ("pred", "truth", "insts"):
+        own = bucketed(spark, DATA, x)
+        assert own.where("bucket <> floor(frame / 512)").count() == 0
+        own, want = own.drop("bucket"), fixture(spark, DATA, x)
+        assert own.columns == want.columns and own.exceptAll(want).count() == 0 and want.exceptAll(own).count() == 0
+
+
+def test_switches_between_buckets_and_labels_without_a_frame(spark):
+    """A label's switch is found in its bucket, and from its last match in one bucket to its first in a later one; a label without a frame is missed."""
+    from kinefold.operators import metrics
+
+    found = spark.createDataFrame([("g", f, i, 0) for f, i in ((0, 1), (1, 2), (511, 2), (512, 2), (2000, 3), (2001, 3))], "group_id string, frame int, i int, j int")
+    assert sorted(r.frame for r in metrics.switches(metrics._dealt(found, found)).collect()) == [1, 2000]
+    true = spark.createDataFrame([("g", f, 0, "p", 1.0, 1.0) for f in (0, 1, 511, 512, 2000, 2001, None)], "group_id string, frame int, animal int, bodypart string, x double, y double")
+    pred = spark.createDataFrame([("g", r.frame, r.i, "p", 1.0, 1.0) for r in found.collect()] + [("g", 5, 9, "p", 1.0, 1.0)], "group_id string, frame int, pred int, bodypart string, x double, y double")
+    none = spark.createDataFrame([], "group_id string, frame int, x0 double, y0 double, x1 double, y1 double")
+    got = metrics.mota(found, pred, true, none, 1.0, "group_id").collect()
+    assert [(r.gt, r.misses, r.fp, r.fp_dup, r.fp_ignored, r.idsw) for r in got] == [(7, 1, 1, 0, 0, 2)]
