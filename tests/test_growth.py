@@ -382,3 +382,24 @@ def test_switches_between_buckets_and_labels_without_a_frame(spark):
     none = spark.createDataFrame([], "group_id string, frame int, x0 double, y0 double, x1 double, y1 double")
     got = metrics.mota(found, pred, true, none, 1.0, "group_id").collect()
     assert [(r.gt, r.misses, r.fp, r.fp_dup, r.fp_ignored, r.idsw) for r in got] == [(7, 1, 1, 0, 0, 2)]
+
+
+def test_matched_points_are_not_dealt_again(spark):
+    """Labels meet their matches and these the predictions by the bucket that all were dealt by."""
+    from kinefold.operators import metrics
+    from kinefold.plans.fixtures import bucketed, fixture
+    from kinefold.plans.q_metrics import buckets_meet
+
+    tuned = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1k"}
+    old = {k: spark.conf.get(k) for k in tuned}
+    found = fixture(spark, DATA, "inst").select("group_id", "frame", F.lit(1).alias("i"), F.col("animal").alias("j"))
+    try:
+        for k, v in tuned.items():
+            spark.conf.set(k, v)
+        with buckets_meet(spark):
+            pred, true = (bucketed(spark, DATA, x) for x in ("pred", "truth"))
+            own = plan(metrics.matched_points(metrics._dealt(found, pred), pred, true))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert own.count("- Exchange hashpartitioning") - plan(found).count("Exchange hashpartitioning") == 3
