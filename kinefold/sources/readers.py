@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +13,32 @@ from pyspark.sql import functions as F
 from kinefold.functions.status import finite
 from kinefold.sources.schema import ASSOCIATION_PX, CAMERA, LABELS, MODES, PREFIX, SESSION, TABLES
 
+#: Tasks a core that list folders.
+LISTING_TASKS_A_CORE = 4
+
+
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """Sessions' folders, which a load lists at once, are shared out to some tasks a core; Spark takes a task for each, up to ten thousand for each folder above them."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(min(int(before), LISTING_TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _placed(df: DataFrame, path: Column) -> DataFrame:
     """root, split and session_id from a file's path: the folders above it."""
     return df.withColumns({n: F.substring_index(F.substring_index(path, "/", -k), "/", 1) for n, k in (("root", 4), ("split", 3), ("session_id", 2))})
 
 
 def manifest_texts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Files of a name below a path: file, body, root, split, session_id."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    """Files of a name below a path: file, body, root, split, session_id. A scan's task takes but a few files, as each counts as megabytes; here as many tasks as a shuffle has take them all, one after the other."""
+    with few_listings(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    files = files.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return _placed(files.select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("body")), F.col("file"))
 
 
@@ -105,14 +124,16 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
 
 def read_image_files(spark: SparkSession, path: str) -> DataFrame:
     """Image files below the sessions' group folders: root, split, session_id, group_id, camera, file. Only the listing is read; a file without a byte is no image."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(path).select("path")
+    with few_listings(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,png}").load(path).select("path")
     place = r"([^/]+)/([^/]+)/([^/]+)/groups/([^/]+)/([^/]+)/([^/]+)$"
     return found.select(*(F.regexp_extract("path", place, k).alias(n) for k, n in enumerate(("root", "split", "session_id", "group_id", "camera", "file"), 1))).where("root <> ''")
 
 
 def read_table(spark: SparkSession, path: str, stem: str) -> DataFrame:
     """One table of every session; sessions without the file have no rows."""
-    files = spark.read.schema(TABLES[stem]).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{stem}.pq").parquet(path)
+    with few_listings(spark):
+        files = spark.read.schema(TABLES[stem]).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{stem}.pq").parquet(path)
     return _placed(files.select("*", F.col("_metadata.file_path").alias("_file")), F.col("_file")).drop("_file")
 
 

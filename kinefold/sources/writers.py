@@ -19,6 +19,8 @@ from kinefold.sources.tables import materialize, qualified, shared_path
 ROWS_A_FILE = 250_000
 #: Frames of a clip that one task writes together.
 FRAMES_A_TASK = 32_768
+#: Tasks a core that write texts, each as a file.
+TEXT_TASKS_A_CORE = 4
 PLACE = ["root", "split", "session_id"]
 # How a window ended.
 OUTCOMES = ("ok", "no box", "no camera", "no points", "crop failed", "decode failed")
@@ -118,7 +120,10 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, str, str], pa.Reco
 
 
 def write_texts(texts: DataFrame, path: str, name: str) -> int:
-    """The body of each row as <path>/<root>/<split>/<session_id>/<name>; how many were written. A file is renamed when it is whole."""
+    """The body of each row as <path>/<root>/<split>/<session_id>/<name>; how many were written. A file is renamed when it is whole.
+
+    The rows are few bytes beside the work of a file, so they are dealt to several tasks a core.
+    """
     path = qualified(texts.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,8 @@ def write_texts(texts: DataFrame, path: str, name: str) -> int:
                 n += 1
         yield pa.record_batch({"n": pa.array([n], pa.int64())})
 
-    return texts.select(*PLACE, "body").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    dealt = texts.select(*PLACE, "body").repartition(TEXT_TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism, *PLACE)
+    return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_session_files(df: DataFrame, path: str, stem: str) -> int:

@@ -403,3 +403,27 @@ def test_matched_points_are_not_dealt_again(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert own.count("- Exchange hashpartitioning") - plan(found).count("Exchange hashpartitioning") == 3
+
+
+def test_manifests_are_read_once_by_few_tasks(spark, tmp_path):
+    """Files are written by several tasks, listed and read by as many as a shuffle has, and read once however often their rows are asked for; the session's setting is put back."""
+    from kinefold.sources.readers import manifest_texts
+    from kinefold.sources.writers import write_texts
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    own = spark.range(80).coalesce(1).select(F.lit("r").alias("root"), F.lit("train").alias("split"), F.concat(F.lit("s"), "id").alias("session_id"), F.concat(F.lit("n = "), "id").alias("body"))
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("texts", "texts")
+    try:
+        assert write_texts(own, str(tmp_path), "session.toml") == 80
+        sizes = lambda: {s.numTasks for j in tasks.getJobIdsForGroup("texts") for i in tasks.getJobInfo(j).stageIds if (s := tasks.getStageInfo(i))}
+        assert 4 * spark.sparkContext.defaultParallelism in sizes()
+        found = manifest_texts(spark, str(tmp_path), "session.toml")
+        assert max(sizes()) < 80
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.rdd.getNumPartitions() <= max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert {(r.session_id, r.body) for r in found.collect()} == {(f"s{n}", f"n = {n}") for n in range(80)}
+    assert spark.conf.get(name) == before
+    assert "BinaryFile" not in plan(QUERIES["src18_combine_catalogs"](spark, DATA)) and "binaryFile" not in plan(QUERIES["src18_combine_catalogs"](spark, DATA))
