@@ -427,3 +427,17 @@ def test_manifests_are_read_once_by_few_tasks(spark, tmp_path):
     assert {(r.session_id, r.body) for r in found.collect()} == {(f"s{n}", f"n = {n}") for n in range(80)}
     assert spark.conf.get(name) == before
     assert "BinaryFile" not in plan(QUERIES["src18_combine_catalogs"](spark, DATA)) and "binaryFile" not in plan(QUERIES["src18_combine_catalogs"](spark, DATA))
+
+
+def test_gained_is_the_best_assignment():
+    """The same pairs as the whole matrix gives, with many rows and columns that gain nothing, and none without a gain."""
+    import numpy as np
+
+    from kinefold.operators.matching import assignment, gained
+
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        shape = tuple(draw.integers(1, 9, 2))
+        gain = np.where(draw.random(shape) < draw.choice([0.1, 0.3, 0.8]), draw.random(shape), 0.0)
+        assert gained(gain) == [(i, j) for i, j in assignment(-gain) if gain[i, j] > 0]
+    assert gained(np.zeros((2, 3))) == [] and gained(np.ones((1, 1))) == [(0, 0)]
