@@ -441,3 +441,10 @@ def test_gained_is_the_best_assignment():
         gain = np.where(draw.random(shape) < draw.choice([0.1, 0.3, 0.8]), draw.random(shape), 0.0)
         assert gained(gain) == [(i, j) for i, j in assignment(-gain) if gain[i, j] > 0]
     assert gained(np.zeros((2, 3))) == [] and gained(np.ones((1, 1))) == [(0, 0)]
+
+
+def test_trackers_run_once(spark):
+    """Rows of the solver or the tracker are written: the linker and the suppression read them."""
+    assert plan(QUERIES["st3_associate_tracked"](spark, DATA)).count("MapInPandas") == 0
+    linked = plan(QUERIES["st3_associate_linked"](spark, DATA))
+    assert linked.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in linked
